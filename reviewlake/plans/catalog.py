@@ -27,3 +27,274 @@ def register(name: str):
 @register("rating_topic_freq")
 def q_rating_topic_freq(spark, sf_dir):
     return stats.rating_topic_freq(fixture_reviews(spark, sf_dir))
+
+
+# --- helpers ----------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from reviewlake import dictionaries as D  # noqa: E402
+from reviewlake.functions import text as T  # noqa: E402
+from reviewlake.operators import lexicon as L  # noqa: E402
+from reviewlake.plans.reviews import enrich, read_table  # noqa: E402
+
+RATING_VALUES = ["1", "2", "3", "4", "5", "unknown"]
+
+
+def _reviews(spark, sf_dir):
+    return fixture_reviews(spark, sf_dir)
+
+
+def _enriched(spark, sf_dir):
+    return enrich(fixture_reviews(spark, sf_dir))
+
+
+# --- sources / projections -------------------------------------------------------------
+@register("page_number")
+def q_page_number(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", T.page_from_url("url").alias("page"))
+
+
+@register("html_title_extract")
+def q_html_title_extract(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", T.html_title("html").alias("title"))
+
+
+@register("url_last_segment")
+def q_url_last_segment(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", T.url_last_segment("url").alias("segment"),
+                    T.review_id("url", "page_id").alias("review_id"))
+
+
+@register("json_field_extract")
+def q_json_field_extract(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    return e.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
+
+
+@register("age_band")
+def q_age_band(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    age = F.from_json("props", "k INT")["k"]
+    return e.select("event_id", age.alias("age"), T.age_band(age).alias("age_band"))
+
+
+@register("company_slug")
+def q_company_slug(spark, sf_dir):
+    return _reviews(spark, sf_dir).select("id", "company", T.company_slug("company").alias("slug"))
+
+
+@register("by_company_counts")
+def q_by_company_counts(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    return (r.groupBy("company").agg(F.count(F.lit(1)).alias("n_reviews"))
+            .select("company", T.company_slug("company").alias("slug"), "n_reviews"))
+
+
+@register("default_fill")
+def q_default_fill(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    return r.select(
+        "id",
+        F.coalesce("title", F.lit(T.DEFAULT_TITLE)).alias("title"),
+        F.coalesce("body", F.lit(T.DEFAULT_BODY)).alias("body"),
+        F.coalesce("rating", F.lit(T.DEFAULT_RATING)).alias("rating"),
+        F.coalesce("topic", F.lit("unknown")).alias("topic"),
+        F.coalesce("verified", F.lit(T.DEFAULT_VERIFIED)).alias("verified"))
+
+
+@register("reject_split")
+def q_reject_split(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    reason = (F.when(F.col("topic").isNull(), F.lit("missing topic"))
+               .when(T.guarded_double("rating").isNull(), F.lit("non-numeric rating")))
+    return r.select("id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+@register("text_concat")
+def q_text_concat(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    return r.select("id", T.scoring_text("title", "body").alias("scoring_text"),
+                    T.corpus_text("title", "body").alias("corpus_text"))
+
+
+@register("rating_discrepancy")
+def q_rating_discrepancy(spark, sf_dir):
+    return _enriched(spark, sf_dir).select("id", "rating", "text_rating", "discrepancy")
+
+
+@register("label_normalise")
+def q_label_normalise(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    topic = T.normalise_label("topic")
+    return r.select("id", T.normalise_label("rating").alias("rating_label"),
+                    topic.alias("topic_label"),
+                    T.off_list(topic, D.TOPICS_FIVE).alias("topic_off_list"))
+
+
+@register("satisfaction_stars")
+def q_satisfaction_stars(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
+    return e.select("id", F.coalesce("rating", "text_rating").alias("stars"),
+                    F.when(F.col("rating").isNotNull(), F.lit("given"))
+                     .when(F.col("text_rating").isNotNull(), F.lit("inferred")).alias("stars_source"))
+
+
+@register("metrics_by_verified")
+def q_metrics_by_verified(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
+    return e.groupBy("verified").agg(
+        F.count(F.lit(1)).alias("n_reviews"),
+        F.round(F.avg("rating"), 6).alias("avg_rating"),
+        F.round(F.avg("text_rating"), 6).alias("avg_text_rating"),
+        F.round(F.avg("discrepancy"), 6).alias("avg_discrepancy"))
+
+
+@register("rating_over_time")
+def q_rating_over_time(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
+    return (e.groupBy(F.to_date("published_at").alias("day"))
+            .agg(F.count(F.lit(1)).alias("n_reviews"), F.round(F.avg("rating"), 6).alias("avg_rating")))
+
+
+@register("source_type_mask")
+def q_source_type_mask(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    st = D.source_type_fixture().broadcast(spark).withColumnRenamed("source", "company")
+    j = r.join(st, "company", "left")
+    pro = F.col("type") == F.lit("professional")
+    return j.select("id", "company", "type",
+                    F.when(pro, F.lit(None)).otherwise(F.col("verified")).alias("verified"),
+                    F.when(pro, F.lit(None)).otherwise(F.col("published_date")).alias("published_date"))
+
+
+# --- aggregates -------------------------------------------------------------------------
+@register("avg_text_rating")
+def q_avg_text_rating(spark, sf_dir):
+    e = _enriched(spark, sf_dir)
+    return e.agg(F.round(F.avg("text_rating"), 6).alias("avg_text_rating"),
+                 F.count("text_rating").alias("scored"), F.count(F.lit(1)).alias("total"))
+
+
+@register("value_counts_all")
+def q_value_counts_all(spark, sf_dir):
+    return stats.value_counts_all(_reviews(spark, sf_dir),
+                                  ["rating", "topic", "verified", "lang", "company"])
+
+
+@register("topic_rating_pivot")
+def q_topic_rating_pivot(spark, sf_dir):
+    p = stats.topic_rating_pivot(_reviews(spark, sf_dir), RATING_VALUES)
+    return p.select("topic", *[F.col(v).cast("bigint").alias(f"r_{v}") for v in RATING_VALUES])
+
+
+# --- lexicon / text labels --------------------------------------------------------------
+def _polarity(spark, sf_dir, text="corpus", keys=("id",)):
+    r = _reviews(spark, sf_dir)
+    col = (T.corpus_text("title", "body") if text == "corpus" else T.scoring_text("title", "body"))
+    return L.polarity(spark, r, col, list(keys), D.LEXICON_FIXTURE)
+
+
+@register("sentiment_pct")
+def q_sentiment_pct(spark, sf_dir):
+    return L.sentiment_pct(_polarity(spark, sf_dir))
+
+
+@register("sentiment_pct_by_company")
+def q_sentiment_pct_by_company(spark, sf_dir):
+    return L.sentiment_pct(_polarity(spark, sf_dir, keys=("company", "id")), ["company"])
+
+
+@register("sentiment_label")
+def q_sentiment_label(spark, sf_dir):
+    p = _polarity(spark, sf_dir, text="scoring")
+    return p.select("id", L.sentiment_from_polarity("polarity").alias("sentiment"))
+
+
+@register("text_rating_lexicon")
+def q_text_rating_lexicon(spark, sf_dir):
+    p = _polarity(spark, sf_dir, text="scoring")
+    return p.select("id", L.text_rating_from_polarity("polarity", "magnitude").alias("text_rating"))
+
+
+@register("sentiment_disagreement")
+def q_sentiment_disagreement(spark, sf_dir):
+    p = _polarity(spark, sf_dir, keys=("id", "rating"))
+    stars = T.guarded_double("rating")
+    star_label = (F.when(stars >= 4, F.lit("positive")).when(stars <= 2, F.lit("negative"))
+                  .when(stars.isNotNull(), F.lit("neutral")))
+    lab = p.select(L.sentiment_from_polarity("polarity").alias("polarity_label"),
+                   star_label.alias("star_label"))
+    return (lab.where(F.col("star_label").isNotNull())
+            .groupBy("polarity_label", "star_label").agg(F.count(F.lit(1)).alias("n_reviews")))
+
+
+def _topics(spark, sf_dir, taxonomy):
+    r = _reviews(spark, sf_dir)
+    t = L.classify_topics(spark, r, T.scoring_text("title", "body"), ["id"], taxonomy)
+    return t.select("id", "topic", "topic_score")
+
+
+@register("topic_five_class")
+def q_topic_five_class(spark, sf_dir):
+    return _topics(spark, sf_dir, D.TAXONOMY_FIVE_FIXTURE)
+
+
+@register("topic_two_class")
+def q_topic_two_class(spark, sf_dir):
+    return _topics(spark, sf_dir, D.TAXONOMY_TWO_FIXTURE)
+
+
+@register("services_mentioned")
+def q_services_mentioned(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    services = D.Dictionary("services", D.TAXONOMY_FIVE_FIXTURE.schema, tuple(
+        row for row in D.TAXONOMY_FIVE_FIXTURE.rows if row[0] in D.SERVICES))
+    hits = L.labels_hit(spark, r, T.scoring_text("title", "body"), ["id"], services, "topic")
+    return (hits.groupBy("id")
+            .agg(F.concat_ws(",", F.array_sort(F.collect_set("topic"))).alias("services")))
+
+
+@register("aspect_levels")
+def q_aspect_levels(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    text = T.corpus_text("title", "body")
+    hits = L.labels_hit(spark, r, text, ["id"], D.ASPECTS_FIXTURE, "aspect")
+    pol = L.polarity(spark, r, text, ["id"], D.LEXICON_FIXTURE)
+    p = F.col("polarity")
+    level = (F.when(F.col("aspect") == "price",
+                    F.when(p < 0, F.lit("too high")).when(p > 0, F.lit("good")).otherwise(F.lit("neutral")))
+              .when(F.col("aspect") == "quality",
+                    F.when(p > 0, F.lit("good")).when(p < 0, F.lit("poor")).otherwise(F.lit("mediocre")))
+              .otherwise(F.lit("reported")))
+    j = hits.join(pol, "id")
+    return j.groupBy("aspect", level.alias("level")).agg(F.count(F.lit(1)).alias("n_reviews"))
+
+
+@register("mention_counts")
+def q_mention_counts(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    return L.mention_counts(spark, r, T.corpus_text("title", "body"), ["id"], D.PHRASES_FIXTURE)
+
+
+@register("emotion_counts")
+def q_emotion_counts(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    hits = L.labels_hit(spark, r, T.corpus_text("title", "body"), ["id"], D.EMOTIONS_FIXTURE, "emotion")
+    return hits.groupBy("emotion").agg(F.sum("hits").cast("bigint").alias("mentions"),
+                                       F.count(F.lit(1)).alias("n_reviews"))
+
+
+@register("product_feedback")
+def q_product_feedback(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    text = T.corpus_text("title", "body")
+    hits = L.labels_hit(spark, r, text, ["id"], D.PRODUCTS_FIXTURE, "product")
+    pol = L.polarity(spark, r, text, ["id"], D.LEXICON_FIXTURE)
+    j = hits.join(pol, "id")
+    return j.groupBy("product").agg(
+        F.count_if(F.col("polarity") > 0).alias("n_positive"),
+        F.count_if(F.col("polarity") < 0).alias("n_negative"),
+        F.count(F.lit(1)).alias("n_reviews"))

@@ -56,3 +56,237 @@ SQL["rating_topic_freq"] = with_reviews("""
 SELECT rating, topic, COUNT(*) AS frequency
 FROM reviews WHERE rating IS NOT NULL AND topic IS NOT NULL
 GROUP BY rating, topic""")
+
+
+# --- helpers shared by the SQL below -------------------------------------------------
+TOKEN_RE = r"[\p{L}\p{N}_][\p{L}\p{N}_'']+"  # quote doubled for SQL
+
+
+def toks(expr: str) -> str:
+    return f"regexp_extract_all(lower({expr}), '{TOKEN_RE}', 0)"
+
+
+def values(d, alias: str) -> str:
+    """A Dictionary as a VALUES table with the same column names."""
+    cols = [c.strip().split(" ")[0] for c in d.schema.split(",")]
+
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, bool):
+            return "TRUE" if v else "FALSE"
+        return str(v)
+    rows = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in d.rows)
+    return f"(VALUES {rows}) AS {alias}({', '.join(cols)})"
+
+
+# --- sources / projections -------------------------------------------------------------
+from reviewlake import dictionaries as D  # noqa: E402
+
+SQL["page_number"] = """
+SELECT page_id, TRY_CAST(NULLIF(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS INT) AS page
+FROM pages"""
+
+SQL["html_title_extract"] = """
+SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages"""
+
+SQL["url_last_segment"] = """
+WITH s AS (SELECT page_id, NULLIF(string_split(NULLIF(url, ''), '/')[-1], '') AS segment FROM pages)
+SELECT page_id, segment,
+  COALESCE(segment, sha256(concat_ws(chr(1), COALESCE(CAST(page_id AS VARCHAR), '')))) AS review_id
+FROM s"""
+
+SQL["json_field_extract"] = """
+SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS INT) AS k FROM events"""
+
+SQL["age_band"] = """
+WITH a AS (SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS INT) AS age FROM events)
+SELECT event_id, age,
+  CASE WHEN age >= 18 AND age < 35 THEN '18-35' WHEN age >= 35 AND age < 60 THEN '35-60'
+       WHEN age >= 60 THEN '60+' END AS age_band
+FROM a"""
+
+SQL["company_slug"] = with_reviews("""
+SELECT id, company, lower(replace(company, ' ', '_')) AS slug FROM reviews""")
+
+SQL["by_company_counts"] = with_reviews("""
+SELECT company, lower(replace(company, ' ', '_')) AS slug, COUNT(*) AS n_reviews
+FROM reviews GROUP BY company""")
+
+SQL["default_fill"] = with_reviews("""
+SELECT id, COALESCE(title, 'No Title') AS title, COALESCE(body, 'No Review Body') AS body,
+  COALESCE(rating, 'unknown') AS rating, COALESCE(topic, 'unknown') AS topic,
+  COALESCE(verified, FALSE) AS verified
+FROM reviews""")
+
+SQL["reject_split"] = with_reviews(f"""
+SELECT id, reason FROM (
+  SELECT id, CASE WHEN topic IS NULL THEN 'missing topic'
+                  WHEN {num('rating')} IS NULL THEN 'non-numeric rating' END AS reason
+  FROM reviews) WHERE reason IS NOT NULL""")
+
+SQL["text_concat"] = with_reviews("""
+SELECT id, concat(title, '. ', body) AS scoring_text, concat_ws(' ', title, body) AS corpus_text
+FROM reviews""")
+
+SQL["rating_discrepancy"] = with_enriched("""
+SELECT id, rating, text_rating, discrepancy FROM enriched""")
+
+_LABEL = ("CASE WHEN lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')) IS NULL "
+          "OR lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')) IN ('unknown', '', 'error') "
+          "THEN 'unknown' ELSE lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')) END")
+_TOPICS5 = ", ".join("'" + t + "'" for t in D.TOPICS_FIVE)
+
+SQL["label_normalise"] = with_reviews(f"""
+SELECT id, rating_label, topic_label,
+  NOT (topic_label IN ({_TOPICS5}) OR topic_label = 'unknown') AS topic_off_list
+FROM (SELECT id, {_LABEL.format(x='rating')} AS rating_label,
+             {_LABEL.format(x='topic')} AS topic_label FROM reviews)""")
+
+SQL["satisfaction_stars"] = with_enriched("""
+SELECT id, COALESCE(rating, text_rating) AS stars,
+  CASE WHEN rating IS NOT NULL THEN 'given' WHEN text_rating IS NOT NULL THEN 'inferred' END AS stars_source
+FROM enriched""")
+
+SQL["metrics_by_verified"] = with_enriched("""
+SELECT verified, COUNT(*) AS n_reviews, round(avg(rating), 6) AS avg_rating,
+  round(avg(text_rating), 6) AS avg_text_rating, round(avg(discrepancy), 6) AS avg_discrepancy
+FROM enriched GROUP BY verified""")
+
+SQL["rating_over_time"] = with_enriched("""
+SELECT CAST(published_at AS DATE) AS day, COUNT(*) AS n_reviews, round(avg(rating), 6) AS avg_rating
+FROM enriched GROUP BY 1""")
+
+SQL["source_type_mask"] = with_reviews(f"""
+SELECT r.id, r.company, s.type,
+  CASE WHEN s.type = 'professional' THEN NULL ELSE r.verified END AS verified,
+  CASE WHEN s.type = 'professional' THEN NULL ELSE r.published_date END AS published_date
+FROM reviews r LEFT JOIN {values(D.source_type_fixture(), 's')} ON r.company = s.source""")
+
+# --- aggregates -------------------------------------------------------------------------
+SQL["avg_text_rating"] = with_enriched("""
+SELECT round(avg(text_rating), 6) AS avg_text_rating, COUNT(text_rating) AS scored, COUNT(*) AS total
+FROM enriched""")
+
+SQL["value_counts_all"] = with_reviews("""
+SELECT column_name, value, COUNT(*) AS frequency FROM (
+  UNPIVOT (SELECT CAST(rating AS VARCHAR) AS rating, CAST(topic AS VARCHAR) AS topic,
+                  CAST(verified AS VARCHAR) AS verified, CAST(lang AS VARCHAR) AS lang,
+                  CAST(company AS VARCHAR) AS company FROM reviews)
+  ON rating, topic, verified, lang, company INTO NAME column_name VALUE value)
+WHERE value IS NOT NULL GROUP BY column_name, value""")
+
+_RATINGS = ["1", "2", "3", "4", "5", "unknown"]
+SQL["topic_rating_pivot"] = with_reviews(
+    "SELECT topic, " + ", ".join(
+        f"COUNT(*) FILTER (WHERE rating = '{v}') AS r_{v}" for v in _RATINGS)
+    + " FROM reviews WHERE topic IS NOT NULL GROUP BY topic")
+
+# --- lexicon / text labels --------------------------------------------------------------
+CORPUS = "concat_ws(' ', title, body)"
+SCORING = "concat(title, '. ', body)"
+
+
+def polarity_cte(text: str, keys: str = "r.id", lex=D.LEXICON_FIXTURE) -> str:
+    return f"""pol AS (
+  SELECT {keys}, CAST(COALESCE(SUM(l.weight), 0) AS BIGINT) AS polarity,
+    CAST(COALESCE(SUM(abs(l.weight)), 0) AS BIGINT) AS magnitude, COUNT(l.weight) AS hits
+  FROM reviews r
+  LEFT JOIN (SELECT id, unnest({toks(text)}) AS term FROM reviews) t ON r.id = t.id
+  LEFT JOIN {values(lex, 'l')} ON t.term = l.term
+  GROUP BY {keys})"""
+
+
+_PCT = """CAST(100 AS DOUBLE) * count_if(polarity > 0) / CAST(NULLIF(COUNT(*), 0) AS DOUBLE) AS pct_positive,
+  CAST(100 AS DOUBLE) * count_if(polarity < 0) / CAST(NULLIF(COUNT(*), 0) AS DOUBLE) AS pct_negative,
+  COUNT(*) AS total"""
+
+SQL["sentiment_pct"] = f"WITH {REVIEWS_CTE},\n{polarity_cte(CORPUS)}\nSELECT {_PCT} FROM pol"
+SQL["sentiment_pct_by_company"] = (
+    f"WITH {REVIEWS_CTE},\n{polarity_cte(CORPUS, 'r.company, r.id')}\n"
+    f"SELECT company, {_PCT} FROM pol GROUP BY company")
+SQL["sentiment_label"] = (
+    f"WITH {REVIEWS_CTE},\n{polarity_cte(SCORING)}\n"
+    "SELECT id, CASE WHEN polarity > 0 THEN 'positive' WHEN polarity < 0 THEN 'negative' "
+    "ELSE 'neutral' END AS sentiment FROM pol")
+SQL["text_rating_lexicon"] = (
+    f"WITH {REVIEWS_CTE},\n{polarity_cte(SCORING)}\n"
+    "SELECT id, round(least(5.0::DOUBLE, greatest(1.0::DOUBLE, 3.0::DOUBLE + 2.0::DOUBLE * "
+    "CASE WHEN magnitude > 0 THEN CAST(polarity AS DOUBLE) / CAST(magnitude AS DOUBLE) ELSE 0.0::DOUBLE END)), 3)"
+    " AS text_rating FROM pol")
+SQL["sentiment_disagreement"] = (
+    f"WITH {REVIEWS_CTE},\n{polarity_cte(CORPUS, 'r.id, r.rating')}\n"
+    f"""SELECT polarity_label, star_label, COUNT(*) AS n_reviews FROM (
+  SELECT CASE WHEN polarity > 0 THEN 'positive' WHEN polarity < 0 THEN 'negative' ELSE 'neutral' END AS polarity_label,
+         CASE WHEN {num('rating')} >= 4 THEN 'positive' WHEN {num('rating')} <= 2 THEN 'negative'
+              WHEN {num('rating')} IS NOT NULL THEN 'neutral' END AS star_label
+  FROM pol) WHERE star_label IS NOT NULL GROUP BY polarity_label, star_label""")
+
+
+def topics_sql(tax) -> str:
+    return f"""WITH {REVIEWS_CTE},
+t AS (SELECT id, unnest({toks(SCORING)}) AS term FROM reviews),
+s AS (SELECT t.id, x.topic, x.topic_order, CAST(SUM(x.weight) AS BIGINT) AS score
+      FROM t JOIN {values(tax, 'x')} ON t.term = x.keyword GROUP BY t.id, x.topic, x.topic_order),
+b AS (SELECT id, topic, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic_order) AS rn FROM s)
+      WHERE rn = 1 AND score > 0)
+SELECT r.id, COALESCE(b.topic, 'unknown') AS topic, CAST(COALESCE(b.score, 0) AS BIGINT) AS topic_score
+FROM reviews r LEFT JOIN b ON r.id = b.id"""
+
+
+SQL["topic_five_class"] = topics_sql(D.TAXONOMY_FIVE_FIXTURE)
+SQL["topic_two_class"] = topics_sql(D.TAXONOMY_TWO_FIXTURE)
+
+_SERVICES = D.Dictionary("services", D.TAXONOMY_FIVE_FIXTURE.schema, tuple(
+    row for row in D.TAXONOMY_FIVE_FIXTURE.rows if row[0] in D.SERVICES))
+SQL["services_mentioned"] = f"""WITH {REVIEWS_CTE},
+t AS (SELECT id, unnest({toks(SCORING)}) AS term FROM reviews)
+SELECT id, array_to_string(list_sort(list(DISTINCT x.topic)), ',') AS services
+FROM t JOIN {values(_SERVICES, 'x')} ON t.term = x.keyword GROUP BY id"""
+
+
+def hits_cte(name: str, d, label: str, text: str = CORPUS) -> str:
+    return f"""{name} AS (SELECT t.id, x.{label}, COUNT(*) AS hits
+  FROM (SELECT id, unnest({toks(text)}) AS term FROM reviews) t
+  JOIN {values(d, 'x')} ON t.term = x.keyword GROUP BY t.id, x.{label})"""
+
+
+SQL["aspect_levels"] = f"""WITH {REVIEWS_CTE},
+{polarity_cte(CORPUS)},
+{hits_cte('h', D.ASPECTS_FIXTURE, 'aspect')}
+SELECT aspect, level, COUNT(*) AS n_reviews FROM (
+  SELECT h.aspect, CASE
+    WHEN h.aspect = 'price' THEN CASE WHEN p.polarity < 0 THEN 'too high' WHEN p.polarity > 0 THEN 'good' ELSE 'neutral' END
+    WHEN h.aspect = 'quality' THEN CASE WHEN p.polarity > 0 THEN 'good' WHEN p.polarity < 0 THEN 'poor' ELSE 'mediocre' END
+    ELSE 'reported' END AS level
+  FROM h JOIN pol p ON h.id = p.id) GROUP BY aspect, level"""
+
+
+def _ngrams(max_n: int) -> str:
+    parts = []
+    for n in range(1, max_n + 1):
+        gram = " || ' ' || ".join(f"tk[i + {k}]" for k in range(n))
+        parts.append(f"SELECT id, {gram} AS phrase FROM (SELECT id, tk, unnest(range(1, len(tk) - {n - 1} + 1)) AS i FROM tt)")
+    return " UNION ALL ".join(parts)
+
+
+_MAXN = max(len(p.split(" ")) for _, p in D.PHRASES_FIXTURE.rows)
+SQL["mention_counts"] = f"""WITH {REVIEWS_CTE},
+tt AS (SELECT id, {toks(CORPUS)} AS tk FROM reviews),
+g AS ({_ngrams(_MAXN)}),
+pr AS (SELECT x.category, g.id, COUNT(*) AS hits FROM g JOIN {values(D.PHRASES_FIXTURE, 'x')}
+       ON g.phrase = x.phrase GROUP BY x.category, g.id)
+SELECT category, CAST(SUM(hits) AS BIGINT) AS mentions, COUNT(*) AS reviews_mentioning
+FROM pr GROUP BY category"""
+
+SQL["emotion_counts"] = f"""WITH {REVIEWS_CTE},
+{hits_cte('h', D.EMOTIONS_FIXTURE, 'emotion')}
+SELECT emotion, CAST(SUM(hits) AS BIGINT) AS mentions, COUNT(*) AS n_reviews FROM h GROUP BY emotion"""
+
+SQL["product_feedback"] = f"""WITH {REVIEWS_CTE},
+{polarity_cte(CORPUS)},
+{hits_cte('h', D.PRODUCTS_FIXTURE, 'product')}
+SELECT h.product, count_if(p.polarity > 0) AS n_positive, count_if(p.polarity < 0) AS n_negative,
+  COUNT(*) AS n_reviews
+FROM h JOIN pol p ON h.id = p.id GROUP BY h.product"""
