@@ -43,3 +43,23 @@ def topic_rating_pivot(reviews: DataFrame, rating_values: list[str],
 
 def counts_by(reviews: DataFrame, key: str) -> DataFrame:
     return reviews.groupBy(key).agg(F.count(F.lit(1)).alias("n_reviews"))
+
+
+def gather_text(df: DataFrame, key: str, order_col: str, text_col: str, sep: str = " ",
+                block: int = 64) -> DataFrame:
+    """Join ``text_col`` per key in ``order_col`` order (e.g. answers per question).
+
+    Two levels, so no task gathers an unbounded number of rows: first blocks of
+    ``block`` consecutive orders per key, then the block strings per key.  The
+    output row of a key is as long as its text, which is the result itself.
+    """
+    b = df.select(key, order_col, text_col,
+                  F.floor(F.col(order_col) / F.lit(block)).alias("_blk"))
+    blocks = (b.groupBy(key, "_blk")
+              .agg(F.array_sort(F.collect_list(F.struct(order_col, text_col))).alias("_p"))
+              .select(key, "_blk", F.concat_ws(sep, F.transform("_p", lambda x: x[text_col])).alias("_s"),
+                      F.size("_p").alias("_n")))
+    return (blocks.groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.struct("_blk", "_s"))).alias("_b"),
+                 F.sum("_n").cast("bigint").alias("n_parts"))
+            .select(key, F.concat_ws(sep, F.transform("_b", lambda x: x["_s"])).alias("joined"), "n_parts"))

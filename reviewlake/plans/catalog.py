@@ -298,3 +298,276 @@ def q_product_feedback(spark, sf_dir):
         F.count_if(F.col("polarity") > 0).alias("n_positive"),
         F.count_if(F.col("polarity") < 0).alias("n_negative"),
         F.count(F.lit(1)).alias("n_reviews"))
+
+
+# --- terms, masking, entities ------------------------------------------------------------
+from reviewlake.functions import masking as M  # noqa: E402
+from reviewlake.functions import prompts as PR  # noqa: E402
+from reviewlake.operators import chunking as CH  # noqa: E402
+from reviewlake.operators import dedupe as DD  # noqa: E402
+from reviewlake.operators import entities as EN  # noqa: E402
+from reviewlake.operators import indexing as IX  # noqa: E402
+from reviewlake.operators import retrieval as RT  # noqa: E402
+from reviewlake.operators import scoring as SC  # noqa: E402
+from reviewlake.operators import terms as TM  # noqa: E402
+from reviewlake.plans import report as RP  # noqa: E402
+from reviewlake.session import scratch_dir  # noqa: E402
+from reviewlake.sources import pages as PG  # noqa: E402
+from reviewlake.sources import review_files as RF  # noqa: E402
+from reviewlake.streaming import incremental as ST  # noqa: E402
+
+# Fixed values used by registered queries.
+BATCH_SIZE = 100          # chunks per retrieval batch
+LONG_TURN_CHARS = 1500    # page_take_while: a turn longer than this counts as a bad page
+PAGE_SIZE = 20            # next_data_reviews: reviews per rendered page
+
+
+@register("top_terms")
+def q_top_terms(spark, sf_dir):
+    return TM.top_terms(spark, _reviews(spark, sf_dir), "body")
+
+
+@register("top_bigrams")
+def q_top_bigrams(spark, sf_dir):
+    return TM.top_bigrams(spark, _reviews(spark, sf_dir), "body")
+
+
+@register("mask_pii_regex")
+def q_mask_pii_regex(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", M.mask_pii("text").alias("masked"))
+
+
+@register("entity_counts")
+def q_entity_counts(spark, sf_dir):
+    return EN.entity_counts(read_table(spark, sf_dir, "documents"), "text")
+
+
+@register("mask_spans")
+def q_mask_spans(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    detect = EN.make_span_detector()
+    s = d.select("doc_id", "text", detect("text").alias("spans"))
+    return s.select("doc_id", F.size("spans").alias("n_spans"), M.mask_spans("text", "spans").alias("masked"))
+
+
+# --- chunking, indexing, retrieval -------------------------------------------------------
+def _doc_chunks(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return CH.chunk_fixed(d, ["doc_id", "source"], "text")
+
+
+@register("chunk_fixed")
+def q_chunk_fixed(spark, sf_dir):
+    return _doc_chunks(spark, sf_dir).select("doc_id", "chunk_pos", "text")
+
+
+@register("chunk_recursive")
+def q_chunk_recursive(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return CH.chunk_recursive(d, "doc_id", "text")
+
+
+@register("batch_assign")
+def q_batch_assign(spark, sf_dir):
+    c = _doc_chunks(spark, sf_dir).select("source", "doc_id", "chunk_pos")
+    ix = IX.dense_index(c, ["doc_id", "chunk_pos"], group_by=["source"])
+    return ix.select("source", "doc_id", "chunk_pos", "idx", IX.batch_of("idx", BATCH_SIZE).alias("batch_id"))
+
+
+def _emb_questions(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return e, RT.centroids(e, "label", "embedding")
+
+
+def _knn(spark, sf_dir, per_batch: bool):
+    e, q = _emb_questions(spark, sf_dir)
+    items = e.withColumn("batch_id", F.floor(F.col("vec_id") / F.lit(BATCH_SIZE)).cast("bigint"))
+    nn = RT.knn(spark, items, q, "vec_id", "embedding", ["batch_id"] if per_batch else [])
+    return nn.withColumn("distance", F.round("distance", 6))
+
+
+@register("knn_per_batch")
+def q_knn_per_batch(spark, sf_dir):
+    return _knn(spark, sf_dir, True)
+
+
+@register("knn_global")
+def q_knn_global(spark, sf_dir):
+    return _knn(spark, sf_dir, False)
+
+
+@register("knn_lsh")
+def q_knn_lsh(spark, sf_dir):
+    e, q = _emb_questions(spark, sf_dir)
+    return RT.knn_lsh(e, q, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+@register("stuff_context")
+def q_stuff_context(spark, sf_dir):
+    nn = _knn(spark, sf_dir, True)
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return RT.stuff_context(nn, docs, "vec_id", "text", ["batch_id", "question_id"])
+
+
+@register("hashed_vectors")
+def q_hashed_vectors(spark, sf_dir):
+    r = _reviews(spark, sf_dir).select("id", T.tokens(T.corpus_text("title", "body")).alias("toks"))
+    return RT.hashed_vectors(r, "id", "toks")
+
+
+def _qa(spark, sf_dir):
+    """reviews -> chunks -> batches -> hashed vectors -> k-NN per batch -> answers."""
+    r = _reviews(spark, sf_dir)
+    ch = CH.chunk_fixed(r, ["id"], "body")
+    ch = ch.withColumn("chunk_id", F.concat_ws(":", "id", F.col("chunk_pos").cast("string")))
+    ix = IX.dense_index(ch, ["id", "chunk_pos"])
+    ix = ix.withColumn("batch_id", IX.batch_of("idx", BATCH_SIZE))
+    cv = RT.hashed_vectors(ix.select("chunk_id", T.tokens("text").alias("toks")), "chunk_id", "toks")
+    items = ix.select("chunk_id", "batch_id").join(cv, "chunk_id")
+    b = read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    qv = RT.hashed_vectors(b.select("question_id", T.tokens("question").alias("toks")), "question_id", "toks")
+    nn = RT.knn(spark, items, qv, "chunk_id", "embedding", ["batch_id"])
+    answers = SC.answer_extractive(nn, ix.select("chunk_id", "text"), b, ["batch_id", "question_id"],
+                                   "chunk_id")
+    return answers, b
+
+
+@register("answer_extractive")
+def q_answer_extractive(spark, sf_dir):
+    return _qa(spark, sf_dir)[0]
+
+
+@register("summary_extractive")
+def q_summary_extractive(spark, sf_dir):
+    return SC.summary_extractive(_qa(spark, sf_dir)[0])
+
+
+@register("score_with_stub")
+def q_score_with_stub(spark, sf_dir):
+    r = _reviews(spark, sf_dir).select("id", T.scoring_text("title", "body").alias("scoring_text"))
+    scored = SC.score_with(r, "scoring_text", SC.stub_label_scorer_factory())
+    return scored.select("id", "value", "error")
+
+
+@register("gather_by_key")
+def q_gather_by_key(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    return stats.gather_text(c, "conv_id", "turn", "text")
+
+
+@register("prompt_messages")
+def q_prompt_messages(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    m = r.select("id", F.posexplode(PR.messages("sentiment", T.scoring_text("title", "body")))
+                 .alias("msg_pos", "m"))
+    return m.select("id", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+# --- pages and stores --------------------------------------------------------------------
+@register("page_take_while")
+def q_page_take_while(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    pages = c.select(F.col("conv_id").alias("company"), (F.col("turn") + 1).cast("int").alias("page"),
+                     F.length("text").alias("n_chars"))
+    pages = PG.dedupe_captures(pages, prefer="n_chars")
+    kept = PG.take_while_pages(pages, F.col("n_chars") > LONG_TURN_CHARS)
+    return kept.select(F.col("company").alias("conv_id"), (F.col("page") - 1).cast("bigint").alias("turn"))
+
+
+@register("next_data_reviews")
+def q_next_data_reviews(spark, sf_dir):
+    r = _reviews(spark, sf_dir)
+    doc = F.col("id").cast("bigint")
+    raw = F.struct(
+        F.concat(F.lit("reviews/"), F.col("id")).alias("id"), F.col("title").alias("title"),
+        F.col("body").alias("text"), F.col("rating").alias("rating"),
+        F.struct(F.struct(F.col("verified").alias("isVerified")).alias("verification")).alias("labels"),
+        F.struct(F.concat(F.col("published_date").cast("string"), F.lit("T00:00:00.000Z"))
+                 .alias("publishedDate")).alias("dates"))
+    staged = r.select("company", (F.floor(doc / F.lit(PAGE_SIZE)) + 1).cast("int").alias("page"),
+                      doc.alias("_ord"), raw.alias("_r"))
+    # a page holds at most PAGE_SIZE reviews (ids are unique), so the gather is bounded
+    pages = (staged.groupBy("company", "page")
+             .agg(F.array_sort(F.collect_list(F.struct("_ord", "_r"))).alias("_rs"))
+             .select("company", "page",
+                     PG.render_page(F.transform("_rs", lambda x: x["_r"]), F.lit("")).alias("html")))
+    reviews, _rejects = PG.parse_reviews(pages, ["company", "page"])
+    return reviews.select("company", "page", "id", "title", "body", "published", "rating_raw", "verified")
+
+
+@register("reviews_csv_roundtrip")
+def q_reviews_csv_roundtrip(spark, sf_dir):
+    path = scratch_dir(spark, "reviews_csv")
+    RF.write_csv(_reviews(spark, sf_dir), path)
+    return RF.read_csv(spark, path)
+
+
+@register("reviews_json_roundtrip")
+def q_reviews_json_roundtrip(spark, sf_dir):
+    path = scratch_dir(spark, "reviews_json")
+    RF.write_json_lines(_reviews(spark, sf_dir), path)
+    return RF.read_json_lines(spark, path)
+
+
+@register("append_union_all")
+def q_append_union_all(spark, sf_dir):
+    path = scratch_dir(spark, "review_store")
+    r = _reviews(spark, sf_dir)
+    RF.append_store(r, path)
+    RF.append_store(r, path)  # a rerun appends the same reviews again
+    return RF.read_store(spark, path)
+
+
+@register("dedupe_latest")
+def q_dedupe_latest(spark, sf_dir):
+    r = _reviews(spark, sf_dir).select("company", "id", "title", "body", "published_date")
+    later = r.select("company", "id", F.concat("title", F.lit(" (edited)")).alias("title"), "body",
+                     F.date_add("published_date", (F.length("body") % 3 - 1).cast("int"))
+                     .alias("published_date"))
+    both = r.unionByName(later)
+    d = DD.dedupe_latest(both, ["company", "id"], "published_date", content=["title", "body"])
+    return d.select("company", "id", "title", "published_date")
+
+
+# --- report, flagship --------------------------------------------------------------------
+@register("company_summary")
+def q_company_summary(spark, sf_dir):
+    return RP.company_summary(spark, _enriched(spark, sf_dir), D.LEXICON_FIXTURE)
+
+
+@register("report_sections")
+def q_report_sections(spark, sf_dir):
+    answers, b = _qa(spark, sf_dir)
+    summ = SC.summary_extractive(answers).join(b, "question_id", "left")
+    return RP.report_sections(spark, _enriched(spark, sf_dir), summ, D.LEXICON_FIXTURE)
+
+
+# --- streaming ---------------------------------------------------------------------------
+EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+def _event_stream(spark, sf_dir):
+    from pyspark.sql.types import _parse_datatype_string
+    return ST.file_stream(spark, sf_dir, _parse_datatype_string(EVENT_SCHEMA), glob="events.parquet")
+
+
+@register("stream_dedupe")
+def q_stream_dedupe(spark, sf_dir):
+    out, ck = scratch_dir(spark, "stream_dedupe_out"), scratch_dir(spark, "stream_dedupe_ck")
+    s = ST.dedupe_stream(_event_stream(spark, sf_dir), "user_id", "ts", "1 hour")
+    ST.run_available_now(s, out, ck)
+    return spark.read.parquet(out)
+
+
+@register("stream_daily_counts")
+def q_stream_daily_counts(spark, sf_dir):
+    out, ck = scratch_dir(spark, "stream_daily_out"), scratch_dir(spark, "stream_daily_ck")
+    s = ST.daily_counts_stream(_event_stream(spark, sf_dir), "ts", "event_type")
+    ST.run_available_now(s, out, ck, output_mode="update")
+    snap = spark.read.parquet(out)
+    # update mode re-emits a group when it changes: keep its last emission
+    return (snap.groupBy("day", "event_type")
+            .agg(F.max_by(F.struct("n", "total_value"), "_epoch").alias("_v"))
+            .select("day", "event_type", "_v.n", F.round("_v.total_value", 6).alias("total_value")))

@@ -290,3 +290,152 @@ SQL["product_feedback"] = f"""WITH {REVIEWS_CTE},
 SELECT h.product, count_if(p.polarity > 0) AS n_positive, count_if(p.polarity < 0) AS n_negative,
   COUNT(*) AS n_reviews
 FROM h JOIN pol p ON h.id = p.id GROUP BY h.product"""
+
+
+# --- terms, masking, entities ------------------------------------------------------------
+from reviewlake.functions import masking as _M  # noqa: E402
+from reviewlake.functions import prompts as _PR  # noqa: E402
+
+
+def _stop_list() -> str:
+    return ", ".join("'" + r[0].replace("'", "''") + "'" for r in D.STOPWORDS_EN.rows)
+
+
+SQL["top_terms"] = with_reviews(f"""
+SELECT term, COUNT(*) AS frequency
+FROM (SELECT unnest({toks('body')}) AS term FROM reviews)
+WHERE term NOT IN ({_stop_list()})
+GROUP BY term ORDER BY frequency DESC, term LIMIT 500""")
+
+SQL["top_bigrams"] = with_reviews(f"""
+SELECT w1 || ' ' || w2 AS bigram, COUNT(*) AS frequency FROM (
+  SELECT tk[i] AS w1, tk[i + 1] AS w2
+  FROM (SELECT tk, unnest(range(1, len(tk))) AS i FROM (SELECT {toks('body')} AS tk FROM reviews)))
+WHERE w1 NOT IN ({_stop_list()}) AND w2 NOT IN ({_stop_list()})
+GROUP BY w1, w2 ORDER BY frequency DESC, bigram LIMIT 500""")
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _mask_chain(expr: str) -> str:
+    out = expr
+    for label, pattern in _M.DETECTORS:
+        out = f"regexp_replace({out}, {_sql_str(pattern)}, {_sql_str(_M.placeholder_for(label))}, 'g')"
+    return out
+
+
+SQL["mask_pii_regex"] = f"SELECT doc_id, {_mask_chain('text')} AS masked FROM documents"
+
+
+def _entity_counts_sql() -> str:
+    cols, cur = [], "text"
+    for label, pattern in _M.DETECTORS:
+        cols.append(f"len(regexp_extract_all({cur}, {_sql_str(pattern)}, 0)) AS \"{label}\"")
+        cur = f"regexp_replace({cur}, {_sql_str(pattern)}, {_sql_str(_M.placeholder_for(label))}, 'g')"
+    labels = ", ".join(f'"{lb}"' for lb, _ in _M.DETECTORS)
+    return f"""WITH c AS (SELECT {', '.join(cols)} FROM documents),
+u AS (UNPIVOT c ON {labels} INTO NAME label VALUE n)
+SELECT label, count_if(n > 0) AS n_docs, CAST(SUM(n) AS BIGINT) AS n_mentions FROM u GROUP BY label"""
+
+
+SQL["entity_counts"] = _entity_counts_sql()
+
+# --- chunking, indexing, retrieval -------------------------------------------------------
+_CHUNKS = """SELECT doc_id, source, CAST(i AS INT) AS chunk_pos, substring(text, CAST(i * 800 + 1 AS BIGINT), 1000) AS text
+  FROM (SELECT doc_id, source, text,
+          unnest(range(0, greatest(1, CAST(ceil((length(text) - 200) / 800.0) AS BIGINT)))) AS i
+        FROM documents)"""
+
+SQL["chunk_fixed"] = f"SELECT doc_id, chunk_pos, text FROM ({_CHUNKS})"
+
+SQL["batch_assign"] = f"""
+SELECT source, doc_id, chunk_pos, idx, CAST(floor(idx / 100) AS BIGINT) AS batch_id FROM (
+  SELECT source, doc_id, chunk_pos,
+    CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_pos) - 1 AS BIGINT) AS idx
+  FROM ({_CHUNKS}))"""
+
+_CENTROIDS = """q AS (
+  SELECT CAST(label AS BIGINT) AS question_id, list(m ORDER BY pos) AS qv FROM (
+    SELECT label, pos, avg(v) AS m FROM (
+      SELECT label, unnest(generate_series(1, len(embedding))) AS pos,
+             unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)
+    GROUP BY label, pos)
+  GROUP BY label)"""
+
+
+def _knn_sql(per_batch: bool) -> str:
+    part = "batch_id, " if per_batch else ""
+    return f"""WITH {_CENTROIDS},
+e AS (SELECT vec_id, CAST(floor(vec_id / 100) AS BIGINT) AS batch_id, CAST(embedding AS DOUBLE[]) AS ev FROM embeddings),
+d AS (SELECT e.batch_id, q.question_id, e.vec_id,
+        list_reduce(list_transform(range(1, len(e.ev) + 1), lambda i: (e.ev[i] - q.qv[i]) * (e.ev[i] - q.qv[i])),
+                    lambda a, b: a + b) AS distance
+      FROM e, q)
+SELECT {part}question_id, CAST(rank AS INT) AS rank, vec_id, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY {part}question_id ORDER BY distance, vec_id) AS rank FROM d)
+WHERE rank <= 4"""
+
+
+SQL["knn_per_batch"] = _knn_sql(True)
+SQL["knn_global"] = _knn_sql(False)
+
+SQL["stuff_context"] = f"""WITH nn AS ({_knn_sql(True)})
+SELECT nn.batch_id, nn.question_id, string_agg(d.text, chr(10) || chr(10) ORDER BY nn.rank) AS context
+FROM nn JOIN documents d ON nn.vec_id = d.doc_id GROUP BY nn.batch_id, nn.question_id"""
+
+SQL["gather_by_key"] = """
+SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS joined, COUNT(*) AS n_parts
+FROM conversations GROUP BY conv_id"""
+
+SQL["prompt_messages"] = with_reviews(f"""
+SELECT id, 0 AS msg_pos, 'system' AS role, {_sql_str(_PR.SENTIMENT_RULES)} AS content FROM reviews
+UNION ALL
+SELECT id, 1 AS msg_pos, 'user' AS role, concat(title, '. ', body) AS content FROM reviews""")
+
+# --- pages and stores --------------------------------------------------------------------
+SQL["page_take_while"] = """
+WITH p AS (
+  SELECT conv_id, CAST(turn + 1 AS INT) AS page, max(length(text)) > 1500 AS bad
+  FROM conversations WHERE turn + 1 >= 1 AND turn + 1 < 100 GROUP BY conv_id, turn),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page) <> page AS gap FROM p),
+s AS (SELECT *, min(CASE WHEN bad OR gap THEN page END) OVER (PARTITION BY conv_id) AS stop FROM g)
+SELECT conv_id, CAST(page - 1 AS BIGINT) AS turn FROM s WHERE stop IS NULL OR page < stop"""
+
+SQL["next_data_reviews"] = with_reviews("""
+SELECT company, CAST(floor(CAST(id AS BIGINT) / 20) + 1 AS INT) AS page, id,
+  COALESCE(title, 'No Title') AS title, COALESCE(body, 'No Review Body') AS body,
+  CAST(published_date AS VARCHAR) || 'T00:00:00.000Z' AS published,
+  COALESCE(rating, 'unknown') AS rating_raw, COALESCE(verified, FALSE) AS verified
+FROM reviews""")
+
+_ALL = "id, company, title, body, published_date, rating, text_rating, topic, verified, lang"
+SQL["reviews_csv_roundtrip"] = with_reviews(f"SELECT {_ALL} FROM reviews")
+SQL["reviews_json_roundtrip"] = with_reviews(f"SELECT {_ALL} FROM reviews")
+SQL["append_union_all"] = with_reviews(
+    f"SELECT {_ALL} FROM reviews UNION ALL SELECT {_ALL} FROM reviews")
+
+SQL["dedupe_latest"] = with_reviews("""
+, both_copies AS (
+  SELECT company, id, title, body, published_date FROM reviews
+  UNION ALL
+  SELECT company, id, title || ' (edited)' AS title, body,
+    CAST(published_date + CAST(length(body) % 3 - 1 AS INT) AS DATE) AS published_date FROM reviews)
+SELECT company, id, title, published_date FROM (
+  SELECT *, row_number() OVER (PARTITION BY company, id
+    ORDER BY published_date DESC, sha256(concat_ws(chr(1), COALESCE(title, ''), COALESCE(body, ''))) DESC) AS rn
+  FROM both_copies) WHERE rn = 1""".replace("\n, both_copies", ",\nboth_copies", 1))
+
+# --- flagship ----------------------------------------------------------------------------
+SQL["company_summary"] = f"""WITH {ENRICHED_CTE},
+{polarity_cte(CORPUS, 'r.company, r.id').replace('FROM reviews r', 'FROM enriched r').replace('FROM reviews)', 'FROM enriched)')},
+pc AS (SELECT company, {_PCT} FROM pol GROUP BY company),
+ra AS (SELECT company, round(avg(text_rating), 6) AS avg_text_rating,
+              round(avg(discrepancy), 6) AS avg_discrepancy FROM enriched GROUP BY company),
+tc AS (SELECT company, topic, COUNT(*) AS n FROM enriched WHERE topic IS NOT NULL GROUP BY company, topic),
+tt AS (SELECT company, topic AS top_topic FROM (
+         SELECT *, row_number() OVER (PARTITION BY company ORDER BY n DESC, topic) AS rn FROM tc) WHERE rn = 1)
+SELECT company, total, round(pct_positive, 6) AS pct_positive, round(pct_negative, 6) AS pct_negative,
+  avg_text_rating, avg_discrepancy, top_topic
+FROM pc FULL JOIN ra USING (company) LEFT JOIN tt USING (company)"""

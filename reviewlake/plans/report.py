@@ -1,0 +1,72 @@
+"""Composed report jobs: per-company summary and the report section table.
+
+The report is a small DataFrame ``(section_order, level, heading, text)``
+assembled from independent aggregates over one review table; every number in
+it is computed (including the review count the report states).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewlake import dictionaries as D
+from reviewlake.functions import text as T
+from reviewlake.operators import lexicon as L
+
+
+def company_summary(spark: SparkSession, reviews: DataFrame, lexicon=D.LEXICON_EN) -> DataFrame:
+    """Per company: total, pct_positive, pct_negative, avg_text_rating,
+    avg_discrepancy, top_topic (most frequent non-NULL topic, ties by name).
+
+    ``reviews`` is an enriched review table (numeric rating / text_rating).
+    """
+    pol = L.polarity(spark, reviews, T.corpus_text("title", "body"), ["company", "id"], lexicon)
+    pct = L.sentiment_pct(pol, ["company"])
+    ratings = reviews.groupBy("company").agg(
+        F.round(F.avg("text_rating"), 6).alias("avg_text_rating"),
+        F.round(F.avg("discrepancy"), 6).alias("avg_discrepancy"))
+    topic_counts = (reviews.where(F.col("topic").isNotNull())
+                    .groupBy("company", "topic").agg(F.count(F.lit(1)).alias("_n")))
+    # arg-max by count, ties to the smaller topic name: min of (-count, topic)
+    top = (topic_counts.groupBy("company")
+           .agg(F.min_by("topic", F.struct((-F.col("_n")).alias("a"), F.col("topic").alias("b")))
+                .alias("top_topic")))
+    return (pct.join(ratings, "company", "full").join(top, "company", "left")
+            .select("company", F.col("total").alias("total"),
+                    F.round("pct_positive", 6).alias("pct_positive"),
+                    F.round("pct_negative", 6).alias("pct_negative"),
+                    "avg_text_rating", "avg_discrepancy", "top_topic"))
+
+
+def report_sections(spark: SparkSession, reviews: DataFrame, summaries: DataFrame | None,
+                    lexicon=D.LEXICON_EN, company_label: str = "the company") -> DataFrame:
+    """Ordered report sections; ``summaries`` is (question_id, question, summary)."""
+    pol = L.polarity(spark, reviews, T.corpus_text("title", "body"), ["id"], lexicon)
+    pct = L.sentiment_pct(pol)
+    overall = reviews.agg(F.avg("text_rating").alias("avg_text_rating"))
+    # both sides are single-row aggregates: equi-join on a constant key
+    head = pct.withColumn("_k", F.lit(1)).join(overall.withColumn("_k", F.lit(1)), "_k")
+    fmt = lambda c: F.format_number(F.col(c), 2)
+    rows = [
+        head.select(F.lit(0).alias("section_order"), F.lit(0).alias("level"),
+                    F.lit("Analytical Report").alias("heading"), F.lit("").alias("text")),
+        head.select(F.lit(1), F.lit(1), F.lit("Executive Summary"),
+                    F.format_string("This report evaluates %d customer reviews of %s.",
+                                    F.col("total"), F.lit(company_label))),
+        head.select(F.lit(2), F.lit(2), F.lit("Sentiment Analysis"),
+                    F.concat(F.lit("Positive Reviews: "), fmt("pct_positive"), F.lit("%\n"),
+                             F.lit("Negative Reviews: "), fmt("pct_negative"), F.lit("%"))),
+    ]
+    if summaries is not None:
+        rows.append(summaries.select((F.lit(10) + F.col("question_id")).cast("int"), F.lit(1),
+                                     F.col("question"), F.coalesce("summary", F.lit(""))))
+    rows.append(head.select(F.lit(1000), F.lit(2), F.lit("Overall Rating"),
+                            F.concat(F.lit("Average inferred rating: "),
+                                     F.coalesce(F.format_number("avg_text_rating", 3), F.lit("n/a")))))
+    rows.append(head.select(F.lit(1001), F.lit(2), F.lit("Visualisations"),
+                            F.lit("Inputs: top_terms (term cloud), rating_topic_freq (bar chart).")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionAll(r.toDF(*out.columns))
+    return out.select(F.col("section_order").cast("int"), F.col("level").cast("int"), "heading", "text")
