@@ -5,8 +5,8 @@ model, NER).  The scorer is built once per task by ``scorer_factory`` and
 called on lists of texts (Arrow batches via ``mapInPandas``).  Each distinct
 text is scored once (inputs are keyed by a SHA-256 of the text and
 deduplicated by an aggregate, which is combined map-side), failures are kept
-in an ``error`` column instead of a fake answer, a batch is retried with
-backoff, and results can be written to a shared folder so a rerun only scores
+in an ``error`` column instead of a fake answer, a failed batch is split and
+each text is retried with backoff, and results can be written to a shared folder so a rerun only scores
 what is missing (anti-join on the key).
 
 ``answer_extractive`` and ``summary_extractive`` are the model-free default
@@ -40,13 +40,23 @@ def score_with(df: DataFrame, text_col: str, scorer_factory: Callable[[], Scorer
     spark = df.sparkSession
     keyed = df.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     uniq = keyed.groupBy("_key").agg(F.any_value(text_col).alias("_text"))
-    previous = None
     if results_path is not None:
         try:
             previous = spark.read.parquet(results_path)
             uniq = uniq.join(previous.select("_key"), "_key", "left_anti")
         except Exception:  # noqa: BLE001 - no earlier results yet
-            previous = None
+            pass
+
+    def score_one(scorer: Scorer, t: str):
+        err = None
+        for attempt in range(max_retries):
+            try:
+                return scorer([t])[0], None
+            except Exception as e:  # noqa: BLE001
+                err = f"{type(e).__name__}: {e}"
+                if attempt + 1 < max_retries:
+                    time.sleep(backoff_s * (2 ** attempt))
+        return None, err
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
@@ -54,26 +64,15 @@ def score_with(df: DataFrame, text_col: str, scorer_factory: Callable[[], Scorer
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
                 texts = [t if t is not None else "" for t in part["_text"]]
-                values, errors = None, None
-                for attempt in range(max_retries):
-                    try:
-                        values = list(scorer(texts))
-                        errors = [None] * len(texts)
-                        break
-                    except Exception as e:  # noqa: BLE001
-                        errors = [f"{type(e).__name__}: {e}"] * len(texts)
-                        time.sleep(backoff_s * (2 ** attempt))
-                if values is None:
-                    # the whole batch failed: try each text alone so one bad input
-                    # does not take the others down
-                    values, errors = [], []
-                    for t in texts:
-                        try:
-                            values.append(scorer([t])[0])
-                            errors.append(None)
-                        except Exception as e:  # noqa: BLE001
-                            values.append(None)
-                            errors.append(f"{type(e).__name__}: {e}")
+                try:
+                    values = list(scorer(texts))
+                    errors = [None] * len(texts)
+                except Exception:  # noqa: BLE001
+                    # the batch failed: score each text alone (with retry and
+                    # backoff) so one bad input does not take the others down
+                    pairs = [score_one(scorer, t) for t in texts]
+                    values = [v for v, _ in pairs]
+                    errors = [e for _, e in pairs]
                 yield pd.DataFrame({"_key": list(part["_key"]), "value": values, "error": errors})
 
     scored = uniq.mapInPandas(run, "_key string, value string, error string")

@@ -447,7 +447,7 @@ def q_summary_extractive(spark, sf_dir):
 @register("score_with_stub")
 def q_score_with_stub(spark, sf_dir):
     r = _reviews(spark, sf_dir).select("id", T.scoring_text("title", "body").alias("scoring_text"))
-    scored = SC.score_with(r, "scoring_text", SC.stub_label_scorer_factory())
+    scored = SC.score_with(r, "scoring_text", SC.stub_label_scorer_factory(), backoff_s=0.01)
     return scored.select("id", "value", "error")
 
 

@@ -20,23 +20,36 @@ def company_summary(spark: SparkSession, reviews: DataFrame, lexicon=D.LEXICON_E
     avg_discrepancy, top_topic (most frequent non-NULL topic, ties by name).
 
     ``reviews`` is an enriched review table (numeric rating / text_rating).
+    One scan, then a chain of aggregates that each shrink the data: per review
+    (the per-review columns ride along as grouping keys, being fixed by the id),
+    per (company, topic), per company.  A hot company is combined map-side at
+    every level.
     """
-    pol = L.polarity(spark, reviews, T.corpus_text("title", "body"), ["company", "id"], lexicon)
-    pct = L.sentiment_pct(pol, ["company"])
-    ratings = reviews.groupBy("company").agg(
-        F.round(F.avg("text_rating"), 6).alias("avg_text_rating"),
-        F.round(F.avg("discrepancy"), 6).alias("avg_discrepancy"))
-    topic_counts = (reviews.where(F.col("topic").isNotNull())
-                    .groupBy("company", "topic").agg(F.count(F.lit(1)).alias("_n")))
-    # arg-max by count, ties to the smaller topic name: min of (-count, topic)
-    top = (topic_counts.groupBy("company")
-           .agg(F.min_by("topic", F.struct((-F.col("_n")).alias("a"), F.col("topic").alias("b")))
-                .alias("top_topic")))
-    return (pct.join(ratings, "company", "full").join(top, "company", "left")
-            .select("company", F.col("total").alias("total"),
-                    F.round("pct_positive", 6).alias("pct_positive"),
-                    F.round("pct_negative", 6).alias("pct_negative"),
-                    "avg_text_rating", "avg_discrepancy", "top_topic"))
+    per_review = L.polarity(spark, reviews, T.corpus_text("title", "body"),
+                            ["company", "id", "topic", "text_rating", "discrepancy"], lexicon)
+    per_topic = per_review.groupBy("company", "topic").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("polarity") > 0).alias("pos"),
+        F.count_if(F.col("polarity") < 0).alias("neg"),
+        F.sum("text_rating").alias("s_tr"), F.count("text_rating").alias("n_tr"),
+        F.sum("discrepancy").alias("s_d"), F.count("discrepancy").alias("n_d"))
+    has_topic = F.col("topic").isNotNull()
+    c = per_topic.groupBy("company").agg(
+        F.sum("n").alias("total"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+        F.sum("s_tr").alias("s_tr"), F.sum("n_tr").alias("n_tr"),
+        F.sum("s_d").alias("s_d"), F.sum("n_d").alias("n_d"),
+        # arg-max by count, ties to the smaller topic name: min of (-count, topic)
+        F.min_by(F.when(has_topic, F.col("topic")),
+                 F.when(has_topic, F.struct((-F.col("n")).alias("a"), F.col("topic").alias("b"))))
+        .alias("top_topic"))
+    total = F.col("total").cast("double")
+    return c.select(
+        "company", F.col("total").cast("bigint").alias("total"),
+        F.round(F.lit(100.0) * F.col("pos") / total, 6).alias("pct_positive"),
+        F.round(F.lit(100.0) * F.col("neg") / total, 6).alias("pct_negative"),
+        F.round(F.col("s_tr") / F.nullif(F.col("n_tr"), F.lit(0)), 6).alias("avg_text_rating"),
+        F.round(F.col("s_d") / F.nullif(F.col("n_d"), F.lit(0)), 6).alias("avg_discrepancy"),
+        "top_topic")
 
 
 def report_sections(spark: SparkSession, reviews: DataFrame, summaries: DataFrame | None,

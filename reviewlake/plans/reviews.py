@@ -26,8 +26,40 @@ FIXTURE_TOPICS = [
 ]
 
 
+# Tables whose rows carry whole texts: per-row regex / tokenizer work dominates.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+# Declared schemas of the driver's tables (no footer-based inference per read).
+TABLE_DDL = {
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+}
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a text scan over the cluster when its input is a handful of files.
+
+    A large input is many files and is returned unchanged (no shuffle).  A
+    small input of fewer files than cores (here: one Parquet row group per
+    file) would run all per-row text work in one or a few tasks; a round-robin
+    repartition of the column-pruned rows spreads it.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(TABLE_DDL[name]) if name in TABLE_DDL else spark.read
+    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(df) if name in TEXT_TABLES else df
 
 
 def fixture_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
