@@ -97,6 +97,7 @@ def chunk_recursive(docs: DataFrame, key: str, text_col: str,
                     keys.append(k)
                     pos.append(i)
                     texts.append(c)
-            yield pd.DataFrame({key: keys, "chunk_pos": pd.Series(pos, dtype="int32"), "text": texts})
+            if keys:  # an all-empty batch has nothing to emit
+                yield pd.DataFrame({key: keys, "chunk_pos": pd.Series(pos, dtype="int32"), "text": texts})
 
     return src.mapInPandas(run, f"{key} {key_type}, chunk_pos int, text string")

@@ -13,8 +13,8 @@ all rows) sorts everything in one task.  Instead:
    its (sorted) partition relative to the cell's first row.
 
 The order keys must be unique within a group (ties would make the index
-depend on task order).  Range bounds come from seeded sampling of the same
-input, so a recomputed task reproduces the same partition ids.
+depend on task order).  The range-partitioned rows are checkpointed once, so
+every later read (and any recomputation) sees the same partitions.
 """
 
 from __future__ import annotations
@@ -29,11 +29,15 @@ def dense_index(df: DataFrame, order_by: list[str], group_by: list[str] | None =
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = group_by + order_by
-    # One shuffle: range partitions, sorted inside.  monotonically_increasing_id is
-    # (partition id << 33) + position in the partition, so within a (group,
-    # partition) cell the position difference to the cell's first row is the rank.
-    parted = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
+    # Range bounds are sampled per exchange (the sampling seed depends on the RDD),
+    # so two plan branches over the same input can cut different ranges.  The
+    # range-partitioned, sorted rows are therefore written ONCE to the shared
+    # checkpoint folder (reliable: survives executor loss) and both the counts and
+    # the rows are read from that copy.  monotonically_increasing_id is (partition
+    # id << 33) + position, so within a (group, partition) cell the difference to
+    # the cell's first row is the rank.
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    parted = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     counts = parted.groupBy(*group_by, "_pid").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
