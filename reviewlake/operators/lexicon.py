@@ -131,3 +131,37 @@ def mention_counts(spark: SparkSession, reviews: DataFrame, text_col, keys: list
     return per_review.groupBy("category").agg(
         F.sum("hits").cast("bigint").alias("mentions"),
         F.count(F.lit(1)).alias("reviews_mentioning"))
+
+
+def review_scores(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str],
+                  lexicon: D.Dictionary, taxonomy: D.Dictionary,
+                  carry: list[str] | None = None) -> DataFrame:
+    """Polarity, magnitude and single-label topic per review from ONE token pass.
+
+    The two dictionaries are merged into one wide table, one row per term
+    (weight, then one weight column per topic), so a term in both is joined once.
+    ``carry`` columns (fixed per review) ride along as grouping keys; keep them
+    short: every token row hashes its grouping keys.
+    """
+    keys = list(keys) + list(carry or [])
+    topics = sorted({(r[1], r[0]) for r in taxonomy.rows})
+    wide: dict[str, list[int]] = {}
+    for term, w in lexicon.rows:
+        wide.setdefault(term, [0] * (len(topics) + 1))[0] += w
+    order = {t: o for o, t in topics}
+    pos = {o: i + 1 for i, (o, _) in enumerate(topics)}
+    for topic, _o, kw, w in taxonomy.rows:
+        wide.setdefault(kw, [0] * (len(topics) + 1))[pos[order[topic]]] += w
+    cols = ["weight"] + [f"t{o}" for o, _ in topics]
+    merged = D.Dictionary("merged", "term string, " + ", ".join(f"{c} int" for c in cols),
+                          tuple((k, *v) for k, v in sorted(wide.items())))
+    j = exploded_terms(reviews, text_col, keys).join(small_side(spark, merged), "term", "left")
+    w = F.coalesce(F.col("weight"), F.lit(0))
+    agg = j.groupBy(*keys).agg(
+        F.sum(w).cast("bigint").alias("polarity"),
+        F.sum(F.abs(w)).cast("bigint").alias("magnitude"),
+        *[F.sum(F.coalesce(F.col(f"t{o}"), F.lit(0))).cast("bigint").alias(f"s{o}") for o, _ in topics])
+    best = F.greatest(*[F.struct(F.col(f"s{o}").alias("score"), F.lit(-o).alias("neg_order"),
+                                 F.lit(t).alias("topic")) for o, t in topics])
+    return agg.select(*keys, "polarity", "magnitude",
+                      F.when(best["score"] > 0, best["topic"]).otherwise(F.lit("unknown")).alias("topic"))

@@ -476,8 +476,9 @@ def q_page_take_while(spark, sf_dir):
     return kept.select(F.col("company").alias("conv_id"), (F.col("page") - 1).cast("bigint").alias("turn"))
 
 
-@register("next_data_reviews")
-def q_next_data_reviews(spark, sf_dir):
+def _rendered_pages(spark, sf_dir):
+    """Review pages rendered from the review table: PAGE_SIZE reviews per page,
+    in id order, the payload shape captured pages carry."""
     r = _reviews(spark, sf_dir)
     doc = F.col("id").cast("bigint")
     raw = F.struct(
@@ -493,10 +494,23 @@ def q_next_data_reviews(spark, sf_dir):
              .agg(F.array_sort(F.collect_list(F.struct("_ord", "_r"))).alias("_rs"))
              .select("company", "page",
                      PG.render_page(F.transform("_rs", lambda x: x["_r"]), F.lit("")).alias("html")))
-    reviews, _rejects = PG.parse_reviews(pages, ["company", "page"])
+    return pages
+
+
+@register("next_data_reviews")
+def q_next_data_reviews(spark, sf_dir):
+    reviews, _rejects = PG.parse_reviews(_rendered_pages(spark, sf_dir), ["company", "page"])
     return reviews.select("company", "page", "id", "title", "body", "published", "rating_raw", "verified")
 
 
+@register("ingest_reviews")
+def q_ingest_reviews(spark, sf_dir):
+    from reviewlake.plans.ingest import ingest_pages
+    records, _rejects = ingest_pages(spark, _rendered_pages(spark, sf_dir),
+                                     D.LEXICON_FIXTURE, D.TAXONOMY_FIVE_FIXTURE)
+    return records
+
+
 @register("reviews_csv_roundtrip")
 def q_reviews_csv_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "reviews_csv")

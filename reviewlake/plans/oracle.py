@@ -439,3 +439,24 @@ tt AS (SELECT company, topic AS top_topic FROM (
 SELECT company, total, round(pct_positive, 6) AS pct_positive, round(pct_negative, 6) AS pct_negative,
   avg_text_rating, avg_discrepancy, top_topic
 FROM pc FULL JOIN ra USING (company) LEFT JOIN tt USING (company)"""
+
+_TR = ("round(least(5.0::DOUBLE, greatest(1.0::DOUBLE, 3.0::DOUBLE + 2.0::DOUBLE * "
+       "CASE WHEN p.magnitude > 0 THEN CAST(p.polarity AS DOUBLE) / CAST(p.magnitude AS DOUBLE) "
+       "ELSE 0.0::DOUBLE END)), 3)")
+
+SQL["ingest_reviews"] = f"""WITH {REVIEWS_CTE},
+{polarity_cte(SCORING)},
+tk AS (SELECT id, unnest({toks(SCORING)}) AS term FROM reviews),
+ts AS (SELECT tk.id, x.topic, x.topic_order, CAST(SUM(x.weight) AS BIGINT) AS score
+       FROM tk JOIN {values(D.TAXONOMY_FIVE_FIXTURE, 'x')} ON tk.term = x.keyword
+       GROUP BY tk.id, x.topic, x.topic_order),
+tb AS (SELECT id, topic FROM (
+         SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic_order) AS rn FROM ts)
+       WHERE rn = 1 AND score > 0)
+SELECT r.company, r.id, {_mask_chain('r.title')} AS title, {_mask_chain('r.body')} AS body,
+  CAST(r.published_date AS TIMESTAMP) AS published_at, r.rating AS rating_raw,
+  {num('r.rating')} AS rating, {_TR} AS text_rating, abs({_TR} - {num('r.rating')}) AS discrepancy,
+  CAST(floor(CAST(r.id AS BIGINT) / 20) + 1 AS INT) AS page,
+  CASE WHEN p.polarity > 0 THEN 'positive' WHEN p.polarity < 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
+  COALESCE(tb.topic, 'unknown') AS topic, r.verified
+FROM reviews r JOIN pol p ON r.id = p.id LEFT JOIN tb ON r.id = tb.id"""

@@ -103,7 +103,11 @@ def parse_reviews(pages: DataFrame, keys: list[str], html: str = "html"):
     published (string), rating_raw, verified.  Rejects: keys..., pos, reason."""
     payload = F.from_json(extract_next_data(html), PAYLOAD_SCHEMA)
     raw = pages.select(*keys, payload["props"]["pageProps"]["reviews"].alias("_rs"))
-    ex = raw.select(*keys, F.posexplode("_rs").alias("pos", "r"))
+    # posexplode_outer + a filter on its output: with the plain generator Spark
+    # infers size(_rs) > 0 and pushes it below the projection, which re-runs
+    # from_json on the whole payload for the filter.
+    ex = (raw.select(*keys, F.posexplode_outer("_rs").alias("pos", "r"))
+          .where(F.col("pos").isNotNull()))
     r = F.col("r")
     reason = (F.when(r["dates"].isNull(), F.lit("missing dates"))
                .when(r["labels"]["verification"].isNull(), F.lit("missing labels.verification")))
