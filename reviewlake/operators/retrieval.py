@@ -96,12 +96,79 @@ def stuff_context(neighbours: DataFrame, texts: DataFrame, item_id: str, text_co
             .select(*group, F.concat_ws(sep, F.transform("_r", lambda x: x[text_col])).alias("context")))
 
 
-def hashed_vectors(docs: DataFrame, id_col: str, tokens_col: str, dim: int = 256) -> DataFrame:
-    """Test-only embedding: L2-normalised hashed term counts (JVM HashingTF)."""
+def hashed_vectors(docs: DataFrame, id_col: str, tokens_col: str, dim: int = 256,
+                   keep: list[str] | None = None) -> DataFrame:
+    """Test-only embedding: L2-normalised hashed term counts (JVM HashingTF).
+    ``keep`` columns are carried through (no join back)."""
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     tf = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=dim)
     norm = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0)
-    out = norm.transform(tf.transform(docs.select(id_col, tokens_col)))
-    return out.select(id_col, vector_to_array("_nv").alias("embedding"))
+    keep = list(keep or [])
+    out = norm.transform(tf.transform(docs.select(id_col, *keep, tokens_col)))
+    return out.select(id_col, *keep, vector_to_array("_nv").alias("embedding"))
+
+
+# Question sets up to this many rows go to executors as a broadcast matrix.
+MAX_BROADCAST_QUESTIONS = 20_000
+
+
+def knn_vectorized(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: str,
+                   item_vec: str, partition_by: list[str] | None = None, k: int = DEFAULT_K,
+                   question_id: str = "question_id", question_vec: str = "embedding",
+                   block_rows: int = 512) -> DataFrame:
+    """Same result as ``knn`` for wide vectors or many questions: distances are
+    computed with numpy on Arrow batches (``mapInPandas``) against a broadcast
+    question matrix (size checked: above ``MAX_BROADCAST_QUESTIONS`` it falls back
+    to ``knn``).  Each batch emits at most k candidates per (partition keys,
+    question); a windowed top-k over those candidates gives the answer.
+    """
+    import numpy as np
+    import pandas as pd
+
+    partition_by = list(partition_by or [])
+    q_rows = (questions.select(question_id, as_double_array(question_vec).alias("_qv"))
+              .limit(MAX_BROADCAST_QUESTIONS + 1).collect())
+    if len(q_rows) > MAX_BROADCAST_QUESTIONS:
+        return knn(spark, items, questions, item_id, item_vec, partition_by, k, question_id, question_vec)
+    if not q_rows:
+        return knn(spark, items, questions, item_id, item_vec, partition_by, k, question_id, question_vec)
+    qids = np.array([r[0] for r in q_rows], dtype=np.int64)
+    qmat = np.array([r[1] for r in q_rows], dtype=np.float64)
+    bq = spark.sparkContext.broadcast((qids, qmat))
+    src = items.select(*partition_by, item_id, as_double_array(item_vec).alias("_iv"))
+    types = dict(src.dtypes)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in partition_by + [item_id]]
+                       + [f"`{question_id}` bigint", "distance double"])
+
+    def run(batches):
+        qid, qm = bq.value
+        qn = (qm * qm).sum(axis=1)
+        cols = partition_by + [item_id]
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            # rows sorted by (partition keys, item id): a stable sort of distances
+            # then breaks ties by item id, as the SQL path does
+            pdf = pdf.sort_values(cols, kind="mergesort").reset_index(drop=True)
+            x = np.stack(pdf["_iv"].to_numpy())
+            groups = (pdf.groupby(partition_by, sort=False).indices if partition_by
+                      else {None: np.arange(len(pdf))})
+            out = []
+            for _, rows in groups.items():
+                xs = x[rows]
+                d = (xs * xs).sum(axis=1)[:, None] + qn[None, :] - 2.0 * (xs @ qm.T)
+                top = np.argsort(d, axis=0, kind="stable")[:k]          # (k', nq)
+                kk = top.shape[0]
+                sel = rows[top.reshape(-1)]
+                part = pdf.loc[sel, cols].reset_index(drop=True)
+                part[question_id] = np.tile(qid, kk)
+                part["distance"] = np.maximum(d[top, np.arange(len(qid))[None, :]].reshape(-1), 0.0)
+                out.append(part)
+            yield pd.concat(out, ignore_index=True)
+
+    cand = src.mapInPandas(run, schema)
+    w = Window.partitionBy(*partition_by, question_id).orderBy("distance", item_id)
+    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(*partition_by, question_id, "rank", item_id, "distance")

@@ -122,11 +122,13 @@ def answer_extractive(neighbours: DataFrame, chunk_texts: DataFrame, questions:
     Score = number of distinct question terms in the sentence; ties by chunk
     rank, then sentence position.  Groups hold k chunks, so they are bounded.
     """
-    j = neighbours.join(chunk_texts.select(item_id, text_col), item_id, "inner")
-    s = sentences(j, group + ["rank"], text_col)
+    # sentences and their tokens once per chunk, not once per (chunk, question)
+    sent = sentences(chunk_texts.select(item_id, text_col), [item_id], text_col)
+    sent = sent.withColumn("_st", F.array_distinct(T.tokens("sentence")))
+    s = neighbours.select(*group, "rank", item_id).join(sent, item_id, "inner")
     q = questions.select("question_id", F.array_distinct(T.tokens(question_text)).alias("_qt"))
     s = s.join(q, "question_id", "inner")
-    scored = s.withColumn("score", F.size(F.array_intersect(F.array_distinct(T.tokens("sentence")), "_qt")))
+    scored = s.withColumn("score", F.size(F.array_intersect("_st", "_qt")))
     w = Window.partitionBy(*group).orderBy(F.desc("score"), "rank", "sent_pos")
     best = scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
     return best.select(*group, F.col("sentence").alias("answer"), F.col("score").cast("bigint").alias("score"))

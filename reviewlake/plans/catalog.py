@@ -423,12 +423,12 @@ def _qa(spark, sf_dir):
     ch = ch.withColumn("chunk_id", F.concat_ws(":", "id", F.col("chunk_pos").cast("string")))
     ix = IX.dense_index(ch, ["id", "chunk_pos"])
     ix = ix.withColumn("batch_id", IX.batch_of("idx", BATCH_SIZE))
-    cv = RT.hashed_vectors(ix.select("chunk_id", T.tokens("text").alias("toks")), "chunk_id", "toks")
-    items = ix.select("chunk_id", "batch_id").join(cv, "chunk_id")
+    items = RT.hashed_vectors(ix.select("chunk_id", "batch_id", T.tokens("text").alias("toks")),
+                              "chunk_id", "toks", keep=["batch_id"])
     b = read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     qv = RT.hashed_vectors(b.select("question_id", T.tokens("question").alias("toks")), "question_id", "toks")
-    nn = RT.knn(spark, items, qv, "chunk_id", "embedding", ["batch_id"])
+    nn = RT.knn_vectorized(spark, items, qv, "chunk_id", "embedding", ["batch_id"])
     answers = SC.answer_extractive(nn, ix.select("chunk_id", "text"), b, ["batch_id", "question_id"],
                                    "chunk_id")
     return answers, b

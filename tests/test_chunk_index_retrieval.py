@@ -80,3 +80,19 @@ def test_centroids(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 5.0])], "label int, v array<float>")
     got = {r.question_id: r.embedding for r in RT.centroids(df, "label", "v").collect()}
     assert got == {0: [2.0, 3.0], 1: [5.0, 5.0]}
+
+
+def test_knn_vectorized_equals_knn(spark):
+    rng = np.random.default_rng(5)
+    items = rng.normal(size=(500, 16))
+    qs = rng.normal(size=(7, 16))
+    idf = spark.createDataFrame([(i, int(i // 100), items[i].tolist()) for i in range(500)],
+                                "item long, batch long, v array<double>").repartition(3)
+    qdf = spark.createDataFrame([(q, qs[q].tolist()) for q in range(7)], "question_id long, embedding array<double>")
+    a = {(r.batch, r.question_id, r.rank): r.item for r in RT.knn(spark, idf, qdf, "item", "v", ["batch"]).collect()}
+    b = {(r.batch, r.question_id, r.rank): r.item for r in
+         RT.knn_vectorized(spark, idf, qdf, "item", "v", ["batch"]).collect()}
+    assert a == b and len(a) == 5 * 7 * 4
+    g1 = {(r.question_id, r.rank): r.item for r in RT.knn(spark, idf, qdf, "item", "v").collect()}
+    g2 = {(r.question_id, r.rank): r.item for r in RT.knn_vectorized(spark, idf, qdf, "item", "v").collect()}
+    assert g1 == g2
