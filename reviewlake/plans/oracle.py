@@ -460,3 +460,21 @@ SELECT r.company, r.id, {_mask_chain('r.title')} AS title, {_mask_chain('r.body'
   CASE WHEN p.polarity > 0 THEN 'positive' WHEN p.polarity < 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
   COALESCE(tb.topic, 'unknown') AS topic, r.verified
 FROM reviews r JOIN pol p ON r.id = p.id LEFT JOIN tb ON r.id = tb.id"""
+
+# streaming: the final state of the update-mode daily counts equals the batch aggregate
+SQL["stream_daily_counts"] = """
+SELECT date_trunc('day', ts) AS day, event_type, COUNT(*) AS n, round(SUM(value), 6) AS total_value
+FROM events GROUP BY 1, 2"""
+
+# scoring job with the stub scorer: label by word counts; texts whose SHA-256 ends in 0 fail
+_WORDS = "string_split_regex(lower(concat(title, '. ', body)), '\\s+')"
+SQL["score_with_stub"] = with_reviews(f"""
+SELECT id,
+  CASE WHEN right(sha256(concat(title, '. ', body)), 1) = '0' THEN NULL
+       WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' ELSE 'neutral' END AS value,
+  CASE WHEN right(sha256(concat(title, '. ', body)), 1) = '0'
+       THEN 'RuntimeError: scorer rejected input' END AS error
+FROM (SELECT id, title, body,
+        len(list_filter({_WORDS}, lambda w: w IN ('the', 'la'))) AS pos,
+        len(list_filter({_WORDS}, lambda w: w IN ('of', 'der'))) AS neg
+      FROM reviews)""")

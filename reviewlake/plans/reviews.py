@@ -42,16 +42,20 @@ TABLE_DDL = {
 
 
 def balanced(df: DataFrame) -> DataFrame:
-    """Spread a text scan over the cluster when its input is a handful of files.
-
-    A large input is many files and is returned unchanged (no shuffle).  A
-    small input of fewer files than cores (here: one Parquet row group per
-    file) would run all per-row text work in one or a few tasks; a round-robin
-    repartition of the column-pruned rows spreads it.
+    """Spread a small text scan over the cluster; leave a large one alone.
+
+    Rebalanced only when the input has fewer files than cores AND at most one
+    scan split per core.  Spark cuts splits of about
+    min(maxPartitionBytes, bytes / cores), so "at most one split per core"
+    means the input is no larger than one maxPartitionBytes per core: the
+    round-robin shuffle is a bounded single wave.  A 100 TB input has hundreds
+    of thousands of splits and is never shuffled here.  The case this serves:
+    small files of one Parquet row group, where byte-range splits exist but a
+    single task holds all the rows.
     """
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < target:
+    if len(df.inputFiles()) < target and df.rdd.getNumPartitions() <= target:
         return df.repartition(target)
     return df
 
