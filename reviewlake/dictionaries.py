@@ -174,3 +174,9 @@ def source_type_fixture(n_sources: int = 20) -> Dictionary:
     """Rule for the test companies src0..src{n-1}: even index user, odd professional."""
     return Dictionary("source_type_fixture", "source string, type string", tuple(
         (f"src{i}", "user" if i % 2 == 0 else "professional") for i in range(n_sources)))
+
+
+def company_registry_fixture(n_sources: int = 20) -> Dictionary:
+    """Company registry (name -> review base URL) for the test companies, by rule."""
+    return Dictionary("companies_fixture", "company string, base_url string", tuple(
+        (f"src{i}", f"https://reviews.example/review/src{i}") for i in range(n_sources)))

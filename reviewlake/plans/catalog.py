@@ -88,9 +88,14 @@ def q_company_slug(spark, sf_dir):
 
 @register("by_company_counts")
 def q_by_company_counts(spark, sf_dir):
+    """One job over all registered companies: counts per company (pre-aggregated,
+    so a hot company is combined map-side), then a broadcast join with the
+    registry (bounded: a literal table)."""
     r = _reviews(spark, sf_dir)
-    return (r.groupBy("company").agg(F.count(F.lit(1)).alias("n_reviews"))
-            .select("company", T.company_slug("company").alias("slug"), "n_reviews"))
+    counts = r.groupBy("company").agg(F.count(F.lit(1)).alias("n_reviews"))
+    reg = D.company_registry_fixture().broadcast(spark)
+    return (counts.join(reg, "company", "left")
+            .select("company", "base_url", T.company_slug("company").alias("slug"), "n_reviews"))
 
 
 @register("default_fill")

@@ -109,9 +109,7 @@ FROM a"""
 SQL["company_slug"] = with_reviews("""
 SELECT id, company, lower(replace(company, ' ', '_')) AS slug FROM reviews""")
 
-SQL["by_company_counts"] = with_reviews("""
-SELECT company, lower(replace(company, ' ', '_')) AS slug, COUNT(*) AS n_reviews
-FROM reviews GROUP BY company""")
+
 
 SQL["default_fill"] = with_reviews("""
 SELECT id, COALESCE(title, 'No Title') AS title, COALESCE(body, 'No Review Body') AS body,
@@ -478,3 +476,8 @@ FROM (SELECT id, title, body,
         len(list_filter({_WORDS}, lambda w: w IN ('the', 'la'))) AS pos,
         len(list_filter({_WORDS}, lambda w: w IN ('of', 'der'))) AS neg
       FROM reviews)""")
+
+SQL["by_company_counts"] = with_reviews(f"""
+SELECT c.company, g.base_url, lower(replace(c.company, ' ', '_')) AS slug, c.n_reviews
+FROM (SELECT company, COUNT(*) AS n_reviews FROM reviews GROUP BY company) c
+LEFT JOIN {values(D.company_registry_fixture(), 'g')} ON c.company = g.company""")

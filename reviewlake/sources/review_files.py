@@ -72,3 +72,10 @@ def append_store(df: DataFrame, path: str, partition_by: str = "company") -> Non
 
 def read_store(spark: SparkSession, path: str, ddl: str = REVIEW_DDL) -> DataFrame:
     return _read(spark.read.schema(ddl), path, "parquet")
+
+
+def write_report(report: DataFrame, path: str, fmt: str = "json", mode: str = "error") -> None:
+    """Write the report section table in section order.  The table is small by
+    construction (fixed sections plus one per question), so one file is written."""
+    (report.orderBy("section_order").coalesce(1)
+     .write.mode(mode).format(fmt).save(path))

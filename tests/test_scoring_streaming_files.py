@@ -82,3 +82,40 @@ def test_stream_dedupe_restart_no_duplicates(spark):
     ST.run_available_now(ST.dedupe_stream(ST.file_stream(spark, src, st), "user_id", "ts", "1 hour"), out, ck)
     ST.run_available_now(ST.dedupe_stream(ST.file_stream(spark, src, st), "user_id", "ts", "1 hour"), out, ck)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_ingest_pipeline_masks_after_scoring(spark):
+    import json
+    from reviewlake import dictionaries as D
+    from reviewlake.plans.ingest import RECORD_COLUMNS, ingest_pages
+    reviews = [{"id": "r/1", "title": "Great", "text": "great service, mail me at a.b@x.co",
+                "rating": 4, "labels": {"verification": {"isVerified": True}},
+                "dates": {"publishedDate": "2024-02-01T10:00:00.000Z"}},
+               {"id": "r/2", "title": "Bad", "text": "bad and late", "rating": "x",
+                "labels": {"verification": {}}, "dates": {}},
+               {"id": "r/3", "labels": {}}]
+    html = ('<script id="__NEXT_DATA__" type="application/json">'
+            + json.dumps({"props": {"pageProps": {"reviews": reviews}}}) + "</script>")
+    pages = spark.createDataFrame([("acme", 1, html)], "company string, page int, html string")
+    rec, rej = ingest_pages(spark, pages, D.LEXICON_EN, D.TAXONOMY_FIVE_EN)
+    assert rec.columns == RECORD_COLUMNS
+    got = {r.id: r for r in rec.collect()}
+    assert got["1"].sentiment == "positive" and got["1"].body == "great service, mail me at [EMAIL]"
+    assert got["1"].topic == "customer service" and got["1"].rating == 4.0
+    assert got["1"].discrepancy == abs(got["1"].text_rating - 4.0)
+    assert got["2"].sentiment == "negative" and got["2"].rating is None and got["2"].discrepancy is None
+    assert [r.reason for r in rej.collect()] == ["missing dates"]
+
+
+def test_write_report_and_csv_roundtrip(spark):
+    path = scratch_dir(spark, "report")
+    df = spark.createDataFrame([(2, 1, "b", "x"), (1, 0, "a", "")], "section_order int, level int, heading string, text string")
+    RF.write_report(df, path)
+    back = spark.read.schema("section_order int, level int, heading string, text string").json(path)
+    assert [r.heading for r in back.collect()] == ["a", "b"]
+    csvp = scratch_dir(spark, "csv")
+    data = spark.createDataFrame([("1", "c", "t", 'multi\nline "q"'), ("2", "c", None, "")],
+                                 "id string, company string, title string, body string")
+    RF.write_csv(data, csvp)
+    back = RF.read_csv(spark, csvp, "id string, company string, title string, body string")
+    assert sorted(back.collect()) == sorted(data.collect())
