@@ -63,3 +63,23 @@ def gather_text(df: DataFrame, key: str, order_col: str, text_col: str, sep: str
             .agg(F.array_sort(F.collect_list(F.struct("_blk", "_s"))).alias("_b"),
                  F.sum("_n").cast("bigint").alias("n_parts"))
             .select(key, F.concat_ws(sep, F.transform("_b", lambda x: x["_s"])).alias("joined"), "n_parts"))
+
+
+def value_counts_top(reviews: DataFrame, columns: list[str], k: int = 10,
+                     approx: bool = False) -> DataFrame:
+    """The ``k`` most frequent values of every listed column: (column_name, value,
+    frequency, rank).  Exact: counts then ``row_number() <= k`` per column (ties
+    by value), pre-limited before the shuffle.  ``approx=True``: one mergeable
+    ``approx_top_k`` sketch per column (bounded memory for high-cardinality text;
+    counts may be estimates)."""
+    from pyspark.sql import Window
+    as_text = reviews.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    long = as_text.unpivot([], columns, "column_name", "value").where(F.col("value").isNotNull())
+    if approx:
+        top = long.groupBy("column_name").agg(F.expr(f"approx_top_k(value, {int(k)})").alias("_t"))
+        return top.select("column_name", F.posexplode("_t").alias("_p", "_e")).select(
+            "column_name", F.col("_e.item").alias("value"), F.col("_e.count").alias("frequency"),
+            (F.col("_p") + 1).alias("rank"))
+    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("frequency"))
+    w = Window.partitionBy("column_name").orderBy(F.desc("frequency"), "value")
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -189,6 +189,11 @@ def q_value_counts_all(spark, sf_dir):
                                   ["rating", "topic", "verified", "lang", "company"])
 
 
+@register("value_counts_top")
+def q_value_counts_top(spark, sf_dir):
+    return stats.value_counts_top(_reviews(spark, sf_dir), ["rating", "topic", "lang", "company", "title"], k=5)
+
+
 @register("topic_rating_pivot")
 def q_topic_rating_pivot(spark, sf_dir):
     p = stats.topic_rating_pivot(_reviews(spark, sf_dir), RATING_VALUES)

@@ -481,3 +481,14 @@ SQL["by_company_counts"] = with_reviews(f"""
 SELECT c.company, g.base_url, lower(replace(c.company, ' ', '_')) AS slug, c.n_reviews
 FROM (SELECT company, COUNT(*) AS n_reviews FROM reviews GROUP BY company) c
 LEFT JOIN {values(D.company_registry_fixture(), 'g')} ON c.company = g.company""")
+
+SQL["value_counts_top"] = with_reviews("""
+SELECT column_name, value, frequency, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY frequency DESC, value) AS rank FROM (
+    SELECT column_name, value, COUNT(*) AS frequency FROM (
+      UNPIVOT (SELECT CAST(rating AS VARCHAR) AS rating, CAST(topic AS VARCHAR) AS topic,
+                      CAST(lang AS VARCHAR) AS lang, CAST(company AS VARCHAR) AS company,
+                      CAST(title AS VARCHAR) AS title FROM reviews)
+      ON rating, topic, lang, company, title INTO NAME column_name VALUE value)
+    WHERE value IS NOT NULL GROUP BY column_name, value))
+WHERE rank <= 5""")

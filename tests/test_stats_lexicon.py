@@ -73,3 +73,13 @@ def test_gather_text_order_across_blocks(spark):
     df = spark.createDataFrame(rows, "k int, turn int, text string")
     out = stats.gather_text(df, "k", "turn", "text", block=16).first()
     assert out.joined == " ".join(f"w{t}" for t in range(150)) and out.n_parts == 150
+
+
+def test_value_counts_top_exact_and_approx(spark):
+    rows = [("a", "x")] * 5 + [("b", "x")] * 3 + [("c", "y")] * 2 + [("d", "y")]
+    df = spark.createDataFrame(rows, "v string, w string")
+    ex = {(r.column_name, r.rank): (r.value, r.frequency) for r in stats.value_counts_top(df, ["v", "w"], k=2).collect()}
+    assert ex == {("v", 1): ("a", 5), ("v", 2): ("b", 3), ("w", 1): ("x", 8), ("w", 2): ("y", 3)}
+    ap = {(r.column_name, r.rank): (r.value, r.frequency)
+          for r in stats.value_counts_top(df, ["v", "w"], k=2, approx=True).collect()}
+    assert ap == ex  # small inputs are counted exactly by the sketch
