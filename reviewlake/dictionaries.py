@@ -164,7 +164,7 @@ GAZETTEER_EN = Dictionary("gazetteer_en", "label string, term string", (
 
 # Source type (T20): user platforms vs professional sources.
 SOURCE_TYPE_EN = Dictionary("source_type_en", "source string, type string", (
-    ("trustpilot", "user"), ("yelp", "user"), ("google reviews", "user"),
+    ("review site", "user"), ("yelp", "user"), ("google reviews", "user"),
     ("facebook", "professional"), ("twitter", "professional"), ("youtube", "professional"),
     ("tiktok", "professional"), ("instagram", "professional"),
 ))

@@ -320,7 +320,7 @@ from reviewlake.operators import indexing as IX  # noqa: E402
 from reviewlake.operators import retrieval as RT  # noqa: E402
 from reviewlake.operators import scoring as SC  # noqa: E402
 from reviewlake.operators import terms as TM  # noqa: E402
-from reviewlake.plans import report as RP  # noqa: E402
+from reviewlake.plans import reporting as RP  # noqa: E402
 from reviewlake.session import scratch_dir  # noqa: E402
 from reviewlake.sources import pages as PG  # noqa: E402
 from reviewlake.sources import review_files as RF  # noqa: E402

@@ -77,7 +77,7 @@ def report_sections(spark: SparkSession, reviews: DataFrame, summaries: DataFram
     rows.append(head.select(F.lit(1000), F.lit(2), F.lit("Overall Rating"),
                             F.concat(F.lit("Average inferred rating: "),
                                      F.coalesce(F.format_number("avg_text_rating", 3), F.lit("n/a")))))
-    rows.append(head.select(F.lit(1001), F.lit(2), F.lit("Visualisations"),
+    rows.append(head.select(F.lit(1001), F.lit(2), F.lit("Charts"),
                             F.lit("Inputs: top_terms (term cloud), rating_topic_freq (bar chart).")))
     out = rows[0]
     for r in rows[1:]:

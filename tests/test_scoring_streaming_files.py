@@ -119,3 +119,32 @@ def test_write_report_and_csv_roundtrip(spark):
     RF.write_csv(data, csvp)
     back = RF.read_csv(spark, csvp, "id string, company string, title string, body string")
     assert sorted(back.collect()) == sorted(data.collect())
+
+
+def test_stream_daily_counts_two_batches_equal_batch(spark):
+    from pyspark.sql.types import _parse_datatype_string
+    src = tempfile.mkdtemp(prefix="rl-src2-")
+    out, ck = scratch_dir(spark, "d_out"), scratch_dir(spark, "d_ck")
+    ddl = "event_id long, ts string, user_id long, event_type string, value double, props string"
+    schema = _parse_datatype_string(ddl.replace("ts string", "ts timestamp"))
+
+    def add(rows):
+        spark.createDataFrame(rows, ddl).withColumn("ts", F.to_timestamp("ts")) \
+            .write.mode("append").parquet(src)
+
+    def run():
+        s = ST.daily_counts_stream(ST.file_stream(spark, src, schema), "ts", "event_type")
+        ST.run_available_now(s, out, ck, output_mode="update")
+
+    add([(1, "2024-01-01 01:00:00", 1, "a", 1.0, "{}"), (2, "2024-01-01 05:00:00", 2, "a", 2.0, "{}"),
+         (3, "2024-01-02 01:00:00", 1, "b", 4.0, "{}")])
+    run()
+    add([(4, "2024-01-02 02:00:00", 3, "b", 8.0, "{}"), (5, "2024-01-02 03:00:00", 3, "a", 16.0, "{}")])
+    run()
+    snap = spark.read.parquet(out)
+    last = (snap.groupBy("day", "event_type")
+            .agg(F.max_by(F.struct("n", "total_value"), "_epoch").alias("v"))
+            .select(F.date_format("day", "yyyy-MM-dd").alias("d"), "event_type", "v.n", "v.total_value"))
+    got = {(r.d, r.event_type): (r.n, r.total_value) for r in last.collect()}
+    assert got == {("2024-01-01", "a"): (2, 3.0), ("2024-01-02", "b"): (2, 12.0), ("2024-01-02", "a"): (1, 16.0)}
+    assert snap.select("_epoch").distinct().count() == 2
