@@ -180,3 +180,30 @@ def company_registry_fixture(n_sources: int = 20) -> Dictionary:
     """Company registry (name -> review base URL) for the test companies, by rule."""
     return Dictionary("companies_fixture", "company string, base_url string", tuple(
         (f"src{i}", f"https://reviews.example/review/src{i}") for i in range(n_sources)))
+
+
+# The report's question sets (current report, then the older one).
+REPORT_QUESTIONS = [
+    "Customer emotions exhibited in reviews",
+    "Specific product with most positive feedback",
+    "Specific products with most negative feedback ",
+    "Specific quality issues mentioned by reviewers",
+    "Specific price issues mentioned by reviewers",
+    "Number of mentions of Inflation or Cost of Living Crisis",
+    "Number of Mentions of Competitors",
+]
+REPORT_QUESTIONS_OLD = [
+    "Customer satisfaction with branch staff and service quality",
+    "Customer loyalty and retention rates for branch customers",
+    "Customer feedback on the Fairer Share Payment and other member benefits",
+    "Customer engagement with branch events and charitable activities",
+    "Customer complaints and resolutions for branch-related issues",
+    "Customer preferences and expectations for branch versus digital channels",
+    "Customer awareness and perception of the mutual ownership model and its advantages",
+]
+
+
+def questions_table(questions: list[str] = REPORT_QUESTIONS) -> Dictionary:
+    """Question set as a (question_id, question) table for the QA operators."""
+    return Dictionary("questions", "question_id bigint, question string",
+                      tuple((i, q) for i, q in enumerate(questions)))

@@ -164,6 +164,12 @@ def q_rating_over_time(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n_reviews"), F.round(F.avg("rating"), 6).alias("avg_rating")))
 
 
+@register("rating_scatter")
+def q_rating_scatter(spark, sf_dir):
+    """(published_at, rating) pairs: the input of the time / rating scatter chart."""
+    return _enriched(spark, sf_dir).select("id", "published_at", "rating")
+
+
 @register("source_type_mask")
 def q_source_type_mask(spark, sf_dir):
     r = _reviews(spark, sf_dir)

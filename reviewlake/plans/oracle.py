@@ -492,3 +492,5 @@ SELECT column_name, value, frequency, CAST(rank AS INT) AS rank FROM (
       ON rating, topic, lang, company, title INTO NAME column_name VALUE value)
     WHERE value IS NOT NULL GROUP BY column_name, value))
 WHERE rank <= 5""")
+
+SQL["rating_scatter"] = with_enriched("SELECT id, published_at, rating FROM enriched")

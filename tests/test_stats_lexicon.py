@@ -83,3 +83,9 @@ def test_value_counts_top_exact_and_approx(spark):
     ap = {(r.column_name, r.rank): (r.value, r.frequency)
           for r in stats.value_counts_top(df, ["v", "w"], k=2, approx=True).collect()}
     assert ap == ex  # small inputs are counted exactly by the sketch
+
+
+def test_questions_table():
+    t = D.questions_table()
+    assert len(t) == 7 and t.rows[0][0] == 0
+    assert len(D.questions_table(D.REPORT_QUESTIONS_OLD)) == 7
