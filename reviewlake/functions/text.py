@@ -25,6 +25,7 @@ DEFAULT_TITLE = "No Title"
 DEFAULT_BODY = "No Review Body"
 DEFAULT_PUBLISHED = "2000-01-24T14:37:07.000Z"
 DEFAULT_RATING = "unknown"
+DEFAULT_RATING_OLD = "No Rating"
 DEFAULT_VERIFIED = False
 
 
@@ -79,10 +80,14 @@ def strip_ws(value) -> Column:
     return F.regexp_replace(_c(value), r"^\s+|\s+$", "")
 
 
-def normalise_label(value) -> Column:
-    """strip + lower; a failed answer (NULL, empty, 'unknown', 'error') -> 'unknown'."""
+def normalise_label(value, legacy: bool = False) -> Column:
+    """strip + lower; a failed answer (NULL, empty, 'unknown', 'error') -> 'unknown'.
+
+    ``legacy=True`` is the older rule: only a failed call (NULL) becomes
+    'unknown'; empty or 'error' answers are kept as given."""
     v = F.lower(strip_ws(_c(value)))
-    return F.when(v.isNull() | v.isin(*FAILED_LABELS), F.lit("unknown")).otherwise(v)
+    failed = v.isNull() if legacy else (v.isNull() | v.isin(*FAILED_LABELS))
+    return F.when(failed, F.lit("unknown")).otherwise(v)
 
 
 def off_list(label, allowed: list[str]) -> Column:

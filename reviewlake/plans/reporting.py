@@ -53,8 +53,11 @@ def company_summary(spark: SparkSession, reviews: DataFrame, lexicon=D.LEXICON_E
 
 
 def report_sections(spark: SparkSession, reviews: DataFrame, summaries: DataFrame | None,
-                    lexicon=D.LEXICON_EN, company_label: str = "the company") -> DataFrame:
-    """Ordered report sections; ``summaries`` is (question_id, question, summary)."""
+                    lexicon=D.LEXICON_EN, company_label: str = "the company",
+                    include_rating: bool = True, include_charts: bool = True) -> DataFrame:
+    """Ordered report sections; ``summaries`` is (question_id, question, summary).
+    The older report layout has neither the overall-rating nor the chart section
+    (``include_rating=False, include_charts=False``)."""
     pol = L.polarity(spark, reviews, T.corpus_text("title", "body"), ["id"], lexicon)
     pct = L.sentiment_pct(pol)
     overall = reviews.agg(F.avg("text_rating").alias("avg_text_rating"))
@@ -74,11 +77,13 @@ def report_sections(spark: SparkSession, reviews: DataFrame, summaries: DataFram
     if summaries is not None:
         rows.append(summaries.select((F.lit(10) + F.col("question_id")).cast("int"), F.lit(1),
                                      F.col("question"), F.coalesce("summary", F.lit(""))))
-    rows.append(head.select(F.lit(1000), F.lit(2), F.lit("Overall Rating"),
-                            F.concat(F.lit("Average inferred rating: "),
-                                     F.coalesce(F.format_number("avg_text_rating", 3), F.lit("n/a")))))
-    rows.append(head.select(F.lit(1001), F.lit(2), F.lit("Charts"),
-                            F.lit("Inputs: top_terms (term cloud), rating_topic_freq (bar chart).")))
+    if include_rating:
+        rows.append(head.select(F.lit(1000), F.lit(2), F.lit("Overall Rating"),
+                                F.concat(F.lit("Average inferred rating: "),
+                                         F.coalesce(F.format_number("avg_text_rating", 3), F.lit("n/a")))))
+    if include_charts:
+        rows.append(head.select(F.lit(1001), F.lit(2), F.lit("Charts"),
+                                F.lit("Inputs: top_terms (term cloud), rating_topic_freq (bar chart).")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionAll(r.toDF(*out.columns))

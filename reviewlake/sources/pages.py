@@ -98,9 +98,12 @@ def take_while_pages(pages: DataFrame, bad, company: str = "company",
     return kept.drop("_bad", "_gap", "_stop")
 
 
-def parse_reviews(pages: DataFrame, keys: list[str], html: str = "html"):
+def parse_reviews(pages: DataFrame, keys: list[str], html: str = "html",
+                  rating_default: str = T.DEFAULT_RATING):
     """(reviews, rejects) from pages.  Reviews: keys..., pos, id, title, body,
-    published (string), rating_raw, verified.  Rejects: keys..., pos, reason."""
+    published (string), rating_raw, verified.  Rejects: keys..., pos, reason.
+    ``rating_default`` fills an absent rating ('unknown'; the older ingest used
+    ``T.DEFAULT_RATING_OLD``)."""
     payload = F.from_json(extract_next_data(html), PAYLOAD_SCHEMA)
     raw = pages.select(*keys, payload["props"]["pageProps"]["reviews"].alias("_rs"))
     # posexplode_outer + a filter on its output: with the plain generator Spark
@@ -121,7 +124,7 @@ def parse_reviews(pages: DataFrame, keys: list[str], html: str = "html"):
         T.review_id(r["id"], *[F.col(k) for k in keys], F.col("pos"), title, body).alias("id"),
         title.alias("title"), body.alias("body"),
         F.coalesce(r["dates"]["publishedDate"], F.lit(T.DEFAULT_PUBLISHED)).alias("published"),
-        F.coalesce(r["rating"], F.lit(T.DEFAULT_RATING)).alias("rating_raw"),
+        F.coalesce(r["rating"], F.lit(rating_default)).alias("rating_raw"),
         F.coalesce(r["labels"]["verification"]["isVerified"], F.lit(T.DEFAULT_VERIFIED)).alias("verified"))
     return reviews, rejects
 

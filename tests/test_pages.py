@@ -72,3 +72,11 @@ def test_dedupe_captures(spark):
     df = spark.createDataFrame(rows, "company string, page int, html string, captured int")
     out = {(r.company, r.page): r.html for r in PG.dedupe_captures(df, prefer="captured").collect()}
     assert out == {("a", 1): "new", ("a", 2): "x"}
+
+
+def test_old_rating_default(spark):
+    html = page([{"id": "a", "labels": {"verification": {}}, "dates": {}}])
+    df = spark.createDataFrame([("c", 1, html)], "company string, page int, html string")
+    from reviewlake.functions import text as T
+    reviews, _ = PG.parse_reviews(df, ["company", "page"], rating_default=T.DEFAULT_RATING_OLD)
+    assert reviews.first().rating_raw == "No Rating"

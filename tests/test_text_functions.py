@@ -63,3 +63,8 @@ def test_discrepancy_cases(spark):
 def test_tokens_unicode(spark):
     df = spark.createDataFrame([("Éé déjà-vu, l'été 42 a",)], "v string")
     assert df.select(T.tokens("v")).first()[0] == ["éé", "déjà", "vu", "l'été", "42"]
+
+
+def test_normalise_label_legacy(spark):
+    df = spark.createDataFrame([(" Error ",), ("",), (None,)], "v string")
+    assert [r[0] for r in df.select(T.normalise_label("v", legacy=True)).collect()] == ["error", "", "unknown"]
