@@ -1,9 +1,9 @@
 """Nearest-chunk retrieval and context assembly.
 
-Exact k-NN: the question set is small and checked (``small_side``); it is
-packed into ONE row and attached to every chunk by an equi-join on a constant
-key (broadcast, one match per chunk), so no cross join is planned.  Each chunk
-then computes its distance to every question in one expression, and
+Exact k-NN: questions are packed into blocks of bounded size and attached to
+items by an equi-join on the block id (broadcast when provably small), so no
+cross join is planned and no row holds an unbounded question set.  Each item
+then computes its distance to every question of a block in one expression, and
 ``row_number() <= k`` over (partition keys, question) picks the top k.  Spark
 plans that filter as a WindowGroupLimit that also runs *before* the shuffle,
 so at most k rows per question leave each map task even for a global top-k.
@@ -45,21 +45,43 @@ def centroids(vectors: DataFrame, label_col: str, vec_col: str, id_name: str = "
                     F.transform("pm", lambda x: x["m"]).alias("embedding")))
 
 
+# Questions packed per row in the SQL k-NN path (each item row carries one block).
+QUESTION_BLOCK = 64
+
+
 def knn(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: str,
         item_vec: str, partition_by: list[str] | None = None, k: int = DEFAULT_K,
-        question_id: str = "question_id", question_vec: str = "embedding") -> DataFrame:
+        question_id: str = "question_id", question_vec: str = "embedding",
+        block: int = QUESTION_BLOCK) -> DataFrame:
     """Top-k items per (partition_by..., question) by squared L2; ties by item id.
 
+    Questions are packed into blocks of about ``block`` (hash of the question id),
+    one row per block.  One block: it is broadcast and attached to every item by
+    an equi-join on the block id.  Several blocks: each item row is replicated
+    once per block and joined to the blocks on the block id (broadcast when the
+    blocks are provably small, else a shuffle join), so no row, task or
+    broadcast holds an unbounded question set.  The work is items x questions
+    distances, which exact k-NN needs anyway.
+
     Output: partition_by..., question_id, rank (1..k), item_id, distance.
     """
     partition_by = list(partition_by or [])
-    qs = small_side(spark, questions.select(question_id, as_double_array(question_vec).alias("_qv")))
-    packed = qs.agg(F.collect_list(F.struct(F.col(question_id).alias("qid"), "_qv")).alias("_qs"))
-    packed = F.broadcast(packed.withColumn("_k", F.lit(0)))
-    it = items.select(*partition_by, item_id, as_double_array(item_vec).alias("_iv")).withColumn("_k", F.lit(0))
-    j = it.join(packed, "_k")
-    dists = F.transform("_qs", lambda q: F.struct(q["qid"].alias(question_id),
-                                                  sq_l2(F.col("_iv"), q["_qv"]).alias("distance")))
+    q = questions.select(F.col(question_id).alias("qid"), as_double_array(question_vec).alias("_qv"))
+    n_q = q.count()
+    n_blocks = max(1, -(-n_q // block))
+    blocks = (q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
+              .groupBy("_blk").agg(F.collect_list(F.struct("qid", "_qv")).alias("_qs")))
+    # bounded: n_blocks rows of about `block` questions each
+    blocks = small_side(spark, blocks, max_rows=4096)
+    it = items.select(*partition_by, item_id, as_double_array(item_vec).alias("_iv"))
+    if n_blocks == 1:
+        it = it.withColumn("_blk", F.lit(0).cast("bigint"))
+    else:
+        it = it.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                        F.lit(n_blocks - 1).cast("bigint"))))
+    j = it.join(blocks, "_blk")
+    dists = F.transform("_qs", lambda qq: F.struct(qq["qid"].alias(question_id),
+                                                   sq_l2(F.col("_iv"), qq["_qv"]).alias("distance")))
     pairs = j.select(*partition_by, item_id, F.inline(dists))
     w = Window.partitionBy(*partition_by, question_id).orderBy("distance", item_id)
     ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -110,8 +132,9 @@ def hashed_vectors(docs: DataFrame, id_col: str, tokens_col: str, dim: int = 256
     return out.select(id_col, *keep, vector_to_array("_nv").alias("embedding"))
 
 
-# Question sets up to this many rows go to executors as a broadcast matrix.
+# Question sets up to this many rows and bytes go to executors as a broadcast matrix.
 MAX_BROADCAST_QUESTIONS = 20_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def knn_vectorized(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: str,
@@ -120,19 +143,22 @@ def knn_vectorized(spark: SparkSession, items: DataFrame, questions: DataFrame,
                    block_rows: int = 512) -> DataFrame:
     """Same result as ``knn`` for wide vectors or many questions: distances are
     computed with numpy on Arrow batches (``mapInPandas``) against a broadcast
-    question matrix (size checked: above ``MAX_BROADCAST_QUESTIONS`` it falls back
-    to ``knn``).  Each batch emits at most k candidates per (partition keys,
+    question matrix (size checked in rows and bytes; above the bound it falls
+    back to the blocked ``knn``).  Each batch emits at most k candidates per (partition keys,
     question); a windowed top-k over those candidates gives the answer.
     """
     import numpy as np
     import pandas as pd
 
     partition_by = list(partition_by or [])
-    q_rows = (questions.select(question_id, as_double_array(question_vec).alias("_qv"))
-              .limit(MAX_BROADCAST_QUESTIONS + 1).collect())
-    if len(q_rows) > MAX_BROADCAST_QUESTIONS:
+    qsel = questions.select(question_id, as_double_array(question_vec).alias("_qv"))
+    first = qsel.select(F.size("_qv").alias("d")).first()
+    if first is None:
         return knn(spark, items, questions, item_id, item_vec, partition_by, k, question_id, question_vec)
-    if not q_rows:
+    # bounded by rows AND bytes: rows x dims doubles stay under MAX_BROADCAST_BYTES
+    max_rows = min(MAX_BROADCAST_QUESTIONS, MAX_BROADCAST_BYTES // (8 * max(1, first["d"])))
+    q_rows = qsel.limit(max_rows + 1).collect()
+    if len(q_rows) > max_rows:
         return knn(spark, items, questions, item_id, item_vec, partition_by, k, question_id, question_vec)
     qids = np.array([r[0] for r in q_rows], dtype=np.int64)
     qmat = np.array([r[1] for r in q_rows], dtype=np.float64)

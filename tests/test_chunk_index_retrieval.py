@@ -96,3 +96,20 @@ def test_knn_vectorized_equals_knn(spark):
     g1 = {(r.question_id, r.rank): r.item for r in RT.knn(spark, idf, qdf, "item", "v").collect()}
     g2 = {(r.question_id, r.rank): r.item for r in RT.knn_vectorized(spark, idf, qdf, "item", "v").collect()}
     assert g1 == g2
+
+
+def test_knn_many_question_blocks(spark):
+    rng = np.random.default_rng(9)
+    items = rng.normal(size=(200, 6))
+    qs = rng.normal(size=(150, 6))
+    idf = spark.createDataFrame([(i, int(i // 50), items[i].tolist()) for i in range(200)],
+                                "item long, batch long, v array<double>")
+    qdf = spark.createDataFrame([(q, qs[q].tolist()) for q in range(150)], "question_id long, embedding array<double>")
+    out = RT.knn(spark, idf, qdf, "item", "v", ["batch"], k=3, block=16).collect()   # ~10 blocks
+    got = {(r.batch, r.question_id, r.rank): r.item for r in out}
+    assert len(got) == 4 * 150 * 3
+    for b in range(4):
+        for q in (0, 77, 149):
+            d = ((items[b * 50:(b + 1) * 50] - qs[q]) ** 2).sum(axis=1)
+            order = np.lexsort((np.arange(50), d))[:3] + b * 50
+            assert [got[(b, q, r)] for r in range(1, 4)] == order.tolist()
