@@ -60,7 +60,8 @@ def report_sections(spark: SparkSession, reviews: DataFrame, summaries: DataFram
     (``include_rating=False, include_charts=False``)."""
     pol = L.polarity(spark, reviews, T.corpus_text("title", "body"), ["id"], lexicon)
     pct = L.sentiment_pct(pol)
-    overall = reviews.agg(F.avg("text_rating").alias("avg_text_rating"))
+    overall = reviews.agg(F.avg("text_rating").alias("avg_text_rating"),
+                          F.count("text_rating").alias("scored"), F.count(F.lit(1)).alias("n_all"))
     # both sides are single-row aggregates: equi-join on a constant key
     head = pct.withColumn("_k", F.lit(1)).join(overall.withColumn("_k", F.lit(1)), "_k")
     fmt = lambda c: F.format_number(F.col(c), 2)
@@ -80,7 +81,9 @@ def report_sections(spark: SparkSession, reviews: DataFrame, summaries: DataFram
     if include_rating:
         rows.append(head.select(F.lit(1000), F.lit(2), F.lit("Overall Rating"),
                                 F.concat(F.lit("Average inferred rating: "),
-                                         F.coalesce(F.format_number("avg_text_rating", 3), F.lit("n/a")))))
+                                         F.coalesce(F.format_number("avg_text_rating", 3), F.lit("n/a")),
+                                         F.format_string(" (scored %d of %d reviews)",
+                                                         F.col("scored"), F.col("n_all")))))
     if include_charts:
         rows.append(head.select(F.lit(1001), F.lit(2), F.lit("Charts"),
                                 F.lit("Inputs: top_terms (term cloud), rating_topic_freq (bar chart).")))

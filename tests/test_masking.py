@@ -1,6 +1,5 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from reviewlake.functions import masking as M
 from reviewlake.operators import entities as EN
