@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.operators.joins import small_side
 
 # Fixed value: neighbours returned per question.
 DEFAULT_K = 4
@@ -67,12 +66,14 @@ def knn(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: st
     """
     partition_by = list(partition_by or [])
     q = questions.select(F.col(question_id).alias("qid"), as_double_array(question_vec).alias("_qv"))
-    n_q = q.count()
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
+    n_q, dim = stats["n"], stats["d"] or 0
     n_blocks = max(1, -(-n_q // block))
     blocks = (q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
               .groupBy("_blk").agg(F.collect_list(F.struct("qid", "_qv")).alias("_qs")))
-    # bounded: n_blocks rows of about `block` questions each
-    blocks = small_side(spark, blocks, max_rows=4096)
+    # n_blocks rows holding n_q x dim doubles in total: broadcast only under the byte bound
+    if n_q * max(dim, 1) * 8 <= MAX_BROADCAST_BYTES:
+        blocks = F.broadcast(blocks)
     it = items.select(*partition_by, item_id, as_double_array(item_vec).alias("_iv"))
     if n_blocks == 1:
         it = it.withColumn("_blk", F.lit(0).cast("bigint"))
