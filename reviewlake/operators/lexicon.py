@@ -102,16 +102,33 @@ def _gram_at(toks, n: int):
     return at
 
 
-def ngram_terms(reviews: DataFrame, text_col, keys: list[str], max_n: int) -> DataFrame:
-    """One row per (review, n-gram) for n = 1..max_n, n-gram = tokens joined by ' '."""
+def _starts_with(toks, words: list[str]):
+    def keep(i):
+        return F.element_at(toks, i).isin(*words)
+    return keep
+
+
+def ngram_terms(reviews: DataFrame, text_col, keys: list[str], max_n: int,
+                starts: dict[int, list[str]] | None = None) -> DataFrame:
+    """One row per (review, n-gram) for n = 1..max_n, n-gram = tokens joined by ' '.
+
+    ``starts[n]`` (optional) lists the tokens an n-gram may start with; other
+    start positions are skipped before any n-gram string is built, so a phrase
+    dictionary does not multiply the token stream by max_n.
+    """
     # Tokens are materialised once in their own projection; the n-gram lambdas then
     # index the array column instead of re-running the tokenizer per element.
     staged = reviews.select(*keys, T.tokens(text_col).alias("_toks"))
     toks = F.col("_toks")
     grams = []
     for n in range(1, max_n + 1):
+        if starts is not None and n > 1 and not starts.get(n):
+            continue
         # element_at is 1-based; start positions 1 .. size - n + 1
         idx = F.sequence(F.lit(1), F.greatest(F.size(toks) - F.lit(n - 1), F.lit(1)))
+        if starts is not None and n > 1:
+            first_words = sorted(set(starts[n]))
+            idx = F.filter(idx, _starts_with(toks, first_words))
         gram = F.transform(idx, _gram_at(toks, n))
         grams.append(F.when(F.size(toks) >= n, gram).otherwise(F.array().cast("array<string>")))
     return staged.select(*keys, F.explode(F.concat(*grams)).alias("phrase"))
@@ -125,8 +142,12 @@ def mention_counts(spark: SparkSession, reviews: DataFrame, text_col, keys: list
     phrase), not by one regex per phrase.
     """
     max_n = max(len(p.split(" ")) for _, p in phrases.rows)
+    starts: dict[int, list[str]] = {}
+    for _, p in phrases.rows:
+        words = p.split(" ")
+        starts.setdefault(len(words), []).append(words[0])
     d = small_side(spark, phrases)
-    hits = ngram_terms(reviews, text_col, keys, max_n).join(d, "phrase", "inner")
+    hits = ngram_terms(reviews, text_col, keys, max_n, starts).join(d, "phrase", "inner")
     per_review = hits.groupBy("category", *keys).agg(F.count(F.lit(1)).alias("hits"))
     return per_review.groupBy("category").agg(
         F.sum("hits").cast("bigint").alias("mentions"),
