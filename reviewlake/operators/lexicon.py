@@ -185,4 +185,20 @@ def review_scores(spark: SparkSession, reviews: DataFrame, text_col, keys: list[
     best = F.greatest(*[F.struct(F.col(f"s{o}").alias("score"), F.lit(-o).alias("neg_order"),
                                  F.lit(t).alias("topic")) for o, t in topics])
     return agg.select(*keys, "polarity", "magnitude",
-                      F.when(best["score"] > 0, best["topic"]).otherwise(F.lit("unknown")).alias("topic"))
+                      F.when(best["score"] > 0, best["topic"]).otherwise(F.lit("unknown")).alias("topic"),
+                      *[F.col(f"s{o}") for o, _ in topics])
+
+
+def label_hits_with_polarity(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str],
+                             lexicon: D.Dictionary, pairs: D.Dictionary, label_col: str) -> DataFrame:
+    """Per (review, label) with at least one keyword hit: hits and the review's
+    polarity, from ONE token pass (lexicon and label keywords merged)."""
+    labels = sorted({r[0] for r in pairs.rows})
+    tax = D.Dictionary(f"{pairs.name}_as_taxonomy",
+                       "topic string, topic_order int, keyword string, weight int",
+                       tuple((lab, i, kw, 1) for i, lab in enumerate(labels)
+                             for l2, kw in pairs.rows if l2 == lab))
+    sc = review_scores(spark, reviews, text_col, keys, lexicon, tax)
+    long = sc.select(*keys, "polarity", F.inline(F.array(*[
+        F.struct(F.lit(lab).alias(label_col), F.col(f"s{i}").alias("hits")) for i, lab in enumerate(labels)])))
+    return long.where(F.col("hits") > 0)

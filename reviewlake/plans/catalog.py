@@ -277,15 +277,13 @@ def q_services_mentioned(spark, sf_dir):
 def q_aspect_levels(spark, sf_dir):
     r = _reviews(spark, sf_dir)
     text = T.corpus_text("title", "body")
-    hits = L.labels_hit(spark, r, text, ["id"], D.ASPECTS_FIXTURE, "aspect")
-    pol = L.polarity(spark, r, text, ["id"], D.LEXICON_FIXTURE)
+    j = L.label_hits_with_polarity(spark, r, text, ["id"], D.LEXICON_FIXTURE, D.ASPECTS_FIXTURE, "aspect")
     p = F.col("polarity")
     level = (F.when(F.col("aspect") == "price",
                     F.when(p < 0, F.lit("too high")).when(p > 0, F.lit("good")).otherwise(F.lit("neutral")))
               .when(F.col("aspect") == "quality",
                     F.when(p > 0, F.lit("good")).when(p < 0, F.lit("poor")).otherwise(F.lit("mediocre")))
               .otherwise(F.lit("reported")))
-    j = hits.join(pol, "id")
     return j.groupBy("aspect", level.alias("level")).agg(F.count(F.lit(1)).alias("n_reviews"))
 
 
@@ -307,9 +305,7 @@ def q_emotion_counts(spark, sf_dir):
 def q_product_feedback(spark, sf_dir):
     r = _reviews(spark, sf_dir)
     text = T.corpus_text("title", "body")
-    hits = L.labels_hit(spark, r, text, ["id"], D.PRODUCTS_FIXTURE, "product")
-    pol = L.polarity(spark, r, text, ["id"], D.LEXICON_FIXTURE)
-    j = hits.join(pol, "id")
+    j = L.label_hits_with_polarity(spark, r, text, ["id"], D.LEXICON_FIXTURE, D.PRODUCTS_FIXTURE, "product")
     return j.groupBy("product").agg(
         F.count_if(F.col("polarity") > 0).alias("n_positive"),
         F.count_if(F.col("polarity") < 0).alias("n_negative"),

@@ -33,7 +33,7 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, lexicon: D.Dictionary =
     # Scores are reduced on the compact key and joined back.  Carrying the text as
     # grouping keys instead would hash the whole review once per token row.
     scores = L.review_scores(spark, raw, text, keys, lexicon, taxonomy)
-    j = raw.join(scores, keys, "inner")
+    j = raw.join(scores.select(*keys, "polarity", "magnitude", "topic"), keys, "inner")
     rating = T.guarded_double("rating_raw")
     text_rating = L.text_rating_from_polarity("polarity", "magnitude")
     rec = j.select(
