@@ -9,9 +9,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from reviewlake import dictionaries as D
+from reviewlake.functions import masking as M
+from reviewlake.functions import prompts as PR
+from reviewlake.functions import text as T
+from reviewlake.operators import chunking as CH
+from reviewlake.operators import dedupe as DD
+from reviewlake.operators import entities as EN
+from reviewlake.operators import indexing as IX
+from reviewlake.operators import lexicon as L
+from reviewlake.operators import retrieval as RT
+from reviewlake.operators import scoring as SC
 from reviewlake.operators import stats
+from reviewlake.operators import terms as TM
+from reviewlake.plans import reporting as RP
+from reviewlake.plans.reviews import enrich, read_table
 from reviewlake.plans.reviews import fixture_reviews
+from reviewlake.session import scratch_dir
+from reviewlake.sources import pages as PG
+from reviewlake.sources import review_files as RF
+from reviewlake.streaming import incremental as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,12 +49,6 @@ def q_rating_topic_freq(spark, sf_dir):
 
 
 # --- helpers ----------------------------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
-
-from reviewlake import dictionaries as D  # noqa: E402
-from reviewlake.functions import text as T  # noqa: E402
-from reviewlake.operators import lexicon as L  # noqa: E402
-from reviewlake.plans.reviews import enrich, read_table  # noqa: E402
 
 RATING_VALUES = ["1", "2", "3", "4", "5", "unknown"]
 
@@ -313,20 +326,6 @@ def q_product_feedback(spark, sf_dir):
 
 
 # --- terms, masking, entities ------------------------------------------------------------
-from reviewlake.functions import masking as M  # noqa: E402
-from reviewlake.functions import prompts as PR  # noqa: E402
-from reviewlake.operators import chunking as CH  # noqa: E402
-from reviewlake.operators import dedupe as DD  # noqa: E402
-from reviewlake.operators import entities as EN  # noqa: E402
-from reviewlake.operators import indexing as IX  # noqa: E402
-from reviewlake.operators import retrieval as RT  # noqa: E402
-from reviewlake.operators import scoring as SC  # noqa: E402
-from reviewlake.operators import terms as TM  # noqa: E402
-from reviewlake.plans import reporting as RP  # noqa: E402
-from reviewlake.session import scratch_dir  # noqa: E402
-from reviewlake.sources import pages as PG  # noqa: E402
-from reviewlake.sources import review_files as RF  # noqa: E402
-from reviewlake.streaming import incremental as ST  # noqa: E402
 
 # Fixed values used by registered queries.
 BATCH_SIZE = 100          # chunks per retrieval batch
@@ -575,8 +574,7 @@ EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type ST
 
 
 def _event_stream(spark, sf_dir):
-    from pyspark.sql.types import _parse_datatype_string
-    return ST.file_stream(spark, sf_dir, _parse_datatype_string(EVENT_SCHEMA), glob="events.parquet")
+    return ST.file_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet")
 
 
 @register("stream_dedupe")

@@ -7,6 +7,10 @@ Spark side: counts BIGINT, ratios DOUBLE, floats rounded to 6 places.
 
 from __future__ import annotations
 
+from reviewlake import dictionaries as D
+from reviewlake.functions import masking as _M
+from reviewlake.functions import prompts as _PR
+
 REVIEWS_CTE = """reviews AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS id, d.source AS company,
     split_part(d.text, chr(10), 1) AS title,
@@ -81,7 +85,6 @@ def values(d, alias: str) -> str:
 
 
 # --- sources / projections -------------------------------------------------------------
-from reviewlake import dictionaries as D  # noqa: E402
 
 SQL["page_number"] = """
 SELECT page_id, TRY_CAST(NULLIF(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS INT) AS page
@@ -110,7 +113,6 @@ SQL["company_slug"] = with_reviews("""
 SELECT id, company, lower(replace(company, ' ', '_')) AS slug FROM reviews""")
 
 
-
 SQL["default_fill"] = with_reviews("""
 SELECT id, COALESCE(title, 'No Title') AS title, COALESCE(body, 'No Review Body') AS body,
   COALESCE(rating, 'unknown') AS rating, COALESCE(topic, 'unknown') AS topic,
@@ -291,8 +293,6 @@ FROM h JOIN pol p ON h.id = p.id GROUP BY h.product"""
 
 
 # --- terms, masking, entities ------------------------------------------------------------
-from reviewlake.functions import masking as _M  # noqa: E402
-from reviewlake.functions import prompts as _PR  # noqa: E402
 
 
 def _stop_list() -> str:

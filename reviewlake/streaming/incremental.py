@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 
-def file_stream(spark: SparkSession, folder: str, schema: Ty.StructType, glob: str | None = None,
+def file_stream(spark: SparkSession, folder: str, schema: Ty.StructType | str, glob: str | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema).format("parquet")
     if glob:

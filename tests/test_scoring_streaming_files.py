@@ -77,8 +77,7 @@ def test_stream_dedupe_restart_no_duplicates(spark):
     spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, "a", 1.0, "{}"), (2, "2024-01-01 00:10:00", 1, "a", 1.0, "{}")],
                           "event_id long, ts string, user_id long, event_type string, value double, props string") \
         .withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(src)
-    from pyspark.sql.types import _parse_datatype_string
-    st = _parse_datatype_string(schema)
+    st = schema
     ST.run_available_now(ST.dedupe_stream(ST.file_stream(spark, src, st), "user_id", "ts", "1 hour"), out, ck)
     ST.run_available_now(ST.dedupe_stream(ST.file_stream(spark, src, st), "user_id", "ts", "1 hour"), out, ck)
     assert spark.read.parquet(out).count() == 1
@@ -122,11 +121,10 @@ def test_write_report_and_csv_roundtrip(spark):
 
 
 def test_stream_daily_counts_two_batches_equal_batch(spark):
-    from pyspark.sql.types import _parse_datatype_string
     src = tempfile.mkdtemp(prefix="rl-src2-")
     out, ck = scratch_dir(spark, "d_out"), scratch_dir(spark, "d_ck")
     ddl = "event_id long, ts string, user_id long, event_type string, value double, props string"
-    schema = _parse_datatype_string(ddl.replace("ts string", "ts timestamp"))
+    schema = ddl.replace("ts string", "ts timestamp")
 
     def add(rows):
         spark.createDataFrame(rows, ddl).withColumn("ts", F.to_timestamp("ts")) \
