@@ -75,11 +75,10 @@ def knn(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: st
     if n_q * max(dim, 1) * 8 <= MAX_BROADCAST_BYTES:
         blocks = F.broadcast(blocks)
     it = items.select(*partition_by, item_id, as_double_array(item_vec).alias("_iv"))
-    if n_blocks == 1:
-        it = it.withColumn("_blk", F.lit(0).cast("bigint"))
-    else:
-        it = it.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                        F.lit(n_blocks - 1).cast("bigint"))))
+    # the block id comes from a generator even for one block: a literal key would be
+    # constant-folded and the equi-join planned as a nested-loop join
+    it = it.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                    F.lit(n_blocks - 1).cast("bigint"))))
     j = it.join(blocks, "_blk")
     dists = F.transform("_qs", lambda qq: F.struct(qq["qid"].alias(question_id),
                                                    sq_l2(F.col("_iv"), qq["_qv"]).alias("distance")))

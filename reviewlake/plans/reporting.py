@@ -58,12 +58,16 @@ def report_sections(spark: SparkSession, reviews: DataFrame, summaries: DataFram
     """Ordered report sections; ``summaries`` is (question_id, question, summary).
     The older report layout has neither the overall-rating nor the chart section
     (``include_rating=False, include_charts=False``)."""
-    pol = L.polarity(spark, reviews, T.corpus_text("title", "body"), ["id"], lexicon)
-    pct = L.sentiment_pct(pol)
-    overall = reviews.agg(F.avg("text_rating").alias("avg_text_rating"),
-                          F.count("text_rating").alias("scored"), F.count(F.lit(1)).alias("n_all"))
-    # both sides are single-row aggregates: equi-join on a constant key
-    head = pct.withColumn("_k", F.lit(1)).join(overall.withColumn("_k", F.lit(1)), "_k")
+    # one pass: text_rating rides along as a per-review grouping key, so the
+    # percentages and the rating average come from the same single aggregate
+    pol = L.polarity(spark, reviews, T.corpus_text("title", "body"), ["id", "text_rating"], lexicon)
+    total = F.nullif(F.count(F.lit(1)), F.lit(0)).cast("double")
+    head = pol.agg(
+        (F.lit(100.0) * F.count_if(F.col("polarity") > 0) / total).alias("pct_positive"),
+        (F.lit(100.0) * F.count_if(F.col("polarity") < 0) / total).alias("pct_negative"),
+        F.count(F.lit(1)).alias("total"),
+        F.avg("text_rating").alias("avg_text_rating"),
+        F.count("text_rating").alias("scored"), F.count(F.lit(1)).alias("n_all"))
     fmt = lambda c: F.format_number(F.col(c), 2)
     rows = [
         head.select(F.lit(0).alias("section_order"), F.lit(0).alias("level"),
