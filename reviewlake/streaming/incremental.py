@@ -26,7 +26,12 @@ def file_stream(spark: SparkSession, folder: str, schema: Ty.StructType | str, g
 
 
 def dedupe_stream(events: DataFrame, key: str, ts: str, watermark: str = "1 day") -> DataFrame:
-    """Drop repeats of ``key`` that arrive within the watermark delay."""
+    """Drop repeats of ``key`` that arrive within the watermark delay.
+
+    State per key is kept until the watermark passes; a key that arrives again
+    after that is emitted again (bounded state by design).  Within one
+    micro-batch, which of the repeated rows is kept is not specified; use
+    ``operators.dedupe.dedupe_latest`` on the sink when the newest must win."""
     return (events.withColumn(ts, F.col(ts).cast("timestamp"))
             .withWatermark(ts, watermark)
             .dropDuplicatesWithinWatermark([key]))
