@@ -44,3 +44,17 @@ def test_flagship_aggregates_are_partial(spark):
 def test_dedupe_is_an_aggregate_not_a_window(spark):
     p = plan(catalog.QUERIES["dedupe_latest"](spark, SF))
     assert "max_by" in p and "Window " not in p
+
+
+def test_rebalance_only_small_inputs(spark):
+    from reviewlake.plans.reviews import balanced
+    from reviewlake.session import scratch_dir
+    many = scratch_dir(spark, "many_files")
+    target = spark.sparkContext.defaultParallelism
+    spark.range(0, 20000).repartition(target * 2).write.parquet(many)
+    df = spark.read.parquet(many)
+    assert balanced(df) is df                      # enough files: never shuffled
+    one = scratch_dir(spark, "one_file")
+    spark.range(0, 1000).coalesce(1).write.parquet(one)
+    small = spark.read.parquet(one)
+    assert "RoundRobinPartitioning" in plan(balanced(small))
