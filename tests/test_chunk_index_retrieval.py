@@ -113,3 +113,13 @@ def test_knn_many_question_blocks(spark):
             d = ((items[b * 50:(b + 1) * 50] - qs[q]) ** 2).sum(axis=1)
             order = np.lexsort((np.arange(50), d))[:3] + b * 50
             assert [got[(b, q, r)] for r in range(1, 4)] == order.tolist()
+
+
+def test_chunk_recursive_on_whole_documents(spark):
+    from pyspark.sql import functions as F
+    from reviewlake.plans.reviews import read_table
+    d = read_table(spark, "/root/testdata/sf0.001", "documents")
+    ch = CH.chunk_recursive(d, "doc_id", "text")
+    assert ch.where(F.length("text") > CH.CHUNK_SIZE).count() == 0
+    # every non-blank document yields at least one chunk
+    assert ch.select("doc_id").distinct().count() == d.where(F.length(F.trim("text")) > 0).count()

@@ -89,3 +89,9 @@ def test_questions_table():
     t = D.questions_table()
     assert len(t) == 7 and t.rows[0][0] == 0
     assert len(D.questions_table(D.REPORT_QUESTIONS_OLD)) == 7
+
+
+def test_gather_text_skips_nulls(spark):
+    df = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "c")], "k int, turn int, text string")
+    out = stats.gather_text(df, "k", "turn", "text").first()
+    assert out.joined == "a c" and out.n_parts == 3
