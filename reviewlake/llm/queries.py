@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as LD
+from . import oracle
 from . import quality_rules as QR
 from .common import table
 
@@ -20,4 +21,5 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+SQL = oracle.SQL
 QUERIES = {q.__name__: q for q in (op3_line_dedup, op8_quality_rules)}
