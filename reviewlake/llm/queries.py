@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import line_dedup as LD
 from . import oracle
 from . import quality_rules as QR
+from . import simhash_dedup as SH
 from .common import table
 
 
@@ -21,5 +22,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = SH.simhash_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 SQL = oracle.SQL
-QUERIES = {q.__name__: q for q in (op3_line_dedup, op8_quality_rules)}
+QUERIES = {q.__name__: q for q in (op3_line_dedup, op6_simhash_dedup, op8_quality_rules)}
