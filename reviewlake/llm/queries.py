@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.session import scratch_dir
+
 from . import line_dedup as LD
 from . import oracle
+from . import packing as PK
 from . import quality_rules as QR
 from . import simhash_dedup as SH
+from . import token_blocks as TB
+from . import token_counts as TC
 from .common import table
 
+#: The vocabulary of the queries; the operators take any path.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QR.quality_rules(table(spark, sf_dir, "documents")).select(
@@ -27,5 +41,25 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _crc32_of_ids() -> Column:
+    return F.crc32("ids").alias("ids_crc32")
+
+
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "token-blocks")
+    TB.write_blocks(table(spark, sf_dir, "documents"), path, _vocabulary())
+    return TB.read_blocks(spark, path).select("doc_id", "start", "n_tokens", _crc32_of_ids())
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TC.token_counts(table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = PK.pack(table(spark, sf_dir, "documents"), _vocabulary())
+    return out.select("doc_id", "piece", "start", "length", _crc32_of_ids(), "sequence_id", "offset")
+
+
 SQL = oracle.SQL
-QUERIES = {q.__name__: q for q in (op3_line_dedup, op6_simhash_dedup, op8_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_token_blocks, op3_line_dedup, op6_simhash_dedup, op7_token_counts, op8_quality_rules,
+                                       op10_best_fit_packing)}
