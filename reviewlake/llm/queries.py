@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.session import scratch_dir
 
+from . import decontamination as DC
 from . import line_dedup as LD
 from . import oracle
 from . import packing as PK
@@ -36,6 +37,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = DC.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "start_word", "n_words", "similarity")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = SH.simhash_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -61,5 +67,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = oracle.SQL
-QUERIES = {q.__name__: q for q in (op1_token_blocks, op3_line_dedup, op6_simhash_dedup, op7_token_counts, op8_quality_rules,
+QUERIES = {q.__name__: q for q in (op1_token_blocks, op3_line_dedup, op5_decontamination, op6_simhash_dedup, op7_token_counts, op8_quality_rules,
                                        op10_best_fit_packing)}
