@@ -15,6 +15,7 @@ from . import quality_rules as QR
 from . import simhash_dedup as SH
 from . import token_blocks as TB
 from . import token_counts as TC
+from . import toxicity as TX
 from .common import table
 
 #: The vocabulary of the queries; the operators take any path.
@@ -61,11 +62,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TC.token_counts(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = TX.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = PK.pack(table(spark, sf_dir, "documents"), _vocabulary())
     return out.select("doc_id", "piece", "start", "length", _crc32_of_ids(), "sequence_id", "offset")
 
 
 SQL = oracle.SQL
-QUERIES = {q.__name__: q for q in (op1_token_blocks, op3_line_dedup, op5_decontamination, op6_simhash_dedup, op7_token_counts, op8_quality_rules,
+QUERIES = {q.__name__: q for q in (op1_token_blocks, op3_line_dedup, op5_decontamination, op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity,
                                        op10_best_fit_packing)}
