@@ -44,9 +44,11 @@ def shared_keys(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-               min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Per input row: doc_id, text (the kept lines), n_lines, n_dropped."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), id_key(doc_id).alias("_d"), whole_text(text).alias("_t"))
+               min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: bool = False) -> DataFrame:
+    """Per input row: doc_id, text (the kept lines), n_lines, n_dropped; with ``carry`` every column of
+    ``docs`` instead, the text replaced."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_rest")] if carry else []
+    d = docs.select(F.col(doc_id).alias("doc_id"), id_key(doc_id).alias("_d"), whole_text(text).alias("_t"), *rest)
     d = d.withColumn("_r", F.xxhash64("_t"))
     lines = _lines(d, min_chars)
     gone = lines.join(shared_keys(lines, min_docs), ["_h1", "_h2"]).where("_d > _first")
@@ -58,5 +60,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kept = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone"))
     out = F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))
+    if carry:
+        return j.select(*[out.alias(text) if c == text else F.col("_rest").getField(c).alias(c) for c in docs.columns])
     return j.select("doc_id", out.alias("text"), F.size(ls).cast("long").alias("n_lines"),
                     F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -22,7 +22,7 @@ from .common import table
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(VOCABULARY)
@@ -54,12 +54,12 @@ def _crc32_of_ids() -> Column:
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-blocks")
-    TB.write_blocks(table(spark, sf_dir, "documents"), path, _vocabulary())
+    TB.write_blocks(table(spark, sf_dir, "documents"), path, vocabulary())
     return TB.read_blocks(spark, path).select("doc_id", "start", "n_tokens", _crc32_of_ids())
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TC.token_counts(table(spark, sf_dir, "documents"), _vocabulary())
+    return TC.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = PK.pack(table(spark, sf_dir, "documents"), _vocabulary())
+    out = PK.pack(table(spark, sf_dir, "documents"), vocabulary())
     return out.select("doc_id", "piece", "start", "length", _crc32_of_ids(), "sequence_id", "offset")
 
 
