@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.session import scratch_dir
 
+from . import chat_format as CF
 from . import decontamination as DC
 from . import line_dedup as LD
 from . import oracle
@@ -16,7 +17,7 @@ from . import simhash_dedup as SH
 from . import token_blocks as TB
 from . import token_counts as TC
 from . import toxicity as TX
-from .common import table
+from .common import table, words_of
 
 #: The vocabulary of the queries; the operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +39,31 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: The tool of the derived calls below.
+TOOLS = {"reply": {
+    "type": "object", "required": ["turn", "words"], "additionalProperties": False,
+    "properties": {"turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "minimum": 1, "maximum": 400},
+                   "after": {"type": "object", "required": ["$ref"]}}}}
+
+
+def derived_tool_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations read as tool use: a user turn calls ``reply``, the turn after it is the tool's
+    result, and from the second call on the arguments refer to the call before."""
+    call = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    arguments = F.struct(F.size(words_of(F.coalesce("text", F.lit("")))).alias("words"), F.col("turn"), F.when(
+        F.col("turn") >= 2, F.struct(call(F.col("turn") - 2).alias("$ref"))).alias("after"))
+    calls = F.to_json(F.array(F.struct(F.lit("reply").alias("name"), call(F.col("turn")).alias("id"), arguments.alias("arguments"))))
+    return conversations.select(
+        "conv_id", "turn", F.when(F.col("role") == "assistant", "tool").when(F.col("role") == "user", "assistant")
+        .otherwise(F.col("role")).alias("role"), "text",
+        F.when(F.col("role") == "user", calls).alias("calls"),
+        F.when(F.col("role") == "assistant", call(F.col("turn") - 1)).alias("call_id"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CF.chat_format(derived_tool_messages(table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = DC.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", "start_word", "n_words", "similarity")
@@ -73,5 +99,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = oracle.SQL
-QUERIES = {q.__name__: q for q in (op1_token_blocks, op3_line_dedup, op5_decontamination, op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity,
+QUERIES = {q.__name__: q for q in (op1_token_blocks, op3_line_dedup, op4_chat_format, op5_decontamination, op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity,
                                        op10_best_fit_packing)}
