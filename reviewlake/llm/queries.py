@@ -14,6 +14,7 @@ from . import oracle
 from . import packing as PK
 from . import quality_rules as QR
 from . import simhash_dedup as SH
+from . import suffix_dedup as SX
 from . import token_blocks as TB
 from . import token_counts as TC
 from . import toxicity as TX
@@ -39,6 +40,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = SX.suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 #: The tool of the derived calls below.
 TOOLS = {"reply": {
     "type": "object", "required": ["turn", "words"], "additionalProperties": False,
@@ -99,5 +105,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = oracle.SQL
-QUERIES = {q.__name__: q for q in (op1_token_blocks, op3_line_dedup, op4_chat_format, op5_decontamination, op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity,
+QUERIES = {q.__name__: q for q in (op1_token_blocks, op2_suffix_dedup, op3_line_dedup, op4_chat_format, op5_decontamination, op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity,
                                        op10_best_fit_packing)}
