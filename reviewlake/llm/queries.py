@@ -105,5 +105,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = oracle.SQL
-QUERIES = {q.__name__: q for q in (op1_token_blocks, op2_suffix_dedup, op3_line_dedup, op4_chat_format, op5_decontamination, op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity,
-                                       op10_best_fit_packing)}
+QUERIES = {q.__name__: q for q in (
+    op1_token_blocks, op2_suffix_dedup, op3_line_dedup, op4_chat_format, op5_decontamination,
+    op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_best_fit_packing)}
