@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
 
-A document is contaminated by an item when some window of as many words as the item
-has a weighted similarity of ``min_similarity`` or more to it: the multiset Jaccard
+A document is contaminated by an item when some window of as many words as the item (cut where
+the text ends) has a weighted similarity of ``min_similarity`` or more to it: the multiset Jaccard
 similarity of their five-word shingles, each weighing as often as it occurs (words
 ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased).
 
@@ -39,8 +39,8 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _need(n: Column, min_similarity: float) -> Column:
-    """Shingles of an item of ``n`` that a window of ``n`` must hold: o / (2n - o) >= s means o >= 2ns / (1 + s)."""
-    return F.greatest(F.lit(1), F.ceil(F.round(n * (2 * min_similarity / (1 + min_similarity)), 9))).cast("int")
+    """Shingles of an item of ``n`` that a window of m <= n must hold: o / (n + m - o) >= s with o <= m means o >= ns."""
+    return F.greatest(F.lit(1), F.ceil(F.round(n * min_similarity, 9))).cast("int")
 
 
 def _grams(words: Column, width: int) -> Column:
