@@ -1,8 +1,9 @@
 """Dictionaries and taxonomies (our own words), as small literal tables.
 
 A ``Dictionary`` knows its row count when it is built, so broadcasting it is
-bounded by construction.  User-supplied DataFrames go through
-``operators.joins.small_side`` instead, which checks the size first.
+bounded by construction.  User-supplied DataFrames become one through
+``as_dictionary`` (read up to a bound), or are joined through
+``operators.joins.small_side``, which checks the size first.
 
 Two families:
   * ``*_EN``: English words a user would start from.
@@ -39,6 +40,21 @@ class Dictionary:
         return len(self.rows)
 
 
+#: Rows that a dictionary read from a DataFrame may have.
+MAX_DICTIONARY_ROWS = 200_000
+
+
+def as_dictionary(side) -> Dictionary:
+    """``side`` as a Dictionary; a DataFrame is read up to ``MAX_DICTIONARY_ROWS`` and refused beyond."""
+    if isinstance(side, Dictionary):
+        return side
+    rows = side.limit(MAX_DICTIONARY_ROWS + 1).collect()
+    if len(rows) > MAX_DICTIONARY_ROWS:
+        raise ValueError(f"a dictionary has at most {MAX_DICTIONARY_ROWS} rows; filter the table first")
+    schema = ", ".join(f"{n} {t}" for n, t in side.dtypes)
+    return Dictionary("table", schema, tuple(tuple(r) for r in rows))
+
+
 def _pairs(schema: str, name: str, mapping: dict) -> Dictionary:
     rows = tuple((k, w) for k, ws in mapping.items() for w in ws)
     return Dictionary(name, schema, rows)

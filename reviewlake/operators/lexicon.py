@@ -1,41 +1,112 @@
 """Dictionary-driven text labels: polarity, sentiment, text rating, topics,
 mentions, aspects, emotions, products.
 
-Shape of every operator: tokens are computed once per review, exploded
-(``explode_outer`` so a review without tokens still yields one row), joined to
-a broadcast dictionary, and reduced with ONE aggregate per review.  The
-aggregate has a partial stage, so the shuffle carries about one row per review
-per map partition, not one row per token, and a review that holds a huge share
-of tokens is combined map-side.  No review is joined back: zero-hit reviews are
-already in the aggregate with zero sums.
+Every label is computed in the review's own row: the tokens are filtered once to
+those that some dictionary knows (a hash-set lookup), and each weight or topic is a
+count over the few that are left.  No token becomes a row, nothing is grouped
+by id, so reviews that share an id (two companies, a rerun, a page captured
+twice) are never merged, doubled or lost, and only the small final
+aggregates shuffle.
+
+A dictionary is a bounded table: a ``Dictionary`` or a DataFrame with the same
+columns, which ``D.as_dictionary`` reads up to its bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake import dictionaries as D
 from reviewlake.functions import text as T
-from reviewlake.operators.joins import small_side
 
+NO_STRINGS = "array<string>"
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _among(terms: Iterable[str]):
+    terms = tuple(terms)
+    return lambda t: t.isin(*terms)
+
+
+def with_counts(reviews: DataFrame, text_col, groups: dict[str, Iterable[str]]) -> DataFrame:
+    """``reviews`` with one BIGINT column per group: how many tokens are among its terms.
 
-def exploded_terms(reviews: DataFrame, text_col, keys: list[str], term: str = "term") -> DataFrame:
-    """One row per (review, token); reviews with no token keep one NULL-term row."""
-    return reviews.select(*keys, F.explode_outer(T.tokens(text_col)).alias(term))
+    The hits are materialised in their own projection, so the tokenizer runs once.
+    """
+    groups = {name: sorted(set(terms)) for name, terms in groups.items()}
+    known = sorted(set().union(*groups.values()) if groups else ())
+    hits = _free(reviews, "_hits")
+    found = F.filter(T.tokens(text_col), _among(known)) if known else F.array()
+    staged = reviews.withColumn(hits, F.coalesce(found.cast(NO_STRINGS), F.array().cast(NO_STRINGS)))
+    counts = [F.size(F.filter(F.col(hits), _among(terms))).cast("bigint").alias(name)
+              for name, terms in groups.items()]
+    return staged.select(*[F.col(f"`{c}`") for c in reviews.columns], *counts)
+
+
+def _total(parts: list[Column]) -> Column:
+    out = F.lit(0).cast("bigint")
+    for p in parts:
+        out = out + p
+    return out.cast("bigint")
+
+
+def _by_weight(rows: Iterable[tuple[str, int]], prefix: str) -> tuple[dict[str, list[str]], dict[str, tuple[int, int, int]]]:
+    """Terms grouped by (sum of weights, sum of absolute weights, rows): the groups and their values."""
+    per: dict[str, list[int]] = {}
+    for term, w in rows:
+        per.setdefault(term, []).append(w)
+    groups: dict[tuple[int, int, int], list[str]] = {}
+    for term, ws in per.items():
+        groups.setdefault((sum(ws), sum(map(abs, ws)), len(ws)), []).append(term)
+    names = {f"{prefix}{i}": key for i, key in enumerate(sorted(groups))}
+    return {n: groups[key] for n, key in names.items()}, names
+
+
+def with_scores(reviews: DataFrame, text_col, lexicon=D.LEXICON_EN, taxonomy=None) -> DataFrame:
+    """``reviews`` with polarity, magnitude and hits and, given a taxonomy, topic, topic_score and topic_scores."""
+    lex = D.as_dictionary(lexicon)
+    groups, weights = _by_weight(((r[0], r[1]) for r in lex.rows), "_w")
+    topics: list[tuple[int, str]] = []
+    topic_weights: dict[str, dict[str, tuple[int, int, int]]] = {}
+    if taxonomy is not None:
+        tax = D.as_dictionary(taxonomy)
+        topics = sorted({(r[1], r[0]) for r in tax.rows})
+        for k, (_, topic) in enumerate(topics):
+            g, w = _by_weight(((r[2], r[3]) for r in tax.rows if r[0] == topic), f"_t{k}_")
+            groups |= g
+            topic_weights[topic] = w
+    cols = [F.col(f"`{c}`") for c in reviews.columns]
+    counted = with_counts(reviews, text_col, groups)
+    out = [_total([F.lit(v[i]) * F.col(n) for n, v in weights.items()]).alias(name)
+           for i, name in enumerate(("polarity", "magnitude", "hits"))]
+    if topics:
+        score = {t: _total([F.lit(v[0]) * F.col(n) for n, v in topic_weights[t].items()]) for _, t in topics}
+        # arg-max: largest score, then smallest order -> encode the order as negative
+        best = F.greatest(*[F.struct(score[t].alias("score"), F.lit(-o).alias("neg_order"), F.lit(t).alias("topic"))
+                            for o, t in topics]) if len(topics) > 1 else F.struct(
+            score[topics[0][1]].alias("score"), F.lit(-topics[0][0]).alias("neg_order"), F.lit(topics[0][1]).alias("topic"))
+        out += [F.when(best["score"] > 0, best["topic"]).otherwise(F.lit("unknown")).alias("topic"),
+                best["score"].alias("topic_score"), F.array(*[score[t] for _, t in topics]).alias("topic_scores")]
+    return counted.select(*cols, *out)
 
 
 def polarity(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str],
              lexicon=D.LEXICON_EN) -> DataFrame:
-    """Per review: polarity (sum of integer weights), hits, and net share in [-1, 1]."""
-    lex = small_side(spark, lexicon)
-    ex = exploded_terms(reviews, text_col, keys)
-    j = ex.join(lex, "term", "left")
-    w = F.coalesce(F.col("weight"), F.lit(0))
-    return (j.groupBy(*keys).agg(
-        F.sum(w).cast("bigint").alias("polarity"),
-        F.sum(F.abs(w)).cast("bigint").alias("magnitude"),
-        F.count(F.col("weight")).alias("hits")))
+    """Per review (row): keys, polarity (sum of integer weights), magnitude, hits."""
+    staged = reviews.select(*keys, _text(text_col).alias("_text"))
+    return with_scores(staged, "_text", lexicon).drop("_text")
+
+
+def _text(text_col) -> Column:
+    return F.col(text_col) if isinstance(text_col, str) else text_col
 
 
 def sentiment_from_polarity(p) -> F.Column:
@@ -67,33 +138,58 @@ def sentiment_pct(scored: DataFrame, group: list[str] | None = None) -> DataFram
 
 
 def classify_topics(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str],
-                    taxonomy: D.Dictionary = D.TAXONOMY_FIVE_EN) -> DataFrame:
+                    taxonomy=D.TAXONOMY_FIVE_EN) -> DataFrame:
     """Single-label topic per review: highest keyword-weight sum; ties by topic order;
     'unknown' when no keyword hits.  Also returns the per-topic scores."""
-    topics = sorted({(r[1], r[0]) for r in taxonomy.rows})
-    tax = small_side(spark, taxonomy).select(
-        F.col("keyword").alias("term"), "topic", "weight")
-    j = exploded_terms(reviews, text_col, keys).join(tax, "term", "left")
-    sums = [F.sum(F.when(F.col("topic") == F.lit(t), F.col("weight")).otherwise(F.lit(0)))
-            .cast("bigint").alias(f"s{order}") for order, t in topics]
-    agg = j.groupBy(*keys).agg(*sums)
-    # arg-max: largest score, then smallest order -> encode order as negative.
-    best = F.greatest(*[F.struct(F.col(f"s{o}").alias("score"), F.lit(-o).alias("neg_order"),
-                                 F.lit(t).alias("topic")) for o, t in topics])
-    return agg.select(
-        *keys,
-        F.when(best["score"] > 0, best["topic"]).otherwise(F.lit("unknown")).alias("topic"),
-        best["score"].alias("topic_score"),
-        F.array(*[F.col(f"s{o}") for o, _ in topics]).alias("topic_scores"))
+    staged = reviews.select(*keys, _text(text_col).alias("_text"))
+    none = D.Dictionary("none", "term string, weight int", ())
+    return with_scores(staged, "_text", none, taxonomy).select(*keys, "topic", "topic_score", "topic_scores")
+
+
+def _by_label(rows: Iterable[tuple], label: int = 0, term: int = 1) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r[label], []).append(r[term])
+    return out
+
+
+def _labels_long(counted: DataFrame, keep: list[str], labels: list[str], label_col: str) -> DataFrame:
+    """One row per (review, label) with hits, from the count columns ``_l0.._ln``."""
+    long = counted.select(*keep, F.inline(F.array(*[
+        F.struct(F.lit(lab).alias(label_col), F.col(f"_l{i}").alias("hits")) for i, lab in enumerate(labels)])))
+    return long.where(F.col("hits") > 0)
 
 
 def labels_hit(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str],
-               pairs: D.Dictionary, label_col: str, keyword_col: str = "keyword") -> DataFrame:
+               pairs, label_col: str) -> DataFrame:
     """Per (review, label): number of keyword hits, only where hits > 0."""
-    d = small_side(spark, pairs).select(F.col(keyword_col).alias("term"), label_col)
-    ex = exploded_terms(reviews, text_col, keys)
-    return (ex.join(d, "term", "inner")
-            .groupBy(*keys, label_col).agg(F.count(F.lit(1)).alias("hits")))
+    by = _by_label(D.as_dictionary(pairs).rows)
+    labels = sorted(by)
+    staged = reviews.select(*keys, _text(text_col).alias("_text"))
+    counted = with_counts(staged, "_text", {f"_l{i}": by[lab] for i, lab in enumerate(labels)})
+    return _labels_long(counted, keys, labels, label_col)
+
+
+def services(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str], pairs) -> DataFrame:
+    """Per review with at least one hit: its labels, sorted and joined by commas."""
+    by = _by_label(D.as_dictionary(pairs).rows)
+    labels = sorted(by)
+    staged = reviews.select(*keys, _text(text_col).alias("_text"))
+    counted = with_counts(staged, "_text", {f"_l{i}": by[lab] for i, lab in enumerate(labels)})
+    named = F.concat_ws(",", *[F.when(F.col(f"_l{i}") > 0, F.lit(lab)) for i, lab in enumerate(labels)])
+    return counted.select(*keys, named.alias("services")).where(F.col("services") != "")
+
+
+def label_hits_with_polarity(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str],
+                             lexicon, pairs, label_col: str) -> DataFrame:
+    """Per (review, label) with at least one keyword hit: hits and the review's polarity."""
+    by = _by_label(D.as_dictionary(pairs).rows)
+    labels = sorted(by)
+    staged = reviews.select(*keys, _text(text_col).alias("_text"))
+    lex_groups, weights = _by_weight(((r[0], r[1]) for r in D.as_dictionary(lexicon).rows), "_w")
+    counted = with_counts(staged, "_text", lex_groups | {f"_l{i}": by[lab] for i, lab in enumerate(labels)})
+    pol = _total([F.lit(v[0]) * F.col(n) for n, v in weights.items()])
+    return _labels_long(counted.withColumn("polarity", pol), [*keys, "polarity"], labels, label_col)
 
 
 def _gram_at(toks, n: int):
@@ -108,97 +204,36 @@ def _starts_with(toks, words: list[str]):
     return keep
 
 
-def ngram_terms(reviews: DataFrame, text_col, keys: list[str], max_n: int,
-                starts: dict[int, list[str]] | None = None) -> DataFrame:
-    """One row per (review, n-gram) for n = 1..max_n, n-gram = tokens joined by ' '.
+def _phrase_hits(toks: Column, phrases: list[str]) -> Column:
+    """Occurrences of the phrases in a token array, as an array of phrases.
 
-    ``starts[n]`` (optional) lists the tokens an n-gram may start with; other
-    start positions are skipped before any n-gram string is built, so a phrase
-    dictionary does not multiply the token stream by max_n.
+    n-grams are only built at positions whose token can start a phrase of that length.
     """
-    # Tokens are materialised once in their own projection; the n-gram lambdas then
-    # index the array column instead of re-running the tokenizer per element.
-    staged = reviews.select(*keys, T.tokens(text_col).alias("_toks"))
-    toks = F.col("_toks")
-    grams = []
-    for n in range(1, max_n + 1):
-        if starts is not None and n > 1 and not starts.get(n):
+    by_n: dict[int, list[str]] = {}
+    for p in phrases:
+        by_n.setdefault(len(p.split(" ")), []).append(p)
+    parts = []
+    for n, of_n in sorted(by_n.items()):
+        if n == 1:
+            parts.append(F.filter(toks, _among(of_n)))
             continue
-        # element_at is 1-based; start positions 1 .. size - n + 1
+        first = sorted({p.split(" ")[0] for p in of_n})
         idx = F.sequence(F.lit(1), F.greatest(F.size(toks) - F.lit(n - 1), F.lit(1)))
-        if starts is not None and n > 1:
-            first_words = sorted(set(starts[n]))
-            idx = F.filter(idx, _starts_with(toks, first_words))
-        gram = F.transform(idx, _gram_at(toks, n))
-        grams.append(F.when(F.size(toks) >= n, gram).otherwise(F.array().cast("array<string>")))
-    return staged.select(*keys, F.explode(F.concat(*grams)).alias("phrase"))
+        idx = F.filter(idx, _starts_with(toks, first))
+        grams = F.filter(F.transform(idx, _gram_at(toks, n)), _among(of_n))
+        parts.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast(NO_STRINGS)))
+    return F.concat(*parts)
 
 
 def mention_counts(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str],
-                   phrases: D.Dictionary = D.PHRASES_EN) -> DataFrame:
-    """Per category: phrase hits and number of distinct reviews mentioning it.
-
-    Multi-word phrases are matched by an equi-join on n-grams (n up to the longest
-    phrase), not by one regex per phrase.
-    """
-    max_n = max(len(p.split(" ")) for _, p in phrases.rows)
-    starts: dict[int, list[str]] = {}
-    for _, p in phrases.rows:
-        words = p.split(" ")
-        starts.setdefault(len(words), []).append(words[0])
-    d = small_side(spark, phrases)
-    hits = ngram_terms(reviews, text_col, keys, max_n, starts).join(d, "phrase", "inner")
-    per_review = hits.groupBy("category", *keys).agg(F.count(F.lit(1)).alias("hits"))
-    return per_review.groupBy("category").agg(
-        F.sum("hits").cast("bigint").alias("mentions"),
-        F.count(F.lit(1)).alias("reviews_mentioning"))
-
-
-def review_scores(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str],
-                  lexicon: D.Dictionary, taxonomy: D.Dictionary,
-                  carry: list[str] | None = None) -> DataFrame:
-    """Polarity, magnitude and single-label topic per review from ONE token pass.
-
-    The two dictionaries are merged into one wide table, one row per term
-    (weight, then one weight column per topic), so a term in both is joined once.
-    ``carry`` columns (fixed per review) ride along as grouping keys; keep them
-    short: every token row hashes its grouping keys.
-    """
-    keys = list(keys) + list(carry or [])
-    topics = sorted({(r[1], r[0]) for r in taxonomy.rows})
-    wide: dict[str, list[int]] = {}
-    for term, w in lexicon.rows:
-        wide.setdefault(term, [0] * (len(topics) + 1))[0] += w
-    order = {t: o for o, t in topics}
-    pos = {o: i + 1 for i, (o, _) in enumerate(topics)}
-    for topic, _o, kw, w in taxonomy.rows:
-        wide.setdefault(kw, [0] * (len(topics) + 1))[pos[order[topic]]] += w
-    cols = ["weight"] + [f"t{o}" for o, _ in topics]
-    merged = D.Dictionary("merged", "term string, " + ", ".join(f"{c} int" for c in cols),
-                          tuple((k, *v) for k, v in sorted(wide.items())))
-    j = exploded_terms(reviews, text_col, keys).join(small_side(spark, merged), "term", "left")
-    w = F.coalesce(F.col("weight"), F.lit(0))
-    agg = j.groupBy(*keys).agg(
-        F.sum(w).cast("bigint").alias("polarity"),
-        F.sum(F.abs(w)).cast("bigint").alias("magnitude"),
-        *[F.sum(F.coalesce(F.col(f"t{o}"), F.lit(0))).cast("bigint").alias(f"s{o}") for o, _ in topics])
-    best = F.greatest(*[F.struct(F.col(f"s{o}").alias("score"), F.lit(-o).alias("neg_order"),
-                                 F.lit(t).alias("topic")) for o, t in topics])
-    return agg.select(*keys, "polarity", "magnitude",
-                      F.when(best["score"] > 0, best["topic"]).otherwise(F.lit("unknown")).alias("topic"),
-                      *[F.col(f"s{o}") for o, _ in topics])
-
-
-def label_hits_with_polarity(spark: SparkSession, reviews: DataFrame, text_col, keys: list[str],
-                             lexicon: D.Dictionary, pairs: D.Dictionary, label_col: str) -> DataFrame:
-    """Per (review, label) with at least one keyword hit: hits and the review's
-    polarity, from ONE token pass (lexicon and label keywords merged)."""
-    labels = sorted({r[0] for r in pairs.rows})
-    tax = D.Dictionary(f"{pairs.name}_as_taxonomy",
-                       "topic string, topic_order int, keyword string, weight int",
-                       tuple((lab, i, kw, 1) for i, lab in enumerate(labels)
-                             for l2, kw in pairs.rows if l2 == lab))
-    sc = review_scores(spark, reviews, text_col, keys, lexicon, tax)
-    long = sc.select(*keys, "polarity", F.inline(F.array(*[
-        F.struct(F.lit(lab).alias(label_col), F.col(f"s{i}").alias("hits")) for i, lab in enumerate(labels)])))
-    return long.where(F.col("hits") > 0)
+                   phrases=D.PHRASES_EN) -> DataFrame:
+    """Per category: phrase hits and number of reviews (rows) mentioning it."""
+    by = _by_label(D.as_dictionary(phrases).rows)
+    labels = sorted(by)
+    toks = F.coalesce(T.tokens(text_col), F.array().cast(NO_STRINGS))
+    staged = reviews.select(toks.alias("_toks"))
+    found = staged.select(_phrase_hits(F.col("_toks"), sorted({p for ps in by.values() for p in ps})).alias("_hits"))
+    counted = found.select(*[F.size(F.filter("_hits", _among(by[lab]))).cast("bigint")
+                             .alias(f"_l{i}") for i, lab in enumerate(labels)])
+    return _labels_long(counted, [], labels, "category").groupBy("category").agg(
+        F.sum("hits").cast("bigint").alias("mentions"), F.count(F.lit(1)).alias("reviews_mentioning"))

@@ -281,9 +281,8 @@ def q_services_mentioned(spark, sf_dir):
     r = _reviews(spark, sf_dir)
     services = D.Dictionary("services", D.TAXONOMY_FIVE_FIXTURE.schema, tuple(
         row for row in D.TAXONOMY_FIVE_FIXTURE.rows if row[0] in D.SERVICES))
-    hits = L.labels_hit(spark, r, T.scoring_text("title", "body"), ["id"], services, "topic")
-    return (hits.groupBy("id")
-            .agg(F.concat_ws(",", F.array_sort(F.collect_set("topic"))).alias("services")))
+    pairs = D.Dictionary("service_terms", "topic string, keyword string", tuple((row[0], row[2]) for row in services.rows))
+    return L.services(spark, r, T.scoring_text("title", "body"), ["id"], pairs)
 
 
 @register("aspect_levels")

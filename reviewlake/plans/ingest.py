@@ -3,9 +3,10 @@
 Order matters for privacy: labels are computed from the raw text, then title
 and body are masked, and only masked text leaves the job.
 
-Scoring is one explode of the scoring text joined to ONE merged dictionary
-(term -> polarity weight and per-topic weights), reduced per review on a
-compact key (company, page, position) and joined back.
+Scores are computed in the review's own row (``operators.lexicon.with_scores``):
+one page scan, one ``from_json``, no join and no group-by, so a page without a
+number, a page captured twice or a repeated id neither loses, doubles nor merges a
+review.
 """
 
 from __future__ import annotations
@@ -28,12 +29,9 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, lexicon: D.Dictionary =
     """(records, rejects) from ``pages(company, page, html)`` (already bounded by
     ``take_while_pages``)."""
     raw, rejects = PG.parse_reviews(pages, ["company", "page"])
-    keys = ["company", "page", "pos"]
-    text = T.scoring_text("title", "body")
-    # Scores are reduced on the compact key and joined back.  Carrying the text as
-    # grouping keys instead would hash the whole review once per token row.
-    scores = L.review_scores(spark, raw, text, keys, lexicon, taxonomy)
-    j = raw.join(scores.select(*keys, "polarity", "magnitude", "topic"), keys, "inner")
+    # the scoring text is materialised with the parsed fields, so the payload is parsed once
+    staged = raw.select("*", T.scoring_text("title", "body").alias("_text"))
+    j = L.with_scores(staged, "_text", lexicon, taxonomy)
     rating = T.guarded_double("rating_raw")
     text_rating = L.text_rating_from_polarity("polarity", "magnitude")
     rec = j.select(

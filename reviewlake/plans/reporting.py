@@ -20,13 +20,12 @@ def company_summary(spark: SparkSession, reviews: DataFrame, lexicon=D.LEXICON_E
     avg_discrepancy, top_topic (most frequent non-NULL topic, ties by name).
 
     ``reviews`` is an enriched review table (numeric rating / text_rating).
-    One scan, then a chain of aggregates that each shrink the data: per review
-    (the per-review columns ride along as grouping keys, being fixed by the id),
-    per (company, topic), per company.  A hot company is combined map-side at
-    every level.
+    One scan that scores each review in its row, then two aggregates that each
+    shrink the data: per (company, topic), per company.  A hot company is combined
+    map-side at both levels; repeated ids count as often as they occur.
     """
     per_review = L.polarity(spark, reviews, T.corpus_text("title", "body"),
-                            ["company", "id", "topic", "text_rating", "discrepancy"], lexicon)
+                            ["company", "topic", "text_rating", "discrepancy"], lexicon)
     per_topic = per_review.groupBy("company", "topic").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("polarity") > 0).alias("pos"),
