@@ -18,7 +18,7 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 #: Pieces remembered per Python worker; beyond it the memory starts anew.
-MEMO = 800_000
+MEMO = 1_000_000
 _LONGEST = 48  # characters of a remembered piece
 _RUN = re.compile(r"\s\s")
 _BARE = "\x01"  # marks a piece that no space leads
@@ -51,6 +51,8 @@ class Encoder:
                         and not any(spec.get(k) for k in ("normalizer", "truncation", "padding", "post_processor")))
         self.memo_size = memo
         self.letters = _byte_letters()
+        self.space = self.letters[32]
+        self.packed = [_packed([k]) for k in range(self.library.get_vocab_size())]
         self.marks: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self._start()
@@ -66,15 +68,21 @@ class Encoder:
     def _piece(self, key: str) -> bytes:
         led = key[:1] != _BARE
         text = key if led else key[1:]
-        m = _WORD.fullmatch(text)
-        if m is None:
+        word, mark = text, ""
+        if not (text.isascii() and text.isalpha()):
+            m = _WORD.fullmatch(text)
+            word, mark = m.groups() if m else ("", "")
+        if not word:
             out = self._whole(" " + text if led else text)
         else:
-            word, mark = m.groups()
             out = self.memo.get(key[:-len(mark)]) if mark else None
             if out is None:
-                spelled = (" " + word if led else word).encode().decode("latin-1").translate(self.letters)
-                out = _packed([t.id for t in self.model.tokenize(spelled)])
+                if word.isascii():  # ASCII letters spell themselves
+                    spelled = self.space + word if led else word
+                else:
+                    spelled = (" " + word if led else word).encode().decode("latin-1").translate(self.letters)
+                packed = self.packed
+                out = b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
             if mark:
                 if mark not in self.marks:
                     self.marks[mark] = self._whole(mark)
