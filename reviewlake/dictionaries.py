@@ -135,6 +135,10 @@ PHRASES_EN = Dictionary("phrases_en", "category string, phrase string", (
     ("inflation", "prices have gone up"),
     ("competitors", "tesco"), ("competitors", "sainsbury's"), ("competitors", "aldi"),
     ("competitors", "lidl"), ("competitors", "morrisons"), ("competitors", "waitrose"),
+    ("locations", "london"), ("locations", "leeds"), ("locations", "manchester"), ("locations", "birmingham"),
+    ("locations", "glasgow"), ("locations", "high street"), ("locations", "city centre"),
+    ("employees", "manager"), ("employees", "staff"), ("employees", "cashier"), ("employees", "driver"),
+    ("employees", "assistant"), ("employees", "team member"), ("employees", "delivery driver"),
 ))
 PHRASES_FIXTURE = Dictionary("phrases_fixture", "category string, phrase string", (
     ("inflation", "of the"), ("inflation", "de la"), ("inflation", "cost of living"),
@@ -174,10 +178,15 @@ ASPECTS_FIXTURE = _pairs("aspect string, keyword string", "aspects_fixture", {
 # Gazetteer for entity masking: (label, term) with spaCy-style labels.
 GAZETTEER_EN = Dictionary("gazetteer_en", "label string, term string", (
     ("GPE", "london"), ("GPE", "leeds"), ("GPE", "manchester"), ("GPE", "birmingham"),
-    ("GPE", "glasgow"), ("PERSON", "john"), ("PERSON", "sarah"), ("PERSON", "ann"),
+    ("GPE", "glasgow"), ("GPE", "liverpool"), ("GPE", "new york"), ("PERSON", "john"), ("PERSON", "sarah"), ("PERSON", "ann"),
     ("PERSON", "bob"),
 ))
 
+# Words of the test text in the place of names, to exercise masking there.
+GAZETTEER_FIXTURE = Dictionary("gazetteer_fixture", "label string, term string", (
+    ("PERSON", "with"), ("PERSON", "nicht"), ("GPE", "pour"), ("GPE", "para"), ("ORG", "avec"),
+))
+
 # Source type (T20): user platforms vs professional sources.
 SOURCE_TYPE_EN = Dictionary("source_type_en", "source string, type string", (
     ("review site", "user"), ("yelp", "user"), ("google reviews", "user"),
@@ -186,16 +195,17 @@ SOURCE_TYPE_EN = Dictionary("source_type_en", "source string, type string", (
 ))
 
 
-def source_type_fixture(n_sources: int = 20) -> Dictionary:
-    """Rule for the test companies src0..src{n-1}: even index user, odd professional."""
-    return Dictionary("source_type_fixture", "source string, type string", tuple(
-        (f"src{i}", "user" if i % 2 == 0 else "professional") for i in range(n_sources)))
+def source_types_fixture(companies: DataFrame) -> DataFrame:
+    """Rule for the test companies src0, src1, ...: even number user, odd professional (one row per company)."""
+    n = F.regexp_extract("company", "[0-9]+$", 0).try_cast("bigint")
+    return companies.select("company").distinct().select(
+        "company", F.when(n % 2 == 0, "user").when(n % 2 == 1, "professional").alias("type"))
 
 
-def company_registry_fixture(n_sources: int = 20) -> Dictionary:
-    """Company registry (name -> review base URL) for the test companies, by rule."""
-    return Dictionary("companies_fixture", "company string, base_url string", tuple(
-        (f"src{i}", f"https://reviews.example/review/src{i}") for i in range(n_sources)))
+def company_registry_fixture(companies: DataFrame) -> DataFrame:
+    """Company registry (name -> review base URL) of the test companies, by rule (one row per company)."""
+    return companies.select("company").distinct().select(
+        "company", F.concat(F.lit("https://reviews.example/review/"), "company").alias("base_url"))
 
 
 # The report's question sets (current report, then the older one).

@@ -2,7 +2,7 @@
 
 Two forms:
 
-* ``mask_pii``: rule detectors (email, card-like number, IPv4, ISO date, phone)
+* ``mask_pii``: rule detectors (email, card-like number, IPv4, date, phone)
   applied as a chain of ``regexp_replace`` in priority order.  Each detector
   runs on the output of the previous one, so a card number is never re-read as
   a phone number, and placeholders contain no characters a later detector
@@ -29,12 +29,18 @@ PLACEHOLDERS = {
 KEEP_LABELS = ("ORG",)
 OTHER_PLACEHOLDER = "[ANONYMIZED]"
 
+# English month names as dates spell them.
+MONTHS = ("January|February|March|April|May|June|July|August|September|October|November|December"
+          "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec")
+
 # Rule detectors in priority order: (label, pattern).
 DETECTORS = [
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("CARD", r"[0-9](?:[ -]?[0-9]){12,18}"),
     ("IPV4", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"),
-    ("DATE", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"),
+    ("DATE", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2})"
+             r"|[0-9]{1,2}(?:st|nd|rd|th)? (?:" + MONTHS + r")(?: [0-9]{4})?"
+             r"|(?:" + MONTHS + r") [0-9]{1,2}(?:st|nd|rd|th)?(?:,? [0-9]{4})?"),
     ("PHONE", r"\+?[0-9][0-9 ()-]{7,}[0-9]"),
 ]
 

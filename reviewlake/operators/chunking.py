@@ -6,13 +6,14 @@ characters over the whole text, built with ``sequence`` + ``transform`` and
 
 ``chunk_recursive``: a recursive character splitter (blank line, newline,
 space, then single characters; pieces merged greedily up to ``size`` with up to
-``overlap`` characters carried into the next chunk), run per review through
+``overlap`` characters carried into the next chunk; edges stripped), run per review through
 ``mapInPandas`` on Arrow batches.  Chunks never span two reviews, so each chunk
 keeps its review id.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,45 +43,47 @@ def chunk_fixed(docs: DataFrame, keys: list[str], text_col: str,
 
 
 # --- recursive splitter (runs inside tasks) ----------------------------------------------
-def _split_keep(text: str, sep: str) -> list[str]:
-    if sep == "":
+def _pieces(text: str, sep: str) -> list[str]:
+    """Cut before every separator, so that it leads the piece after it; no empty pieces."""
+    if not sep:
         return list(text)
-    parts = text.split(sep)
-    # keep the separator at the start of every piece but the first
-    return [parts[0]] + [sep + p for p in parts[1:]]
+    first, *rest = text.split(sep)
+    return [p for p in [first, *(sep + r for r in rest)] if p]
 
 
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
-    chunks: list[str] = []
-    window: list[str] = []
-    total = 0
+def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
+    """Greedy chunks of whole pieces up to ``size``; the last pieces, up to ``overlap``, open the next one.
+    White space at a chunk's edges goes; blank chunks go."""
+    chunks, window, total = [], deque(), 0
     for p in pieces:
-        if total + len(p) > size and window:
-            chunks.append("".join(window))
-            while window and (total > overlap or total + len(p) > size):
-                total -= len(window[0])
-                window.pop(0)
+        if window and total + len(p) > size:
+            chunks.append("".join(window).strip())
+            while total > overlap or (total and total + len(p) > size):
+                total -= len(window.popleft())
         window.append(p)
         total += len(p)
-    if window:
-        chunks.append("".join(window))
-    return chunks
+    chunks.append("".join(window).strip())
+    return [c for c in chunks if c]
 
 
 def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                     separators: list[str] | None = None) -> list[str]:
+    """Chunks of a text by the first separator that occurs in it; a piece of ``size`` or more is split
+    by the separators after it, and its chunks stand on their own: they are not
+    merged with what comes before or after."""
     seps = SEPARATORS if separators is None else separators
-    if len(text) <= size:
-        return [text] if text else []
-    sep = next((s for s in seps if s == "" or s in text), "")
-    rest = seps[seps.index(sep) + 1:] if sep in seps else []
-    pieces: list[str] = []
-    for piece in _split_keep(text, sep):
-        if len(piece) > size and rest:
-            pieces.extend(split_recursive(piece, size, overlap, rest))
-        else:
-            pieces.append(piece)
-    return [c for c in _merge(pieces, size, overlap) if c.strip()]
+    at = next((k for k, s in enumerate(seps) if not s or s in text), len(seps) - 1)
+    finer = seps[at + 1:] if seps[at] else []
+    chunks: list[str] = []
+    short: list[str] = []
+    for piece in _pieces(text, seps[at]):
+        if len(piece) < size:
+            short.append(piece)
+            continue
+        chunks += _pack(short, size, overlap) if short else []
+        short = []
+        chunks += split_recursive(piece, size, overlap, finer) if finer else [piece]
+    return chunks + (_pack(short, size, overlap) if short else [])
 
 
 def chunk_recursive(docs: DataFrame, key: str, text_col: str,

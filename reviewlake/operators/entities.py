@@ -34,36 +34,55 @@ def entity_counts(docs: DataFrame, text_col: str) -> DataFrame:
                                      F.sum("n").cast("bigint").alias("n_mentions"))
 
 
-def _compile_detectors(gazetteer: D.Dictionary):
-    rules = [(label, re.compile(p)) for label, p in M.DETECTORS]
-    terms: dict[str, list[str]] = {}
-    for label, term in gazetteer.rows:
-        terms.setdefault(label, [])
-        terms[label].append(re.escape(term))
-    for label, alts in terms.items():
-        rules.append((label, re.compile(r"(?i)(?<!\w)(?:" + "|".join(alts) + r")(?!\w)")))
-    return rules
+_WORD = re.compile(r"\w+")
+
+
+def _gazetteer_index(gazetteer) -> dict[str, list[tuple[tuple[str, ...], str]]]:
+    """Terms by their first word, longest first: one lookup per word of a text."""
+    index: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+    for label, term in D.as_dictionary(gazetteer).rows:
+        words = tuple(w.lower() for w in _WORD.findall(term))
+        if words:
+            index.setdefault(words[0], []).append((words, label))
+    for terms in index.values():
+        terms.sort(key=lambda t: (-len(t[0]), t))
+    return index
 
 
-def make_span_detector(gazetteer: D.Dictionary = D.GAZETTEER_EN):
-    """pandas UDF: text -> non-overlapping spans (earliest start, then longest)."""
-    rules = _compile_detectors(gazetteer)
+def find_spans(text: str, rules, index) -> list[tuple[int, int, str]]:
+    """Spans in order of place.  Detectors claim their matches in the order of ``rules`` (the order
+    of ``masking.mask_pii``), gazetteer terms what is left; later ones never see a claimed part."""
+    spans: list[tuple[int, int, str]] = []
+    rest = text
+    for label, rx in rules:
+        found = [(m.start(), m.end(), label) for m in rx.finditer(rest)]
+        if found:
+            spans += found
+            parts, at = [], 0
+            for s, e, _ in found:
+                parts += [rest[at:s], "\0" * (e - s)]
+                at = e
+            rest = "".join([*parts, rest[at:]])
+    words = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(rest)] if index else []
+    k = 0
+    while k < len(words):
+        for terms, label in index.get(words[k][0], ()):
+            if tuple(w for w, _, _ in words[k:k + len(terms)]) == terms:
+                spans.append((words[k][1], words[k + len(terms) - 1][2], label))
+                k += len(terms) - 1
+                break
+        k += 1
+    return sorted(spans)
+
+
+def make_span_detector(gazetteer=D.GAZETTEER_EN):
+    """pandas UDF: text -> non-overlapping spans, by detector priority."""
+    rules = [(label, re.compile(p)) for label, p in M.DETECTORS]
+    index = _gazetteer_index(gazetteer)
 
     @F.pandas_udf(SPAN_TYPE)
     def detect_spans(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            found = [(m.start(), m.end(), label) for label, rx in rules for m in rx.finditer(t)]
-            found.sort(key=lambda s: (s[0], -(s[1] - s[0])))
-            kept, pos = [], 0
-            for s, e, label in found:
-                if s >= pos:
-                    kept.append({"start": s, "end": e, "label": label})
-                    pos = e
-            out.append(kept)
-        return pd.Series(out)
+        return pd.Series([None if t is None else [
+            {"start": s, "end": e, "label": label} for s, e, label in find_spans(t, rules, index)] for t in texts])
 
     return detect_spans

@@ -9,17 +9,20 @@ from reviewlake.dictionaries import Dictionary
 
 # A dictionary side above this many rows is joined by shuffle, not broadcast.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def small_side(spark: SparkSession, side, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``side`` when its size is bounded, else return it for a shuffle join.
 
-    A ``Dictionary`` is bounded by construction.  A DataFrame is checked with a
-    bounded count (``limit(max_rows + 1)``), which reads at most max_rows + 1 rows.
+    A ``Dictionary`` is bounded by construction.  A DataFrame is read once, up to
+    ``max_rows + 1`` rows and ``MAX_BROADCAST_BYTES``: what was read is broadcast if
+    that was all of it, so its plan is not run again.
     """
     if isinstance(side, Dictionary):
-        if len(side) <= max_rows:
-            return side.broadcast(spark)
-        return side.frame(spark)
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
+        return side.broadcast(spark) if len(side) <= max_rows else side.frame(spark)
+    rows = side.limit(max_rows + 1).collect()
+    size = sum(len(str(v)) for r in rows for v in r)
+    if len(rows) <= max_rows and size <= MAX_BROADCAST_BYTES:
+        return F.broadcast(spark.createDataFrame(rows, side.schema))
+    return side

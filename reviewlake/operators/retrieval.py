@@ -1,16 +1,17 @@
 """Nearest-chunk retrieval and context assembly.
 
-Exact k-NN: questions are packed into blocks of bounded size and attached to
-items by an equi-join on the block id (broadcast when provably small), so no
-cross join is planned and no row holds an unbounded question set.  Each item
-then computes its distance to every question of a block in one expression, and
-``row_number() <= k`` over (partition keys, question) picks the top k.  Spark
-plans that filter as a WindowGroupLimit that also runs *before* the shuffle,
-so at most k rows per question leave each map task even for a global top-k.
+``knn`` is the one exact path: the questions are a stated set that meets all items in
+blocks of bounded size, and only top-k candidates leave a block.  ``knn_lsh`` is the
+approximate option, with ``knn`` for the questions that it cannot fill.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,69 +45,130 @@ def centroids(vectors: DataFrame, label_col: str, vec_col: str, id_name: str = "
                     F.transform("pm", lambda x: x["m"]).alias("embedding")))
 
 
-# Questions packed per row in the SQL k-NN path (each item row carries one block).
-QUESTION_BLOCK = 64
+#: Bytes of question vectors that go to the executors in one broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bytes of the (rows, questions, dimensions) differences that a task holds at a time.
+BLOCK_BYTES = 32 * 1024 * 1024
+#: Item rows of a block; each block hands on at most k candidates per question.
+BLOCK_ROWS = 1024
+
+
+def _question_blocks(questions: DataFrame, question_id: str, question_vec: str, broadcast_bytes: int):
+    """The question set in blocks of about ``broadcast_bytes``: a list of (ids, matrix) makers."""
+    q = questions.select(F.col(question_id).alias("qid"), as_double_array(question_vec).alias("_qv"))
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
+    n_blocks = max(1, -(-stats["n"] * max(stats["d"] or 1, 1) * 8 // broadcast_bytes))
+    for b in range(n_blocks):
+        rows = q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).collect()
+        if rows:
+            yield [r[0] for r in rows], [r[1] for r in rows]
 
 
 def knn(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: str,
         item_vec: str, partition_by: list[str] | None = None, k: int = DEFAULT_K,
         question_id: str = "question_id", question_vec: str = "embedding",
-        block: int = QUESTION_BLOCK) -> DataFrame:
-    """Top-k items per (partition_by..., question) by squared L2; ties by item id.
-
-    Questions are packed into blocks of about ``block`` (hash of the question id),
-    one row per block.  One block: it is broadcast and attached to every item by
-    an equi-join on the block id.  Several blocks: each item row is replicated
-    once per block and joined to the blocks on the block id (broadcast when the
-    blocks are provably small, else a shuffle join), so no row, task or
-    broadcast holds an unbounded question set.  The work is items x questions
-    distances, which exact k-NN needs anyway.
+        broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES,
+        block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top-k items per (partition_by..., question) by squared L2; ties (to 9 decimals) by item id.
+
+    The questions are a stated query set; they meet all items in blocks, whatever their
+    number: blocks of ``broadcast_bytes`` are broadcast one after the other, and
+    a task compares ``block_rows`` items with as many questions as keep the differences
+    within ``block_bytes``.  A block of items hands on at most k candidates per
+    (partition keys, question), so what is emitted and shuffled is a k-th of a block's
+    share, not items x questions rows; ``row_number() <= k`` over the candidates, limited
+    again before the shuffle, gives the answer.
 
     Output: partition_by..., question_id, rank (1..k), item_id, distance.
     """
     partition_by = list(partition_by or [])
-    q = questions.select(F.col(question_id).alias("qid"), as_double_array(question_vec).alias("_qv"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
-    n_q, dim = stats["n"], stats["d"] or 0
-    n_blocks = max(1, -(-n_q // block))
-    blocks = (q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
-              .groupBy("_blk").agg(F.collect_list(F.struct("qid", "_qv")).alias("_qs")))
-    # n_blocks rows holding n_q x dim doubles in total: broadcast only under the byte bound
-    if n_q * max(dim, 1) * 8 <= MAX_BROADCAST_BYTES:
-        blocks = F.broadcast(blocks)
-    it = items.select(*partition_by, item_id, as_double_array(item_vec).alias("_iv"))
-    # the block id comes from a generator even for one block: a literal key would be
-    # constant-folded and the equi-join planned as a nested-loop join
-    it = it.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                    F.lit(n_blocks - 1).cast("bigint"))))
-    j = it.join(blocks, "_blk")
-    dists = F.transform("_qs", lambda qq: F.struct(qq["qid"].alias(question_id),
-                                                   sq_l2(F.col("_iv"), qq["_qv"]).alias("distance")))
-    pairs = j.select(*partition_by, item_id, F.inline(dists))
+    src = items.select(*partition_by, item_id, as_double_array(item_vec).alias("_iv")).where(F.col("_iv").isNotNull())
+    types = dict(src.dtypes)
+    qtype = dict(questions.dtypes)[question_id]
+    cols = partition_by + [item_id]
+    schema = ", ".join([f"`{c}` {types[c]}" for c in cols] + [f"`{question_id}` {qtype}", "distance double"])
+
+    def candidates(shared):
+        def run(batches):
+            qid, qm = shared.value
+            step = max(1, block_bytes // (8 * max(1, qm.shape[1]) * block_rows))
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                # rows sorted by (partition keys, item id): a stable sort of distances
+                # then breaks ties by item id
+                pdf = pdf.sort_values(cols, kind="mergesort").reset_index(drop=True)
+                x = np.stack(pdf["_iv"].to_numpy())
+                groups = (pdf.groupby(partition_by, sort=False, dropna=False).indices.values() if partition_by
+                          else [np.arange(len(pdf))])
+                for group in groups:
+                    for lo in range(0, len(group), block_rows):
+                        rows = group[lo:lo + block_rows]
+                        for at in range(0, len(qid), step):
+                            diff = x[rows][:, None, :] - qm[None, at:at + step, :]
+                            d = np.round(np.einsum("rqd,rqd->rq", diff, diff), 9)
+                            top = np.argsort(d, axis=0, kind="stable")[:k]  # (k', questions)
+                            part = pdf.loc[rows[top.reshape(-1)], cols].reset_index(drop=True)
+                            part[question_id] = np.tile(qid[at:at + step], len(top))
+                            part["distance"] = np.take_along_axis(d, top, axis=0).reshape(-1)
+                            yield part
+        return run
+
+    found = None
+    for ids, vectors in _question_blocks(questions, question_id, question_vec, broadcast_bytes):
+        shared = spark.sparkContext.broadcast((np.array(ids), np.array(vectors, dtype=np.float64)))
+        part = src.mapInPandas(candidates(shared), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], ", ".join([*(f"`{c}` {types[c]}" for c in partition_by), f"`{question_id}` {qtype}",
+                                                    "rank int", f"`{item_id}` {types[item_id]}", "distance double"]))
     w = Window.partitionBy(*partition_by, question_id).orderBy("distance", item_id)
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(*partition_by, question_id, "rank", item_id, "distance")
 
 
-def knn_lsh(items: DataFrame, questions: DataFrame, item_id: str, item_vec: str,
-            k: int = DEFAULT_K, bucket_length: float = 2.0, num_tables: int = 3,
-            threshold: float = 2.0, question_id: str = "question_id",
-            question_vec: str = "embedding", seed: int = 7) -> DataFrame:
-    """Approximate top-k with BucketedRandomProjectionLSH (Euclidean); may miss
-    neighbours further than ``threshold`` or in no shared bucket."""
+#: Items (by a hash of the id) from which knn_lsh derives its bucket length.
+LSH_SAMPLE = 2_000
+
+
+def knn_lsh(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: str, item_vec: str,
+            k: int = DEFAULT_K, bucket_length: float | None = None, num_tables: int = 6,
+            question_id: str = "question_id", question_vec: str = "embedding", seed: int = 7,
+            sample: int = LSH_SAMPLE) -> DataFrame:
+    """Approximate top-k by BucketedRandomProjectionLSH (Euclidean), with an exact way for the rest.
+
+    The bucket length is derived from the data unless given: the median distance of the questions to
+    their k-th neighbour in a bounded sample of the items.  Questions that find fewer than
+    k items in their buckets are answered by ``knn``, so every question gets k rows.
+    Distances are squared, as in ``knn``.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    if bucket_length is None:
+        few = items.orderBy(F.xxhash64(item_id), item_id).limit(sample)
+        kth = knn(spark, few, questions, item_id, item_vec, k=k, question_id=question_id, question_vec=question_vec)
+        bucket_length = kth.where(F.col("rank") == k).agg(F.median(F.sqrt("distance"))).first()[0] or 1.0
     a = items.select(F.col(item_id).alias("item"), array_to_vector(as_double_array(item_vec)).alias("v"))
     b = questions.select(F.col(question_id).alias("q"), array_to_vector(as_double_array(question_vec)).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=float(bucket_length),
                                       numHashTables=num_tables, seed=seed)
-    model = lsh.fit(a)
-    pairs = model.approxSimilarityJoin(a, b, threshold, distCol="dist").select(
+    pairs = lsh.fit(a).approxSimilarityJoin(a, b, float("inf"), distCol="dist").select(
         F.col("datasetB.q").alias(question_id), F.col("datasetA.item").alias(item_id),
-        F.col("dist").alias("distance"))
+        F.round(F.pow("dist", F.lit(2)), 9).alias("distance"))
     w = Window.partitionBy(question_id).orderBy("distance", item_id)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    full = near.groupBy(question_id).count().where(F.col("count") >= k).select(question_id)
+    rest = questions.join(full, question_id, "left_anti")
+    exact = knn(spark, items, rest, item_id, item_vec, k=k, question_id=question_id, question_vec=question_vec)
+    return near.join(full, question_id).select(question_id, "rank", item_id, "distance").unionByName(exact)
+
+
+def recall(found: DataFrame, exact: DataFrame, item_id: str, question_id: str = "question_id") -> DataFrame:
+    """(question_id, recall): the share of the exact neighbours that were found."""
+    hit = found.select(question_id, item_id).withColumn("_f", F.lit(1))
+    j = exact.select(question_id, item_id).join(hit, [question_id, item_id], "left")
+    return j.groupBy(question_id).agg((F.count("_f") / F.count(F.lit(1))).alias("recall"))
 
 
 def stuff_context(neighbours: DataFrame, texts: DataFrame, item_id: str, text_col: str,
@@ -120,81 +182,16 @@ def stuff_context(neighbours: DataFrame, texts: DataFrame, item_id: str, text_co
 
 def hashed_vectors(docs: DataFrame, id_col: str, tokens_col: str, dim: int = 256,
                    keep: list[str] | None = None) -> DataFrame:
-    """Test-only embedding: L2-normalised hashed term counts (JVM HashingTF).
-    ``keep`` columns are carried through (no join back)."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    tf = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=dim)
-    norm = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0)
-    keep = list(keep or [])
-    out = norm.transform(tf.transform(docs.select(id_col, *keep, tokens_col)))
-    return out.select(id_col, *keep, vector_to_array("_nv").alias("embedding"))
-
-
-# Question sets up to this many rows and bytes go to executors as a broadcast matrix.
-MAX_BROADCAST_QUESTIONS = 20_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def knn_vectorized(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: str,
-                   item_vec: str, partition_by: list[str] | None = None, k: int = DEFAULT_K,
-                   question_id: str = "question_id", question_vec: str = "embedding",
-                   block_rows: int = 512) -> DataFrame:
-    """Same result as ``knn`` for wide vectors or many questions: distances are
-    computed with numpy on Arrow batches (``mapInPandas``) against a broadcast
-    question matrix (size checked in rows and bytes; above the bound it falls
-    back to the blocked ``knn``).  Each batch emits at most k candidates per (partition keys,
-    question); a windowed top-k over those candidates gives the answer.
-    """
-    import numpy as np
-    import pandas as pd
-
-    partition_by = list(partition_by or [])
-    qsel = questions.select(question_id, as_double_array(question_vec).alias("_qv"))
-    first = qsel.select(F.size("_qv").alias("d")).first()
-    if first is None:
-        return knn(spark, items, questions, item_id, item_vec, partition_by, k, question_id, question_vec)
-    # bounded by rows AND bytes: rows x dims doubles stay under MAX_BROADCAST_BYTES
-    max_rows = min(MAX_BROADCAST_QUESTIONS, MAX_BROADCAST_BYTES // (8 * max(1, first["d"])))
-    q_rows = qsel.limit(max_rows + 1).collect()
-    if len(q_rows) > max_rows:
-        return knn(spark, items, questions, item_id, item_vec, partition_by, k, question_id, question_vec)
-    qids = np.array([r[0] for r in q_rows], dtype=np.int64)
-    qmat = np.array([r[1] for r in q_rows], dtype=np.float64)
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    src = items.select(*partition_by, item_id, as_double_array(item_vec).alias("_iv"))
-    types = dict(src.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in partition_by + [item_id]]
-                       + [f"`{question_id}` bigint", "distance double"])
-
-    def run(batches):
-        qid, qm = bq.value
-        qn = (qm * qm).sum(axis=1)
-        cols = partition_by + [item_id]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            # rows sorted by (partition keys, item id): a stable sort of distances
-            # then breaks ties by item id, as the SQL path does
-            pdf = pdf.sort_values(cols, kind="mergesort").reset_index(drop=True)
-            x = np.stack(pdf["_iv"].to_numpy())
-            groups = (pdf.groupby(partition_by, sort=False).indices if partition_by
-                      else {None: np.arange(len(pdf))})
-            out = []
-            for _, rows in groups.items():
-                xs = x[rows]
-                d = (xs * xs).sum(axis=1)[:, None] + qn[None, :] - 2.0 * (xs @ qm.T)
-                top = np.argsort(d, axis=0, kind="stable")[:k]          # (k', nq)
-                kk = top.shape[0]
-                sel = rows[top.reshape(-1)]
-                part = pdf.loc[sel, cols].reset_index(drop=True)
-                part[question_id] = np.tile(qid, kk)
-                part["distance"] = np.maximum(d[top, np.arange(len(qid))[None, :]].reshape(-1), 0.0)
-                out.append(part)
-            yield pd.concat(out, ignore_index=True)
-
-    cand = src.mapInPandas(run, schema)
-    w = Window.partitionBy(*partition_by, question_id).orderBy("distance", item_id)
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(*partition_by, question_id, "rank", item_id, "distance")
+    """Test-only embedding: L2-normalised term counts, a term's place being the first 8 hex digits
+    of its MD5 modulo ``dim``.  ``keep`` columns are carried through (no join back)."""
+    @F.pandas_udf("array<double>")
+    def vector(tokens: pd.Series) -> pd.Series:
+        place = lru_cache(maxsize=200_000)(lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim)
+        out = []
+        for ts in tokens:
+            v = np.bincount([place(t) for t in (ts if ts is not None else ())], minlength=dim).astype(float)
+            norm = np.sqrt((v * v).sum())
+            out.append(v / norm if norm else v)
+        return pd.Series(out)
+
+    return docs.select(id_col, *(keep or []), vector(tokens_col).alias("embedding"))

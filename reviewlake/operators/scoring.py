@@ -9,10 +9,9 @@ in an ``error`` column instead of a fake answer, a failed batch is split and
 each text is retried with backoff, and results can be written to a shared folder so a rerun only scores
 what is missing (anti-join on the key).
 
-``answer_extractive`` and ``summary_extractive`` are the model-free default
-for question answering: they pick the sentences that share the most terms with
-the question, with deterministic tie-breaks, using only joins, explode and
-windowed top-k (bounded groups).
+``answer_extractive`` and ``summarise`` are the model-free default for question
+answering: the sentence that shares the most terms with the question, with
+deterministic tie-breaks, and all answers of a question joined in two levels.
 """
 
 from __future__ import annotations
@@ -21,7 +20,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions import text as T
@@ -29,29 +29,49 @@ from reviewlake.functions import text as T
 Scorer = Callable[[list[str]], list[str]]
 
 
+def _earlier(spark, path: str) -> DataFrame | None:
+    """Results of earlier runs, or None when there are none; any other fault is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def score_with(df: DataFrame, text_col: str, scorer_factory: Callable[[], Scorer],
                batch_size: int = 64, max_retries: int = 3, backoff_s: float = 0.5,
-               results_path: str | None = None) -> DataFrame:
+               results_path: str | None = None, tasks: int | None = None,
+               keep: list[str] | None = None) -> DataFrame:
     """Add ``value`` and ``error`` columns: the scorer's answer for ``text_col``.
 
     ``results_path`` (a folder under the shared checkpoint folder) keeps scored
-    keys; a rerun reads it, scores only new keys, and appends.
+    keys; a rerun reads it, scores the keys without a success (new ones and failed
+    ones), and appends; the newest result of a key counts.  ``tasks`` is the number of
+    scoring tasks, i.e. of clients that call a model at a time.  ``keep`` names the
+    columns that meet the answers again (all by default; leave the text out when it
+    is not needed, and only keys and answers are joined).
     """
     spark = df.sparkSession
-    keyed = df.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    uniq = keyed.groupBy("_key").agg(F.any_value(text_col).alias("_text"))
-    if results_path is not None:
-        try:
-            previous = spark.read.parquet(results_path)
-            uniq = uniq.join(previous.select("_key"), "_key", "left_anti")
-        except Exception:  # noqa: BLE001 - no earlier results yet
-            pass
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    uniq = df.select(key.alias("_key"), F.col(text_col).alias("_text")).groupBy("_key").agg(
+        F.any_value("_text").alias("_text"))
+    if results_path is not None and (earlier := _earlier(spark, results_path)) is not None:
+        uniq = uniq.join(earlier.where("error is null").select("_key").distinct(), "_key", "left_anti")
+    if tasks:
+        uniq = uniq.repartition(tasks, "_key")
+
+    def answers(scorer: Scorer, texts: list[str]) -> list[str]:
+        values = list(scorer(texts))
+        if len(values) != len(texts):
+            raise ValueError(f"scorer gave {len(values)} answers to {len(texts)} texts")
+        return values
 
     def score_one(scorer: Scorer, t: str):
         err = None
         for attempt in range(max_retries):
             try:
-                return scorer([t])[0], None
+                return answers(scorer, [t])[0], None
             except Exception as e:  # noqa: BLE001
                 err = f"{type(e).__name__}: {e}"
                 if attempt + 1 < max_retries:
@@ -65,23 +85,30 @@ def score_with(df: DataFrame, text_col: str, scorer_factory: Callable[[], Scorer
                 part = pdf.iloc[start:start + batch_size]
                 texts = [t if t is not None else "" for t in part["_text"]]
                 try:
-                    values = list(scorer(texts))
-                    errors = [None] * len(texts)
+                    pairs = [(v, None) for v in answers(scorer, texts)]
                 except Exception:  # noqa: BLE001
                     # the batch failed: score each text alone (with retry and
                     # backoff) so one bad input does not take the others down
                     pairs = [score_one(scorer, t) for t in texts]
-                    values = [v for v, _ in pairs]
-                    errors = [e for _, e in pairs]
-                yield pd.DataFrame({"_key": list(part["_key"]), "value": values, "error": errors})
+                yield pd.DataFrame({"_key": list(part["_key"]), "value": [v for v, _ in pairs],
+                                    "error": [e for _, e in pairs]})
 
     scored = uniq.mapInPandas(run, "_key string, value string, error string")
     if results_path is not None:
-        scored.write.mode("append").parquet(results_path)
-        scored = spark.read.parquet(results_path)
+        scored.withColumn("run", F.lit(time.time_ns())).write.mode("append").parquet(results_path)
+        scored = (spark.read.parquet(results_path).groupBy("_key")
+                  .agg(F.max_by(F.struct("value", "error"), F.struct(F.col("error").isNull(), "run")).alias("_r"))
+                  .select("_key", "_r.*"))
+    keyed = df.select(*(keep if keep is not None else df.columns), key.alias("_key"))
     return keyed.join(scored, "_key", "left").drop("_key")
 
 
+def coverage(scored: DataFrame) -> DataFrame:
+    """One row: how many rows have an answer, how many failed, how many there are."""
+    return scored.agg(F.count("value").alias("n_scored"), F.count("error").alias("n_failed"),
+                      F.count(F.lit(1)).alias("n_rows"))
+
+
 def stub_label_scorer_factory(fail_suffix: str = "0") -> Callable[[], Scorer]:
     """A deterministic stand-in for a remote labeller, for tests and the registered
     query: label by counts of a few function words; texts whose SHA-256 ends in
@@ -120,27 +147,47 @@ def answer_extractive(neighbours: DataFrame, chunk_texts: DataFrame, questions:
     """Best sentence per group (e.g. batch, question) among its retrieved chunks.
 
     Score = number of distinct question terms in the sentence; ties by chunk
-    rank, then sentence position.  Groups hold k chunks, so they are bounded.
+    rank, then sentence position; a NULL answer when no sentence shares a term.
+    Only retrieved chunks are cut into sentences.  Groups hold k chunks, so they
+    are bounded.
     """
-    # sentences and their tokens once per chunk, not once per (chunk, question)
-    sent = sentences(chunk_texts.select(item_id, text_col), [item_id], text_col)
+    wanted = neighbours.select(item_id).distinct()
+    near = chunk_texts.select(item_id, text_col).join(wanted, item_id, "left_semi")
+    sent = sentences(near, [item_id], text_col)
     sent = sent.withColumn("_st", F.array_distinct(T.tokens("sentence")))
     s = neighbours.select(*group, "rank", item_id).join(sent, item_id, "inner")
     q = questions.select("question_id", F.array_distinct(T.tokens(question_text)).alias("_qt"))
     s = s.join(q, "question_id", "inner")
-    scored = s.withColumn("score", F.size(F.array_intersect("_st", "_qt")))
-    w = Window.partitionBy(*group).orderBy(F.desc("score"), "rank", "sent_pos")
-    best = scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-    return best.select(*group, F.col("sentence").alias("answer"), F.col("score").cast("bigint").alias("score"))
-
-
-def summary_extractive(answers: DataFrame, per: str = "question_id", order_col: str = "batch_id",
-                       top: int = 3) -> DataFrame:
-    """Top-``top`` answers per question by score (ties by ``order_col``), joined in
-    that order.  Error rows (NULL answers) are skipped."""
-    ok = answers.where(F.col("answer").isNotNull())
-    w = Window.partitionBy(per).orderBy(F.desc("score"), order_col)
-    topn = ok.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top)
-    return (topn.groupBy(per)
-            .agg(F.array_sort(F.collect_list(F.struct("_rn", "answer"))).alias("_a"))
-            .select(per, F.concat_ws(" ", F.transform("_a", lambda x: x["answer"])).alias("summary")))
+    scored = s.withColumn("score", F.size(F.array_intersect("_st", "_qt")).cast("bigint"))
+    # arg-max as an aggregate, combined before the shuffle: score, then chunk rank, then position
+    best = scored.groupBy(*group).agg(F.min_by(
+        F.struct("sentence", "score"), F.struct(-F.col("score"), F.col("rank"), F.col("sent_pos"))).alias("_b"))
+    hit = F.col("_b.score") > 0
+    return best.select(*group, F.when(hit, F.col("_b.sentence")).alias("answer"), F.col("_b.score").alias("score"))
+
+
+def summarise(answers: DataFrame, per: str = "question_id", order_col: str = "batch_id", block: int = 64,
+              scorer_factory: Callable[[], Scorer] | None = None, **scoring) -> DataFrame:
+    """(per, summary, n_batches, n_answered): all answers of a question, in two levels.
+
+    Blocks of ``block`` consecutive batches are joined first, then the blocks.  With a
+    ``scorer_factory`` (a model that shortens a text) each block's text and then the joined
+    partial summaries go through ``score_with``, so no call sees more than a block's
+    answers; without one the summary is the joined answers.  Rows without an answer
+    are counted, never summarised.
+    """
+    blocks = answers.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block))).groupBy(per, "_blk").agg(
+        F.array_sort(F.collect_list(F.when(F.col("answer").isNotNull(), F.struct(order_col, "answer")))).alias("_a"),
+        F.count(F.lit(1)).alias("_n"), F.count("answer").alias("_ok"))
+    blocks = blocks.select(per, "_blk", "_n", "_ok", F.concat_ws(" ", F.transform("_a", lambda x: x["answer"])).alias("_text"))
+    if scorer_factory is not None:
+        made = score_with(blocks, "_text", scorer_factory, keep=[per, "_blk", "_n", "_ok"], **scoring)
+        blocks = made.withColumnRenamed("value", "_text")
+    out = blocks.groupBy(per).agg(
+        F.array_sort(F.collect_list(F.when((F.col("_ok") > 0) & F.col("_text").isNotNull(), F.struct("_blk", "_text")))).alias("_b"),
+        F.sum("_n").cast("bigint").alias("n_batches"), F.sum("_ok").cast("bigint").alias("n_answered"))
+    out = out.select(per, F.concat_ws(" ", F.transform("_b", lambda x: x["_text"])).alias("summary"), "n_batches", "n_answered")
+    if scorer_factory is not None:
+        final = score_with(out, "summary", scorer_factory, keep=[per, "n_batches", "n_answered"], **scoring)
+        out = final.select(per, F.col("value").alias("summary"), "n_batches", "n_answered")
+    return out

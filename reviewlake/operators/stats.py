@@ -41,10 +41,6 @@ def topic_rating_pivot(reviews: DataFrame, rating_values: list[str],
             .na.fill(0, subset=list(rating_values)))
 
 
-def counts_by(reviews: DataFrame, key: str) -> DataFrame:
-    return reviews.groupBy(key).agg(F.count(F.lit(1)).alias("n_reviews"))
-
-
 def gather_text(df: DataFrame, key: str, order_col: str, text_col: str, sep: str = " ",
                 block: int = 64) -> DataFrame:
     """Join ``text_col`` per key in ``order_col`` order (e.g. answers per question).

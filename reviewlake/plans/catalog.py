@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake import dictionaries as D
@@ -24,7 +24,9 @@ from reviewlake.operators import retrieval as RT
 from reviewlake.operators import scoring as SC
 from reviewlake.operators import stats
 from reviewlake.operators import terms as TM
+from reviewlake.operators.joins import small_side
 from reviewlake.plans import reporting as RP
+from reviewlake.plans.ingest import ingest_pages
 from reviewlake.plans.reviews import enrich, read_table
 from reviewlake.plans.reviews import fixture_reviews
 from reviewlake.session import scratch_dir
@@ -101,12 +103,12 @@ def q_company_slug(spark, sf_dir):
 
 @register("by_company_counts")
 def q_by_company_counts(spark, sf_dir):
-    """One job over all registered companies: counts per company (pre-aggregated,
-    so a hot company is combined map-side), then a broadcast join with the
-    registry (bounded: a literal table)."""
+    """One job over all companies: counts per company (pre-aggregated, so a hot
+    company is combined map-side), then a join with the registry on the company,
+    by which both sides are already partitioned."""
     r = _reviews(spark, sf_dir)
     counts = r.groupBy("company").agg(F.count(F.lit(1)).alias("n_reviews"))
-    reg = D.company_registry_fixture().broadcast(spark)
+    reg = D.company_registry_fixture(r)
     return (counts.join(reg, "company", "left")
             .select("company", "base_url", T.company_slug("company").alias("slug"), "n_reviews"))
 
@@ -186,7 +188,7 @@ def q_rating_scatter(spark, sf_dir):
 @register("source_type_mask")
 def q_source_type_mask(spark, sf_dir):
     r = _reviews(spark, sf_dir)
-    st = D.source_type_fixture().broadcast(spark).withColumnRenamed("source", "company")
+    st = small_side(spark, D.source_types_fixture(r))  # one row per company
     j = r.join(st, "company", "left")
     pro = F.col("type") == F.lit("professional")
     return j.select("id", "company", "type",
@@ -204,8 +206,8 @@ def q_avg_text_rating(spark, sf_dir):
 
 @register("value_counts_all")
 def q_value_counts_all(spark, sf_dir):
-    return stats.value_counts_all(_reviews(spark, sf_dir),
-                                  ["rating", "topic", "verified", "lang", "company"])
+    r = _reviews(spark, sf_dir)
+    return stats.value_counts_all(r, [c for c in r.columns if c != "id"])
 
 
 @register("value_counts_top")
@@ -324,6 +326,17 @@ def q_product_feedback(spark, sf_dir):
         F.count(F.lit(1)).alias("n_reviews"))
 
 
+@register("product_ranking")
+def q_product_ranking(spark, sf_dir):
+    """Products with the most positive and the most negative reviews: the first three of each, ties by name."""
+    p = q_product_feedback(spark, sf_dir)
+    sides = p.select("product", F.inline(F.array(
+        F.struct(F.lit("positive").alias("side"), F.col("n_positive").alias("n_reviews")),
+        F.struct(F.lit("negative").alias("side"), F.col("n_negative").alias("n_reviews")))))
+    w = Window.partitionBy("side").orderBy(F.desc("n_reviews"), "product")
+    return sides.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+
+
 # --- terms, masking, entities ------------------------------------------------------------
 
 # Fixed values used by registered queries.
@@ -356,7 +369,7 @@ def q_entity_counts(spark, sf_dir):
 @register("mask_spans")
 def q_mask_spans(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    detect = EN.make_span_detector()
+    detect = EN.make_span_detector(D.GAZETTEER_FIXTURE)
     s = d.select("doc_id", "text", detect("text").alias("spans"))
     return s.select("doc_id", F.size("spans").alias("n_spans"), M.mask_spans("text", "spans").alias("masked"))
 
@@ -409,8 +422,13 @@ def q_knn_global(spark, sf_dir):
 
 @register("knn_lsh")
 def q_knn_lsh(spark, sf_dir):
+    """Per question: rows found and whether the recall against the exact search is at least 0.9."""
     e, q = _emb_questions(spark, sf_dir)
-    return RT.knn_lsh(e, q, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+    found = RT.knn_lsh(spark, e, q, "vec_id", "embedding")
+    exact = RT.knn(spark, e, q, "vec_id", "embedding")
+    n = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_found"))
+    return RT.recall(found, exact, "vec_id").join(n, "question_id").select(
+        "question_id", "n_found", (F.col("recall") >= 0.9).alias("recall_ok"))
 
 
 @register("stuff_context")
@@ -426,22 +444,19 @@ def q_hashed_vectors(spark, sf_dir):
     return RT.hashed_vectors(r, "id", "toks")
 
 
-def _qa(spark, sf_dir):
-    """reviews -> chunks -> batches -> hashed vectors -> k-NN per batch -> answers."""
-    r = _reviews(spark, sf_dir)
-    ch = CH.chunk_fixed(r, ["id"], "body")
+def _qa(spark, sf_dir, questions=D.REPORT_QUESTIONS):
+    """reviews (title and body) -> chunks -> batches -> hashed vectors -> k-NN per batch -> answers."""
+    r = _reviews(spark, sf_dir).select("id", T.corpus_text("title", "body").alias("corpus"))
+    ch = CH.chunk_fixed(r, ["id"], "corpus")
     ch = ch.withColumn("chunk_id", F.concat_ws(":", "id", F.col("chunk_pos").cast("string")))
-    ix = IX.dense_index(ch, ["id", "chunk_pos"])
-    ix = ix.withColumn("batch_id", IX.batch_of("idx", BATCH_SIZE))
-    items = RT.hashed_vectors(ix.select("chunk_id", "batch_id", T.tokens("text").alias("toks")),
-                              "chunk_id", "toks", keep=["batch_id"])
-    b = read_table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    # the index needs the keys only; the text meets its batch again by the chunk's key
+    ix = IX.dense_index(ch.select("id", "chunk_pos", "chunk_id"), ["id", "chunk_pos"])
+    ix = ix.select("chunk_id", IX.batch_of("idx", BATCH_SIZE).alias("batch_id"))
+    items = RT.hashed_vectors(ch.select("chunk_id", T.tokens("text").alias("toks")), "chunk_id", "toks").join(ix, "chunk_id")
+    b = D.questions_table(questions).frame(spark)
     qv = RT.hashed_vectors(b.select("question_id", T.tokens("question").alias("toks")), "question_id", "toks")
-    nn = RT.knn_vectorized(spark, items, qv, "chunk_id", "embedding", ["batch_id"])
-    answers = SC.answer_extractive(nn, ix.select("chunk_id", "text"), b, ["batch_id", "question_id"],
-                                   "chunk_id")
-    return answers, b
+    nn = RT.knn(spark, items, qv, "chunk_id", "embedding", ["batch_id"])
+    return SC.answer_extractive(nn, ch.select("chunk_id", "text"), b, ["batch_id", "question_id"], "chunk_id"), b
 
 
 @register("answer_extractive")
@@ -451,14 +466,33 @@ def q_answer_extractive(spark, sf_dir):
 
 @register("summary_extractive")
 def q_summary_extractive(spark, sf_dir):
-    return SC.summary_extractive(_qa(spark, sf_dir)[0])
+    return SC.summarise(_qa(spark, sf_dir)[0])
+
+
+@register("summary_old_questions")
+def q_summary_old_questions(spark, sf_dir):
+    """The older report's questions through the same chain."""
+    return SC.summarise(_qa(spark, sf_dir, D.REPORT_QUESTIONS_OLD)[0])
 
 
 @register("score_with_stub")
 def q_score_with_stub(spark, sf_dir):
     r = _reviews(spark, sf_dir).select("id", T.scoring_text("title", "body").alias("scoring_text"))
-    scored = SC.score_with(r, "scoring_text", SC.stub_label_scorer_factory(), backoff_s=0.01)
-    return scored.select("id", "value", "error")
+    return SC.score_with(r, "scoring_text", SC.stub_label_scorer_factory(), backoff_s=0.01, tasks=8, keep=["id"])
+
+
+@register("score_with_retry")
+def q_score_with_retry(spark, sf_dir):
+    """A first run in which some texts fail, then a rerun with a healthy scorer: it scores the failed ones only."""
+    r = _reviews(spark, sf_dir).select("id", T.scoring_text("title", "body").alias("scoring_text"))
+    path = scratch_dir(spark, "scored")
+    SC.score_with(r, "scoring_text", SC.stub_label_scorer_factory(), backoff_s=0.01, results_path=path, keep=["id"])
+    return SC.score_with(r, "scoring_text", SC.stub_label_scorer_factory("none"), results_path=path, keep=["id"])
+
+
+@register("score_coverage")
+def q_score_coverage(spark, sf_dir):
+    return SC.coverage(q_score_with_stub(spark, sf_dir))
 
 
 @register("gather_by_key")
@@ -469,10 +503,12 @@ def q_gather_by_key(spark, sf_dir):
 
 @register("prompt_messages")
 def q_prompt_messages(spark, sf_dir):
+    """The messages of every template for every review."""
     r = _reviews(spark, sf_dir)
-    m = r.select("id", F.posexplode(PR.messages("sentiment", T.scoring_text("title", "body")))
-                 .alias("msg_pos", "m"))
-    return m.select("id", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    text = T.scoring_text("title", "body")
+    made = F.array(*[F.struct(F.lit(name).alias("template"), PR.messages(name, text).alias("ms")) for name in PR.TEMPLATES])
+    m = r.select("id", F.inline(made)).select("id", "template", F.posexplode("ms").alias("msg_pos", "m"))
+    return m.select("id", "template", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
 # --- pages and stores --------------------------------------------------------------------
@@ -481,7 +517,7 @@ def q_page_take_while(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations")
     pages = c.select(F.col("conv_id").alias("company"), (F.col("turn") + 1).cast("int").alias("page"),
                      F.length("text").alias("n_chars"))
-    pages = PG.dedupe_captures(pages, prefer="n_chars")
+    pages = PG.dedupe_captures(pages, prefer=["n_chars"])
     kept = PG.take_while_pages(pages, F.col("n_chars") > LONG_TURN_CHARS)
     return kept.select(F.col("company").alias("conv_id"), (F.col("page") - 1).cast("bigint").alias("turn"))
 
@@ -515,12 +551,28 @@ def q_next_data_reviews(spark, sf_dir):
 
 @register("ingest_reviews")
 def q_ingest_reviews(spark, sf_dir):
-    from reviewlake.plans.ingest import ingest_pages
     records, _rejects = ingest_pages(spark, _rendered_pages(spark, sf_dir),
-                                     D.LEXICON_FIXTURE, D.TAXONOMY_FIVE_FIXTURE)
+                                     D.LEXICON_FIXTURE, D.TAXONOMY_FIVE_FIXTURE, D.GAZETTEER_FIXTURE)
     return records
 
 
+@register("ingest_repeated_pages")
+def q_ingest_repeated_pages(spark, sf_dir):
+    """Every page captured twice, once without its number: no review is merged, doubled or lost."""
+    pages = _rendered_pages(spark, sf_dir)
+    both = pages.unionByName(pages.withColumn("page", F.lit(None).cast("int")))
+    records, _rejects = ingest_pages(spark, both, D.LEXICON_FIXTURE, D.TAXONOMY_FIVE_FIXTURE, D.GAZETTEER_FIXTURE)
+    return records.select("company", "id", "page", "text_rating", "sentiment", "topic")
+
+
+@register("sentiment_pct_repeated")
+def q_sentiment_pct_repeated(spark, sf_dir):
+    """The reviews appended to themselves, as a rerun does: every row counts."""
+    r = _reviews(spark, sf_dir)
+    p = L.polarity(spark, r.unionAll(r), T.corpus_text("title", "body"), ["company"], D.LEXICON_FIXTURE)
+    return L.sentiment_pct(p, ["company"])
+
+
 @register("reviews_csv_roundtrip")
 def q_reviews_csv_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "reviews_csv")
@@ -564,7 +616,7 @@ def q_company_summary(spark, sf_dir):
 @register("report_sections")
 def q_report_sections(spark, sf_dir):
     answers, b = _qa(spark, sf_dir)
-    summ = SC.summary_extractive(answers).join(b, "question_id", "left")
+    summ = SC.summarise(answers).join(b, "question_id")
     return RP.report_sections(spark, _enriched(spark, sf_dir), summ, D.LEXICON_FIXTURE)
 
 
@@ -581,7 +633,7 @@ def q_stream_dedupe(spark, sf_dir):
     out, ck = scratch_dir(spark, "stream_dedupe_out"), scratch_dir(spark, "stream_dedupe_ck")
     s = ST.dedupe_stream(_event_stream(spark, sf_dir), "user_id", "ts", "1 hour")
     ST.run_available_now(s, out, ck)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("user_id")  # which of the repeated rows stays is not specified
 
 
 @register("stream_daily_counts")

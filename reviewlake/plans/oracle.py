@@ -161,19 +161,20 @@ SQL["source_type_mask"] = with_reviews(f"""
 SELECT r.id, r.company, s.type,
   CASE WHEN s.type = 'professional' THEN NULL ELSE r.verified END AS verified,
   CASE WHEN s.type = 'professional' THEN NULL ELSE r.published_date END AS published_date
-FROM reviews r LEFT JOIN {values(D.source_type_fixture(), 's')} ON r.company = s.source""")
+FROM reviews r LEFT JOIN (
+  SELECT DISTINCT company, CASE TRY_CAST(regexp_extract(company, '[0-9]+$') AS BIGINT) % 2
+                             WHEN 0 THEN 'user' WHEN 1 THEN 'professional' END AS type FROM reviews) s ON r.company = s.company""")
 
 # --- aggregates -------------------------------------------------------------------------
 SQL["avg_text_rating"] = with_enriched("""
 SELECT round(avg(text_rating), 6) AS avg_text_rating, COUNT(text_rating) AS scored, COUNT(*) AS total
 FROM enriched""")
 
-SQL["value_counts_all"] = with_reviews("""
+_COUNTED = ["company", "title", "body", "published_date", "rating", "text_rating", "topic", "verified", "lang"]
+SQL["value_counts_all"] = with_reviews(f"""
 SELECT column_name, value, COUNT(*) AS frequency FROM (
-  UNPIVOT (SELECT CAST(rating AS VARCHAR) AS rating, CAST(topic AS VARCHAR) AS topic,
-                  CAST(verified AS VARCHAR) AS verified, CAST(lang AS VARCHAR) AS lang,
-                  CAST(company AS VARCHAR) AS company FROM reviews)
-  ON rating, topic, verified, lang, company INTO NAME column_name VALUE value)
+  UNPIVOT (SELECT {", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _COUNTED)} FROM reviews)
+  ON {", ".join(_COUNTED)} INTO NAME column_name VALUE value)
 WHERE value IS NOT NULL GROUP BY column_name, value""")
 
 _RATINGS = ["1", "2", "3", "4", "5", "unknown"]
@@ -324,6 +325,19 @@ def _mask_chain(expr: str) -> str:
     return out
 
 
+def _gazetteer_mask(expr: str, gaz=D.GAZETTEER_FIXTURE) -> str:
+    """Whole words of the gazetteer by their label's placeholder; twice, as neighbours share a border."""
+    out = expr
+    for label in dict.fromkeys(r[0] for r in gaz.rows):
+        if label in _M.KEEP_LABELS:
+            continue
+        words = "|".join(r[1] for r in gaz.rows if r[0] == label)
+        pattern = rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:{words})([^\p{{L}}\p{{N}}_]|$)"
+        for _ in range(2):
+            out = f"regexp_replace({out}, {_sql_str(pattern)}, {_sql_str(chr(92) + '1' + _M.placeholder_for(label) + chr(92) + '2')}, 'g')"
+    return out
+
+
 SQL["mask_pii_regex"] = f"SELECT doc_id, {_mask_chain('text')} AS masked FROM documents"
 
 
@@ -340,6 +354,21 @@ SELECT label, count_if(n > 0) AS n_docs, CAST(SUM(n) AS BIGINT) AS n_mentions FR
 
 SQL["entity_counts"] = _entity_counts_sql()
 
+_GAZ_WORDS = ", ".join(_sql_str(r[1]) for r in D.GAZETTEER_FIXTURE.rows)
+
+
+def _n_spans(expr: str) -> str:
+    parts, cur = [], expr
+    for label, pattern in _M.DETECTORS:
+        parts.append(f"len(regexp_extract_all({cur}, {_sql_str(pattern)}, 0))")
+        cur = f"regexp_replace({cur}, {_sql_str(pattern)}, {_sql_str(_M.placeholder_for(label))}, 'g')"
+    parts.append(f"len(list_filter(regexp_extract_all({cur}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: lower(w) IN ({_GAZ_WORDS})))")
+    return " + ".join(parts)
+
+
+SQL["mask_spans"] = f"""SELECT doc_id, CAST({_n_spans('text')} AS INT) AS n_spans,
+  {_gazetteer_mask(_mask_chain('text'))} AS masked FROM documents"""
+
 # --- chunking, indexing, retrieval -------------------------------------------------------
 _CHUNKS = """SELECT doc_id, source, CAST(i AS INT) AS chunk_pos, substring(text, CAST(i * 800 + 1 AS BIGINT), 1000) AS text
   FROM (SELECT doc_id, source, text,
@@ -387,10 +416,11 @@ SQL["gather_by_key"] = """
 SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS joined, COUNT(*) AS n_parts
 FROM conversations GROUP BY conv_id"""
 
-SQL["prompt_messages"] = with_reviews(f"""
-SELECT id, 0 AS msg_pos, 'system' AS role, {_sql_str(_PR.SENTIMENT_RULES)} AS content FROM reviews
+SQL["prompt_messages"] = with_reviews(" UNION ALL ".join(f"""
+SELECT id, '{name}' AS template, 0 AS msg_pos, 'system' AS role, {_sql_str(rules)} AS content FROM reviews
 UNION ALL
-SELECT id, 1 AS msg_pos, 'user' AS role, concat(title, '. ', body) AS content FROM reviews""")
+SELECT id, '{name}' AS template, 1 AS msg_pos, 'user' AS role, concat(title, '. ', body) AS content FROM reviews"""
+                                                     for name, rules in _PR.TEMPLATES.items()))
 
 # --- pages and stores --------------------------------------------------------------------
 SQL["page_take_while"] = """
@@ -451,7 +481,7 @@ ts AS (SELECT tk.id, x.topic, x.topic_order, CAST(SUM(x.weight) AS BIGINT) AS sc
 tb AS (SELECT id, topic FROM (
          SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic_order) AS rn FROM ts)
        WHERE rn = 1 AND score > 0)
-SELECT r.company, r.id, {_mask_chain('r.title')} AS title, {_mask_chain('r.body')} AS body,
+SELECT r.company, r.id, {_gazetteer_mask(_mask_chain('r.title'))} AS title, {_gazetteer_mask(_mask_chain('r.body'))} AS body,
   CAST(r.published_date AS TIMESTAMP) AS published_at, r.rating AS rating_raw,
   {num('r.rating')} AS rating, {_TR} AS text_rating, abs({_TR} - {num('r.rating')}) AS discrepancy,
   CAST(floor(CAST(r.id AS BIGINT) / 20) + 1 AS INT) AS page,
@@ -480,7 +510,8 @@ FROM (SELECT id, title, body,
 SQL["by_company_counts"] = with_reviews(f"""
 SELECT c.company, g.base_url, lower(replace(c.company, ' ', '_')) AS slug, c.n_reviews
 FROM (SELECT company, COUNT(*) AS n_reviews FROM reviews GROUP BY company) c
-LEFT JOIN {values(D.company_registry_fixture(), 'g')} ON c.company = g.company""")
+LEFT JOIN (SELECT DISTINCT company, concat('https://reviews.example/review/', company) AS base_url FROM reviews) g
+  ON c.company = g.company""")
 
 SQL["value_counts_top"] = with_reviews("""
 SELECT column_name, value, frequency, CAST(rank AS INT) AS rank FROM (
@@ -494,3 +525,101 @@ SELECT column_name, value, frequency, CAST(rank AS INT) AS rank FROM (
 WHERE rank <= 5""")
 
 SQL["rating_scatter"] = with_enriched("SELECT id, published_at, rating FROM enriched")
+
+SQL["product_ranking"] = f"""WITH p AS ({SQL["product_feedback"]}),
+s AS (SELECT product, 'positive' AS side, n_positive AS n_reviews FROM p
+      UNION ALL SELECT product, 'negative' AS side, n_negative AS n_reviews FROM p)
+SELECT product, side, n_reviews, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY side ORDER BY n_reviews DESC, product) AS rank FROM s) WHERE rank <= 3"""
+
+# Rows of the view united with itself are told apart by a number, not by their ids.
+SQL["sentiment_pct_repeated"] = f"""WITH {REVIEWS_CTE},
+twice AS (SELECT row_number() OVER () AS n, company, {CORPUS} AS t
+          FROM (SELECT * FROM reviews UNION ALL SELECT * FROM reviews)),
+pol AS (SELECT r.n, r.company, CAST(COALESCE(SUM(l.weight), 0) AS BIGINT) AS polarity
+        FROM twice r LEFT JOIN (SELECT n, unnest({toks('t')}) AS term FROM twice) t ON r.n = t.n
+        LEFT JOIN {values(D.LEXICON_FIXTURE, 'l')} ON t.term = l.term GROUP BY r.n, r.company)
+SELECT company, {_PCT} FROM pol GROUP BY company"""
+
+SQL["ingest_repeated_pages"] = f"""WITH one AS ({SQL["ingest_reviews"]})
+SELECT company, id, page, text_rating, sentiment, topic FROM one
+UNION ALL SELECT company, id, NULL AS page, text_rating, sentiment, topic FROM one"""
+
+_LABELLED = f"""SELECT id, CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' ELSE 'neutral' END AS value
+FROM (SELECT id, len(list_filter({_WORDS}, lambda w: w IN ('the', 'la'))) AS pos,
+        len(list_filter({_WORDS}, lambda w: w IN ('of', 'der'))) AS neg FROM reviews)"""
+SQL["score_with_retry"] = with_reviews(f"SELECT id, value, CAST(NULL AS VARCHAR) AS error FROM ({_LABELLED})")
+SQL["score_coverage"] = f"""SELECT COUNT(value) AS n_scored, COUNT(error) AS n_failed, COUNT(*) AS n_rows
+FROM ({SQL["score_with_stub"]})"""
+
+SQL["knn_lsh"] = """SELECT DISTINCT CAST(label AS BIGINT) AS question_id, CAST(4 AS BIGINT) AS n_found, TRUE AS recall_ok FROM embeddings"""
+
+# --- hashed vectors and the question chain ------------------------------------------------
+DIM = 256
+
+
+def _vectors(source: str, id_col: str, text: str, name: str) -> str:
+    """``name``(id, embedding): unit vectors of term counts by the leading MD5 digits."""
+    return f"""{name}_t AS (SELECT {id_col} AS id, unnest({toks(text)}) AS term FROM {source}),
+{name}_c AS (SELECT id, CAST('0x' || substring(md5(term), 1, 8) AS BIGINT) % {DIM} AS b, COUNT(*)::DOUBLE AS n
+  FROM {name}_t GROUP BY 1, 2),
+{name}_m AS (SELECT id, map_from_entries(list((b, n))) AS m, sqrt(SUM(n * n)) AS norm FROM {name}_c GROUP BY id),
+{name} AS (SELECT s.{id_col} AS id, list_transform(range({DIM}),
+    lambda b: COALESCE(m.m[b] / m.norm, 0.0::DOUBLE)) AS embedding
+  FROM {source} s LEFT JOIN {name}_m m ON s.{id_col} = m.id)"""
+
+
+SQL["hashed_vectors"] = f"""WITH {REVIEWS_CTE},
+corpus AS (SELECT id, {CORPUS} AS t FROM reviews),
+{_vectors('corpus', 'id', 't', 'v')}
+SELECT id, embedding FROM v"""
+
+
+def _answers(questions: list[str]) -> str:
+    q = values(D.questions_table(questions), "q0")
+    return f"""WITH {REVIEWS_CTE},
+ch AS (SELECT id, id || ':' || CAST(i AS VARCHAR) AS chunk_id, i, substring(t, CAST(i * 800 + 1 AS BIGINT), 1000) AS t FROM (
+  SELECT id, {CORPUS} AS t, unnest(range(0, greatest(1, CAST(ceil((length({CORPUS}) - 200) / 800.0) AS BIGINT)))) AS i FROM reviews)),
+ix AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY id, i) - 1) / 100) AS BIGINT) AS batch_id FROM ch),
+qs AS (SELECT question_id, question FROM {q}),
+{_vectors('ch', 'chunk_id', 't', 'cv')},
+{_vectors('qs', 'question_id', 'question', 'qv')},
+d AS (SELECT ix.batch_id, qv.id AS question_id, ix.chunk_id, ix.t,
+        round(list_reduce(list_transform(range(1, {DIM} + 1),
+          lambda j: (cv.embedding[j] - qv.embedding[j]) * (cv.embedding[j] - qv.embedding[j])), lambda a, b: a + b), 9) AS distance
+      FROM ix JOIN cv ON ix.chunk_id = cv.id, qv),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, question_id ORDER BY distance, chunk_id) AS rank FROM d)
+       WHERE rank <= 4),
+st AS (SELECT batch_id, question_id, rank, unnest(parts) AS sentence, unnest(range(len(parts))) AS pos FROM (
+  SELECT batch_id, question_id, rank,
+    string_split_regex(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\x01|\\n+') AS parts FROM nn)),
+sc AS (SELECT st.*, len(list_intersect(list_distinct({toks('sentence')}), list_distinct({toks('qs.question')}))) AS score
+       FROM st JOIN qs ON st.question_id = qs.question_id WHERE length(trim(sentence)) > 0),
+answers AS (SELECT batch_id, question_id, CASE WHEN score > 0 THEN sentence END AS answer, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY batch_id, question_id ORDER BY score DESC, rank, pos) AS rn FROM sc) WHERE rn = 1)"""
+
+
+_SUMMARY = """SELECT question_id, COALESCE(string_agg(answer, ' ' ORDER BY batch_id), '') AS summary,
+  COUNT(*) AS n_batches, COUNT(answer) AS n_answered FROM answers GROUP BY question_id"""
+SQL["answer_extractive"] = _answers(D.REPORT_QUESTIONS) + "\nSELECT batch_id, question_id, answer, score FROM answers"
+SQL["summary_extractive"] = _answers(D.REPORT_QUESTIONS) + "\n" + _SUMMARY
+SQL["summary_old_questions"] = _answers(D.REPORT_QUESTIONS_OLD) + "\n" + _SUMMARY
+
+SQL["report_sections"] = _answers(D.REPORT_QUESTIONS) + f""",
+{polarity_cte(CORPUS)},
+h AS (SELECT {_PCT} FROM pol),
+tr AS (SELECT avg(v) AS a, COUNT(v) AS scored, COUNT(*) AS total FROM (
+         SELECT round({num('text_rating')}, 3) AS v FROM reviews)),
+sm AS ({_SUMMARY})
+SELECT 0 AS part, 0::BIGINT AS section_order, 0 AS level, 'Analytical Report' AS heading, '' AS text
+UNION ALL SELECT 0, 1, 1, 'Executive Summary', printf('This report evaluates %d customer reviews of the company.', total) FROM h
+UNION ALL SELECT 0, 2, 2, 'Sentiment Analysis',
+  format('Positive Reviews: {{:.2f}}%', pct_positive) || chr(10) || format('Negative Reviews: {{:.2f}}%', pct_negative) FROM h
+UNION ALL SELECT 1, sm.question_id, 1, qs.question, summary || CASE WHEN n_answered < n_batches
+  THEN printf(' (answered in %d of %d batches)', n_answered, n_batches) ELSE '' END FROM sm JOIN qs ON sm.question_id = qs.question_id
+UNION ALL SELECT 2, 0, 2, 'Overall Rating', format('Average inferred rating: {{:.3f}}', a)
+  || printf(' (scored %d of %d reviews)', scored, total) FROM tr
+UNION ALL SELECT 2, 1, 2, 'Charts', 'Inputs: top_terms (term cloud), rating_topic_freq (bar chart).'"""
+
+# one micro-batch: every user once
+SQL["stream_dedupe"] = "SELECT DISTINCT user_id FROM events"

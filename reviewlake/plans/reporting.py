@@ -1,13 +1,13 @@
 """Composed report jobs: per-company summary and the report section table.
 
-The report is a small DataFrame ``(section_order, level, heading, text)``
+The report is a small DataFrame ``(part, section_order, level, heading, text)``
 assembled from independent aggregates over one review table; every number in
 it is computed (including the review count the report states).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake import dictionaries as D
@@ -51,46 +51,50 @@ def company_summary(spark: SparkSession, reviews: DataFrame, lexicon=D.LEXICON_E
         "top_topic")
 
 
+#: Parts of the report, in order: head, questions, tail.
+HEAD, QUESTIONS, TAIL = 0, 1, 2
+
+
 def report_sections(spark: SparkSession, reviews: DataFrame, summaries: DataFrame | None,
                     lexicon=D.LEXICON_EN, company_label: str = "the company",
                     include_rating: bool = True, include_charts: bool = True) -> DataFrame:
-    """Ordered report sections; ``summaries`` is (question_id, question, summary).
-    The older report layout has neither the overall-rating nor the chart section
-    (``include_rating=False, include_charts=False``)."""
-    # one pass: text_rating rides along as a per-review grouping key, so the
-    # percentages and the rating average come from the same single aggregate
-    pol = L.polarity(spark, reviews, T.corpus_text("title", "body"), ["id", "text_rating"], lexicon)
+    """Ordered report sections (part, section_order, level, heading, text).
+
+    ``summaries`` is (question_id, question, summary, n_batches, n_answered); a question's section
+    follows the head whatever its id.  Head and tail come from one aggregate row over one
+    scan; the review count counts rows.  The older report layout has neither the
+    overall-rating nor the chart section (``include_rating=False, include_charts=False``).
+    """
+    pol = L.polarity(spark, reviews, T.corpus_text("title", "body"), ["text_rating"], lexicon)
     total = F.nullif(F.count(F.lit(1)), F.lit(0)).cast("double")
     head = pol.agg(
         (F.lit(100.0) * F.count_if(F.col("polarity") > 0) / total).alias("pct_positive"),
         (F.lit(100.0) * F.count_if(F.col("polarity") < 0) / total).alias("pct_negative"),
         F.count(F.lit(1)).alias("total"),
-        F.avg("text_rating").alias("avg_text_rating"),
-        F.count("text_rating").alias("scored"), F.count(F.lit(1)).alias("n_all"))
-    fmt = lambda c: F.format_number(F.col(c), 2)
-    rows = [
-        head.select(F.lit(0).alias("section_order"), F.lit(0).alias("level"),
-                    F.lit("Analytical Report").alias("heading"), F.lit("").alias("text")),
-        head.select(F.lit(1), F.lit(1), F.lit("Executive Summary"),
-                    F.format_string("This report evaluates %d customer reviews of %s.",
-                                    F.col("total"), F.lit(company_label))),
-        head.select(F.lit(2), F.lit(2), F.lit("Sentiment Analysis"),
-                    F.concat(F.lit("Positive Reviews: "), fmt("pct_positive"), F.lit("%\n"),
-                             F.lit("Negative Reviews: "), fmt("pct_negative"), F.lit("%"))),
-    ]
-    if summaries is not None:
-        rows.append(summaries.select((F.lit(10) + F.col("question_id")).cast("int"), F.lit(1),
-                                     F.col("question"), F.coalesce("summary", F.lit(""))))
+        F.avg("text_rating").alias("avg_text_rating"), F.count("text_rating").alias("scored"))
+    fmt = lambda c: F.coalesce(F.format_number(F.col(c), 2), F.lit("n/a"))
+
+    def section(part: int, order: int, level: int, heading: str, text: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), F.lit(order).cast("bigint").alias("section_order"), F.lit(level).alias("level"),
+                        F.lit(heading).alias("heading"), text.alias("text"))
+
+    parts = [
+        section(HEAD, 0, 0, "Analytical Report", F.lit("")),
+        section(HEAD, 1, 1, "Executive Summary", F.format_string(
+            "This report evaluates %d customer reviews of %s.", F.col("total"), F.lit(company_label))),
+        section(HEAD, 2, 2, "Sentiment Analysis", F.concat(
+            F.lit("Positive Reviews: "), fmt("pct_positive"), F.lit("%\nNegative Reviews: "), fmt("pct_negative"), F.lit("%")))]
     if include_rating:
-        rows.append(head.select(F.lit(1000), F.lit(2), F.lit("Overall Rating"),
-                                F.concat(F.lit("Average inferred rating: "),
-                                         F.coalesce(F.format_number("avg_text_rating", 3), F.lit("n/a")),
-                                         F.format_string(" (scored %d of %d reviews)",
-                                                         F.col("scored"), F.col("n_all")))))
+        parts.append(section(TAIL, 0, 2, "Overall Rating", F.concat(
+            F.lit("Average inferred rating: "), F.coalesce(F.format_number("avg_text_rating", 3), F.lit("n/a")),
+            F.format_string(" (scored %d of %d reviews)", F.col("scored"), F.col("total")))))
     if include_charts:
-        rows.append(head.select(F.lit(1001), F.lit(2), F.lit("Charts"),
-                                F.lit("Inputs: top_terms (term cloud), rating_topic_freq (bar chart).")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionAll(r.toDF(*out.columns))
-    return out.select(F.col("section_order").cast("int"), F.col("level").cast("int"), "heading", "text")
+        parts.append(section(TAIL, 1, 2, "Charts", F.lit("Inputs: top_terms (term cloud), rating_topic_freq (bar chart).")))
+    out = head.select(F.inline(F.array(*parts)))
+    if summaries is not None:
+        covered = F.when(F.col("n_answered") < F.col("n_batches"), F.format_string(
+            " (answered in %d of %d batches)", F.col("n_answered"), F.col("n_batches"))).otherwise(F.lit(""))
+        out = out.unionByName(summaries.select(
+            F.lit(QUESTIONS).alias("part"), F.col("question_id").cast("bigint").alias("section_order"), F.lit(1).alias("level"),
+            F.col("question").alias("heading"), F.concat(F.coalesce("summary", F.lit("")), covered).alias("text")))
+    return out

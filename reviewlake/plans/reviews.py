@@ -26,9 +26,6 @@ FIXTURE_TOPICS = [
 ]
 
 
-# Tables whose rows carry whole texts: per-row regex / tokenizer work dominates.
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
 # Declared schemas of the driver's tables (no footer-based inference per read).
 TABLE_DDL = {
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
@@ -41,29 +38,9 @@ TABLE_DDL = {
 }
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a small text scan over the cluster; leave a large one alone.
-
-    Rebalanced only when the input has fewer files than cores AND at most one
-    scan split per core.  Spark cuts splits of about
-    min(maxPartitionBytes, bytes / cores), so "at most one split per core"
-    means the input is no larger than one maxPartitionBytes per core: the
-    round-robin shuffle is a bounded single wave.  A 100 TB input has hundreds
-    of thousands of splits and is never shuffled here.  The case this serves:
-    small files of one Parquet row group, where byte-range splits exist but a
-    single task holds all the rows.
-    """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < target and df.rdd.getNumPartitions() <= target:
-        return df.repartition(target)
-    return df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read.schema(TABLE_DDL[name]) if name in TABLE_DDL else spark.read
-    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balanced(df) if name in TEXT_TABLES else df
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def fixture_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +95,3 @@ def enrich(raw: DataFrame) -> DataFrame:
         F.round(T.guarded_double("text_rating"), 3).alias("text_rating"),
     )
     return out.withColumn("discrepancy", F.abs(F.col("text_rating") - F.col("rating")))
-
-
-def enriched_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(fixture_reviews(spark, sf_dir))

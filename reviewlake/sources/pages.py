@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from reviewlake.functions import text as T
+from reviewlake.operators.joins import small_side
 
 # Fixed value: the paging loop stops at this page without parsing it.
 PAGE_LIMIT = 100
@@ -74,12 +75,16 @@ def extract_next_data(html) -> F.Column:
 
 
 def dedupe_captures(pages: DataFrame, company: str = "company", page: str = "page",
-                    prefer: str | None = None) -> DataFrame:
-    """One row per (company, page): the capture with the greatest ``prefer`` value
-    (or any one).  An aggregate, so repeated captures combine map-side."""
+                    prefer: list | str | None = None) -> DataFrame:
+    """One row per (company, page): the capture with the greatest ``prefer`` (columns or
+    expressions, in order; e.g. ``[F.col("status") == 200, "captured_at"]``), ties by a hash of the
+    content, so the choice does not depend on the order of rows.  An aggregate, so repeated
+    captures combine map-side."""
     others = [c for c in pages.columns if c not in (company, page)]
-    pick = F.struct(*others)
-    agg = F.max_by(pick, F.col(prefer)) if prefer else F.max(pick)
+    order = [] if prefer is None else [prefer] if isinstance(prefer, str) else list(prefer)
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    content = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in others]), 256)
+    agg = F.max_by(F.struct(*others), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], content.alias("content")))
     return pages.groupBy(company, page).agg(agg.alias("_c")).select(company, page, "_c.*")
 
 
@@ -87,15 +92,19 @@ def take_while_pages(pages: DataFrame, bad, company: str = "company",
                      page: str = "page", limit: int = PAGE_LIMIT) -> DataFrame:
     """Pages before the first stop (bad page, gap, or page ``limit``), per company.
 
-    ``bad`` is a boolean Column over the page row (status not OK, no payload...).
+    ``bad`` is a boolean Column over the page row (status not OK, no payload...).  The
+    stop is found on (company, page, bad) alone, at most 99 rows per company; the pages
+    themselves only pass a filter by the stop, one row per company.
     """
-    p = pages.where((F.col(page) >= 1) & (F.col(page) < limit)).withColumn("_bad", bad)
+    inside = pages.where((F.col(page) >= 1) & (F.col(page) < limit))
+    p = inside.select(company, page, bad.alias("_bad"))
     w = Window.partitionBy(company).orderBy(page)
     p = p.withColumn("_gap", F.row_number().over(w) != F.col(page))
-    stop_w = Window.partitionBy(company)
-    first_stop = F.min(F.when(F.col("_bad") | F.col("_gap"), F.col(page))).over(stop_w)
-    kept = p.withColumn("_stop", first_stop).where(F.col("_stop").isNull() | (F.col(page) < F.col("_stop")))
-    return kept.drop("_bad", "_gap", "_stop")
+    stop = p.groupBy(company).agg(F.min(F.when(F.col("_bad") | F.col("_gap"), F.col(page))).alias("_stop"))
+    near = small_side(pages.sparkSession, stop.withColumnRenamed(company, "_company"))
+    kept = inside.join(near, F.col(company).eqNullSafe(F.col("_company"))).where(
+        F.col("_stop").isNull() | (F.col(page) < F.col("_stop")))
+    return kept.select(*[f"`{c}`" for c in pages.columns])
 
 
 def parse_reviews(pages: DataFrame, keys: list[str], html: str = "html",

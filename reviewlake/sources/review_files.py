@@ -77,5 +77,5 @@ def read_store(spark: SparkSession, path: str, ddl: str = REVIEW_DDL) -> DataFra
 def write_report(report: DataFrame, path: str, fmt: str = "json", mode: str = "error") -> None:
     """Write the report section table in section order.  The table is small by
     construction (fixed sections plus one per question), so one file is written."""
-    (report.orderBy("section_order").coalesce(1)
+    (report.orderBy(*[c for c in ("part", "section_order") if c in report.columns]).coalesce(1)
      .write.mode(mode).format(fmt).save(path))

@@ -19,6 +19,15 @@ def test_chunk_fixed_rebuilds_text(spark, text):
     assert all(len(c) <= 100 for c in chunks)
 
 
+def test_split_recursive_golden():
+    # a long part's chunks stand on their own; edges are stripped
+    assert CH.split_recursive("aa bb cc dd ee\n\nff", 8, 0) == ["aa bb cc", "dd ee", "ff"]
+    assert CH.split_recursive("one\n\ntwo\n\nthree", 9, 0) == ["one\n\ntwo", "three"]
+    assert CH.split_recursive("aaaa bbbb cccc", 10, 5) == ["aaaa bbbb", "bbbb cccc"]
+    assert CH.split_recursive("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
+    assert CH.split_recursive("  padded  ", 20, 5) == ["padded"] and CH.split_recursive(" \n ", 20, 5) == []
+
+
 def test_split_recursive_properties():
     rng = random.Random(1)
     words = ["alpha", "beta", "gamma", "delta\n", "eps.\n\n"]
@@ -82,20 +91,58 @@ def test_centroids(spark):
     assert got == {0: [2.0, 3.0], 1: [5.0, 5.0]}
 
 
-def test_knn_vectorized_equals_knn(spark):
+def test_knn_blocks_give_one_answer_whatever_their_size(spark):
     rng = np.random.default_rng(5)
-    items = rng.normal(size=(500, 16))
+    items = np.round(rng.normal(size=(500, 16)), 1)
+    items[::7] = items[0]  # ties
     qs = rng.normal(size=(7, 16))
     idf = spark.createDataFrame([(i, int(i // 100), items[i].tolist()) for i in range(500)],
                                 "item long, batch long, v array<double>").repartition(3)
     qdf = spark.createDataFrame([(q, qs[q].tolist()) for q in range(7)], "question_id long, embedding array<double>")
-    a = {(r.batch, r.question_id, r.rank): r.item for r in RT.knn(spark, idf, qdf, "item", "v", ["batch"]).collect()}
-    b = {(r.batch, r.question_id, r.rank): r.item for r in
-         RT.knn_vectorized(spark, idf, qdf, "item", "v", ["batch"]).collect()}
-    assert a == b and len(a) == 5 * 7 * 4
-    g1 = {(r.question_id, r.rank): r.item for r in RT.knn(spark, idf, qdf, "item", "v").collect()}
-    g2 = {(r.question_id, r.rank): r.item for r in RT.knn_vectorized(spark, idf, qdf, "item", "v").collect()}
-    assert g1 == g2
+    for part in ([], ["batch"]):
+        rows = [sorted(map(tuple, RT.knn(spark, idf, qdf, "item", "v", part, **kw).collect()))
+                for kw in ({}, {"broadcast_bytes": 300, "block_bytes": 20_000, "block_rows": 32})]
+        assert rows[0] == rows[1] and len(rows[0]) == 7 * 4 * (5 if part else 1)
+
+
+def test_knn_hands_on_a_block_share_not_all_pairs(spark):
+    idf = spark.createDataFrame([(i, [float(i % 97), 1.0]) for i in range(4000)], "item long, v array<double>").coalesce(1)
+    qdf = spark.createDataFrame([(q, [float(q), 0.0]) for q in range(20)], "question_id long, embedding array<double>")
+    out = RT.knn(spark, idf, qdf, "item", "v", k=4, block_rows=500)
+    out.collect()
+    made = [int(n) for n in _rows_made(out)]
+    assert made and max(made) <= 4 * 20 * (4000 // 500 + 1)
+
+
+def _rows_made(df):
+    """Output rows of the Python operators of an executed plan."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if "MapInPandas" in name or "MapInArrow" in name:
+            found.append(node.metrics().apply("pythonNumRowsReceived").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_lsh_fills_every_question_and_finds_most(spark):
+    rng = np.random.default_rng(11)
+    items, qs = rng.normal(size=(400, 8)), rng.normal(size=(12, 8))
+    qs[0] += 50  # far from everything: answered exactly
+    idf = spark.createDataFrame([(i, items[i].tolist()) for i in range(400)], "item long, v array<double>")
+    qdf = spark.createDataFrame([(q, qs[q].tolist()) for q in range(12)], "question_id long, embedding array<double>")
+    found = RT.knn_lsh(spark, idf, qdf, "item", "v")
+    assert found.count() == 48
+    rates = [r.recall for r in RT.recall(found, RT.knn(spark, idf, qdf, "item", "v"), "item").collect()]
+    assert len(rates) == 12 and sum(rates) / 12 >= 0.9
 
 
 def test_knn_many_question_blocks(spark):
@@ -105,7 +152,7 @@ def test_knn_many_question_blocks(spark):
     idf = spark.createDataFrame([(i, int(i // 50), items[i].tolist()) for i in range(200)],
                                 "item long, batch long, v array<double>")
     qdf = spark.createDataFrame([(q, qs[q].tolist()) for q in range(150)], "question_id long, embedding array<double>")
-    out = RT.knn(spark, idf, qdf, "item", "v", ["batch"], k=3, block=16).collect()   # ~10 blocks
+    out = RT.knn(spark, idf, qdf, "item", "v", ["batch"], k=3, broadcast_bytes=800).collect()   # ~9 blocks
     got = {(r.batch, r.question_id, r.rank): r.item for r in out}
     assert len(got) == 4 * 150 * 3
     for b in range(4):

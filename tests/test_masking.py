@@ -68,3 +68,18 @@ def test_entity_counts(spark):
     df = spark.createDataFrame([("a@b.co 4111111111111111",), ("nothing",)], "text string")
     got = {r.label: (r.n_docs, r.n_mentions) for r in EN.entity_counts(df, "text").collect()}
     assert got["EMAIL"] == (1, 1) and got["CARD"] == (1, 1) and got["PHONE"] == (0, 0)
+
+
+def test_both_maskers_agree(spark):
+    texts = ["on 2024-01-02 10 boxes", "4785 3805 9239 1139 2024-01-02", "a.b@x.co 10.0.0.1 3 March 2024 +1 (743) 555-3824", "12/05/24 9"]
+    none = EN.make_span_detector(EN.D.Dictionary("none", "label string, term string", ()))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(M.mask_pii("t").alias("a"), M.mask_spans("t", none("t")).alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_gazetteer_as_a_table_with_longest_match(spark):
+    gaz = spark.createDataFrame([("GPE", "new york"), ("PERSON", "york"), ("PERSON", "new york smith")], "label string, term string")
+    detect = EN.make_span_detector(gaz)
+    df = spark.createDataFrame([("New York, York and New York Smith; newyork",)], "t string")
+    assert df.select(M.mask_spans("t", detect("t"))).first()[0] == "[LOCATION], [PERSON] and [PERSON]; newyork"

@@ -80,3 +80,14 @@ def test_old_rating_default(spark):
     from reviewlake.functions import text as T
     reviews, _ = PG.parse_reviews(df, ["company", "page"], rating_default=T.DEFAULT_RATING_OLD)
     assert reviews.first().rating_raw == "No Rating"
+
+
+def test_a_failed_newer_capture_does_not_win(spark):
+    rows = [("a", 1, 200, 1, "ok"), ("a", 1, 503, 2, "down"), ("b", 1, 200, 5, "x"), ("b", 1, 200, 5, "y")]
+    df = spark.createDataFrame(rows, "company string, page int, status int, captured int, html string")
+    prefer = [F.col("status") == 200, "captured"]
+    out = {r.company: r.html for r in PG.dedupe_captures(df, prefer=prefer).collect()}
+    again = {r.company: r.html for r in PG.dedupe_captures(df.orderBy(F.desc("html")), prefer=prefer).collect()}
+    assert out["a"] == "ok" and out == again  # ties do not depend on the order of rows
+    kept = PG.take_while_pages(PG.dedupe_captures(df, prefer=prefer), F.col("status") != 200)
+    assert {r.company for r in kept.collect()} == {"a", "b"}

@@ -46,15 +46,27 @@ def test_dedupe_is_an_aggregate_not_a_window(spark):
     assert "max_by" in p and "Window " not in p
 
 
-def test_rebalance_only_small_inputs(spark):
-    from reviewlake.plans.reviews import balanced
+def test_ingest_scans_once_and_joins_nothing(spark):
+    from reviewlake import dictionaries as D
+    from reviewlake.plans.catalog import _rendered_pages
+    from reviewlake.plans.ingest import ingest_pages
     from reviewlake.session import scratch_dir
-    many = scratch_dir(spark, "many_files")
-    target = spark.sparkContext.defaultParallelism
-    spark.range(0, 20000).repartition(target * 2).write.parquet(many)
-    df = spark.read.parquet(many)
-    assert balanced(df) is df                      # enough files: never shuffled
-    one = scratch_dir(spark, "one_file")
-    spark.range(0, 1000).coalesce(1).write.parquet(one)
-    small = spark.read.parquet(one)
-    assert "RoundRobinPartitioning" in plan(balanced(small))
+    path = scratch_dir(spark, "pages")
+    _rendered_pages(spark, SF).write.parquet(path)
+    records, _ = ingest_pages(spark, spark.read.parquet(path), D.LEXICON_FIXTURE, D.TAXONOMY_FIVE_FIXTURE)
+    p = plan(records)
+    assert p.count("FileScan") == 1 and p.count("from_json") == 1
+    assert "Join" not in p and "Exchange" not in p
+
+
+def test_head_sections_come_from_one_scan(spark):
+    from reviewlake.plans.reporting import report_sections
+    from reviewlake.plans.reviews import enrich, fixture_reviews
+    p = plan(report_sections(spark, enrich(fixture_reviews(spark, SF)), None))
+    assert p.count("FileScan") == 1 and "Union" not in p
+
+
+def test_labels_never_become_rows_before_the_last_aggregate(spark):
+    for name in ("sentiment_pct", "sentiment_label", "topic_five_class", "company_summary", "text_rating_lexicon"):
+        p = plan(catalog.QUERIES[name](spark, SF))
+        assert "Generate" not in p and "Join" not in p, name

@@ -2,6 +2,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from reviewlake.operators import dedupe as DD
@@ -43,6 +44,59 @@ def test_score_with_resume(spark):
     assert n_first == 2 and spark.read.parquet(path).count() == 3  # only 'c' was scored again
 
 
+def test_failed_texts_are_scored_again_and_the_newest_result_counts(spark):
+    path = scratch_dir(spark, "score_retry")
+    df = spark.createDataFrame([(1, "a"), (2, "bad")], "id int, t string")
+    first = {r.id: r.error for r in SC.score_with(df, "t", _factory_failing_on({"bad"}), backoff_s=0.0, results_path=path).collect()}
+    assert first[1] is None and "boom" in first[2]
+    again = SC.score_with(df, "t", _factory_failing_on(set()), results_path=path, keep=["id"])
+    assert again.columns == ["id", "value", "error"]
+    assert {r.id: (r.value, r.error) for r in again.collect()} == {1: ("A", None), 2: ("BAD", None)}
+    assert spark.read.parquet(path).count() == 3  # only the failed text was scored again
+    assert SC.coverage(again).first()[:] == (2, 0, 2)
+
+
+def test_unreadable_results_are_an_error_not_a_rescore(spark):
+    path = scratch_dir(spark, "score_broken")
+    spark.range(3).write.parquet(path)  # no result table
+    with pytest.raises(AnalysisException):
+        SC.score_with(spark.createDataFrame([(1, "a")], "id int, t string"), "t", _factory_failing_on(set()), results_path=path)
+
+
+def test_a_scorer_with_too_few_answers_is_isolated(spark):
+    def factory():
+        return lambda texts: [t.upper() for t in texts if t != "lost"]
+    df = spark.createDataFrame([(1, "a"), (2, "lost"), (3, "c")], "id int, t string").coalesce(1)
+    out = {r.id: (r.value, r.error) for r in SC.score_with(df, "t", factory, backoff_s=0.0).collect()}
+    assert out[1] == ("A", None) and out[3] == ("C", None) and "0 answers to 1 texts" in out[2][1]
+
+
+def test_summaries_hold_all_answers_and_count_the_rest(spark):
+    rows = [(q, b, None if b % 10 == 3 else f"a{b}", 1) for q in (0, 2000) for b in range(150)]
+    answers = spark.createDataFrame(rows, "question_id long, batch_id long, answer string, score long")
+    out = {r.question_id: r for r in SC.summarise(answers, block=16).collect()}
+    assert out[0].summary == " ".join(f"a{b}" for b in range(150) if b % 10 != 3)
+    assert (out[0].n_batches, out[0].n_answered) == (150, 135)
+
+    def factory():
+        return lambda texts: [f"<{len(t.split())}>" for t in texts]
+    made = SC.summarise(answers, block=50, scorer_factory=factory).collect()
+    assert {r.summary for r in made} == {"<3>"}  # a model sees three partial summaries, each of one block
+
+
+def test_report_order_with_a_large_question_id_and_coverage(spark):
+    from reviewlake.plans.reporting import report_sections
+    reviews = spark.createDataFrame([("1", "a", "good", "good", 4.0), ("1", "a", "good", "good", 4.0)],
+                                    "id string, company string, title string, body string, text_rating double")
+    summ = spark.createDataFrame([(2000, "Q2000", "x", 3, 2), (1, "Q1", "y", 3, 3)],
+                                 "question_id long, question string, summary string, n_batches long, n_answered long")
+    out = report_sections(spark, reviews, summ).orderBy("part", "section_order").collect()
+    assert [r.heading for r in out] == ["Analytical Report", "Executive Summary", "Sentiment Analysis", "Q1", "Q2000",
+                                        "Overall Rating", "Charts"]
+    assert "evaluates 2 customer reviews" in out[1].text  # a repeated id counts as often as it occurs
+    assert out[4].text == "x (answered in 2 of 3 batches)" and out[3].text == "y"
+
+
 def test_dedupe_latest_hot_key(spark):
     rows = [("c", "1", f"v{i}", i) for i in range(500)] + [("c", "2", "only", 5)]
     df = spark.createDataFrame(rows, "company string, id string, title string, ts int")
@@ -106,6 +160,34 @@ def test_ingest_pipeline_masks_after_scoring(spark):
     assert [r.reason for r in rej.collect()] == ["missing dates"]
 
 
+def _page(company, number, *texts):
+    import json
+    reviews = [{"id": f"r/{k}", "title": "T", "text": t, "rating": 3, "labels": {"verification": {}}, "dates": {}} for k, t in enumerate(texts)]
+    return (company, number, '<script id="__NEXT_DATA__" type="application/json">'
+            + json.dumps({"props": {"pageProps": {"reviews": reviews}}}) + "</script>")
+
+
+def test_ingest_keeps_pages_without_a_number_and_repeated_captures_apart(spark):
+    from reviewlake.plans.ingest import ingest_pages
+    pages = spark.createDataFrame([_page("a", None, "good good good"), _page("a", 1, "good bad bad"), _page("a", 1, "good good good")],
+                                  "company string, page int, html string")
+    records, rejects = ingest_pages(spark, pages)
+    got = sorted((r.page is not None, r.sentiment, r.text_rating) for r in records.collect())
+    assert got == [(False, "positive", 5.0), (True, "negative", round(3 - 2 / 3, 3)), (True, "positive", 5.0)]
+    assert rejects.count() == 0
+
+
+def test_ingest_stores_no_gazetteer_name(spark):
+    from reviewlake import dictionaries as D
+    from reviewlake.plans.ingest import ingest_pages
+    names = [r[1] for r in D.GAZETTEER_EN.rows]
+    text = "John from London helped Sarah on 3 March. " + ", ".join(n.title() for n in names) + " on 12/05/2024 and March 4th, 2023."
+    pages = spark.createDataFrame([_page("a", 1, text)], "company string, page int, html string")
+    body = ingest_pages(spark, pages)[0].first().body
+    assert body.startswith("[PERSON] from [LOCATION] helped [PERSON] on [DATE].")
+    assert not any(n in body.lower() for n in names) and "2024" not in body and "2023" not in body
+
+
 def test_write_report_and_csv_roundtrip(spark):
     path = scratch_dir(spark, "report")
     df = spark.createDataFrame([(2, 1, "b", "x"), (1, 0, "a", "")], "section_order int, level int, heading string, text string")

@@ -95,3 +95,25 @@ def test_gather_text_skips_nulls(spark):
     df = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "c")], "k int, turn int, text string")
     out = stats.gather_text(df, "k", "turn", "text").first()
     assert out.joined == "a c" and out.n_parts == 3
+
+
+def test_repeated_ids_are_not_merged(spark):
+    r = _reviews(spark, [("1", "a", "", "good"), ("1", "b", "", "bad"), ("1", "a", "", "good")])
+    got = sorted((x.company, x.polarity) for x in L.polarity(spark, r, "body", ["id", "company"], LEX).collect())
+    assert got == [("a", 1), ("a", 1), ("b", -1)]
+    assert L.sentiment_pct(L.polarity(spark, r, "body", ["id"], LEX)).first().total == 3
+
+
+def test_dictionaries_may_be_tables(spark):
+    lex = spark.createDataFrame([("good", 2), ("good", 1), ("bad", -1)], "term string, weight int")
+    tax = spark.createDataFrame([("x", 0, "apple", 1), ("y", 1, "pear", 2)], "topic string, topic_order int, keyword string, weight int")
+    r = _reviews(spark, [("1", "c", "", "good bad apple pear"), ("2", "c", "", None)])
+    out = {x.id: (x.polarity, x.magnitude, x.hits, x.topic) for x in L.with_scores(r, "body", lex, tax).collect()}
+    assert out == {"1": (2, 4, 3, "y"), "2": (0, 0, 0, "unknown")}
+
+
+def test_a_table_beyond_the_bound_is_refused(spark, monkeypatch):
+    import pytest
+    monkeypatch.setattr(D, "MAX_DICTIONARY_ROWS", 2)
+    with pytest.raises(ValueError):
+        D.as_dictionary(spark.range(3))
