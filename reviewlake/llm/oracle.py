@@ -67,4 +67,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND {_verdict()} AS kept
 FROM f"""
 
-SQL = {"op3_line_dedup": OP3, "op8_quality_rules": OP8}
+# Turns of one conversation are distinct in the table and results follow their calls, so every
+# message keeps its turn; what is checked is linking, validation, counting and the canonical line.
+OP4 = r"""
+WITH m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, concat(conv_id, '-', turn) AS id, concat(conv_id, '-', turn - 1) AS before,
+         concat(conv_id, '-', turn - 2) AS back, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations),
+c AS (SELECT *, words >= 1 AND words <= 400 AS valid FROM m),
+j AS (SELECT a.*, p.conv_id IS NOT NULL AS linked, n.conv_id IS NOT NULL AS answered
+      FROM c a LEFT JOIN m p ON a.role = 'assistant' AND p.role = 'user' AND p.conv_id = a.conv_id AND p.turn = a.turn - 1
+      LEFT JOIN m n ON a.role = 'user' AND n.role = 'assistant' AND n.conv_id = a.conv_id AND n.turn = a.turn + 1)
+SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'tool' WHEN 'user' THEN 'assistant' ELSE role END AS role,
+  turn AS order_turn, 0::BIGINT AS order_depth, linked, (role = 'user')::BIGINT AS n_calls,
+  (role = 'user' AND valid)::BIGINT AS n_valid, (role = 'user' AND answered)::BIGINT AS n_answered,
+  true AS readable, false AS cyclic,
+  concat('{"content":', to_json(text), CASE WHEN linked THEN ',"name":"reply"' ELSE '' END,
+    ',"role":"', CASE role WHEN 'assistant' THEN 'tool' WHEN 'user' THEN 'assistant' ELSE role END, '"',
+    CASE WHEN role = 'assistant' THEN concat(',"tool_call_id":"', before, '"') ELSE '' END,
+    CASE WHEN role = 'user' THEN concat(',"tool_calls":[{"arguments":{',
+      CASE WHEN turn >= 2 THEN concat('"after":{"$ref":"', back, '"},') ELSE '' END,
+      '"turn":', turn, ',"words":', words, '},"id":"', id, '","name":"reply","valid":', valid, '}]') ELSE '' END, '}') AS line
+FROM j"""
+
+SQL = {"op4_chat_format": OP4, "op3_line_dedup": OP3, "op8_quality_rules": OP8}
