@@ -90,4 +90,25 @@ SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'tool' WHEN 'user' THEN 'a
       '"turn":', turn, ',"words":', words, '},"id":"', id, '","name":"reply","valid":', valid, '}]') ELSE '' END, '}') AS line
 FROM j"""
 
-SQL = {"op4_chat_format": OP4, "op3_line_dedup": OP3, "op8_quality_rules": OP8}
+# Every window that shares a shingle with an item is compared outright; fingerprints play no part.
+OP5 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+it AS (SELECT item_id, w, len(w) AS n_words, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS m FROM i WHERE len(w) > 0),
+ig AS (SELECT item_id, k, m, array_to_string(w[p + 1:p + k], ' ') AS g, count(*) AS n
+       FROM (SELECT *, unnest(range(m)) AS p FROM it) GROUP BY ALL),
+dg AS (SELECT doc_id, k, p, array_to_string(w[p + 1:p + k], ' ') AS g
+       FROM (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM it))),
+hit AS (SELECT dg.doc_id, ig.item_id, ig.k, ig.m, dg.p FROM dg JOIN ig ON dg.k = ig.k AND dg.g = ig.g),
+st AS (SELECT DISTINCT doc_id, item_id, k, m, s FROM (
+         SELECT *, unnest(range(greatest(0, p - m + 1), p + 1)) AS s FROM hit)),
+win AS (SELECT st.doc_id, st.item_id, st.m, st.s, dg.g, count(*) AS n
+        FROM st JOIN dg ON dg.doc_id = st.doc_id AND dg.k = st.k AND dg.p >= st.s AND dg.p < st.s + st.m GROUP BY ALL),
+sim AS (SELECT win.doc_id, win.item_id, win.s, sum(least(win.n, coalesce(ig.n, 0))) AS common, sum(win.n) AS size, any_value(win.m) AS m
+        FROM win LEFT JOIN ig ON ig.item_id = win.item_id AND ig.g = win.g GROUP BY ALL),
+ok AS (SELECT *, common::DOUBLE / (size + m - common)::DOUBLE AS similarity FROM sim)
+SELECT doc_id, item_id, s::INT AS start_word, n_words::INT AS n_words, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS rn FROM ok WHERE similarity >= 0.8)
+JOIN it USING (item_id) WHERE rn = 1"""
+
+SQL = {"op5_decontamination": OP5, "op4_chat_format": OP4, "op3_line_dedup": OP3, "op8_quality_rules": OP8}
