@@ -19,7 +19,7 @@ spark = get_session("local[8]", 8)
 out = ["# Physical plans of the headline queries", "",
        f"Generated by `tools/plans.py` on `{sf}` (local[8], AQE on; plans before AQE re-optimisation).",
        "Long expressions are shortened with `...`.", ""]
-for name in HEADLINE + ["ingest_reviews", "batch_assign", "dedupe_latest"]:
+for name in HEADLINE + ["batch_assign", "dedupe_latest"]:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         catalog.QUERIES[name](spark, sf).explain()
