@@ -17,6 +17,7 @@ from pyspark.sql import types as Ty
 
 from reviewlake import dictionaries as D
 from reviewlake.functions import masking as M
+from reviewlake.operators import lexicon as L
 
 SPAN_TYPE = Ty.ArrayType(Ty.StructType([
     Ty.StructField("start", Ty.IntegerType()),
@@ -25,10 +26,22 @@ SPAN_TYPE = Ty.ArrayType(Ty.StructType([
 ]))
 
 
-def entity_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """Per detector label: documents with at least one match, and total matches."""
-    per_doc = docs.select(F.struct(*M.detector_counts(text_col)).alias("c")).select("c.*")
+def entity_counts(docs: DataFrame, text_col: str, gazetteer=None) -> DataFrame:
+    """Per detector label, and per gazetteer label if one is given: documents with at least one
+    match, and total matches.  Gazetteer terms count in what the detectors leave."""
+    counts = M.detector_counts(text_col)
     labels = [label for label, _ in M.DETECTORS]
+    if gazetteer is None:
+        per_doc = docs.select(F.struct(*counts).alias("c")).select("c.*")
+    else:
+        terms: dict[str, list[str]] = {}
+        for label, term in D.as_dictionary(gazetteer).rows:
+            terms.setdefault(label, []).append(term.lower())
+        words = F.regexp_extract_all(F.lower(M.mask_pii(text_col)), F.lit(r"[\p{L}\p{N}_]+"), 0)
+        staged = docs.select(F.struct(*counts).alias("c"), F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+        more = [F.size(L.phrase_hits(F.col("w"), ts)).alias(label) for label, ts in sorted(terms.items())]
+        per_doc = staged.select("c.*", *more)
+        labels += sorted(terms)
     long = per_doc.unpivot([], labels, "label", "n")
     return long.groupBy("label").agg(F.count_if(F.col("n") > 0).alias("n_docs"),
                                      F.sum("n").cast("bigint").alias("n_mentions"))

@@ -204,7 +204,7 @@ def _starts_with(toks, words: list[str]):
     return keep
 
 
-def _phrase_hits(toks: Column, phrases: list[str]) -> Column:
+def phrase_hits(toks: Column, phrases: list[str]) -> Column:
     """Occurrences of the phrases in a token array, as an array of phrases.
 
     n-grams are only built at positions whose token can start a phrase of that length.
@@ -232,7 +232,7 @@ def mention_counts(spark: SparkSession, reviews: DataFrame, text_col, keys: list
     labels = sorted(by)
     toks = F.coalesce(T.tokens(text_col), F.array().cast(NO_STRINGS))
     staged = reviews.select(toks.alias("_toks"))
-    found = staged.select(_phrase_hits(F.col("_toks"), sorted({p for ps in by.values() for p in ps})).alias("_hits"))
+    found = staged.select(phrase_hits(F.col("_toks"), sorted({p for ps in by.values() for p in ps})).alias("_hits"))
     counted = found.select(*[F.size(F.filter("_hits", _among(by[lab]))).cast("bigint")
                              .alias(f"_l{i}") for i, lab in enumerate(labels)])
     return _labels_long(counted, [], labels, "category").groupBy("category").agg(

@@ -42,7 +42,7 @@ def _earlier(spark, path: str) -> DataFrame | None:
 def score_with(df: DataFrame, text_col: str, scorer_factory: Callable[[], Scorer],
                batch_size: int = 64, max_retries: int = 3, backoff_s: float = 0.5,
                results_path: str | None = None, tasks: int | None = None,
-               keep: list[str] | None = None) -> DataFrame:
+               keep: list[str] | None = None, value_type: str = "string") -> DataFrame:
     """Add ``value`` and ``error`` columns: the scorer's answer for ``text_col``.
 
     ``results_path`` (a folder under the shared checkpoint folder) keeps scored
@@ -50,7 +50,8 @@ def score_with(df: DataFrame, text_col: str, scorer_factory: Callable[[], Scorer
     ones), and appends; the newest result of a key counts.  ``tasks`` is the number of
     scoring tasks, i.e. of clients that call a model at a time.  ``keep`` names the
     columns that meet the answers again (all by default; leave the text out when it
-    is not needed, and only keys and answers are joined).
+    is not needed, and only keys and answers are joined).  ``value_type`` is the type of an
+    answer, e.g. ``array<double>`` for an embedding model.
     """
     spark = df.sparkSession
     key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
@@ -93,7 +94,7 @@ def score_with(df: DataFrame, text_col: str, scorer_factory: Callable[[], Scorer
                 yield pd.DataFrame({"_key": list(part["_key"]), "value": [v for v, _ in pairs],
                                     "error": [e for _, e in pairs]})
 
-    scored = uniq.mapInPandas(run, "_key string, value string, error string")
+    scored = uniq.mapInPandas(run, f"_key string, value {value_type}, error string")
     if results_path is not None:
         scored.withColumn("run", F.lit(time.time_ns())).write.mode("append").parquet(results_path)
         scored = (spark.read.parquet(results_path).groupBy("_key")

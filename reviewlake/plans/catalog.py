@@ -363,7 +363,7 @@ def q_mask_pii_regex(spark, sf_dir):
 
 @register("entity_counts")
 def q_entity_counts(spark, sf_dir):
-    return EN.entity_counts(read_table(spark, sf_dir, "documents"), "text")
+    return EN.entity_counts(read_table(spark, sf_dir, "documents"), "text", D.GAZETTEER_FIXTURE)
 
 
 @register("mask_spans")

@@ -346,7 +346,11 @@ def _entity_counts_sql() -> str:
     for label, pattern in _M.DETECTORS:
         cols.append(f"len(regexp_extract_all({cur}, {_sql_str(pattern)}, 0)) AS \"{label}\"")
         cur = f"regexp_replace({cur}, {_sql_str(pattern)}, {_sql_str(_M.placeholder_for(label))}, 'g')"
-    labels = ", ".join(f'"{lb}"' for lb, _ in _M.DETECTORS)
+    kinds = sorted({r[0] for r in D.GAZETTEER_FIXTURE.rows})
+    for kind in kinds:
+        words = ", ".join(_sql_str(r[1]) for r in D.GAZETTEER_FIXTURE.rows if r[0] == kind)
+        cols.append(f"len(list_filter(regexp_extract_all(lower({cur}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({words}))) AS \"{kind}\"")
+    labels = ", ".join(f'"{lb}"' for lb in [lb for lb, _ in _M.DETECTORS] + kinds)
     return f"""WITH c AS (SELECT {', '.join(cols)} FROM documents),
 u AS (UNPIVOT c ON {labels} INTO NAME label VALUE n)
 SELECT label, count_if(n > 0) AS n_docs, CAST(SUM(n) AS BIGINT) AS n_mentions FROM u GROUP BY label"""

@@ -71,6 +71,14 @@ def test_a_scorer_with_too_few_answers_is_isolated(spark):
     assert out[1] == ("A", None) and out[3] == ("C", None) and "0 answers to 1 texts" in out[2][1]
 
 
+def test_an_embedder_comes_through_the_scoring_job(spark):
+    def factory():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+    df = spark.createDataFrame([(1, "a"), (2, "bcd")], "id int, t string")
+    out = SC.score_with(df, "t", factory, value_type="array<double>", keep=["id"]).collect()
+    assert {r.id: r.value for r in out} == {1: [1.0, 1.0], 2: [3.0, 1.0]}
+
+
 def test_summaries_hold_all_answers_and_count_the_rest(spark):
     rows = [(q, b, None if b % 10 == 3 else f"a{b}", 1) for q in (0, 2000) for b in range(150)]
     answers = spark.createDataFrame(rows, "question_id long, batch_id long, answer string, score long")
