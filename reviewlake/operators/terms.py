@@ -32,6 +32,23 @@ def top_terms(spark: SparkSession, docs: DataFrame, text_col, k: int = TERM_CLOU
     return counts.orderBy(F.desc("frequency"), F.asc("term")).limit(k)
 
 
+def merge_plurals(counts: DataFrame) -> DataFrame:
+    """Terms ending in one 's' count for the term without it, where that occurs too."""
+    plural = F.col("term").endswith("s") & ~F.col("term").endswith("ss")
+    stem = F.when(plural, F.expr("substring(term, 1, length(term) - 1)"))
+    known = counts.select(F.col("term").alias("_stem"))
+    j = counts.withColumn("_s", stem).join(known, F.col("_s") == F.col("_stem"), "left")
+    return (j.groupBy(F.coalesce("_stem", "term").alias("term"))
+            .agg(F.sum("frequency").cast("bigint").alias("frequency")))
+
+
+def term_cloud(spark: SparkSession, docs: DataFrame, text_col, k: int = TERM_CLOUD_SIZE,
+               stopwords=D.STOPWORDS_EN) -> DataFrame:
+    """The most frequent terms with plurals merged: the term cloud's input."""
+    counts = merge_plurals(term_counts(spark, docs, text_col, stopwords))
+    return counts.orderBy(F.desc("frequency"), F.asc("term")).limit(k)
+
+
 def adjacent_pairs(toks) -> F.Column:
     """ARRAY<STRUCT<w1, w2>> of neighbouring tokens (empty for fewer than two)."""
     n = F.greatest(F.size(toks) - F.lit(1), F.lit(0))

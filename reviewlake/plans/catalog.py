@@ -350,6 +350,11 @@ def q_top_terms(spark, sf_dir):
     return TM.top_terms(spark, _reviews(spark, sf_dir), "body")
 
 
+@register("term_cloud")
+def q_term_cloud(spark, sf_dir):
+    return TM.term_cloud(spark, _reviews(spark, sf_dir), "body")
+
+
 @register("top_bigrams")
 def q_top_bigrams(spark, sf_dir):
     return TM.top_bigrams(spark, _reviews(spark, sf_dir), "body")

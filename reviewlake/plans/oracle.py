@@ -306,6 +306,13 @@ FROM (SELECT unnest({toks('body')}) AS term FROM reviews)
 WHERE term NOT IN ({_stop_list()})
 GROUP BY term ORDER BY frequency DESC, term LIMIT 500""")
 
+SQL["term_cloud"] = with_reviews(f""",
+tc AS (SELECT term, COUNT(*) AS frequency FROM (SELECT unnest({toks('body')}) AS term FROM reviews)
+       WHERE term NOT IN ({_stop_list()}) GROUP BY term)
+SELECT COALESCE(b.term, a.term) AS term, CAST(SUM(a.frequency) AS BIGINT) AS frequency
+FROM tc a LEFT JOIN tc b ON a.term LIKE '%s' AND a.term NOT LIKE '%ss' AND b.term = substring(a.term, 1, length(a.term) - 1)
+GROUP BY 1 ORDER BY frequency DESC, term LIMIT 500""")
+
 SQL["top_bigrams"] = with_reviews(f"""
 SELECT w1 || ' ' || w2 AS bigram, COUNT(*) AS frequency FROM (
   SELECT tk[i] AS w1, tk[i + 1] AS w2
