@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,19 @@ def hash128(c: Column) -> list[Column]:
     return [F.xxhash64(c), F.xxhash64(F.lit("second"), c)]
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; ten thousand long texts do not fit one.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session bound to Arrow batches of ``BATCH_BYTES`` unless it has a bound of its own."""
+    conf = df.sparkSession.conf
+    if _BATCH_CONF not in conf.getAll:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -63,6 +77,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps whose result is already written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of steps whose result is already written.
+
+    The first collection lets go of the plans, the second of what they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

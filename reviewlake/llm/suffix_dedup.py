@@ -19,13 +19,14 @@ starts there.
    Only samples, a fifth of all places, are ranked to the long depth of 70 bytes.
 
 Skew: a bucket with more than ``HOT`` distinct runs in one task (or ``HOT_BUCKET`` in all) is
-dealt by its windows' hashes instead, after collapsing equal ones within the task; so the number of rows
-that meet in one task does not follow how often a passage occurs. Long texts are cut into slices
+dealt by the 128-bit hashes of its windows instead, after collapsing equal ones within the task; so the
+number of rows that meet in one task does not follow how often a passage occurs. Long texts are cut into slices
 that overlap by ``length - 1`` bytes.
 
 Each step is written to the shared folder, so lineage is short and shuffle files of finished steps can go.
 
-Runs are compared by two 64-bit hashes (bucket and bytes); everything after that compares bytes.
+Whole runs are compared by two 64-bit hashes (bucket and bytes) and windows of hot buckets by 128 bits;
+blocks compare bytes.
 
 Defined results: a null or empty text, or one shorter than ``length``, loses nothing; a null doc_id
 is the smallest; rows with one doc_id and different texts are ordered by a hash of the text; rows that
@@ -40,15 +41,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, release, whole_text, written
+from .common import id_key, in_batches, release, whole_text, written
 
 LENGTH = 100
 GRAM = 16
-HOT, HOT_BUCKET = 16, 2_000
+HOT, HOT_BUCKET = 64, 4_000
 SLICE = 2 << 20  # bytes hashed at once
 FLUSH = 4_000_000  # runs held by a task before it collapses them
 BLOCK = 2 << 20  # bytes of a block whose suffixes are sorted at once
@@ -122,6 +124,19 @@ def _collapse(bucket, content, d, r, at):
     return order, new, again
 
 
+def _gone(d: np.ndarray, r: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of runs that go; neighbouring runs of a text join into one, ``content`` is its number of windows."""
+    start, n = at >> 7, at & 127
+    order = np.lexsort((start, r, d))
+    d, r, start, n = d[order], r[order], start[order], n[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (start[1:] > start[:-1] + n[:-1])
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(d)] - 1 if len(d) else first
+    d, r, n, start = d[first], r[first], start[last] + n[last] - start[first], start[first]
+    return _batch(np.full(len(d), GONE), d ^ start, np.zeros(len(d)), n, d, r, start << 7)
+
+
 def _map_task(length: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -131,7 +146,7 @@ def _map_task(length: int, hot: int):
             bucket, content, d, r, at = (np.concatenate(c) for c in zip(*held, strict=True))
             order, new, again = _collapse(bucket, content, d, r, at)
             gone = order[~new & ~again]
-            yield _batch(np.full(len(gone), GONE), d[gone] ^ at[gone], bucket[gone], content[gone], d[gone], r[gone], at[gone])
+            yield _gone(d[gone], r[gone], at[gone])
             first = order[new]
             names, back, many = np.unique(bucket[first], return_inverse=True, return_counts=True)
             busy = many > hot
@@ -196,7 +211,7 @@ def _bucket_task(hot_bucket: int):
         bucket, content, d, r, at = (c[own] for c in (bucket, content, d, r, at))
         order, new, again = _collapse(bucket, content, d, r, at)
         gone = order[~new & ~again]
-        yield _batch(np.full(len(gone), GONE), bucket[gone], bucket[gone], content[gone], d[gone], r[gone], at[gone])
+        yield _gone(d[gone], r[gone], at[gone])
         first = order[new]
         names, back, many = np.unique(bucket[first], return_inverse=True, return_counts=True)
         busy = np.isin(names, tokens) | (many > hot_bucket)
@@ -208,7 +223,8 @@ def _bucket_task(hot_bucket: int):
 
 
 def _fetch_task(length: int):
-    """(text, open runs) -> bytes by bucket; windows by their hash where the bucket is hot."""
+    """(text, open runs) -> bytes by bucket; hashes of windows where the bucket is hot; no bytes for
+    windows that are already known to go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "d", "r", "start", "data"]
 
@@ -217,6 +233,10 @@ def _fetch_task(length: int):
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names)
 
         windows: dict[bytes, tuple] = {}
+
+        def hashed() -> pa.RecordBatch:
+            return out([(int.from_bytes(h[:8], "little", signed=True), *p, h) for h, p in windows.items()])
+
         for b in batches:
             rows: list[tuple] = []
             for d, r, t, runs in zip(*(b.column(k) for k in range(4)), strict=True):
@@ -227,7 +247,7 @@ def _fetch_task(length: int):
                         rows.append((x["bucket"], d, r, start, text[start:start + n + length - 1]))
                         continue
                     for s in range(start, start + n):
-                        w = text[s:s + length]
+                        w = xxhash.xxh3_128_digest(text[s:s + length])
                         place = (d, r, s)
                         other = windows.get(w)
                         if other is None:
@@ -237,7 +257,7 @@ def _fetch_task(length: int):
                             late = max(other, place)
                             rows.append((late[0] ^ late[2], *late, b""))
                     if len(windows) > 500_000:
-                        rows += [(xxhash.xxh3_64_intdigest(w) - (1 << 63), *p, w) for w, p in windows.items()]
+                        yield hashed()
                         windows.clear()
                 if len(rows) > 50_000:
                     yield out(rows)
@@ -245,7 +265,7 @@ def _fetch_task(length: int):
             if rows:
                 yield out(rows)
         if windows:
-            yield out([(xxhash.xxh3_64_intdigest(w) - (1 << 63), *p, w) for w, p in windows.items()])
+            yield hashed()
     return run
 
 
@@ -304,55 +324,73 @@ def later_equals(data: np.ndarray, begin: np.ndarray, size: np.ndarray, rank: np
     return row[late], off[late]
 
 
-def _block_task(length: int, block: int):
-    """Partition sorted by bucket -> windows that go, block after block of whole buckets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        known: list[tuple] = []  # decided where they were fetched
-        bytes_held = 0
-        names = ["d", "r", "lo", "hi"]
-
-        def decided() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*known, strict=True)], names)
-
-        def solve() -> pa.RecordBatch:
-            key, d, r, start = (np.array([x[k] for x in held], np.int64) for k in range(4))
-            size = np.array([len(x[4]) for x in held], np.int64)
+def _spans(d, r, start, length: int) -> pa.RecordBatch:
+    """Windows at ``start`` as spans of bytes; neighbours of a text join."""
+    order = np.lexsort((start, r, d))
+    d, r, start = d[order], r[order], start[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (start[1:] > start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(d)] - 1 if len(d) else first
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[first], r[first], start[first], start[last] + length)], ["d", "r", "lo", "hi"])
+
+
+def _first_seen(keys: list[np.ndarray], d, r, start) -> np.ndarray:
+    """Rows that equal (in all ``keys``) a row of an earlier place."""
+    order = np.lexsort((start, r, d, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return order[(d[order] != d[head]) | (r[order] != r[head]) | (start[order] != start[head])]
+
+
+def _solved(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """The windows that go among whole buckets (key, d, r, start, data)."""
+    size = pc.binary_length(t.column("data")).to_numpy()
+    for kind in (size == 0, size == 16, size > 16):
+        if not kind.any():
+            continue
+        part = t.filter(pa.array(kind)).combine_chunks()
+        d, r, start = (part.column(k).to_numpy() for k in ("d", "r", "start"))
+        data = np.frombuffer(b"".join(part.column("data").to_pylist()), np.uint8)
+        if size[kind].max() == 0:  # known to go
+            yield _spans(d, r, start, length)
+        elif size[kind].max() == 16:  # windows by their hash
+            h = data.view("<u8").reshape(-1, 2)
+            late = _first_seen([h[:, 0], h[:, 1]], d, r, start)
+            yield _spans(d[late], r[late], start[late], length)
+        else:
+            n = size[kind].astype(np.int64)
             order = np.lexsort((start, r, d))
             # equal places (a repeated row) share a rank
-            same = np.zeros(len(order), bool)
-            same[1:] = (d[order][1:] == d[order][:-1]) & (r[order][1:] == r[order][:-1]) & (start[order][1:] == start[order][:-1])
+            step = np.ones(len(order), np.int64)
+            step[1:] = (np.diff(d[order]) != 0) | (np.diff(r[order]) != 0) | (np.diff(start[order]) != 0)
             rank = np.empty(len(order), np.int64)
-            rank[order] = np.cumsum(~same)
-            row, off = later_equals(np.frombuffer(b"".join(x[4] for x in held), np.uint8), np.cumsum(size) - size, size, rank, length)
-            s = start[row] + off
-            # neighbouring windows of a row join into one span
-            new = np.r_[True, (row[1:] != row[:-1]) | (s[1:] != s[:-1] + 1)] if len(row) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            n = np.diff(np.r_[first, len(row)])
-            return pa.RecordBatch.from_arrays([pa.array(d[row[first]]), pa.array(r[row[first]]), pa.array(s[first]),
-                                               pa.array(s[first] + n - 1 + length)], names)
+            rank[order] = np.cumsum(step)
+            row, off = later_equals(data, np.cumsum(n) - n, n, rank, length)
+            yield _spans(d[row], r[row], start[row] + off, length)
+
 
+def _block_task(length: int, block: int):
+    """Partition sorted by bucket -> spans that go, block after block of whole buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(4)]
-            for key, d, r, start, data in zip(*cols, b.column(4), strict=True):
-                data = data.as_py()
-                if not data:
-                    known.append((d, r, start, start + length))
-                    if len(known) >= 50_000:
-                        yield decided()
-                        known.clear()
-                    continue
-                if bytes_held >= block and key != held[-1][0]:
-                    yield solve()
-                    held.clear()
-                    bytes_held = 0
-                held.append((key, d, r, start, data))
-                bytes_held += len(data)
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.nbytes
+            if size >= block:
+                t = pa.Table.from_batches(held)
+                key = t.column("key").to_numpy()
+                end = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+                if end:  # the last bucket may go on in the next batch
+                    yield from _solved(t.slice(0, end), length)
+                    held = t.slice(end).to_batches()
+                    size = sum(x.nbytes for x in held)
         if held:
-            yield solve()
-        if known:
-            yield decided()
+            yield from _solved(pa.Table.from_batches(held), length)
     return run
 
 
@@ -387,7 +425,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), id_key(doc_id).alias("d"), F.xxhash64(whole_text(text)).alias("r"),
                       whole_text(text).alias("t"))
-    runs = src.select("d", "r", "t").mapInArrow(_map_task(length, hot), ROWS)
+    runs = in_batches(src.select("d", "r", "t")).mapInArrow(_map_task(length, hot), ROWS)
     judged = written(runs.repartition("to").mapInArrow(_bucket_task(hot_bucket), ROWS), "runs")
     release(spark)
     still = judged.where(F.col("kind") == OPEN)
@@ -400,7 +438,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     spans = written(dealt.mapInArrow(_block_task(length, block), "d long, r long, lo long, hi long"), "spans")
     release(spark)
     whole = judged.where(F.col("kind") == GONE).select("d", "r", F.shiftright("at", 7).alias("lo"), (
-        F.shiftright("at", 7) + F.col("at").bitwiseAND(F.lit(127)) + (length - 1)).alias("hi"))
+        F.shiftright("at", 7) + F.col("content") + (length - 1)).alias("hi"))
     by_doc = whole.unionByName(spans).groupBy("d", "r").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     j = src.join(by_doc.hint("shuffle_hash"), ["d", "r"], "left").select("doc_id", "t", "spans")
     return j.mapInArrow(_cut_task, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
