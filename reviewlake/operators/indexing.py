@@ -14,7 +14,8 @@ all rows) sorts everything in one task.  Instead:
 
 The order keys must be unique within a group (ties would make the index
 depend on task order).  The range-partitioned rows are checkpointed once, so
-every later read (and any recomputation) sees the same partitions.
+every later read (and any recomputation) sees the same partitions: pass the keys
+and what identifies a row, not its text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlake.operators.joins import small_side
+
 
 def dense_index(df: DataFrame, order_by: list[str], group_by: list[str] | None = None,
                 index_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
@@ -46,8 +49,8 @@ def dense_index(df: DataFrame, order_by: list[str], group_by: list[str] | None =
         *group_by, "_pid", "_first",
         F.coalesce(F.sum("_n").over(w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    # offsets has at most (#partitions + #groups) rows; AQE broadcasts it when small.
-    out = (parted.join(offsets, group_by + ["_pid"], "inner")
+    # offsets has at most (#partitions + #groups) rows: broadcast within the bound, so the rows stay put
+    out = (parted.join(small_side(spark, offsets), group_by + ["_pid"], "inner")
            .withColumn(index_col, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint")))
     return out.drop("_pid", "_mid", "_first", "_off")
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions import text as T
+from reviewlake.operators.joins import small_side
 
 Scorer = Callable[[list[str]], list[str]]
 
@@ -158,7 +159,8 @@ def answer_extractive(neighbours: DataFrame, chunk_texts: DataFrame, questions:
     sent = sent.withColumn("_st", F.array_distinct(T.tokens("sentence")))
     s = neighbours.select(*group, "rank", item_id).join(sent, item_id, "inner")
     q = questions.select("question_id", F.array_distinct(T.tokens(question_text)).alias("_qt"))
-    s = s.join(q, "question_id", "inner")
+    # few questions: a shuffle by question would put all sentences into as many tasks
+    s = s.join(small_side(q.sparkSession, q), "question_id", "inner")
     scored = s.withColumn("score", F.size(F.array_intersect("_st", "_qt")).cast("bigint"))
     # arg-max as an aggregate, combined before the shuffle: score, then chunk rank, then position
     best = scored.groupBy(*group).agg(F.min_by(
