@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import in_batches, whole_text, written
 
 MAX_TRAIN = 16_000  # labelled rows that learning may take
 MAX_LEXICON = 6_000
@@ -61,7 +60,8 @@ _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _INNER = re.compile(r"[^\W\d_][\d@$*._-]+[^\W\d_]")
 _DROP = re.compile(r"[\W\d_]+")
 _STRONG = 2.5
-_MEMO = 400_000
+_MEMO = 200_000  # words whose code a task remembers
+_GRAMS_HELD = 100_000  # counts that a task holds before it hands them on
 
 
 def stems(word: str) -> tuple[list[str], bool]:
@@ -121,7 +121,7 @@ def _features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, got.T)], [*keep, *FEATURES])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
+    return in_batches(rows).mapInArrow(run, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -131,20 +131,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def _learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int, max_lexicon: int) -> dict[str, float]:
     """Weights (log odds of document frequencies) of words and beginnings that toxic rows prefer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = (Counter(), Counter())
+        seen: dict[str, list[int]] = {}  # documents without and with the label
+
+        def flush() -> pa.RecordBatch:
+            clean, toxic = zip(*seen.values(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())],
+                                              ["gram", "toxic", "clean"])
+
         for b in batches:
-            for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by[toxic].update({g for w in set(t.lower().split()) for g in stems(w)[0]})
-        grams = list(by[1])
-        if grams:
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array([by[1][g] for g in grams], pa.int64()),
-                                              pa.array([by[0][g] for g in grams], pa.int64())], ["gram", "toxic", "clean"])
-        rest = [g for g in by[0] if g not in by[1]]
-        if rest:
-            yield pa.RecordBatch.from_arrays([pa.array(rest), pa.array([0] * len(rest), pa.int64()),
-                                              pa.array([by[0][g] for g in rest], pa.int64())], ["gram", "toxic", "clean"])
-
-    counts = rows.mapInArrow(run, "gram string, toxic long, clean long").groupBy("gram").agg(
+            for toxic, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for g in {g for w in set(t.as_py().lower().split()) for g in stems(w)[0]}:
+                    if g in seen:
+                        seen[g][toxic] += 1
+                    else:
+                        seen[g] = [1 - toxic, toxic]
+                if len(seen) >= _GRAMS_HELD:
+                    yield flush()
+                    seen.clear()
+        if seen:
+            yield flush()
+
+    counts = in_batches(rows).mapInArrow(run, "gram string, toxic long, clean long").groupBy("gram").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     least = max(3, round(0.005 * n_toxic))
