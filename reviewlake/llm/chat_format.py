@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, written
+from .common import NULL_ID, in_batches, written
 
 CALL = "struct<id:string,name:string,arguments:string,valid:boolean,error:string,refs:array<string>>"
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -131,7 +131,7 @@ def _parsed(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
                                              [*b.schema.names[:-1], "calls", "readable"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in messages.schema.fields[:-1])
-    return messages.mapInArrow(run, f"{kinds}, calls array<{CALL}>, readable boolean")
+    return in_batches(messages).mapInArrow(run, f"{kinds}, calls array<{CALL}>, readable boolean")
 
 
 def _ordered(nodes: DataFrame, results: DataFrame, calls: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import in_batches, whole_text, written
 from .tokens import encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
             yield flush()
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"))
-    return src.mapInArrow(run, PIECES)
+    return in_batches(src).mapInArrow(run, PIECES)
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

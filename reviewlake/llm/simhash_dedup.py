@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, whole_text, written
+from .common import id_key, in_batches, whole_text, written
 from .components import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -62,12 +62,12 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     """(doc_id, _d, _r, fp): the row's id, its key, a hash of its text and its fingerprint."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column(3).to_pylist()]
+            fps = [fingerprint(t.as_py(), shingle) for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64())], ["doc_id", "_d", "_r", "fp"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), id_key(doc_id).alias("_d"),
                     F.xxhash64(whole_text(text)).alias("_r"), whole_text(text).alias("_t"))
-    return d.mapInArrow(run, "doc_id long, _d long, _r long, fp long")
+    return in_batches(d).mapInArrow(run, "doc_id long, _d long, _r long, fp long")
 
 
 class _Forest:
@@ -112,7 +112,7 @@ class _Forest:
         return (r[a0] == r[a1 - 1]) & (r[b0] == r[b1 - 1]) & (p[a0] == p[b0])
 
 
-def trie_links(x: np.ndarray, depth: int, max_bits: int, step: int = 1 << 16) -> list[tuple[int, int]]:
+def trie_links(x: np.ndarray, depth: int, max_bits: int, step: int = 1 << 13) -> list[tuple[int, int]]:
     """Links that connect the sorted distinct ``x`` (uint64) as all pairs within ``max_bits`` would.
 
     Only pairs that agree in the first ``depth`` bits are looked at.

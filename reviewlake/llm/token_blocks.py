@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, whole_text
+from .common import id_key, in_batches, whole_text
 from .tokens import encoder
 
 BLOCK, PERCENTILE, END_ID = 256, 90.0, 0
@@ -181,7 +181,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"), id_key(doc_id).alias("_d"))
     dealt = src.repartitionByRange("_d").sortWithinPartitions("_d", "t").select("doc_id", "t")
-    dealt.mapInArrow(run, SEGMENTS).write.parquet(path)
+    in_batches(dealt).mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
 def read_blocks(spark, path: str) -> DataFrame:

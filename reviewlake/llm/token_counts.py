@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import whole_text
+from .common import in_batches, whole_text
 
 LIMIT = 1024
 CHUNK = 256
@@ -226,5 +226,5 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
 
     t = whole_text(text)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"), F.octet_length(t).cast("long").alias("n_bytes"))
-    out = src.mapInArrow(run, "doc_id long, n_tokens long, n_bytes long")
+    out = in_batches(src).mapInArrow(run, "doc_id long, n_tokens long, n_bytes long")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

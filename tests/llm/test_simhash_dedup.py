@@ -19,7 +19,7 @@ def test_trie_join_connects_what_all_pairs_connect():
         depth = [0, 16][trial % 2]
         near = [(i, j) for i in range(len(x)) for j in range(i) if int(x[i] ^ x[j]).bit_count() <= 3
                 and (not depth or int(x[i]) >> 48 == int(x[j]) >> 48)]
-        links = SH.trie_links(x, depth, 3, step=[40, 1 << 16][trial % 3 == 0])
+        links = SH.trie_links(x, depth, 3, step=[40, 1 << 13][trial % 3 == 0])
         assert set(links) <= {p for a, b in near for p in ((a, b), (b, a))}
         assert brute.components(len(x), links) == brute.components(len(x), near)
         assert len(links) < len(x)
