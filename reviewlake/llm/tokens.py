@@ -17,8 +17,8 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Pieces remembered per Python worker; beyond it the memory starts anew.
-MEMO = 1_000_000
+#: Pieces that a Python worker remembers, the first that it meets; later new ones are encoded each time.
+MEMO = 800_000
 _LONGEST = 48  # characters of a remembered piece
 _RUN = re.compile(r"\s\s")
 _BARE = "\x01"  # marks a piece that no space leads
@@ -54,42 +54,41 @@ class Encoder:
         self.space = self.letters[32]
         self.packed = [_packed([k]) for k in range(self.library.get_vocab_size())]
         self.marks: dict[str, bytes] = {}
-        self.memo: dict[str, bytes] = {}
-        self._start()
-
-    def _start(self) -> None:
-        self.memo.clear()
-        self.marks.clear()
-        self.memo.update({_BARE: b"", "\n": self._whole("\n")})
+        self.memo: dict[str, bytes] = {_BARE: b"", "\n": self._whole("\n")}
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
+    def _mark(self, mark: str) -> bytes:
+        ids = self.marks.get(mark)
+        if ids is None:
+            ids = self._whole(mark)
+            if len(self.marks) < 10_000:
+                self.marks[mark] = ids
+        return ids
+
+    def _word(self, spelled: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
+
     def _piece(self, key: str) -> bytes:
-        led = key[:1] != _BARE
-        text = key if led else key[1:]
-        word, mark = text, ""
-        if not (text.isascii() and text.isalpha()):
-            m = _WORD.fullmatch(text)
-            word, mark = m.groups() if m else ("", "")
-        if not word:
-            out = self._whole(" " + text if led else text)
+        """The ids of a piece that the memory does not hold."""
+        if key.isascii() and key.isalpha():  # led by a space; ASCII letters spell themselves
+            out = self._word(self.space + key)
+        elif key[-1:] in (",", ".") and (out := self.memo.get(key[:-1])) and _WORD.fullmatch(key, key[:1] == _BARE):
+            out += self._mark(key[-1])
         else:
-            out = self.memo.get(key[:-len(mark)]) if mark else None
-            if out is None:
-                if word.isascii():  # ASCII letters spell themselves
-                    spelled = self.space + word if led else word
-                else:
-                    spelled = (" " + word if led else word).encode().decode("latin-1").translate(self.letters)
-                packed = self.packed
-                out = b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
-            if mark:
-                if mark not in self.marks:
-                    self.marks[mark] = self._whole(mark)
-                out += self.marks[mark]
-        if len(key) <= _LONGEST:
-            if len(self.memo) >= self.memo_size:
-                self._start()
+            led = key[:1] != _BARE
+            text = " " + key if led else key[1:]
+            m = _WORD.fullmatch(key, not led)
+            if m is None:
+                out = self._whole(text)
+            else:
+                word, mark = m.groups()
+                out = self._word((" " + word if led else word).encode().decode("latin-1").translate(self.letters))
+                if mark:
+                    out += self._mark(mark)
+        if len(self.memo) < self.memo_size and len(key) <= _LONGEST:
             self.memo[key] = out
         return out
 
