@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, hash128, id_key, whole_text
+from .common import SPACE_CHARS, ascii_lower, hash128, id_key, whole_text, written
 
 MIN_CHARS, MIN_DOCS = 10, 2
 
@@ -51,7 +51,9 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     d = docs.select(F.col(doc_id).alias("doc_id"), id_key(doc_id).alias("_d"), whole_text(text).alias("_t"), *rest)
     d = d.withColumn("_r", F.xxhash64("_t"))
     lines = _lines(d, min_chars)
-    gone = lines.join(shared_keys(lines, min_docs), ["_h1", "_h2"]).where("_d > _first")
+    # As a table of its own, the shared keys leave Spark free to split a hot key's lines over tasks.
+    shared = written(shared_keys(lines, min_docs), "shared-lines")
+    gone = lines.join(shared, ["_h1", "_h2"]).where("_d > _first")
     gone = gone.groupBy("_d", "_r").agg(F.collect_set("_pos").alias("_gone"))
     # The lists are a small share of the text: they are built into hash tables, the texts stream past.
     j = d.join(gone.hint("shuffle_hash"), ["_d", "_r"], "left")

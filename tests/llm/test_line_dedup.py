@@ -37,6 +37,9 @@ def test_threshold_on_documents(spark):
 
 
 def test_hot_line_is_aggregated_before_the_shuffle(spark):
-    df = spark.createDataFrame([(d, "x") for d in range(3)], "doc_id long, text string")
-    plan = LD.line_dedup(df)._jdf.queryExecution().toString()
-    assert "partial_min" in plan and "Python" not in plan and "CartesianProduct" not in plan
+    df = spark.createDataFrame([(d, d, "x") for d in range(3)], "_d long, _r long, _t string")
+    keys = LD.shared_keys(LD._lines(df, 1), 2)._jdf.queryExecution().toString()
+    assert "partial_min" in keys
+    docs = df.select(F.col("_d").alias("doc_id"), F.col("_t").alias("text"))
+    for plan in (keys, LD.line_dedup(docs)._jdf.queryExecution().toString()):
+        assert "Python" not in plan and "CartesianProduct" not in plan
