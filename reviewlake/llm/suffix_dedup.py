@@ -287,6 +287,23 @@ def _ranks(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _twins(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Windows whose polynomial hash (modulo 2**64) another window has too."""
+    n = len(data)
+    power = np.cumprod(np.full(n, _BASE, np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
+    back = np.cumprod(np.full(n, _INVERSE, np.uint64))
+    h = (total[start + length] - total[start]) * back[start]
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    same = s[1:] == s[:-1]
+    return np.sort(order[np.r_[same, False] | np.r_[False, same]])
+
+
 def later_equals(data: np.ndarray, begin: np.ndarray, size: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, offset) of every window of a block that equals one of an earlier place.
 
@@ -297,6 +314,11 @@ def later_equals(data: np.ndarray, begin: np.ndarray, size: np.ndarray, rank: np
     row = np.repeat(np.arange(len(n)), n)
     off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     start = begin[row] + off
+    # most windows of a bucket are its only ones: those that share no 64-bit rolling hash need no sorting
+    twin = _twins(data, start, length)
+    if not len(twin):
+        return row[:0], off[:0]
+    start, row, off = start[twin], row[twin], off[twin]
     # one rank over first and last 31 bytes of the depth
     both = _ranks(words, np.concatenate([start, start + length - V]), V)
     ends = both[:len(start)] * (both.max() + 1 if len(both) else 1) + both[len(start):]
