@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, whole_text, written
-from .tokens import encoder
+from .tokens import MEMO, encoder
 
 CAPACITY, END_ID = 1024, 2
 #: Rows of the (partition, length) table that may be broadcast (24 bytes each); beyond it a shuffle join.
@@ -40,12 +40,15 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary, part int,
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id",
-           capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: its ids (little-endian unsigned 32 bit), partition and rank among equal lengths there."""
+           capacity: int = CAPACITY, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
+    """One row per piece: its ids (little-endian unsigned 32 bit), partition and rank among equal lengths there.
+
+    ``memo``: words that a Python worker remembers (about 200 bytes each).
+    """
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, memo).encode, TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         rows: list[tuple] = []
         held = 0
@@ -141,6 +144,6 @@ def best_fit(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id",
-         capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+         capacity: int = CAPACITY, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
     """Tokenise, cut and place: doc_id, piece, start, length, ids, sequence_id, offset."""
-    return best_fit(written(pieces(docs, tokenizer, text, doc_id, capacity, end_id), "pieces"), capacity)
+    return best_fit(written(pieces(docs, tokenizer, text, doc_id, capacity, end_id, memo), "pieces"), capacity)

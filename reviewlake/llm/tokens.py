@@ -106,6 +106,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """One encoder per Python worker and vocabulary."""
-    return Encoder(path)
+    return Encoder(path, memo)

@@ -60,7 +60,7 @@ _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _INNER = re.compile(r"[^\W\d_][\d@$*._-]+[^\W\d_]")
 _DROP = re.compile(r"[\W\d_]+")
 _STRONG = 2.5
-_MEMO = 200_000  # words whose code a task remembers
+_MEMO = 100_000  # words whose code a task remembers
 _GRAMS_HELD = 100_000  # counts that a task holds before it hands them on
 
 
