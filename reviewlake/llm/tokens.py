@@ -75,17 +75,17 @@ class Encoder:
         """The ids of a piece that the memory does not hold."""
         if key.isascii() and key.isalpha():  # led by a space; ASCII letters spell themselves
             out = self._word(self.space + key)
-        elif key[-1:] in (",", ".") and (out := self.memo.get(key[:-1])) and _WORD.fullmatch(key, key[:1] == _BARE):
-            out += self._mark(key[-1])
         else:
             led = key[:1] != _BARE
-            text = " " + key if led else key[1:]
             m = _WORD.fullmatch(key, not led)
             if m is None:
-                out = self._whole(text)
+                out = self._whole(" " + key if led else key[1:])
             else:
                 word, mark = m.groups()
-                out = self._word((" " + word if led else word).encode().decode("latin-1").translate(self.letters))
+                # the tokenizer takes all marks as one word, so only the bare word may come from the memory
+                out = self.memo.get(key[:-len(mark)]) if mark else None
+                if out is None:
+                    out = self._word((" " + word if led else word).encode().decode("latin-1").translate(self.letters))
                 if mark:
                     out += self._mark(mark)
         if len(self.memo) < self.memo_size and len(key) <= _LONGEST:

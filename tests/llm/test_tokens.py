@@ -38,6 +38,16 @@ def test_encoder_gives_the_library_ids(vocabulary, library):
         assert all(e.encode(t) == ids(library, t).tobytes() for t in texts)
 
 
+def test_marks_after_a_remembered_word_stay_one_word(vocabulary, library):
+    """'word),' after 'word)': the marks are one word for the tokenizer, whatever the memory holds."""
+    words = [w + m for w in ("word", "etc", "Ünder", "x") for m in ("", ",", ".", ")", '"', "),", ".,", "..", '".', '",', ".)", "...", ").,")]
+    random.seed(9)
+    e = Encoder(vocabulary)
+    for _ in range(1500):
+        t = random.choice([" ", "", "\n"]) + " ".join(random.choice(words) for _ in range(random.randint(1, 8)))
+        assert e.encode(t) == ids(library, t).tobytes(), t
+
+
 def test_counter_gives_the_library_counts(vocabulary, library):
     texts = fuzz(4000, 2) + ["word " * 5000, ""]
     expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
