@@ -105,7 +105,7 @@ def features(text: str, lexicon: dict[str, float], memo: dict[str, int]) -> list
     upper, lower = kinds[65:91].sum(), kinds[97:123].sum()
     marks = kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum()
     total = len(raw)
-    return [hit.sum() / n, strong.sum() / n, weight.sum() / n, weight.max(), len({words[k] for k in where[:10_000]}) / math.sqrt(n),
+    return [hit.sum() / n, strong.sum() / n, weight.sum() / n, weight.max(), len({words[k] for k in where.tolist()}) / math.sqrt(n),
             math.log1p(len(where)), float(near), you.sum() / n, upper / max(1, upper + lower), float(upper > lower),
             kinds[33] / total, marks / total, odd.sum() / n, (odd & hit).sum() / n, total / n, math.log1p(n)]
 

@@ -48,6 +48,13 @@ def test_obfuscated_spelling_meets_its_word():
     assert TX.stems("12.50") == ([], False)
 
 
+def test_kinds_count_the_strong_words_of_the_whole_text():
+    lexicon = {"idiot$": 3.0, "moron$": 3.0}
+    words = ["idiot"] * 10_050 + ["moron"] * 50
+    kinds = TX.features(" ".join(words), lexicon, {})[TX.FEATURES.index("kinds")]
+    assert kinds == 2 / len(words) ** 0.5
+
+
 def test_edges(spark, edge, empty):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     assert TX.toxicity(edge, labels).count() == edge.count()  # too few labels: the share of toxic rows
