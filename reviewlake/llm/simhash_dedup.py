@@ -9,8 +9,8 @@ the two paths differ and drops a pair once the budget is exceeded. To deal it
 out, the 64 bits are cut into ``max_bits + 1`` blocks; a linked pair agrees on one
 block at least, so one trie per block, rotated to start with it, is
 partitioned by that block's value: a task holds whole subtrees below a shared
-first block. Subtrees larger than ``max_subtree`` are split again by their next
-bits into node pairs within the budget. Within a task, pairs of nodes whose leaves
+first block. Subtrees larger than ``max_subtree`` are split by their next
+bits into node pairs within the budget, and these again, until none is above it. Within a task, pairs of nodes whose leaves
 are all known to be connected are dropped, and only joining links (a
 spanning forest) leave the task, so a large group of near copies yields as many rows as
 members, not all pairs.
@@ -25,6 +25,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -39,6 +40,7 @@ from .components import components
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 MAX_SUBTREE = 500_000
 _PART = 1 << 20  # shingles whose bits are counted at once
+_STEP = 4  # bits by which a subtree above the bound is split in a round
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -190,6 +192,45 @@ def _task(max_bits: int, starts: list[int], widths: list[int]):
     return run
 
 
+def _split(hot: DataFrame, groups: dict[int, tuple[int, int, int]], widths: list[int], max_bits: int, max_subtree: int) -> DataFrame:
+    """``hot`` (block, x, top, node) dealt to pairs of nodes of at most ``max_subtree`` fingerprints.
+
+    ``groups`` names the block and the two prefixes (below the first block) of a node pair. Every round
+    appends the next bits to the prefixes of the pairs above the bound; only pairs within the budget whose
+    sides both hold fingerprints go on, so the driver sees a bounded number of counts per such pair.
+    """
+    spark = hot.sparkSession
+    hot = hot.withColumn("own", F.lit(0).cast("long"))
+    done, used, named = [], 0, max(groups) + 1
+    while groups:
+        steps = [max(0, min(_STEP, 64 - w - used)) for w in widths]
+        of_block = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("block") + 1)
+        child = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("x"), of_block([w + used for w in widths])),
+                                of_block([64 - s for s in steps]))
+        grown = F.call_function("shiftleft", F.col("own"), of_block(steps)).bitwiseOR(child)
+        hot = written(hot.withColumn("own", grown), "split-nodes")
+        held: dict[int, dict[int, int]] = {k: {} for k in groups}
+        for r in hot.groupBy("node", "own").count().collect():
+            held[r["node"]][r["own"]] = r["count"]
+        table, after = [], {}
+        for node, (block, a, b) in groups.items():
+            count, step = held[node], steps[block]
+            for p in (p for p in count if p >> step == a):
+                for q in (q for q in count if q >> step == b):
+                    if (p ^ q).bit_count() > max_bits or a == b and p > q or p == q and count[p] == 1:
+                        continue
+                    more = count[p] + (count[q] if p != q else 0) > max_subtree and widths[block] + used + step < 64
+                    table += [(node, own, named, more) for own in {p, q}]
+                    if more:
+                        after[named] = (block, p, q)
+                    named += 1
+        pairs = spark.createDataFrame(table, "node long, own long, pair long, more boolean")
+        dealt = hot.join(F.broadcast(pairs), ["node", "own"]).select("block", "x", "top", F.col("pair").alias("node"), "own", "more")
+        done.append(dealt.where("not more").select("block", "x", "top", "node"))
+        hot, groups, used = dealt.where("more").drop("more"), after, used + _STEP
+    return reduce(DataFrame.unionByName, done)
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, max_subtree: int = MAX_SUBTREE) -> DataFrame:
     """(u, v): links that connect the distinct fingerprints of ``fps`` (fp) as all pairs within the budget would."""
     blocks = max_bits + 1
@@ -201,23 +242,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_subtree: int = MAX_SUBTR
         for k in range(blocks)])).alias("s")).select("s.*")
     # Subtrees above the bound: counted for all, the few large ones are split by their next bits.
     size = rows.groupBy("block", "top").count().where(F.col("count") > max_subtree)
-    large = [(r["block"], r["top"], r["count"]) for r in size.collect()]  # at most rows / max_subtree entries
+    large = [(r["block"], r["top"], k) for k, r in enumerate(size.collect()) if widths[r["block"]] < 64]  # at most rows / max_subtree
     if large:
-        spark = fps.sparkSession
-        split = min(8, max(2, max(c // max_subtree for *_, c in large).bit_length()))
-        width = F.element_at(F.array(*map(F.lit, widths)), F.col("block") + 1)
-        nodes = 1 << split
-        pairs = [(a, b) for a in range(nodes) for b in range(a, nodes) if (a ^ b).bit_count() <= max_bits]
-        table = spark.createDataFrame([(a, a * nodes + b) for a, b in pairs] + [(b, a * nodes + b) for a, b in pairs if a != b],
-                                      "child int, node int")
-        marked = rows.join(F.broadcast(spark.createDataFrame([(r, t) for r, t, _ in large], "block int, top long")
-                                       .withColumn("large", F.lit(True))), ["block", "top"], "left")
-        child = F.shiftrightunsigned(F.call_function("shiftleft", F.col("x"), width), 64 - split).cast("int")
-        hot = marked.where("large").withColumn("child", child).join(F.broadcast(table), "child")
-        rows = marked.where("large is null").select("block", "x", "top", F.lit(-1).alias("node")).unionByName(
-            hot.select("block", "x", "top", "node"))
+        marked = rows.join(F.broadcast(fps.sparkSession.createDataFrame(large, "block int, top long, node long")), ["block", "top"], "left")
+        hot = marked.where("node is not null").select("block", "x", "top", "node")
+        rows = marked.where("node is null").select("block", "x", "top", F.lit(-1).cast("long").alias("node")).unionByName(
+            _split(hot, {k: (r, 0, 0) for r, _, k in large}, widths, max_bits, max_subtree))
     else:
-        rows = rows.withColumn("node", F.lit(-1))
+        rows = rows.withColumn("node", F.lit(-1).cast("long"))
     dealt = rows.repartition("block", "top", "node").select("block", "node", "x")
     return dealt.mapInArrow(_task(max_bits, starts, widths), "u long, v long")
 

@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 from conftest import EDGE
 
 from reviewlake.llm import simhash_dedup as SH
@@ -53,6 +54,33 @@ def test_against_brute_force_with_and_without_split_subtrees(spark):
         assert sorted((r.doc_id, r.fp, r.component_id) for r in got) == expected(rows)
 
 
+def test_crowded_subtrees_are_split_down_to_the_bound(spark, monkeypatch):
+    """Fingerprints that share 40 bits: the bits next to the first block do not part them."""
+    rng = np.random.default_rng(4)
+    x = np.unique(rng.integers(0, 1 << 24, 900, dtype=np.uint64) | np.uint64(0x1234567890 << 24))
+    x = np.unique(np.r_[x, x[:200] ^ np.uint64(5)])
+    fps = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    found = [tuple(r) for r in SH.links(fps, max_subtree=100).collect()]
+    at = {int(v): k for k, v in enumerate(x)}
+    near = [(i, j) for i in range(len(x)) for j in range(i) if int(x[i] ^ x[j]).bit_count() <= 3]
+    assert brute.components(len(x), [(at[u], at[v]) for u, v in found]) == brute.components(len(x), near)
+
+    def sizes(max_bits, starts, widths):
+        def run(batches):
+            got = [b for b in batches if b.num_rows]
+            if not got:
+                return
+            t = pa.Table.from_batches(got)
+            top = t.column("x").to_numpy().view(np.uint64) >> np.uint64(48)
+            n = np.unique(np.stack([t.column("block").to_numpy(), t.column("node").to_numpy(), top.astype(np.int64)]), axis=1, return_counts=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(n, pa.int64())], ["u", "v"])
+        return run
+
+    monkeypatch.setattr(SH, "_task", sizes)
+    largest = max(r.u for r in SH.links(fps, max_subtree=100).collect())
+    assert largest <= 100
+
+
 def test_edges(edge, empty):
     got = SH.simhash_dedup(edge).collect()
     assert len(got) == len(EDGE)
