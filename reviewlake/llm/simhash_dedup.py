@@ -256,12 +256,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_subtree: int = MAX_SUBTR
 
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
                   max_bits: int = MAX_BITS, max_subtree: int = MAX_SUBTREE) -> DataFrame:
-    """Per row: doc_id, fp (signed long), component_id (the smallest doc_id reachable), _d and _r."""
+    """Per row: doc_id, fp (signed long), component_id (the smallest doc_id reachable), _d and _r, and the
+    _r of the group's least (_d, _r) as _first."""
     rows = written(fingerprints(docs, text, doc_id, shingle), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("_d").alias("low"))
+    nodes = rows.groupBy("fp").agg(F.min(F.struct("_d", "_r")).alias("low"))
     found = written(links(nodes.select("fp"), max_bits, max_subtree), "links")
     roots = components(found).withColumnRenamed("node", "fp")
     least = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    label = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = written(least.select("fp", "root").join(label, "root").select("fp", "component_id"), "labels")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "_d", "_r")
+    label = least.groupBy("root").agg(F.min("low").alias("low"))
+    label = label.select("root", F.col("low._d").alias("component_id"), F.col("low._r").alias("_first"))
+    named = written(least.select("fp", "root").join(label, "root").select("fp", "component_id", "_first"), "labels")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "_d", "_r", "_first")

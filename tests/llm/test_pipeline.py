@@ -51,3 +51,20 @@ def test_dropping_rows_keeps_odd_columns(spark):
     from pyspark.sql import functions as F
     keyed = docs.where("_d = 1 or text = 'b'").select(id_key().alias("_d"), F.xxhash64(whole_text()).alias("_r"))
     assert sorted(map(tuple, CP._without(docs, keyed).collect())) == [(1, "a", 0), (2, "a", 2)]
+
+
+def test_one_document_of_a_group_stays_where_ids_are_null_or_repeat(spark):
+    base = " ".join(f"word{k}" for k in range(400))
+    near = [base + end for end in ("", " !", " ?", " .")]
+    other = " ".join(f"other{k}" for k in range(400))
+    rows = [(None, near[0]), (None, near[1]), (None, near[2]), (7, near[3]), (8, near[0]), (3, other), (3, other + " !"), (4, other)]
+    from reviewlake.llm import simhash_dedup as SH
+    assert all((SH.fingerprint(a) ^ SH.fingerprint(b)).bit_count() <= 3 for a, b in ((base, n) for n in near))
+    assert (SH.fingerprint(other) ^ SH.fingerprint(other + " !")).bit_count() <= 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = CP.drop_near_copies(spark, docs, SMOKE).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept) == [(False, 0), (True, 3)]
+    # a null id and one text, repeated: one document, which keeps its rows
+    twice = spark.createDataFrame([(None, base), (None, base), (None, near[1]), (9, base)], "doc_id long, text string")
+    kept = CP.drop_near_copies(spark, twice, SMOKE).collect()
+    assert {r.doc_id for r in kept} == {None} and len({r.text for r in kept}) == 1
