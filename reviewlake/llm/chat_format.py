@@ -28,6 +28,7 @@ table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,24 +54,72 @@ def _is(value, kind: str) -> bool:
     return kind in _TYPES and isinstance(value, _TYPES[kind])
 
 
-def problem(value, schema: dict, at: str = "$") -> str | None:
-    """The first fault of a value under a JSON schema (type, enum, bounds, properties, items), or None."""
+_SUPPORTED = {"type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern",
+              "items", "minItems", "maxItems", "required", "properties", "additionalProperties", "minProperties", "maxProperties",
+              "allOf", "anyOf", "oneOf", "not"}
+_NOTES = {"title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment"}
+
+
+def check_schema(schema, at: str = "$") -> None:
+    """Raise a ValueError if a schema holds a keyword that ``problem`` would not judge."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: not a schema")
+    unknown = sorted(set(schema) - _SUPPORTED - _NOTES)
+    if unknown:
+        raise ValueError(f"{at}: unsupported schema keywords {unknown}")
+    for k in ("items", "additionalProperties", "not"):
+        if k in schema:
+            check_schema(schema[k], f"{at}.{k}")
+    for k in ("allOf", "anyOf", "oneOf"):
+        for n, s in enumerate(schema.get(k, [])):
+            check_schema(s, f"{at}.{k}[{n}]")
+    for name, s in schema.get("properties", {}).items():
+        check_schema(s, f"{at}.properties.{name}")
+
+
+def problem(value, schema, at: str = "$") -> str | None:
+    """The first fault of a value under a JSON schema (the keywords of ``_SUPPORTED``), or None."""
+    if isinstance(schema, bool):
+        return None if schema else f"{at}: not allowed"
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{at}: not of type {kinds}"
     if "enum" in schema and value not in schema["enum"]:
         return f"{at}: not among the values"
+    if "const" in schema and canonical(value) != canonical(schema["const"]) and not (
+            _is(value, "number") and _is(schema["const"], "number") and value == schema["const"]):
+        return f"{at}: not the constant"
+    for s in schema.get("allOf", []):
+        if (bad := problem(value, s, at)) is not None:
+            return bad
+    if "anyOf" in schema and all(problem(value, s, at) is not None for s in schema["anyOf"]):
+        return f"{at}: none of anyOf"
+    if "oneOf" in schema and sum(problem(value, s, at) is None for s in schema["oneOf"]) != 1:
+        return f"{at}: not exactly one of oneOf"
+    if "not" in schema and problem(value, schema["not"], at) is None:
+        return f"{at}: not allowed"
     if _is(value, "number"):
+        if "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"] or (
+                "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]):
+            return f"{at}: out of bounds"
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
             return f"{at}: out of bounds"
     if isinstance(value, str):
         if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
             return f"{at}: length out of bounds"
+        if "pattern" in schema and re.search(schema["pattern"], value) is None:
+            return f"{at}: not of the pattern"
+    if isinstance(value, list) and not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+        return f"{at}: number of items out of bounds"
     if isinstance(value, list) and "items" in schema:
         for k, v in enumerate(value):
             if (bad := problem(v, schema["items"], f"{at}[{k}]")) is not None:
                 return bad
     if isinstance(value, dict):
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            return f"{at}: number of properties out of bounds"
         known = schema.get("properties", {})
         for name in schema.get("required", []):
             if name not in value:
@@ -79,8 +128,8 @@ def problem(value, schema: dict, at: str = "$") -> str | None:
             if name in known:
                 if (bad := problem(value[name], known[name], f"{at}.{name}")) is not None:
                     return bad
-            elif schema.get("additionalProperties", True) is False:
-                return f"{at}.{name}: not allowed"
+            elif (bad := problem(value[name], schema.get("additionalProperties", True), f"{at}.{name}")) is not None:
+                return bad
     return None
 
 
@@ -172,6 +221,8 @@ def _ordered(nodes: DataFrame, results: DataFrame, calls: DataFrame) -> DataFram
 def chat_format(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     """Per message: conv_id, turn, role, order_turn, order_depth, linked, n_calls, n_valid, n_answered,
     readable, cyclic, and its line of canonical JSON."""
+    for name, schema in tools.items():
+        check_schema(schema, name)
     has = {c.lower() for c in messages.columns}
     col = lambda n, kind: (F.col(n) if n in has else F.lit(None)).cast(kind).alias(n)
     src = messages.select(

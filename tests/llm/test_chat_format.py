@@ -69,3 +69,19 @@ def test_schema_faults():
     assert CF.problem({"a": [True]}, schema) == "$.a[0]: not of type integer"
     assert CF.problem({"a": [], "b": "y"}, schema) == "$.b: not among the values"
     assert CF.problem({"b": "x"}, schema) == "$.a: missing" and CF.problem({"a": [], "c": 1}, schema) == "$.c: not allowed"
+
+
+def test_every_schema_keyword_is_judged_or_refused():
+    for schema, good, bad in [({"const": "x"}, "x", "y"), ({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, 2, 3), ({"pattern": "^a+$"}, "aa", "b"),
+                              ({"minItems": 1, "maxItems": 2}, [1], []), ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, 4, 1),
+                              ({"oneOf": [{"minimum": 1}, {"minimum": 5}]}, 2, 6), ({"allOf": [{"minimum": 1}, {"maximum": 2}]}, 2, 3),
+                              ({"not": {"type": "null"}}, 1, None), ({"additionalProperties": {"type": "integer"}}, {"a": 1}, {"a": "x"}),
+                              ({"minProperties": 1, "maxProperties": 1}, {"a": 1}, {})]:
+        CF.check_schema(schema)
+        assert CF.problem(good, schema) is None and CF.problem(bad, schema) is not None, schema
+    for schema in ({"$ref": "#/x"}, {"properties": {"a": {"uniqueItems": True}}}, {"items": {"multipleOf": 2}}):
+        try:
+            CF.check_schema(schema)
+        except ValueError:
+            continue
+        raise AssertionError(schema)
