@@ -111,4 +111,28 @@ SELECT doc_id, item_id, s::INT AS start_word, n_words::INT AS n_words, similarit
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS rn FROM ok WHERE similarity >= 0.8)
 JOIN it USING (item_id) WHERE rn = 1"""
 
-SQL = {"op5_decontamination": OP5, "op4_chat_format": OP4, "op3_line_dedup": OP3, "op8_quality_rules": OP8}
+OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k AS size, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT *, string_split(phrase, ' ') AS v FROM f WHERE size >= 2),
+cut AS (SELECT lang, size, phrase, a, k, array_to_string(v[1:k], ' ') AS part1, array_to_string(v[k + 1:], ' ') AS part2
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, x.a AS l, y.a AS r,
+             ((1000000::HUGEINT * cut.a * cut.a) // (x.a::HUGEINT * y.a))::BIGINT AS score,
+             row_number() OVER (PARTITION BY cut.lang, cut.phrase
+                                ORDER BY (1000000::HUGEINT * cut.a * cut.a) // (x.a::HUGEINT * y.a), cut.k) AS best
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.part1 JOIN f y ON y.lang = cut.lang AND y.phrase = cut.part2),
+inner2 AS (SELECT lang, array_to_string(v[i:i + 1], ' ') AS phrase, max(a) AS longer
+           FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT s.* FROM s LEFT JOIN inner2 USING (lang, phrase) WHERE best = 1 AND (longer IS NULL OR 100 * longer < 50 * a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+JOIN total USING (lang) WHERE rank <= 2000"""
+
+SQL = {"op5_decontamination": OP5, "op4_chat_format": OP4, "op3_line_dedup": OP3, "op8_quality_rules": OP8,
+       "op11_collocations": OP11}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewlake.session import scratch_dir
 
 from . import chat_format as CF
+from . import collocations as CO
 from . import decontamination as DC
 from . import line_dedup as LD
 from . import oracle
@@ -104,7 +105,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", _crc32_of_ids(), "sequence_id", "offset")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CO.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 SQL = oracle.SQL
 QUERIES = {q.__name__: q for q in (
     op1_token_blocks, op2_suffix_dedup, op3_line_dedup, op4_chat_format, op5_decontamination,
-    op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_best_fit_packing)}
+    op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_best_fit_packing,
+    op11_collocations)}
