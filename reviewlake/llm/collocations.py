@@ -32,8 +32,8 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 NO_LANG = "und"
 
-#: Bits of a bitmap that prunes longer n-grams (8 MB).
-FILTER_BITS = 26
+#: 2**28 bits (32 MB) of a bitmap that prunes; a key sets two of them.
+FILTER_BITS = 28
 #: N-grams that a task holds before it adds up equal ones, and rows of a batch that it returns.
 FLUSH, OUT_ROWS = 3_000_000, 100_000
 #: Bytes of text that are hashed at a time (a longer text goes alone).
@@ -150,8 +150,12 @@ class _Words:
 
 
 def _has(bitmap, keys):
-    at = keys & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    size = len(bitmap) * 8
+    shift, mask = np.uint64(size.bit_length() - 1), np.uint64(size - 1)
+    ok = np.ones(len(keys), bool)
+    for at in (keys & mask, keys >> shift & mask):
+        ok &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return ok
 
 
 def _pair(fp, pointer):
@@ -250,7 +254,8 @@ def _bitmap(keys: DataFrame, key: Column, size: int):
         filled[at & ((1 << part) - 1)] = 1
         return pa.table({"chunk": pa.array([int(at[0]) >> part], pa.int64()), "bits": pa.array([np.packbits(filled, bitorder="little").tobytes()], pa.binary())})
 
-    at = keys.select(key.bitwiseAND((1 << size) - 1).alias("at"))
+    mask = (1 << size) - 1
+    at = keys.select(F.explode(F.array(key.bitwiseAND(mask), F.shiftrightunsigned(key, size).bitwiseAND(mask))).alias("at"))
     whole = np.zeros((1 << size) // 8 or 1, np.uint8)
     step = (1 << part) // 8
     for r in at.groupBy(F.shiftright("at", part)).applyInArrow(run, "chunk long, bits binary").collect():
