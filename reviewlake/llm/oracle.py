@@ -134,5 +134,21 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 JOIN total USING (lang) WHERE rank <= 2000"""
 
+OP12 = """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM r a, r b WHERE a.id % 100 = 0 AND a.id <> b.id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+neg AS (SELECT pos.*, s.id AS negative_id, s.score AS negative_score,
+               (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id))::INT AS rank
+        FROM pos JOIN s USING (anchor_id)
+        WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5"""
+
 SQL = {"op5_decontamination": OP5, "op4_chat_format": OP4, "op3_line_dedup": OP3, "op8_quality_rules": OP8,
-       "op11_collocations": OP11}
+       "op11_collocations": OP11, "op12_hard_negatives": OP12}

@@ -10,6 +10,7 @@ from reviewlake.session import scratch_dir
 from . import chat_format as CF
 from . import collocations as CO
 from . import decontamination as DC
+from . import hard_negatives as HN
 from . import line_dedup as LD
 from . import oracle
 from . import packing as PK
@@ -109,8 +110,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CO.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return HN.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
 SQL = oracle.SQL
 QUERIES = {q.__name__: q for q in (
     op1_token_blocks, op2_suffix_dedup, op3_line_dedup, op4_chat_format, op5_decontamination,
     op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_best_fit_packing,
-    op11_collocations)}
+    op11_collocations, op12_hard_negatives)}
