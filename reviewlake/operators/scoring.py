@@ -167,30 +167,3 @@ def answer_extractive(neighbours: DataFrame, chunk_texts: DataFrame, questions:
         F.struct("sentence", "score"), F.struct(-F.col("score"), F.col("rank"), F.col("sent_pos"))).alias("_b"))
     hit = F.col("_b.score") > 0
     return best.select(*group, F.when(hit, F.col("_b.sentence")).alias("answer"), F.col("_b.score").alias("score"))
-
-
-def summarise(answers: DataFrame, per: str = "question_id", order_col: str = "batch_id", block: int = 64,
-              scorer_factory: Callable[[], Scorer] | None = None, **scoring) -> DataFrame:
-    """(per, summary, n_batches, n_answered): all answers of a question, in two levels.
-
-    Blocks of ``block`` consecutive batches are joined first, then the blocks.  With a
-    ``scorer_factory`` (a model that shortens a text) each block's text and then the joined
-    partial summaries go through ``score_with``, so no call sees more than a block's
-    answers; without one the summary is the joined answers.  Rows without an answer
-    are counted, never summarised.
-    """
-    blocks = answers.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block))).groupBy(per, "_blk").agg(
-        F.array_sort(F.collect_list(F.when(F.col("answer").isNotNull(), F.struct(order_col, "answer")))).alias("_a"),
-        F.count(F.lit(1)).alias("_n"), F.count("answer").alias("_ok"))
-    blocks = blocks.select(per, "_blk", "_n", "_ok", F.concat_ws(" ", F.transform("_a", lambda x: x["answer"])).alias("_text"))
-    if scorer_factory is not None:
-        made = score_with(blocks, "_text", scorer_factory, keep=[per, "_blk", "_n", "_ok"], **scoring)
-        blocks = made.withColumnRenamed("value", "_text")
-    out = blocks.groupBy(per).agg(
-        F.array_sort(F.collect_list(F.when((F.col("_ok") > 0) & F.col("_text").isNotNull(), F.struct("_blk", "_text")))).alias("_b"),
-        F.sum("_n").cast("bigint").alias("n_batches"), F.sum("_ok").cast("bigint").alias("n_answered"))
-    out = out.select(per, F.concat_ws(" ", F.transform("_b", lambda x: x["_text"])).alias("summary"), "n_batches", "n_answered")
-    if scorer_factory is not None:
-        final = score_with(out, "summary", scorer_factory, keep=[per, "n_batches", "n_answered"], **scoring)
-        out = final.select(per, F.col("value").alias("summary"), "n_batches", "n_answered")
-    return out

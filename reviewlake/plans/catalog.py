@@ -23,6 +23,7 @@ from reviewlake.operators import lexicon as L
 from reviewlake.operators import retrieval as RT
 from reviewlake.operators import scoring as SC
 from reviewlake.operators import stats
+from reviewlake.operators import summaries as SM
 from reviewlake.operators import terms as TM
 from reviewlake.operators.joins import small_side
 from reviewlake.plans import reporting as RP
@@ -450,10 +451,11 @@ def q_hashed_vectors(spark, sf_dir):
 
 
 def _qa(spark, sf_dir, questions=D.REPORT_QUESTIONS):
-    """reviews (title and body) -> chunks -> batches -> hashed vectors -> k-NN per batch -> answers."""
+    """reviews (title and body) -> chunks -> batches -> hashed vectors -> k-NN per batch -> answers.
+    Chunks and answers are written once; what follows reads them."""
     r = _reviews(spark, sf_dir).select("id", T.corpus_text("title", "body").alias("corpus"))
-    ch = CH.chunk_fixed(r, ["id"], "corpus")
-    ch = ch.withColumn("chunk_id", F.concat_ws(":", "id", F.col("chunk_pos").cast("string")))
+    made = CH.chunk_fixed(r, ["id"], "corpus")
+    ch = SM.stored(made.withColumn("chunk_id", F.concat_ws(":", "id", F.col("chunk_pos").cast("string"))), "chunks")
     # the index needs the keys only; the text meets its batch again by the chunk's key
     ix = IX.dense_index(ch.select("id", "chunk_pos", "chunk_id"), ["id", "chunk_pos"])
     ix = ix.select("chunk_id", IX.batch_of("idx", BATCH_SIZE).alias("batch_id"))
@@ -461,7 +463,8 @@ def _qa(spark, sf_dir, questions=D.REPORT_QUESTIONS):
     b = D.questions_table(questions).frame(spark)
     qv = RT.hashed_vectors(b.select("question_id", T.tokens("question").alias("toks")), "question_id", "toks")
     nn = RT.knn(spark, items, qv, "chunk_id", "embedding", ["batch_id"])
-    return SC.answer_extractive(nn, ch.select("chunk_id", "text"), b, ["batch_id", "question_id"], "chunk_id"), b
+    found = SC.answer_extractive(nn, ch.select("chunk_id", "text"), b, ["batch_id", "question_id"], "chunk_id")
+    return SM.stored(found, "answers"), b
 
 
 @register("answer_extractive")
@@ -469,15 +472,19 @@ def q_answer_extractive(spark, sf_dir):
     return _qa(spark, sf_dir)[0]
 
 
+#: Small blocks, so that the test tables need several levels.
+SUMMARY_BLOCKS = {"block": 8, "keep": 2, "length": 3}
+
+
 @register("summary_extractive")
 def q_summary_extractive(spark, sf_dir):
-    return SC.summarise(_qa(spark, sf_dir)[0])
+    return SM.summarise(_qa(spark, sf_dir)[0], **SUMMARY_BLOCKS)
 
 
 @register("summary_old_questions")
 def q_summary_old_questions(spark, sf_dir):
     """The older report's questions through the same chain."""
-    return SC.summarise(_qa(spark, sf_dir, D.REPORT_QUESTIONS_OLD)[0])
+    return SM.summarise(_qa(spark, sf_dir, D.REPORT_QUESTIONS_OLD)[0], **SUMMARY_BLOCKS)
 
 
 @register("score_with_stub")
@@ -621,7 +628,7 @@ def q_company_summary(spark, sf_dir):
 @register("report_sections")
 def q_report_sections(spark, sf_dir):
     answers, b = _qa(spark, sf_dir)
-    summ = SC.summarise(answers).join(b, "question_id")
+    summ = SM.summarise(answers, **SUMMARY_BLOCKS).join(b, "question_id")
     return RP.report_sections(spark, _enriched(spark, sf_dir), summ, D.LEXICON_FIXTURE)
 
 

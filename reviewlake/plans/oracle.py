@@ -10,6 +10,8 @@ from __future__ import annotations
 from reviewlake import dictionaries as D
 from reviewlake.functions import masking as _M
 from reviewlake.functions import prompts as _PR
+from reviewlake.operators import summaries as SM
+from reviewlake.plans.catalog import SUMMARY_BLOCKS as _SUMMARY_BLOCKS
 
 REVIEWS_CTE = """reviews AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS id, d.source AS company,
@@ -610,18 +612,62 @@ answers AS (SELECT batch_id, question_id, CASE WHEN score > 0 THEN sentence END
   SELECT *, row_number() OVER (PARTITION BY batch_id, question_id ORDER BY score DESC, rank, pos) AS rn FROM sc) WHERE rn = 1)"""
 
 
-_SUMMARY = """SELECT question_id, COALESCE(string_agg(answer, ' ' ORDER BY batch_id), '') AS summary,
-  COUNT(*) AS n_batches, COUNT(answer) AS n_answered FROM answers GROUP BY question_id"""
+def _picked(src: str, n: int, out: str) -> str:
+    """``out``: per (q, b) the ``n`` sentences that graph ranks and likeness pick from ``src`` (q, b, pos, s, w)."""
+    d, steps, least, balance = SM.DAMPING, SM.STEPS, SM.LEAST, SM.BALANCE
+    return f"""
+{out}_g AS (SELECT q, b, list(pos ORDER BY pos) AS ps, list(s ORDER BY pos) AS ss, list(w::DOUBLE ORDER BY pos) AS ws, list(t ORDER BY pos) AS ts,
+            count(*)::INT AS n, sum(w)::DOUBLE AS total FROM (
+  SELECT *, list_filter(list_distinct({toks('s')}), lambda x: NOT list_contains([{_stop_list()}], x)) AS t FROM {src}) GROUP BY q, b),
+{out}_l AS (SELECT *, list_transform(ws, lambda x: x / total) AS p, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j:
+    CASE WHEN i = j OR len(ts[i]) = 0 OR len(ts[j]) = 0 THEN 0.0::DOUBLE ELSE (
+      CASE WHEN round(len(list_intersect(ts[i], ts[j])) / sqrt(len(ts[i])::DOUBLE * len(ts[j])), 9) >= {least}
+           THEN round(len(list_intersect(ts[i], ts[j])) / sqrt(len(ts[i])::DOUBLE * len(ts[j])), 9) ELSE 0.0::DOUBLE END) END)) AS m FROM {out}_g),
+{out}_f AS (SELECT *, list_transform(range(1, n + 1), lambda j: list_sum(list_transform(range(1, n + 1), lambda k: m[j][k] * ws[k]))) AS sums FROM {out}_l),
+{out}_t AS (SELECT *, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j:
+    CASE WHEN sums[j] > 0 THEN m[j][i] * ws[i] / sums[j] ELSE p[i] END)) AS mv FROM {out}_f),
+{out}_r AS (SELECT q, b, 0 AS step, p AS r FROM {out}_t UNION ALL
+  SELECT x.q, x.b, step + 1, list_transform(range(1, n + 1), lambda i: {1 - d} * p[i] + {d} * list_dot_product(mv[i], r))
+  FROM {out}_r x JOIN {out}_t y ON x.q = y.q AND x.b = y.b WHERE step < {steps}),
+{out}_k AS (SELECT y.*, list_transform(r, lambda v: round(v / list_max(r), 6)) AS rk FROM {out}_r x JOIN {out}_t y ON x.q = y.q AND x.b = y.b
+            WHERE step = {steps}),
+{out}_v AS (SELECT q, b, []::INT[] AS picked, list_transform(rk, lambda v: round({balance} * v, 6)) AS v FROM {out}_k UNION ALL
+  SELECT q, b, picked, list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(picked, i) THEN -9.0 ELSE
+    round({balance} * rk[i] - {1 - balance:.1f} * list_max(list_transform(picked, lambda j: m[i][j])), 6) END) AS v
+  FROM (SELECT y.*, list_append(x.picked, list_position(x.v, list_max(x.v))::INT) AS picked
+        FROM {out}_v x JOIN {out}_k y ON x.q = y.q AND x.b = y.b WHERE len(x.picked) < least({n}, y.n))),
+{out} AS (SELECT q, b, ps[i] AS pos, ss[i] AS s, ws[i]::BIGINT AS w FROM (
+  SELECT y.*, unnest(x.picked) AS i FROM {out}_v x JOIN {out}_k y ON x.q = y.q AND x.b = y.b WHERE len(x.picked) = least({n}, y.n)))"""
+
+
+def _summary(levels: int = 4) -> str:
+    """CTEs that end in ``sm``; as many levels as the table needs, the rest pass on."""
+    block, keep, length = (_SUMMARY_BLOCKS[x] for x in ("block", "keep", "length"))
+    fan = max(2, block // keep)
+    parts = [f"""l0 AS (SELECT question_id AS q, floor(min(batch_id) / {block})::BIGINT AS b, min(batch_id) AS pos, answer AS s, count(*) AS w
+  FROM answers WHERE answer IS NOT NULL GROUP BY question_id, answer)"""]
+    for k in range(levels):
+        parts += [_picked(f"l{k}", keep, f"p{k}"), f"""
+l{k + 1} AS (SELECT q, floor(b / {fan})::BIGINT AS b, pos, s, w FROM p{k} WHERE (SELECT max(b) FROM l{k}) > 0
+  UNION ALL SELECT q, b, pos, s, w FROM l{k} WHERE (SELECT max(b) FROM l{k}) = 0)"""]
+    return ",".join([*parts, _picked(f"l{levels}", length, "pz")]) + """,
+sm AS (SELECT a.question_id, coalesce(t.summary, '') AS summary, a.n_batches, a.n_answered
+       FROM (SELECT question_id, COUNT(*) AS n_batches, COUNT(answer) AS n_answered FROM answers GROUP BY question_id) a
+       LEFT JOIN (SELECT q, string_agg(s, ' ' ORDER BY pos) AS summary FROM pz GROUP BY q) t ON t.q = a.question_id)"""
+
+
 SQL["answer_extractive"] = _answers(D.REPORT_QUESTIONS) + "\nSELECT batch_id, question_id, answer, score FROM answers"
-SQL["summary_extractive"] = _answers(D.REPORT_QUESTIONS) + "\n" + _SUMMARY
-SQL["summary_old_questions"] = _answers(D.REPORT_QUESTIONS_OLD) + "\n" + _SUMMARY
+_SM = _summary()
+_RECURSIVE = lambda sql: sql.replace("WITH ", "WITH RECURSIVE ", 1)
+SQL["summary_extractive"] = _RECURSIVE(_answers(D.REPORT_QUESTIONS)) + f",\n{_SM} SELECT * FROM sm"
+SQL["summary_old_questions"] = _RECURSIVE(_answers(D.REPORT_QUESTIONS_OLD)) + f",\n{_SM} SELECT * FROM sm"
 
-SQL["report_sections"] = _answers(D.REPORT_QUESTIONS) + f""",
+SQL["report_sections"] = _RECURSIVE(_answers(D.REPORT_QUESTIONS)) + f""",
 {polarity_cte(CORPUS)},
 h AS (SELECT {_PCT} FROM pol),
 tr AS (SELECT avg(v) AS a, COUNT(v) AS scored, COUNT(*) AS total FROM (
          SELECT round({num('text_rating')}, 3) AS v FROM reviews)),
-sm AS ({_SUMMARY})
+{_SM}
 SELECT 0 AS part, 0::BIGINT AS section_order, 0 AS level, 'Analytical Report' AS heading, '' AS text
 UNION ALL SELECT 0, 1, 1, 'Executive Summary', printf('This report evaluates %d customer reviews of the company.', total) FROM h
 UNION ALL SELECT 0, 2, 2, 'Sentiment Analysis',

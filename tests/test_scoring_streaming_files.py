@@ -79,19 +79,6 @@ def test_an_embedder_comes_through_the_scoring_job(spark):
     assert {r.id: r.value for r in out} == {1: [1.0, 1.0], 2: [3.0, 1.0]}
 
 
-def test_summaries_hold_all_answers_and_count_the_rest(spark):
-    rows = [(q, b, None if b % 10 == 3 else f"a{b}", 1) for q in (0, 2000) for b in range(150)]
-    answers = spark.createDataFrame(rows, "question_id long, batch_id long, answer string, score long")
-    out = {r.question_id: r for r in SC.summarise(answers, block=16).collect()}
-    assert out[0].summary == " ".join(f"a{b}" for b in range(150) if b % 10 != 3)
-    assert (out[0].n_batches, out[0].n_answered) == (150, 135)
-
-    def factory():
-        return lambda texts: [f"<{len(t.split())}>" for t in texts]
-    made = SC.summarise(answers, block=50, scorer_factory=factory).collect()
-    assert {r.summary for r in made} == {"<3>"}  # a model sees three partial summaries, each of one block
-
-
 def test_report_order_with_a_large_question_id_and_coverage(spark):
     from reviewlake.plans.reporting import report_sections
     reviews = spark.createDataFrame([("1", "a", "good", "good", 4.0), ("1", "a", "good", "good", 4.0)],
