@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from reviewlake import dictionaries as D
 from reviewlake.functions import text as T
 from reviewlake.operators.scoring import Scorer, score_with
-from reviewlake.session import scratch_dir
+from reviewlake.session import stored
 
 #: Sentences of a block, of those handed on, of the summary.
 BLOCK, KEEP, LENGTH = 64, 8, 5
@@ -74,13 +74,6 @@ def _pick_rows(keep: int):
     return run
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared scratch folder: computed once, and kept when executors are lost."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pick_sentences(sentences: DataFrame, per: str, block: int = BLOCK, keep: int = KEEP, length: int = LENGTH) -> DataFrame:
     """(per, pos, sentence, weight) -> at most ``length`` of them for each ``per``; ``pos`` are numbers from 0
     that are unique for each ``per``."""

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from reviewlake import dictionaries as D
 from reviewlake.functions import text as T
 from reviewlake.operators.joins import small_side
+from reviewlake.session import stored
 
 # Fixed value: size of the term cloud.
 TERM_CLOUD_SIZE = 500
+# Fixed value: likelihood ratio from which neighbours are one term.
+COLLOCATION_THRESHOLD = 30.0
 
 
 def term_counts(spark: SparkSession, docs: DataFrame, text_col, stopwords=D.STOPWORDS_EN) -> DataFrame:
@@ -32,21 +35,13 @@ def top_terms(spark: SparkSession, docs: DataFrame, text_col, k: int = TERM_CLOU
     return counts.orderBy(F.desc("frequency"), F.asc("term")).limit(k)
 
 
-def merge_plurals(counts: DataFrame) -> DataFrame:
-    """Terms ending in one 's' count for the term without it, where that occurs too."""
+def plural_forms(counts: DataFrame) -> DataFrame:
+    """(term, form): terms ending in one 's' have the form without it, where that occurs too."""
     plural = F.col("term").endswith("s") & ~F.col("term").endswith("ss")
     stem = F.when(plural, F.expr("substring(term, 1, length(term) - 1)"))
     known = counts.select(F.col("term").alias("_stem"))
-    j = counts.withColumn("_s", stem).join(known, F.col("_s") == F.col("_stem"), "left")
-    return (j.groupBy(F.coalesce("_stem", "term").alias("term"))
-            .agg(F.sum("frequency").cast("bigint").alias("frequency")))
-
-
-def term_cloud(spark: SparkSession, docs: DataFrame, text_col, k: int = TERM_CLOUD_SIZE,
-               stopwords=D.STOPWORDS_EN) -> DataFrame:
-    """The most frequent terms with plurals merged: the term cloud's input."""
-    counts = merge_plurals(term_counts(spark, docs, text_col, stopwords))
-    return counts.orderBy(F.desc("frequency"), F.asc("term")).limit(k)
+    j = counts.select("term").withColumn("_s", stem).join(known, F.col("_s") == F.col("_stem"), "left")
+    return j.select("term", F.coalesce("_stem", "term").alias("form"))
 
 
 def adjacent_pairs(toks) -> F.Column:
@@ -55,6 +50,59 @@ def adjacent_pairs(toks) -> F.Column:
     return F.arrays_zip(F.slice(toks, 1, n).alias("w1"), F.slice(toks, 2, n).alias("w2"))
 
 
+def likelihood_ratio(both, first, second, total) -> F.Column:
+    """Log-likelihood ratio of a pair that occurs ``both`` times, of words that occur ``first`` and ``second``
+    times among ``total``: how much better its own rate explains it than the second word's. 0 where a word is all."""
+    both, first, second, total = (F.col(c).cast("double") if isinstance(c, str) else c for c in (both, first, second, total))
+
+    def fit(k, n, p):
+        return F.log(F.greatest(p, F.lit(1e-10))) * k + F.log(F.greatest(1 - p, F.lit(1e-10))) * (n - k)
+    rest = total - first
+    # a word may stand in more pairs than it has occurrences of its own only if the counts do not belong together
+    p, p1, p2 = second / total, both / first, (second - both) / rest
+    ratio = -2 * (fit(both, first, p) + fit(second - both, rest, p) - fit(both, first, p1) - fit(second - both, rest, p2))
+    return F.when((total > first) & (total > second), ratio).otherwise(0.0)
+
+
+def collocations(pairs: DataFrame, counts: DataFrame, threshold: float = COLLOCATION_THRESHOLD) -> DataFrame:
+    """(w1, w2, frequency) of the pairs whose likelihood ratio passes the threshold.
+
+    ``pairs``: (w1, w2, frequency), ``counts``: (term, frequency). The total is one value; both joins are on words."""
+    total = counts.agg(F.sum("frequency").cast("double").alias("_t"))
+    known = counts.select(F.col("term"), F.col("frequency").alias("_n"))
+    j = (pairs.join(known.withColumnsRenamed({"term": "w1", "_n": "_1"}), "w1")
+         .join(known.withColumnsRenamed({"term": "w2", "_n": "_2"}), "w2").join(F.broadcast(total)))
+    return j.where(likelihood_ratio("frequency", "_1", "_2", "_t") > threshold).select("w1", "w2", "frequency")
+
+
+def with_collocations(pairs: DataFrame, counts: DataFrame, threshold: float = COLLOCATION_THRESHOLD) -> DataFrame:
+    """Term counts in which collocations are terms of their own and take their occurrences from their words;
+    words that have none left go."""
+    found = collocations(pairs, counts, threshold)
+    taken = found.select(F.explode(F.array("w1", "w2")).alias("term"), (-F.col("frequency")).alias("frequency"))
+    single = counts.unionByName(taken).groupBy("term").agg(F.sum("frequency").cast("bigint").alias("frequency")).where("frequency > 0")
+    return single.unionByName(found.select(F.concat_ws(" ", "w1", "w2").alias("term"), F.col("frequency").cast("bigint").alias("frequency")))
+
+
+def term_cloud(spark: SparkSession, docs: DataFrame, text_col, k: int = TERM_CLOUD_SIZE,
+               stopwords=D.STOPWORDS_EN, threshold: float = COLLOCATION_THRESHOLD) -> DataFrame:
+    """The most frequent terms with plurals merged and neighbours that belong together as one term: the
+    term cloud's input. Words and pairs are counted in one pass over the texts, before any join."""
+    texts = docs.select(T.tokens(text_col).alias("_w"))
+    both = texts.select(F.explode(F.concat(F.transform("_w", lambda w: F.struct(w.alias("w1"), F.lit(None).cast("string").alias("w2"))),
+                                           adjacent_pairs(F.col("_w")))).alias("p")).groupBy("p.w1", "p.w2").agg(F.count(F.lit(1)).alias("n"))
+    stop = small_side(spark, stopwords)
+    kept = stored(both.join(stop.withColumnRenamed("term", "w1"), "w1", "left_anti")
+                  .join(stop.withColumnRenamed("term", "w2"), "w2", "left_anti"), "cloud")
+    words = kept.where("w2 is null").select(F.col("w1").alias("term"), F.col("n").alias("frequency"))
+    forms = stored(plural_forms(words), "forms")  # (term, form): the counted form of each word
+    counts = words.join(forms, "term").groupBy(F.col("form").alias("term")).agg(F.sum("frequency").alias("frequency"))
+    pairs = (kept.where("w2 is not null").join(forms.withColumnsRenamed({"term": "w1", "form": "_f1"}), "w1")
+             .join(forms.withColumnsRenamed({"term": "w2", "form": "_f2"}), "w2")
+             .groupBy(F.col("_f1").alias("w1"), F.col("_f2").alias("w2")).agg(F.sum("n").alias("frequency")))
+    return with_collocations(pairs, counts, threshold).orderBy(F.desc("frequency"), F.asc("term")).limit(k)
+
+
 def top_bigrams(spark: SparkSession, docs: DataFrame, text_col, k: int = TERM_CLOUD_SIZE,
                 stopwords=D.STOPWORDS_EN) -> DataFrame:
     """Adjacent token pairs where neither token is a stop word."""

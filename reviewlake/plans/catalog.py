@@ -30,7 +30,7 @@ from reviewlake.plans import reporting as RP
 from reviewlake.plans.ingest import ingest_pages
 from reviewlake.plans.reviews import enrich, read_table
 from reviewlake.plans.reviews import fixture_reviews
-from reviewlake.session import scratch_dir
+from reviewlake.session import scratch_dir, stored
 from reviewlake.sources import pages as PG
 from reviewlake.sources import review_files as RF
 from reviewlake.streaming import incremental as ST
@@ -455,7 +455,7 @@ def _qa(spark, sf_dir, questions=D.REPORT_QUESTIONS):
     Chunks and answers are written once; what follows reads them."""
     r = _reviews(spark, sf_dir).select("id", T.corpus_text("title", "body").alias("corpus"))
     made = CH.chunk_fixed(r, ["id"], "corpus")
-    ch = SM.stored(made.withColumn("chunk_id", F.concat_ws(":", "id", F.col("chunk_pos").cast("string"))), "chunks")
+    ch = stored(made.withColumn("chunk_id", F.concat_ws(":", "id", F.col("chunk_pos").cast("string"))), "chunks")
     # the index needs the keys only; the text meets its batch again by the chunk's key
     ix = IX.dense_index(ch.select("id", "chunk_pos", "chunk_id"), ["id", "chunk_pos"])
     ix = ix.select("chunk_id", IX.batch_of("idx", BATCH_SIZE).alias("batch_id"))
@@ -464,7 +464,7 @@ def _qa(spark, sf_dir, questions=D.REPORT_QUESTIONS):
     qv = RT.hashed_vectors(b.select("question_id", T.tokens("question").alias("toks")), "question_id", "toks")
     nn = RT.knn(spark, items, qv, "chunk_id", "embedding", ["batch_id"])
     found = SC.answer_extractive(nn, ch.select("chunk_id", "text"), b, ["batch_id", "question_id"], "chunk_id")
-    return SM.stored(found, "answers"), b
+    return stored(found, "answers"), b
 
 
 @register("answer_extractive")

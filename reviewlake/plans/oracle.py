@@ -308,12 +308,27 @@ FROM (SELECT unnest({toks('body')}) AS term FROM reviews)
 WHERE term NOT IN ({_stop_list()})
 GROUP BY term ORDER BY frequency DESC, term LIMIT 500""")
 
+def _fit(k: str, n: str, p: str) -> str:
+    return f"(ln(greatest({p}, 1e-10)) * ({k}) + ln(greatest(1 - {p}, 1e-10)) * (({n}) - ({k})))"
+
+
 SQL["term_cloud"] = with_reviews(f""",
-tc AS (SELECT term, COUNT(*) AS frequency FROM (SELECT unnest({toks('body')}) AS term FROM reviews)
-       WHERE term NOT IN ({_stop_list()}) GROUP BY term)
-SELECT COALESCE(b.term, a.term) AS term, CAST(SUM(a.frequency) AS BIGINT) AS frequency
-FROM tc a LEFT JOIN tc b ON a.term LIKE '%s' AND a.term NOT LIKE '%ss' AND b.term = substring(a.term, 1, length(a.term) - 1)
-GROUP BY 1 ORDER BY frequency DESC, term LIMIT 500""")
+tk AS (SELECT {toks('body')} AS tk FROM reviews),
+uni AS (SELECT term, COUNT(*) AS n FROM (SELECT unnest(tk) AS term FROM tk) WHERE term NOT IN ({_stop_list()}) GROUP BY term),
+form AS (SELECT a.term, COALESCE(b.term, a.term) AS form FROM uni a
+         LEFT JOIN uni b ON a.term LIKE '%s' AND a.term NOT LIKE '%ss' AND b.term = substring(a.term, 1, length(a.term) - 1)),
+cnt AS (SELECT form AS term, SUM(n)::BIGINT AS n FROM uni JOIN form USING (term) GROUP BY form),
+duo AS (SELECT f1.form AS w1, f2.form AS w2, COUNT(*) AS n
+        FROM (SELECT tk[i] AS a, tk[i + 1] AS b FROM (SELECT tk, unnest(range(1, len(tk))) AS i FROM tk)) p
+        JOIN form f1 ON f1.term = p.a JOIN form f2 ON f2.term = p.b GROUP BY 1, 2),
+x AS (SELECT w1, w2, duo.n, duo.n::DOUBLE AS k, a.n::DOUBLE AS n1, b.n::DOUBLE AS n2, (SELECT SUM(n) FROM cnt)::DOUBLE AS t
+      FROM duo JOIN cnt a ON a.term = w1 JOIN cnt b ON b.term = w2),
+col AS (SELECT w1, w2, n FROM x WHERE t > n1 AND t > n2 AND -2 * (
+  {_fit('k', 'n1', '(n2 / t)')} + {_fit('n2 - k', 't - n1', '(n2 / t)')}
+  - {_fit('k', 'n1', '(k / n1)')} - {_fit('n2 - k', 't - n1', '((n2 - k) / (t - n1))')}) > 30),
+left_ AS (SELECT term, SUM(n)::BIGINT AS frequency FROM (SELECT term, n FROM cnt UNION ALL SELECT w1, -n FROM col UNION ALL SELECT w2, -n FROM col)
+          GROUP BY term HAVING SUM(n) > 0)
+SELECT * FROM (SELECT term, frequency FROM left_ UNION ALL SELECT w1 || ' ' || w2, n FROM col) ORDER BY frequency DESC, term LIMIT 500""")
 
 SQL["top_bigrams"] = with_reviews(f"""
 SELECT w1 || ' ' || w2 AS bigram, COUNT(*) AS frequency FROM (
