@@ -49,12 +49,18 @@ def placeholder_for(label: str) -> str:
     return PLACEHOLDERS.get(label, OTHER_PLACEHOLDER)
 
 
+# Every detector's matches hold one of these.
+NEEDED = "[0-9@]"
+
+
 def mask_pii(text) -> Column:
-    """Replace every detector match by its label's placeholder (whole text)."""
-    out = F.col(text) if isinstance(text, str) else text
+    """Replace every detector match by its label's placeholder (whole text).  Texts without a digit
+    or an @ are passed on after one scan."""
+    raw = F.col(text) if isinstance(text, str) else text
+    out = raw
     for label, pattern in DETECTORS:
         out = F.regexp_replace(out, pattern, placeholder_for(label))
-    return out
+    return F.when(raw.rlike(NEEDED), out).otherwise(raw)
 
 
 def detector_counts(text) -> list[Column]:

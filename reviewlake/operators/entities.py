@@ -48,6 +48,7 @@ def entity_counts(docs: DataFrame, text_col: str, gazetteer=None) -> DataFrame:
 
 
 _WORD = re.compile(r"\w+")
+_NEEDED = re.compile(M.NEEDED)
 
 
 def _gazetteer_index(gazetteer) -> dict[str, list[tuple[tuple[str, ...], str]]]:
@@ -67,7 +68,7 @@ def find_spans(text: str, rules, index) -> list[tuple[int, int, str]]:
     of ``masking.mask_pii``), gazetteer terms what is left; later ones never see a claimed part."""
     spans: list[tuple[int, int, str]] = []
     rest = text
-    for label, rx in rules:
+    for label, rx in rules if _NEEDED.search(text) else ():
         found = [(m.start(), m.end(), label) for m in rx.finditer(rest)]
         if found:
             spans += found

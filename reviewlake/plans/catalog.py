@@ -24,6 +24,7 @@ from reviewlake.operators import retrieval as RT
 from reviewlake.operators import scoring as SC
 from reviewlake.operators import stats
 from reviewlake.operators import summaries as SM
+from reviewlake.operators import tagging as TG
 from reviewlake.operators import terms as TM
 from reviewlake.operators.joins import small_side
 from reviewlake.plans import reporting as RP
@@ -372,6 +373,16 @@ def q_entity_counts(spark, sf_dir):
     return EN.entity_counts(read_table(spark, sf_dir, "documents"), "text", D.GAZETTEER_FIXTURE)
 
 
+@register("mask_names_tagged")
+def q_mask_names_tagged(spark, sf_dir):
+    """Names by a tagger that is fitted on the texts themselves, masked with what rules and gazetteer find."""
+    docs = read_table(spark, sf_dir, "documents")
+    weights = TG.fit_tagger(docs, "text", D.GAZETTEER_FIXTURE)
+    detect = TG.make_tagging_detector(spark, weights, D.GAZETTEER_FIXTURE)
+    found = docs.select("doc_id", "text", detect("text").alias("spans"))
+    return found.select("doc_id", F.size("spans").alias("n_spans"), M.mask_spans("text", "spans").alias("masked"))
+
+
 @register("mask_spans")
 def q_mask_spans(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")

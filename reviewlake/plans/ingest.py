@@ -27,14 +27,15 @@ RECORD_COLUMNS = ["company", "id", "title", "body", "published_at", "rating_raw"
 
 
 def ingest_pages(spark: SparkSession, pages: DataFrame, lexicon: D.Dictionary = D.LEXICON_EN,
-                 taxonomy: D.Dictionary = D.TAXONOMY_FIVE_EN, gazetteer=D.GAZETTEER_EN):
+                 taxonomy: D.Dictionary = D.TAXONOMY_FIVE_EN, gazetteer=D.GAZETTEER_EN, detector=None):
     """(records, rejects) from ``pages(company, page, html)`` (already bounded by
-    ``take_while_pages``)."""
+    ``take_while_pages``).  ``detector``: text -> spans; by default rules and the gazetteer, else
+    e.g. ``tagging.make_tagging_detector``."""
     raw, rejects = PG.parse_reviews(pages, ["company", "page"])
     # the scoring text is materialised with the parsed fields, so the payload is parsed once
     staged = raw.select("*", T.scoring_text("title", "body").alias("_text"))
     j = L.with_scores(staged, "_text", lexicon, taxonomy)
-    detect = EN.make_span_detector(gazetteer)  # the slot of a named-entity model
+    detect = detector or EN.make_span_detector(gazetteer)
     rating = T.guarded_double("rating_raw")
     text_rating = L.text_rating_from_polarity("polarity", "magnitude")
     rec = j.select(
