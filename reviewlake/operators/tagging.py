@@ -111,6 +111,28 @@ def viterbi(scores: np.ndarray, follow: np.ndarray) -> list[int]:
     return path[::-1]
 
 
+def viterbi_many(scores: np.ndarray, sizes: np.ndarray, follow: np.ndarray, side_by_side: int = 512) -> np.ndarray:
+    """``viterbi`` of sentences whose words' scores stand one after the other, some hundred sentences at a time."""
+    out, starts = np.zeros(len(scores), np.int64), np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    for lo in range(0, len(order), side_by_side):
+        group = order[lo:lo + side_by_side]
+        at, n = starts[group], sizes[group]
+        best, back = scores[at].copy(), []
+        for t in range(1, int(n[0])):
+            live = int(np.searchsorted(-n, -t, "left"))  # sentences of more than t words come first
+            reach = best[:live, :, None] + follow
+            back.append(reach.argmax(axis=1))
+            best[:live] = reach.max(axis=1) + scores[at[:live] + t]
+        tag = best.argmax(axis=1)
+        for t in range(int(n[0]) - 1, 0, -1):
+            live = len(back[t - 1])
+            out[at[:live] + t] = tag[:live]
+            tag[:live] = back[t - 1][np.arange(live), tag[:live]]
+        out[at] = tag
+    return out
+
+
 class Tagger:
     def __init__(self, labels: list[str]):
         self.labels = labels
@@ -137,6 +159,25 @@ class Tagger:
         s[0] += self.start
         return viterbi(s, self.follow + self.banned)
 
+    def tag_many(self, sentences: list[list[str]]) -> np.ndarray:
+        """Tags of all words, one sentence after the other, as ``tag`` gives them: what a word adds to its own
+        place and to its neighbours' is added up once for each distinct word."""
+        ids: dict[str, int] = {"<": 0, ">": 1}
+        sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
+        padded = np.fromiter((x for s in sentences for x in (0, 0, *[ids.setdefault(w, len(ids)) for w in s], 1, 1)), np.int64, int(sizes.sum() + 4 * len(sizes)))
+        first = np.cumsum(sizes + 4) - sizes - 2
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        words, read = list(ids), self.read
+        own = [read._own(w) for w in words]
+        s = self.scores([[0, shape_row, *rows] for rows, shape_row, _ in own])[padded[at]]
+        for place in (-2, -1, 1, 2):
+            s += self.scores([read._near(place, w) for w in words])[padded[at + place]]
+        pairs, of = np.unique(padded[at] * len(words) + padded[at - 1], return_inverse=True)
+        s += self.weights[[_row(f"{own[p // len(words)][2]}|{words[p % len(words)].lower()}") for p in pairs.tolist()]][of]
+        begin = np.cumsum(sizes) - sizes
+        s[begin] += self.weights[[_row("first" + own[w][2]) for w in padded[first].tolist()]] + self.start
+        return viterbi_many(s, sizes, self.follow + self.banned)
+
     def fit(self, examples: list[tuple[list[str], list[int]]], passes: int = PASSES, seed: int = SEED) -> Tagger:
         """``examples``: words and tag numbers of sentences."""
         rng, step = random.Random(seed), 0
@@ -170,20 +211,26 @@ class Tagger:
         return self
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        out = []
-        for tokens in sentence_tokens(text):
-            open_ = None
-            for (start, end, _), t in zip(tokens, self.tag([w for _, _, w in tokens])):
-                tag = self.tags[t]
-                if tag.startswith("I-") and open_:
-                    open_ = (open_[0], end, open_[2])
-                    continue
-                if open_:
-                    out.append(open_)
-                open_ = (start, end, tag[2:]) if t else None
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        cut = [list(sentence_tokens(t)) for t in texts]
+        every = [s for sentences in cut for s in sentences]
+        tags = iter(self.tag_many([[w for _, _, w in s] for s in every]).tolist() if every else ())
+        return [[x for s in sentences for x in self._joined(s, tags)] for sentences in cut]
+
+    def _joined(self, tokens, tags):
+        open_ = None
+        for (start, end, _), t in zip(tokens, tags):
+            tag = self.tags[t]
+            if tag.startswith("I-") and open_:
+                open_ = (open_[0], end, open_[2])
+                continue
             if open_:
-                out.append(open_)
-        return out
+                yield open_
+            open_ = (start, end, tag[2:]) if t else None
+        if open_:
+            yield open_
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -237,10 +284,10 @@ def fit_tagger(docs: DataFrame, text_col: str, gazetteer=D.GAZETTEER_EN, max_tra
     return made["weights"] if made else Tagger(labels).dump()
 
 
-def with_names(text: str, known, tagger: Tagger) -> list[tuple[int, int, str]]:
-    """Spans of detectors and gazetteer, and the tagger's where they leave room."""
+def with_names(known, named) -> list[tuple[int, int, str]]:
+    """Spans of detectors and gazetteer, and the tagger's where they leave room; both in order of place."""
     out, k = list(known), 0
-    for s, e, label in tagger.spans(text):
+    for s, e, label in named:
         while k < len(known) and known[k][1] <= s:
             k += 1
         if k == len(known) or known[k][0] >= e:
@@ -259,8 +306,10 @@ def make_tagging_detector(spark, weights: bytes, gazetteer=D.GAZETTEER_EN):
     def detect(texts: pd.Series) -> pd.Series:
         if "tagger" not in held:
             held["tagger"] = Tagger.load(shared.value)
-        return pd.Series([None if t is None else [{"start": s, "end": e, "label": label} for s, e, label in with_names(
-            t, EN.find_spans(t, rules, index), held["tagger"])] for t in texts])
+        given = ["" if t is None else t for t in texts]
+        found = [with_names(EN.find_spans(t, rules, index), named) for t, named in zip(given, held["tagger"].spans_of(given))]
+        return pd.Series([None if t is None else [{"start": s, "end": e, "label": label} for s, e, label in spans]
+                          for t, spans in zip(texts, found)])
 
     return detect
 

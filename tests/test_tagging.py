@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -71,6 +72,12 @@ def test_viterbi_is_the_best_of_all_sequences():
         assert tuple(TG.viterbi(s, follow)) == max(itertools.product(range(3), repeat=n), key=value)
 
 
+def test_many_sentences_at_once_are_tagged_as_one_by_one(weights):
+    tagger, rng = TG.Tagger.load(weights), random.Random(6)
+    sentences = [[rng.choice(["Tom", "York", "the", "<", "Berg", "to", "é世", "Thanks"]) for _ in range(rng.choice([1, 2, 3, 30]))] for _ in range(700)]
+    assert tagger.tag_many(sentences).tolist() == [t for s in sentences for t in tagger.tag(s)]
+
+
 def test_average_is_that_of_all_steps():
     words, gold = ["to", "Anna", "Berg"], [0, 1, 2]
     plain, total, steps = TG.Tagger(["PERSON"]), 0, 0
@@ -101,7 +108,7 @@ def test_no_inside_without_a_beginning_and_spans_do_not_overlap(weights):
         for a, b in zip(["O", *tags], tags):
             assert not b.startswith("I-") or a[2:] == b[2:]
         t = " ".join(w)
-        spans = TG.with_names(t, EN.find_spans(t, [(x, __import__("re").compile(p)) for x, p in M.DETECTORS], EN._gazetteer_index(gazetteer())), tagger)
+        spans = TG.with_names(EN.find_spans(t, [(x, re.compile(p)) for x, p in M.DETECTORS], EN._gazetteer_index(gazetteer())), tagger.spans(t))
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
