@@ -50,7 +50,7 @@ def as_dictionary(side) -> Dictionary:
         return side
     rows = side.limit(MAX_DICTIONARY_ROWS + 1).collect()
     if len(rows) > MAX_DICTIONARY_ROWS:
-        raise ValueError(f"a dictionary has at most {MAX_DICTIONARY_ROWS} rows; filter the table first")
+        raise ValueError(f"a dictionary has at most {MAX_DICTIONARY_ROWS} rows; operators.phrases takes larger ones")
     schema = ", ".join(f"{n} {t}" for n, t in side.dtypes)
     return Dictionary("table", schema, tuple(tuple(r) for r in rows))
 

@@ -20,6 +20,7 @@ from reviewlake.operators import dedupe as DD
 from reviewlake.operators import entities as EN
 from reviewlake.operators import indexing as IX
 from reviewlake.operators import lexicon as L
+from reviewlake.operators import phrases as PH
 from reviewlake.operators import retrieval as RT
 from reviewlake.operators import scoring as SC
 from reviewlake.operators import stats
@@ -373,6 +374,15 @@ def q_entity_counts(spark, sf_dir):
     return EN.entity_counts(read_table(spark, sf_dir, "documents"), "text", D.GAZETTEER_FIXTURE)
 
 
+@register("phrase_mentions")
+def q_phrase_mentions(spark, sf_dir):
+    """A dictionary that grows with the data: every two- and three-word sequence of the benchmark's texts."""
+    words = read_table(spark, sf_dir, "benchmark").select(T.tokens("text").alias("w"))
+    grams = words.select(F.explode(F.expr(
+        "flatten(transform(array(2, 3), n -> transform(filter(sequence(1, size(w) + 1), i -> i + n - 1 <= size(w)), i -> array_join(slice(w, i, n), ' '))))")).alias("phrase"))
+    return PH.phrase_counts(read_table(spark, sf_dir, "documents"), "text", grams)
+
+
 @register("mask_names_tagged")
 def q_mask_names_tagged(spark, sf_dir):
     """Names by a tagger that is fitted on the texts themselves, masked with what rules and gazetteer find."""

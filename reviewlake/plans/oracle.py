@@ -394,6 +394,15 @@ def _n_spans(expr: str) -> str:
     return " + ".join(parts)
 
 
+SQL["phrase_mentions"] = f"""
+WITH b AS (SELECT {toks('text')} AS w FROM benchmark),
+p AS (SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS phrase
+      FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n)),
+d AS (SELECT doc_id, {toks('text')} AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS phrase
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n))
+SELECT phrase, COUNT(DISTINCT doc_id) AS n_docs, COUNT(*) AS n_mentions FROM g WHERE phrase IN (SELECT phrase FROM p) GROUP BY phrase"""
+
 SQL["mask_spans"] = f"""SELECT doc_id, CAST({_n_spans('text')} AS INT) AS n_spans,
   {_gazetteer_mask(_mask_chain('text'))} AS masked FROM documents"""
 
