@@ -20,6 +20,7 @@ from reviewlake.operators import dedupe as DD
 from reviewlake.operators import entities as EN
 from reviewlake.operators import indexing as IX
 from reviewlake.operators import lexicon as L
+from reviewlake.operators import misspelt as MS
 from reviewlake.operators import phrases as PH
 from reviewlake.operators import retrieval as RT
 from reviewlake.operators import scoring as SC
@@ -383,6 +384,13 @@ def q_phrase_mentions(spark, sf_dir):
     return PH.phrase_counts(read_table(spark, sf_dir, "documents"), "text", grams)
 
 
+@register("misspelt_terms")
+def q_misspelt_terms(spark, sf_dir):
+    """Words of the documents within two edits of the benchmark's longer words."""
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(T.tokens("text")).alias("term")).where(F.length("term") >= 8)
+    return MS.near_terms(MS.word_counts(read_table(spark, sf_dir, "documents"), "text"), words)
+
+
 @register("mask_names_tagged")
 def q_mask_names_tagged(spark, sf_dir):
     """Names by a tagger that is fitted on the texts themselves, masked with what rules and gazetteer find."""

