@@ -19,7 +19,9 @@ Conversations of any length stay spread over rows; identifiers are aggregated be
 so an identifier repeated without end is one row per task.
 
 Defined results: a null conv_id is one conversation, a null turn counts as 0, a null role as
-"user", a null text as empty; malformed ``calls`` give no call and mark the message; arguments that
+"user", a null text as empty; malformed ``calls`` give no call and mark the message, as do NaN, Infinity,
+numbers beyond doubles and nesting below ``MAX_DEPTH`` levels; lone surrogates are written as their escapes
+(in identifiers too); arguments that
 are no JSON object, or of an unknown tool, are invalid; results without a call
 (null identifiers too) are kept and not linked; repeated rows stay, each with its line; an empty
 table gives an empty table; extra columns are ignored.
@@ -28,6 +30,7 @@ table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -41,9 +44,58 @@ CALL = "struct<id:string,name:string,arguments:string,valid:boolean,error:string
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+#: Objects and arrays inside each other that a message's calls may have.
+MAX_DEPTH = 200
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def storable(text: str) -> str:
+    """The text with lone surrogates, which UTF-8 cannot hold, as their escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     """Canonical JSON: sorted keys, no spaces, only the escapes that JSON needs."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return storable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def _finite(number: str) -> float:
+    got = float(number)
+    if not math.isfinite(got):
+        raise ValueError("number out of range")
+    return got
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def read_json(text: str):
+    """The value of a JSON text; a ValueError for NaN, Infinity, numbers beyond doubles and nesting below
+    ``MAX_DEPTH`` levels, as for any text that is no JSON."""
+    try:
+        value = json.loads(text, parse_float=_finite, parse_constant=_no_constant)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    level = [value]
+    for _ in range(MAX_DEPTH + 1):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return value
+    raise ValueError("nested too deep")
+
+
+def same(a, b) -> bool:
+    """Equality of JSON values: numbers by value, true and 1 differ."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, (int, float)) and isinstance(b, (int, float)):
+        return a == b
+    if type(a) is not type(b):
+        return False
+    if isinstance(a, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items()) if isinstance(a, dict) else a == b
 
 
 def _is(value, kind: str) -> bool:
@@ -86,10 +138,9 @@ def problem(value, schema, at: str = "$") -> str | None:
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{at}: not of type {kinds}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         return f"{at}: not among the values"
-    if "const" in schema and canonical(value) != canonical(schema["const"]) and not (
-            _is(value, "number") and _is(schema["const"], "number") and value == schema["const"]):
+    if "const" in schema and not same(value, schema["const"]):
         return f"{at}: not the constant"
     for s in schema.get("allOf", []):
         if (bad := problem(value, s, at)) is not None:
@@ -146,7 +197,7 @@ def parse_calls(text: str | None, tools: dict[str, dict]) -> tuple[list[dict], b
     if text is None or not text.strip():
         return [], True
     try:
-        found = json.loads(text)
+        found = read_json(text)
     except ValueError:
         return [], False
     if not isinstance(found, list) or not all(isinstance(c, dict) for c in found):
@@ -156,7 +207,7 @@ def parse_calls(text: str | None, tools: dict[str, dict]) -> tuple[list[dict], b
         name, args = c.get("name"), c.get("arguments", {})
         if isinstance(args, str):  # arguments that are themselves JSON text
             try:
-                args = json.loads(args)
+                args = read_json(args)
             except ValueError:
                 pass
         if not isinstance(name, str) or name not in tools:
@@ -165,8 +216,9 @@ def parse_calls(text: str | None, tools: dict[str, dict]) -> tuple[list[dict], b
             error = "$: not an object"
         else:
             error = problem(args, tools[name])
-        out.append({"id": None if c.get("id") is None else str(c["id"]), "name": None if name is None else str(name),
-                    "arguments": canonical(args), "valid": error is None, "error": error, "refs": references(args)})
+        out.append({"id": None if c.get("id") is None else storable(str(c["id"])), "name": None if name is None else storable(str(name)),
+                    "arguments": canonical(args), "valid": error is None, "error": error and storable(error),
+                    "refs": [storable(r) for r in references(args)]})
     return out, True
 
 
@@ -232,7 +284,7 @@ def chat_format(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     names = ["c", "turn", "role", "text", "call_id", "raw"]
     # Equal rows are one node with a count; every copy gets its line in the end.
     equal = src.groupBy(*names).agg(F.count("*").alias("copies"))
-    node = F.xxhash64(*names)
+    node = F.md5(F.to_json(F.struct(*names)).cast("binary"))
     rows = written(_parsed(equal.select(node.alias("node"), "copies", *names), tools), "chat")
     first = F.struct("turn", "node")
     calls = rows.select("c", "turn", "node", F.explode("calls").alias("x")).where("x.id is not null")

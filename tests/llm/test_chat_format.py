@@ -85,3 +85,36 @@ def test_every_schema_keyword_is_judged_or_refused():
         except ValueError:
             continue
         raise AssertionError(schema)
+
+
+def test_valid_json_of_any_kind_does_not_end_the_job(spark):
+    deep = "[" * 3000 + "]" * 3000
+    nested = lambda n: '[{"id":"k","name":"f","arguments":{"a":1,"b":' + "[" * n + "]" * n + "}}]"
+    made = [
+        (1, 0, "assistant", "", '[{"id":"\\ud800","name":"f","arguments":{"a":1,"b":"\\udfff x"}}]', None),
+        (1, 1, "assistant", "", '[{"id":"r","name":"f","arguments":{"a":1,"\\ud801":{"$ref":"\\ud802"}}}]', None),
+        (1, 2, "assistant", "", nested(3000), None), (1, 3, "assistant", "", nested(CF.MAX_DEPTH + 1), None), (1, 4, "assistant", "", nested(50), None),
+        (1, 5, "assistant", "", deep, None), (1, 6, "assistant", "", '[{"id":"n","name":"f","arguments":{"a":NaN}}]', None),
+        (1, 7, "assistant", "", '[{"id":"n","name":"f","arguments":{"a":1e999}}]', None), (1, 8, "assistant", "", '[{"id":{"x":1},"name":["f"]}]', None),
+        (1, 9, "assistant", "", '[{"id":"t","name":"f","arguments":"{\\"a\\": Infinity}"}]', None),
+        (1, 10, "assistant", "", '[{"id":"big","name":"f","arguments":{"a":' + "9" * 5000 + "}}]", None)]
+    out = {r.turn: r for r in CF.chat_format(spark.createDataFrame(made, SCHEMA), TOOLS).collect()}
+    assert {t: r.readable for t, r in out.items()} == {0: True, 1: True, 2: False, 3: False, 4: True, 5: False, 6: False, 7: False, 8: True, 9: True, 10: False}
+    for r in out.values():
+        json.loads(r.line, parse_constant=lambda x: 1 / 0)
+    assert json.loads(out[0].line)["tool_calls"][0]["arguments"]["b"] == "\udfff x" and out[0].n_valid == 1
+    assert out[9].n_calls == 1 and out[9].n_valid == 0
+
+
+def test_true_is_not_one_and_one_is_one_point_zero():
+    assert CF.problem(True, {"enum": [1]}) and CF.problem(1, {"enum": [True]}) and CF.problem(False, {"const": 0})
+    assert CF.problem(1.0, {"enum": [1]}) is None and CF.problem({"a": [1, {"b": None}]}, {"const": {"a": [1.0, {"b": None}]}}) is None
+    assert CF.problem([True], {"enum": [[1]]}) and CF.problem({"a": 1}, {"const": {"a": 1, "b": 2}})
+
+
+def test_null_texts_very_long_texts_and_clashing_columns(spark):
+    long = "word " * 1_200_000
+    df = spark.createDataFrame([(1, 0, "user", long, None, None, 5, "z"), (1, 1, "assistant", None, json.dumps([call("x", a=1)]), None, 6, "y"),
+                                (1, 2, "tool", None, None, "x", 7, "w")], SCHEMA + ", node int, raw string")
+    out = sorted(CF.chat_format(df, TOOLS).collect(), key=lambda r: r.turn)
+    assert json.loads(out[0].line)["content"] == long and [r.linked for r in out] == [False, False, True]
