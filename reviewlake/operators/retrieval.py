@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reviewlake.session import stored
 
 # Fixed value: neighbours returned per question.
 DEFAULT_K = 4
@@ -53,15 +54,15 @@ BLOCK_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 1024
 
 
-def _question_blocks(questions: DataFrame, question_id: str, question_vec: str, broadcast_bytes: int):
-    """The question set in blocks of about ``broadcast_bytes``: a list of (ids, matrix) makers."""
+def question_blocks(questions: DataFrame, question_id: str, question_vec: str, broadcast_bytes: int):
+    """The question set in blocks of about ``broadcast_bytes``: (ids, vectors, number of blocks) of each."""
     q = questions.select(F.col(question_id).alias("qid"), as_double_array(question_vec).alias("_qv"))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
     n_blocks = max(1, -(-stats["n"] * max(stats["d"] or 1, 1) * 8 // broadcast_bytes))
     for b in range(n_blocks):
         rows = q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).collect()
         if rows:
-            yield [r[0] for r in rows], [r[1] for r in rows]
+            yield [r[0] for r in rows], [r[1] for r in rows], n_blocks
 
 
 def knn(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: str,
@@ -115,9 +116,12 @@ def knn(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: st
         return run
 
     found = None
-    for ids, vectors in _question_blocks(questions, question_id, question_vec, broadcast_bytes):
+    for ids, vectors, n_blocks in question_blocks(questions, question_id, question_vec, broadcast_bytes):
         shared = spark.sparkContext.broadcast((np.array(ids), np.array(vectors, dtype=np.float64)))
         part = src.mapInPandas(candidates(shared), schema)
+        if n_blocks > 1:  # one block's vectors at a time
+            part = stored(part, "candidates")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], ", ".join([*(f"`{c}` {types[c]}" for c in partition_by), f"`{question_id}` {qtype}",

@@ -22,6 +22,7 @@ from reviewlake.operators import indexing as IX
 from reviewlake.operators import lexicon as L
 from reviewlake.operators import misspelt as MS
 from reviewlake.operators import phrases as PH
+from reviewlake.operators import pivots as PV
 from reviewlake.operators import retrieval as RT
 from reviewlake.operators import scoring as SC
 from reviewlake.operators import stats
@@ -455,6 +456,12 @@ def q_knn_global(spark, sf_dir):
     return _knn(spark, sf_dir, False)
 
 
+@register("knn_pruned")
+def q_knn_pruned(spark, sf_dir):
+    e, q = _emb_questions(spark, sf_dir)
+    return PV.knn_pruned(spark, e, q, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
 @register("knn_lsh")
 def q_knn_lsh(spark, sf_dir):
     """Per question: rows found and whether the recall against the exact search is at least 0.9."""
@@ -648,6 +655,28 @@ def q_dedupe_latest(spark, sf_dir):
     return d.select("company", "id", "title", "published_date")
 
 
+# --- missing input, strict casts ---------------------------------------------------------
+@register("missing_input")
+def q_missing_input(spark, sf_dir):
+    """Which of the tables' files can be read; a path that does not exist raises FileNotFoundError."""
+    def exists(name):
+        try:
+            return RF.read_store(spark, f"{sf_dir}/{name}.parquet").select(F.count(F.lit(1)).alias("n"), F.lit(True).alias("found"))
+        except FileNotFoundError:
+            return spark.range(1).select(F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("found"))
+    parts = [exists(name).select(F.lit(name).alias("name"), "n", "found") for name in ("documents", "no_such_table", "labels")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@register("strict_cast")
+def q_strict_cast(spark, sf_dir):
+    """Ratings by the strict cast where they are numbers, and how many it would have refused."""
+    r = _reviews(spark, sf_dir)
+    able = T.guarded_double("rating").isNotNull()
+    strict = F.when(able, T.strict_double(F.when(able, F.col("rating"))))
+    return r.agg(F.sum(strict).alias("total"), F.count(strict).alias("n_cast"), F.count_if(~able).alias("n_refused"))
+
+
 # --- report, flagship --------------------------------------------------------------------
 @register("company_summary")
 def q_company_summary(spark, sf_dir):

