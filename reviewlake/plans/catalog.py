@@ -16,6 +16,7 @@ from reviewlake.functions import masking as M
 from reviewlake.functions import prompts as PR
 from reviewlake.functions import text as T
 from reviewlake.operators import chunking as CH
+from reviewlake.operators import context as CX
 from reviewlake.operators import dedupe as DD
 from reviewlake.operators import entities as EN
 from reviewlake.operators import indexing as IX
@@ -376,6 +377,11 @@ def q_entity_counts(spark, sf_dir):
     return EN.entity_counts(read_table(spark, sf_dir, "documents"), "text", D.GAZETTEER_FIXTURE)
 
 
+@register("polarity_in_context")
+def q_polarity_in_context(spark, sf_dir):
+    return CX.polarity_in_context(_reviews(spark, sf_dir), ["id"], T.corpus_text("title", "body"), D.LEXICON_FIXTURE, CX.ROLES_FIXTURE)
+
+
 @register("phrase_mentions")
 def q_phrase_mentions(spark, sf_dir):
     """A dictionary that grows with the data: every two- and three-word sequence of the benchmark's texts."""

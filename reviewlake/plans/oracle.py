@@ -10,6 +10,7 @@ from __future__ import annotations
 from reviewlake import dictionaries as D
 from reviewlake.functions import masking as _M
 from reviewlake.functions import prompts as _PR
+from reviewlake.operators import context as _CX
 from reviewlake.operators import summaries as SM
 from reviewlake.plans.catalog import SUMMARY_BLOCKS as _SUMMARY_BLOCKS
 
@@ -420,6 +421,24 @@ SQL["strict_cast"] = with_reviews(f"""
 SELECT SUM(CASE WHEN {num('rating')} IS NOT NULL THEN CAST(rating AS DOUBLE) END) AS total, COUNT({num('rating')}) AS n_cast,
   COUNT(*) FILTER ({num('rating')} IS NULL) AS n_refused FROM reviews""")
 
+def _role(role: str) -> str:
+    return ", ".join(_sql_str(w) for r, w in _CX.ROLES_FIXTURE.rows if r == role)
+
+
+_STATE = "{{'c': {c}, 's': {s}, 'f': {f}, 'p': {p}, 'm': {m}, 'n': {n}}}"
+_KEPT = {"p": "a.p", "m": "a.m", "n": "a.n"}
+SQL["polarity_in_context"] = with_reviews(rf""",
+x AS (SELECT id, list_filter(list_transform(regexp_extract_all(lower({CORPUS}), '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']+|[.,;:!?\n]'), lambda x: CASE
+    WHEN x IN ('.', ',', ';', ':', '!', '?', chr(10), {_role('contrast')}) THEN 100 WHEN x IN ({_role('negator')}) OR x LIKE '%n''t' THEN 101
+    WHEN x IN ({_role('stronger')}) THEN 102 WHEN x IN ({_role('weaker')}) THEN 103
+    {' '.join(f"WHEN x = {_sql_str(t)} THEN {w}" for t, w in D.LEXICON_FIXTURE.rows)} END), lambda c: c IS NOT NULL) AS codes FROM reviews),
+y AS (SELECT id, list_reduce(list_prepend({_STATE.format(c=0, s=1, f=2, p='0::BIGINT', m='0::BIGINT', n='0::BIGINT')},
+    list_transform(codes, lambda c: {_STATE.format(c='c::INT', s=1, f=2, p='0::BIGINT', m='0::BIGINT', n='0::BIGINT')})), lambda a, b: CASE b.c
+    WHEN 100 THEN {_STATE.format(c=0, s=1, f=2, **_KEPT)} WHEN 101 THEN {_STATE.format(c=0, s='-a.s', f='a.f', **_KEPT)}
+    WHEN 102 THEN {_STATE.format(c=0, s='a.s', f=4, **_KEPT)} WHEN 103 THEN {_STATE.format(c=0, s='a.s', f=1, **_KEPT)}
+    ELSE {_STATE.format(c=0, s='a.s', f=2, p='a.p + a.s * a.f * b.c', m='a.m + abs(a.f * b.c)', n='a.n + (a.s < 0)::INT')} END) AS r FROM x)
+SELECT id, r.p::BIGINT AS polarity, r.m::BIGINT AS magnitude, r.n::BIGINT AS n_negated FROM y""")
+
 SQL["mask_spans"] = f"""SELECT doc_id, CAST({_n_spans('text')} AS INT) AS n_spans,
   {_gazetteer_mask(_mask_chain('text'))} AS masked FROM documents"""
 
