@@ -8,8 +8,7 @@ Two forms:
   a phone number, and placeholders contain no characters a later detector
   matches.  Patterns use ASCII classes only, so Java regex and RE2 agree.
 * ``mask_spans``: apply externally produced entity spans (0-based, end
-  exclusive, code points) left to right with ``aggregate`` over the sorted span
-  array; overlapping spans are resolved by earliest start, then longest.
+  exclusive, code points): ``aggregate`` over the sorted span array picks them, one join puts the text together; overlapping spans are resolved by earliest start, then longest.
 """
 
 from __future__ import annotations
@@ -88,15 +87,17 @@ def mask_spans(text, spans) -> Column:
     ordered = F.array_sort(F.coalesce(sp, F.array().cast(
         "array<struct<start:int,end:int,label:string>>")), lambda a, b: F.when(
         a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
+    kept = "array<struct<prev:int,start:int,end:int,label:string>>"
+    init = F.struct(F.array().cast(kept).alias("kept"), F.lit(0).alias("pos"))
 
     def step(acc, s):
-        take = s["start"] >= acc["pos"]
-        piece = F.concat(acc["out"], F.substring(t, acc["pos"] + 1, s["start"] - acc["pos"]),
-                         _span_placeholder(t, s))
-        return F.when(take, F.struct(piece.alias("out"), s["end"].alias("pos"))).otherwise(acc)
+        span = F.struct(acc["pos"].alias("prev"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"))
+        more = F.struct(F.concat(acc["kept"], F.array(span)).alias("kept"), s["end"].cast("int").alias("pos"))
+        return F.when(s["start"] >= acc["pos"], more).otherwise(acc)
 
     def finish(acc):
-        return F.concat(acc["out"], F.substring(t, acc["pos"] + 1, 2147483647))
+        # the text between spans and the placeholders are joined once
+        pieces = F.transform(acc["kept"], lambda s: F.concat(F.substring(t, s["prev"] + 1, s["start"] - s["prev"]), _span_placeholder(t, s)))
+        return F.array_join(F.concat(pieces, F.array(F.substring(t, acc["pos"] + 1, 2147483647))), "")
 
     return F.when(t.isNull(), F.lit(None)).otherwise(F.aggregate(ordered, init, step, finish))

@@ -37,9 +37,12 @@ def chunk_fixed(docs: DataFrame, keys: list[str], text_col: str,
     step = size - overlap
     t = F.col(text_col)
     n = n_fixed_chunks(F.length(t), size, overlap)
-    starts = F.sequence(F.lit(0), n - 1)
-    pieces = F.transform(starts, lambda i: F.substring(t, i * step + 1, size))
-    return docs.select(*keys, F.posexplode(pieces).alias("chunk_pos", "text"))
+    # the text is cut once, and a chunk joins a cut and what it needs of the next ones
+    cuts = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), 0)
+    staged = docs.select(*keys, n.alias("_n"), cuts.alias("_cuts"))
+    several = -(-size // step)
+    pieces = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.substring(F.array_join(F.slice("_cuts", i + 1, several), ""), 1, size))
+    return staged.select(*keys, F.posexplode(pieces).alias("chunk_pos", "text"))
 
 
 # --- recursive splitter (runs inside tasks) ----------------------------------------------

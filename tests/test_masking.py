@@ -83,3 +83,22 @@ def test_gazetteer_as_a_table_with_longest_match(spark):
     detect = EN.make_span_detector(gaz)
     df = spark.createDataFrame([("New York, York and New York Smith; newyork",)], "t string")
     assert df.select(M.mask_spans("t", detect("t"))).first()[0] == "[LOCATION], [PERSON] and [PERSON]; newyork"
+
+
+def test_many_spans_and_chunks_of_a_long_text(spark):
+    from reviewlake.operators import chunking as CH
+    n = 4000
+    text = "é" + "ab𝒳d " * (n * 2)
+    spans = [(1 + 10 * i, 3 + 10 * i, ["PERSON", "ORG", "X"][i % 3]) for i in range(n)] + [(1, 2, "DATE"), (5, 5, "GPE")]
+    df = spark.createDataFrame([(1, text, spans), (2, "", []), (3, None, [])], "id int, t string, s array<struct<start:int,end:int,label:string>>")
+    want, at = "", 0
+    for s, e, label in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if s >= at:
+            want += text[at:s] + (text[s:e] if label == "ORG" else M.PLACEHOLDERS.get(label, M.OTHER_PLACEHOLDER))
+            at = e
+    assert {r.id: r.m for r in df.select("id", M.mask_spans("t", "s").alias("m")).collect()} == {1: want + text[at:], 2: "", 3: None}
+    for size, overlap in ((1000, 200), (50, 40), (7, 0)):
+        got = {(r.id, r.chunk_pos): r.text for r in CH.chunk_fixed(df, ["id"], "t", size, overlap).collect()}
+        step = size - overlap
+        count = max(1, -(-(len(text) - overlap) // step))
+        assert got == {**{(1, i): text[i * step:i * step + size] for i in range(count)}, (2, 0): "", (3, 0): None}
