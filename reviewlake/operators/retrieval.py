@@ -188,10 +188,13 @@ def hashed_vectors(docs: DataFrame, id_col: str, tokens_col: str, dim: int = 256
                    keep: list[str] | None = None) -> DataFrame:
     """Test-only embedding: L2-normalised term counts, a term's place being the first 8 hex digits
     of its MD5 modulo ``dim``.  ``keep`` columns are carried through (no join back)."""
+    held = {}
+
     @F.pandas_udf("array<double>")
     def vector(tokens: pd.Series) -> pd.Series:
-        place = lru_cache(maxsize=200_000)(lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim)
-        out = []
+        if "place" not in held:  # a worker remembers places over its batches
+            held["place"] = lru_cache(maxsize=200_000)(lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim)
+        place, out = held["place"], []
         for ts in tokens:
             v = np.bincount([place(t) for t in (ts if ts is not None else ())], minlength=dim).astype(float)
             norm = np.sqrt((v * v).sum())

@@ -494,17 +494,18 @@ def q_hashed_vectors(spark, sf_dir):
 
 def _qa(spark, sf_dir, questions=D.REPORT_QUESTIONS):
     """reviews (title and body) -> chunks -> batches -> hashed vectors -> k-NN per batch -> answers.
-    Chunks and answers are written once; what follows reads them."""
+    Chunks, neighbours and answers are written once; what follows reads them."""
     r = _reviews(spark, sf_dir).select("id", T.corpus_text("title", "body").alias("corpus"))
     made = CH.chunk_fixed(r, ["id"], "corpus")
     ch = stored(made.withColumn("chunk_id", F.concat_ws(":", "id", F.col("chunk_pos").cast("string"))), "chunks")
     # the index needs the keys only; the text meets its batch again by the chunk's key
     ix = IX.dense_index(ch.select("id", "chunk_pos", "chunk_id"), ["id", "chunk_pos"])
     ix = ix.select("chunk_id", IX.batch_of("idx", BATCH_SIZE).alias("batch_id"))
-    items = RT.hashed_vectors(ch.select("chunk_id", T.tokens("text").alias("toks")), "chunk_id", "toks").join(ix, "chunk_id")
+    # the texts move to their batches, which is a tenth of the vectors' bytes
+    items = RT.hashed_vectors(ch.join(ix, "chunk_id").select("chunk_id", "batch_id", T.tokens("text").alias("toks")), "chunk_id", "toks", keep=["batch_id"])
     b = D.questions_table(questions).frame(spark)
     qv = RT.hashed_vectors(b.select("question_id", T.tokens("question").alias("toks")), "question_id", "toks")
-    nn = RT.knn(spark, items, qv, "chunk_id", "embedding", ["batch_id"])
+    nn = stored(RT.knn(spark, items, qv, "chunk_id", "embedding", ["batch_id"]), "neighbours")  # read twice below
     found = SC.answer_extractive(nn, ch.select("chunk_id", "text"), b, ["batch_id", "question_id"], "chunk_id")
     return stored(found, "answers"), b
 
