@@ -67,12 +67,12 @@ def likelihood_ratio(both, first, second, total) -> F.Column:
 def collocations(pairs: DataFrame, counts: DataFrame, threshold: float = COLLOCATION_THRESHOLD) -> DataFrame:
     """(w1, w2, frequency) of the pairs whose likelihood ratio passes the threshold.
 
-    ``pairs``: (w1, w2, frequency), ``counts``: (term, frequency). The total is one value; both joins are on words."""
-    total = counts.agg(F.sum("frequency").cast("double").alias("_t"))
+    ``pairs``: (w1, w2, frequency), ``counts``: (term, frequency). The total is one number; both joins are on words."""
+    total = F.lit(float(counts.agg(F.sum("frequency")).first()[0] or 0))
     known = counts.select(F.col("term"), F.col("frequency").alias("_n"))
     j = (pairs.join(known.withColumnsRenamed({"term": "w1", "_n": "_1"}), "w1")
-         .join(known.withColumnsRenamed({"term": "w2", "_n": "_2"}), "w2").join(F.broadcast(total)))
-    return j.where(likelihood_ratio("frequency", "_1", "_2", "_t") > threshold).select("w1", "w2", "frequency")
+         .join(known.withColumnsRenamed({"term": "w2", "_n": "_2"}), "w2"))
+    return j.where(likelihood_ratio("frequency", "_1", "_2", total) > threshold).select("w1", "w2", "frequency")
 
 
 def with_collocations(pairs: DataFrame, counts: DataFrame, threshold: float = COLLOCATION_THRESHOLD) -> DataFrame:
