@@ -17,6 +17,7 @@ from reviewlake.functions import prompts as PR
 from reviewlake.functions import text as T
 from reviewlake.operators import chunking as CH
 from reviewlake.operators import context as CX
+from reviewlake.operators import corpus_chunks as CC
 from reviewlake.operators import dedupe as DD
 from reviewlake.operators import entities as EN
 from reviewlake.operators import indexing as IX
@@ -427,6 +428,13 @@ def q_chunk_fixed(spark, sf_dir):
     return _doc_chunks(spark, sf_dir).select("doc_id", "chunk_pos", "text")
 
 
+@register("chunk_corpus")
+def q_chunk_corpus(spark, sf_dir):
+    """Recursive chunks of all reviews as one text, a line each, in the order of their ids."""
+    r = _reviews(spark, sf_dir).select(F.col("id").cast("bigint").alias("id"), F.concat(T.corpus_text("title", "body"), F.lit("\n")).alias("line"))
+    return CC.chunk_corpus(r, ["id"], "line")
+
+
 @register("chunk_recursive")
 def q_chunk_recursive(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")

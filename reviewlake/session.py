@@ -69,3 +69,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker; ten thousand long rows do not fit one.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session bound to Arrow batches of ``BATCH_BYTES`` unless it has a bound of its own."""
+    conf = df.sparkSession.conf
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in conf.getAll:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
