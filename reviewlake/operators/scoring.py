@@ -30,7 +30,7 @@ from reviewlake.operators.joins import small_side
 Scorer = Callable[[list[str]], list[str]]
 
 
-def _earlier(spark, path: str) -> DataFrame | None:
+def earlier_results(spark, path: str) -> DataFrame | None:
     """Results of earlier runs, or None when there are none; any other fault is raised."""
     try:
         return spark.read.parquet(path)
@@ -58,7 +58,7 @@ def score_with(df: DataFrame, text_col: str, scorer_factory: Callable[[], Scorer
     key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     uniq = df.select(key.alias("_key"), F.col(text_col).alias("_text")).groupBy("_key").agg(
         F.any_value("_text").alias("_text"))
-    if results_path is not None and (earlier := _earlier(spark, results_path)) is not None:
+    if results_path is not None and (earlier := earlier_results(spark, results_path)) is not None:
         uniq = uniq.join(earlier.where("error is null").select("_key").distinct(), "_key", "left_anti")
     if tasks:
         uniq = uniq.repartition(tasks, "_key")
