@@ -25,6 +25,7 @@ from reviewlake.operators import lexicon as L
 from reviewlake.operators import misspelt as MS
 from reviewlake.operators import phrases as PH
 from reviewlake.operators import pivots as PV
+from reviewlake.operators import rated as RA
 from reviewlake.operators import retrieval as RT
 from reviewlake.operators import scoring as SC
 from reviewlake.operators import stats
@@ -40,6 +41,7 @@ from reviewlake.session import scratch_dir, stored
 from reviewlake.sources import pages as PG
 from reviewlake.sources import review_files as RF
 from reviewlake.streaming import incremental as ST
+from reviewlake.streaming import paging as SP
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -553,6 +555,13 @@ def q_score_with_retry(spark, sf_dir):
     return SC.score_with(r, "scoring_text", SC.stub_label_scorer_factory("none"), results_path=path, keep=["id"])
 
 
+@register("score_within_rate")
+def q_score_within_rate(spark, sf_dir):
+    """A service that takes half of the calls it is offered at first: what it refuses is scored in later rounds."""
+    r = _reviews(spark, sf_dir).select("id", T.scoring_text("title", "body").alias("scoring_text"))
+    return RA.score_within_rate(r, "scoring_text", RA.refusing_stub_factory(0.02), calls_per_s=800, tasks=8, keep=["id"])
+
+
 @register("score_coverage")
 def q_score_coverage(spark, sf_dir):
     return SC.coverage(q_score_with_stub(spark, sf_dir))
@@ -731,3 +740,15 @@ def q_stream_daily_counts(spark, sf_dir):
     return (snap.groupBy("day", "event_type")
             .agg(F.max_by(F.struct("n", "total_value"), "_epoch").alias("_v"))
             .select("day", "event_type", "_v.n", F.round("_v.total_value", 6).alias("total_value")))
+
+
+@register("page_bound_stream")
+def q_page_bound_stream(spark, sf_dir):
+    """The paging bound with the turns of a conversation as its pages, read as a stream."""
+    turns = ST.file_stream(spark, sf_dir, "conv_id BIGINT, turn BIGINT, role STRING, text STRING", glob="conversations.parquet")
+    pages = turns.select("conv_id", "turn", (F.col("turn") + 1).cast("int").alias("page"), F.length("text").alias("n_chars"))
+    out, ck = scratch_dir(spark, "page_bound_out"), scratch_dir(spark, "page_bound_ck")
+    s = SP.page_bound_stream(pages, F.col("n_chars") > LONG_TURN_CHARS, prefer="n_chars", company="conv_id")
+    ST.run_available_now(s, out, ck)
+    left = spark.read.schema(pages.schema).parquet(out)
+    return PG.dedupe_captures(left, company="conv_id", prefer=["n_chars"]).select("conv_id", "turn", "n_chars")

@@ -505,6 +505,16 @@ g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page) <> page A
 s AS (SELECT *, min(CASE WHEN bad OR gap THEN page END) OVER (PARTITION BY conv_id) AS stop FROM g)
 SELECT conv_id, CAST(page - 1 AS BIGINT) AS turn FROM s WHERE stop IS NULL OR page < stop"""
 
+SQL["page_bound_stream"] = """
+WITH p AS (
+  SELECT conv_id, CAST(turn + 1 AS INT) AS page,
+    NOT bool_or(COALESCE(length(text) <= 1500, TRUE)) AS bad,
+    max(length(text)) FILTER (length(text) <= 1500) AS n_chars
+  FROM conversations WHERE turn + 1 >= 1 AND turn + 1 < 100 GROUP BY conv_id, turn),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page) <> page AS gap FROM p),
+s AS (SELECT *, min(CASE WHEN bad OR gap THEN page END) OVER (PARTITION BY conv_id) AS stop FROM g)
+SELECT conv_id, CAST(page - 1 AS BIGINT) AS turn, CAST(n_chars AS INT) AS n_chars FROM s WHERE stop IS NULL OR page < stop"""
+
 SQL["next_data_reviews"] = with_reviews("""
 SELECT company, CAST(floor(CAST(id AS BIGINT) / 20) + 1 AS INT) AS page, id,
   COALESCE(title, 'No Title') AS title, COALESCE(body, 'No Review Body') AS body,
@@ -623,6 +633,7 @@ _LABELLED = f"""SELECT id, CASE WHEN pos > neg THEN 'positive' WHEN neg > pos TH
 FROM (SELECT id, len(list_filter({_WORDS}, lambda w: w IN ('the', 'la'))) AS pos,
         len(list_filter({_WORDS}, lambda w: w IN ('of', 'der'))) AS neg FROM reviews)"""
 SQL["score_with_retry"] = with_reviews(f"SELECT id, value, CAST(NULL AS VARCHAR) AS error FROM ({_LABELLED})")
+SQL["score_within_rate"] = SQL["score_with_retry"]
 SQL["score_coverage"] = f"""SELECT COUNT(value) AS n_scored, COUNT(error) AS n_failed, COUNT(*) AS n_rows
 FROM ({SQL["score_with_stub"]})"""
 
