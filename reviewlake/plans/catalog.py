@@ -20,6 +20,7 @@ from reviewlake.operators import context as CX
 from reviewlake.operators import corpus_chunks as CC
 from reviewlake.operators import dedupe as DD
 from reviewlake.operators import entities as EN
+from reviewlake.operators import fitted_vectors as FV
 from reviewlake.operators import indexing as IX
 from reviewlake.operators import lexicon as L
 from reviewlake.operators import misspelt as MS
@@ -502,6 +503,14 @@ def q_hashed_vectors(spark, sf_dir):
     return RT.hashed_vectors(r, "id", "toks")
 
 
+@register("fitted_vectors")
+def q_fitted_vectors(spark, sf_dir):
+    """Vectors of the reviews by the co-occurrences of their own words."""
+    r = stored(_reviews(spark, sf_dir).select("id", T.tokens(T.corpus_text("title", "body")).alias("toks")), "tokens")
+    words, vectors = FV.fit(r, "toks")
+    return FV.text_vectors(r, "id", "toks", words, vectors)
+
+
 def _qa(spark, sf_dir, questions=D.REPORT_QUESTIONS):
     """reviews (title and body) -> chunks -> batches -> hashed vectors -> k-NN per batch -> answers.
     Chunks, neighbours and answers are written once; what follows reads them."""
