@@ -2,26 +2,39 @@
 
 Documents are tokenised, closed with an end id and cut into pieces of at most
 ``capacity`` ids (only longer ones are cut; the first piece takes what is left over).
-Pieces of one length are interchangeable, so a sweep works on runs: lengths are taken
-in falling order; every run looks up its successor among the gaps (the
-smallest gap that holds it), all bins of that gap are offered at once, ranks decide which
-pieces of the run get them, gaps are updated, and what is left of the
-run sweeps again, into new bins when no gap holds it. The sweep needs only the number of
-pieces of each length, at most ``capacity`` numbers whatever the input's
-size; the pieces themselves stay distributed and find their place by (length, rank).
+Pieces of one length are interchangeable, and so are bins of one gap: a run is a length with
+ranks, or a gap with bin numbers. There are at most ``capacity`` runs of pieces and a few per
+round and length of gaps, whatever the input's size; the pieces themselves stay distributed and
+find their place by (length, rank) in the end.
+
+A round (``_sweep``) matches all long runs at once:
+
+1. Sort. Runs of gaps and of the lengths above ``REACH`` of the longest one left are sorted by size, falling.
+2. Successors. ``c``, a prefix sum, is the number of bins that hold a length; the c-th bin is its
+   successor, the smallest gap that is large enough.
+3. Conflicts by rank. Longer pieces go first; with P pieces so far, K = P + min(0, min(c - P)) of them get a
+   bin, as a prefix minimum. The k-th of them takes bin k + min(c - K) over itself and what follows, a
+   suffix minimum: the tightest bins that leave the shorter ones theirs. A bin takes further pieces of that
+   length if there are more of them than bins.
+4. Update. What is left of a gap is a gap of the next round. Lengths that no gap holds open new bins:
+   those above half a bin one each, others no more bins than all of their ids fill.
+
+Rounds repeat until no piece is left; their number grows with the capacity and the logarithm of the number
+of pieces. Every round's runs are written tables; the driver only asks whether any is left.
 
 Ranks come from the partitions of the written piece table: the count of a
 length in earlier partitions plus the rank within the partition. No sort, no window over
 the pieces, and no shuffle of ids.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is passed on;
-repeated rows are packed each; an empty table gives an empty table; extra columns are
-ignored.
+repeated rows are packed each; an empty table gives an empty table; a text of any length is cut into as many
+pieces as it takes; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,8 +47,11 @@ from .tokens import MEMO, encoder
 CAPACITY, END_ID = 1024, 2
 #: Rows of the (partition, length) table that may be broadcast (24 bytes each); beyond it a shuffle join.
 MAX_BROADCAST_ROWS = 1_000_000
+#: A round takes the lengths above this share of the longest one that waits.
+REACH = 0.5
 _FLUSH = 8 << 20  # bytes of ids in an output batch
 
+GAP_RUN = "struct<from:bigint,to:bigint,size:bigint,at:bigint,number:bigint,kept:bigint>"
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, nth long"
 
 
@@ -82,65 +98,122 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     return in_batches(src).mapInArrow(run, PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit over runs: (length, from_rank, to_rank, first_bin, per_bin, offset).
+#: A round as SQL: one statement is analysed at once. Its sweeps order runs, a number bounded by the capacity, not pieces.
+_ROUND = """
+WITH active AS (SELECT * FROM (SELECT *, max(length) OVER () AS longest FROM {runs}) WHERE length > longest * {reach}),
+events AS (
+  SELECT gap AS size, false AS piece, first AS at, number, 0L AS bins FROM {gaps}
+  UNION ALL SELECT length, true, lo, n, bins FROM active),
+counted AS (  -- c: bins that hold the length; p: pieces so far
+  SELECT *, coalesce(sum(if(piece, 0, number)) OVER w, 0) AS c, coalesce(sum(if(piece, number, 0)) OVER w, 0) AS p
+  FROM events WINDOW w AS (ORDER BY size DESC, piece, at ROWS UNBOUNDED PRECEDING)),
+ranked AS (SELECT *, p + least(0, coalesce(min(if(piece, c - p, NULL)) OVER w, 0)) AS k
+  FROM counted WINDOW w AS (ORDER BY size DESC, piece, at ROWS UNBOUNDED PRECEDING)),
+kept AS (SELECT *, lag(k, 1, 0L) OVER (ORDER BY size DESC, piece, at) AS before FROM ranked),
+shifted AS (SELECT *, min(if(piece AND k > before, c - k, NULL)) OVER w AS shift
+  FROM kept WINDOW w AS (ORDER BY size DESC, piece, at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+-- both sides as intervals of bin ranks; every start and end cuts them into stretches of one gap and one length
+spans AS (SELECT piece, CASE WHEN piece THEN before + shift ELSE c - number END AS x, CASE WHEN piece THEN k + shift ELSE c END AS y,
+    size, at, number, k - before AS n FROM shifted WHERE NOT piece OR k > before),
+cuts AS (
+  SELECT x AS b, CASE WHEN NOT piece THEN struct(x, y, size, at, number, n) END AS g,
+    CASE WHEN piece THEN struct(x, y, size, at, number, n) END AS r FROM spans
+  UNION ALL SELECT y, NULL, NULL FROM spans),
+carried AS (
+  SELECT b, last(g, true) OVER w AS g, last(r, true) OVER w AS r, lead(b) OVER (ORDER BY b) - b AS number
+  FROM cuts WINDOW w AS (ORDER BY b RANGE UNBOUNDED PRECEDING)),
+stretches AS (SELECT b, g, CASE WHEN b < r.y THEN r END AS r, number FROM carried WHERE number > 0),
+placed AS (
+  SELECT b, g.size AS gap, g.at + b - g.x AS first, number, r.size AS length, r.at + b - r.x AS lo,
+    CASE WHEN r IS NULL THEN 0L ELSE number END AS n, r.at + r.n AS rest_lo, r.number - r.n AS rest,
+    coalesce(g.size div r.size - 1, 0L) AS per_more FROM stretches),
+-- pieces of a length beyond its bins join those placed, tightest bins first
+fuller AS (SELECT *, coalesce(sum(number * per_more) OVER (PARTITION BY length ORDER BY b DESC
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS held FROM placed),
+-- lengths that no gap holds
+waiting AS (SELECT size AS length, at AS lo, number AS n, bins, {capacity} div size AS per,
+    (number + {capacity} div size - 1) div ({capacity} div size) AS need FROM shifted WHERE piece AND c = 0),
+allowed AS (SELECT *, sum(length * n) OVER () AS ids, coalesce(sum(need) OVER (ORDER BY length DESC
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS used FROM waiting),
+opened AS (SELECT *, CASE WHEN length * 2 > {capacity} THEN need ELSE least((ids + {capacity} - 1) div {capacity} - used, need) END AS number
+  FROM allowed)
+SELECT gap, first, number, length, lo, 1L AS per, n, rest_lo + held AS more_lo,
+  coalesce(greatest(0L, least(rest - held, number * per_more)), 0L) AS more, per_more FROM fuller
+UNION ALL
+SELECT bigint({capacity}), bins + used, number, length, lo, per, least(n, number * per), 0L, 0L, 0L FROM opened WHERE number > 0
+"""
+
+
+def _sweep(runs: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    """One round: what happens to each run of bins.
 
-    Rank r of a run goes to bin ``first_bin + (r - from_rank) // per_bin`` at
-    ``offset + (r - from_rank) % per_bin * length``.
+    ``runs`` (length, lo, n, bins): pieces of ranks lo to lo + n, and the number of open bins; ``gaps`` (gap, first,
+    number): bins from first on have that much room. Rows of the result: (gap, first, number) and, if pieces of
+    ``length`` go there, their first rank ``lo``, ``per`` pieces a bin, ``n`` in all; ``more_lo`` and ``more``: further pieces
+    of that length, ``per_more`` a bin.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of bins (first, number)
-    bins, plan = 0, []
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            fits = [g for g in gaps if g >= length]
-            gap = min(fits) if fits else capacity
-            if not fits:  # open as many bins as the rest of the run fills
-                need = -(-left // (capacity // length))
-                gaps[capacity] = [(bins, need)]
-                bins += need
-            first, number = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-            per = gap // length
-            full = min(number, left // per)
-            if full:
-                plan.append((length, rank, rank + full * per, first, per, capacity - gap))
-                rank, left = rank + full * per, left - full * per
-                if gap - per * length:
-                    gaps.setdefault(gap - per * length, []).append((first, full))
-            if full < number:
-                first, number = first + full, number - full
-                if left:  # fewer than one bin takes: the last of the run
-                    plan.append((length, rank, rank + left, first, per, capacity - gap))
-                    if gap - left * length:
-                        gaps.setdefault(gap - left * length, []).append((first, 1))
-                    left = 0
-                    first, number = first + 1, number - 1
-                if number:
-                    gaps.setdefault(gap, []).append((first, number))
-    return plan
+    return runs.sparkSession.sql(_ROUND, runs=runs, gaps=gaps, reach=REACH, capacity=capacity)
+
+
+def _filled(step: DataFrame) -> DataFrame:
+    """(gap, first, number): the bins of a round's rows with the room that is left."""
+    # bins with all further pieces, one with some of them, and the rest; or full new bins and a last one
+    joined = F.expr("struct(gap - (per_more + 1) * length as gap, first as first, more div per_more as number)"), F.expr(
+        "struct(gap - (1 + more % per_more) * length as gap, first + more div per_more as first, cast(sign(more % per_more) as bigint) as number)"), F.expr(
+        "struct(gap - length as gap, first + (more + per_more - 1) div per_more as first, number - (more + per_more - 1) div per_more as number)")
+    opened = F.expr("struct(gap - per * length as gap, first as first, n div per as number)"), F.expr(
+        "struct(gap - (n % per) * length as gap, first + n div per as first, cast(sign(n % per) as bigint) as number)")
+    same = F.expr("struct(gap as gap, first as first, number as number)")
+    parts = F.when(F.col("n") == 0, F.array(same)).when(F.col("more") > 0, F.array(*joined)).otherwise(F.array(*opened))
+    return step.select(F.explode(parts).alias("x")).select("x.*").where("number > 0 and gap > 0")
+
+
+def _places(step: DataFrame, capacity: int) -> DataFrame:
+    """(length, lo, hi, first_bin, per, at): rank r goes to bin first_bin + (r - lo) div per, at + (r - lo) % per * length."""
+    at = F.lit(capacity) - F.col("gap")
+    both = F.array(F.struct("length", "lo", (F.col("lo") + F.col("n")).alias("hi"), F.col("first").alias("first_bin"), "per", at.alias("at")),
+                   F.struct("length", F.col("more_lo").alias("lo"), (F.col("more_lo") + F.col("more")).alias("hi"), F.col("first").alias("first_bin"),
+                            F.col("per_more").alias("per"), (at + F.col("length")).alias("at")))
+    return step.where("n > 0").select(F.explode(both).alias("x")).select("x.*").where("hi > lo")
+
+
+def match(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(length, lo, hi, first_bin, per, at) for ``counts`` (length, n): rounds of sweeps until every rank has a bin."""
+    spark = counts.sparkSession
+    runs = counts.selectExpr("bigint(length) AS length", "0L AS lo", "bigint(n) AS n", "0L AS bins")
+    runs = written(runs.coalesce(1), "pack-runs")
+    gaps = spark.createDataFrame([], "gap long, first long, number long")
+    steps = []
+    while not runs.isEmpty():
+        step = written(_sweep(runs, gaps, capacity).coalesce(1), "pack-step")
+        steps.append(step)
+        runs = written(spark.sql("""
+            WITH done AS (SELECT length AS l, sum(n + more) AS placed FROM {step} GROUP BY length)
+            SELECT length, lo + coalesce(placed, 0L) AS lo, n - coalesce(placed, 0L) AS n,
+              greatest(bins, (SELECT max(first + number) FROM {step})) AS bins
+            FROM {runs} LEFT JOIN done ON length = l WHERE n > coalesce(placed, 0L)""", runs=runs, step=step.coalesce(1)).coalesce(1), "pack-runs")
+        gaps = _filled(step)
+    places = [_places(s, capacity) for s in steps]
+    if not places:
+        return spark.createDataFrame([], ", ".join(f"{n} long" for n in ("length", "lo", "hi", "first_bin", "per", "at")))
+    return written(reduce(DataFrame.unionByName, places).coalesce(1), "pack-places")
 
 
 def best_fit(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give every piece (as ``pieces`` returns, written) its sequence_id and offset."""
-    spark = made.sparkSession
     by_part = written(made.groupBy("part", "length").count(), "piece-counts")
-    counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    plan = sweep(counts, capacity)
+    places = match(by_part.groupBy("length").agg(F.sum("count").alias("n")), capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     if by_part.count() <= MAX_BROADCAST_ROWS:
         base = F.broadcast(base)
-    names = ["length", "lo", "hi", "first_bin", "per", "at"]
-    places = spark.createDataFrame(plan, ", ".join(f"{n} long" for n in names))
     ranked = made.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
-    # The plan has at most a few entries per length, bounded by the capacity alone.
-    placed = ranked.join(F.broadcast(places), "length").where("rank >= lo and rank < hi")
+    # A few places per length and round: bounded by the capacity, not by the pieces.
+    placed = ranked.alias("a").join(F.broadcast(places).alias("b"), F.expr("a.length = b.length and rank >= lo and rank < hi"))
     turn = F.col("rank") - F.col("lo")
-    return placed.select("doc_id", "piece", "start", "length", "ids",
+    return placed.select("doc_id", "piece", "start", "a.length", "ids",
                          (F.col("first_bin") + F.expr("(rank - lo) div per")).alias("sequence_id"),
-                         (F.col("at") + turn % F.col("per") * F.col("length")).alias("offset"))
+                         (F.col("at") + turn % F.col("per") * F.col("a.length")).alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id",
