@@ -1,6 +1,10 @@
+import math
 import random
+import string
 import zlib
+from collections import Counter
 
+import pytest
 from reviewlake.llm import toxicity as TX
 
 
@@ -60,3 +64,49 @@ def test_edges(spark, edge, empty):
     assert TX.toxicity(edge, labels).count() == edge.count()  # too few labels: the share of toxic rows
     assert TX.toxicity(empty, labels).count() == 0 and TX.toxicity(edge, labels.where("false")).count() == edge.count()
     assert TX.features("", {}, {}) == [0.0] * len(TX.FEATURES)
+
+
+def plain_features(text, lexicon):
+    """The features word by word and character by character."""
+    words = text.lower().split()
+    if not words:
+        return [0.0] * len(TX.FEATURES)
+    read = [TX.stems(w) for w in words]
+    weight = [int(max((lexicon.get(g, 0.0) for g in found), default=0.0) * 1000) / 1000 for found, _ in read]
+    odd = [o for _, o in read]
+    you = [w.strip(string.punctuation + string.digits) in TX.SECOND_PERSON for w in words]
+    strong = [k for k, w in enumerate(weight) if w >= 2.5]
+    near = [any(you[max(0, k - 5):k + 6]) for k in strong]
+    upper, lower = (sum(c in letters for c in text) for letters in (string.ascii_uppercase, string.ascii_lowercase))
+    n, size = len(words), len(text.encode())
+    return [sum(w > 0 for w in weight) / n, len(strong) / n, sum(weight) / n, max(weight), len({words[k] for k in strong}) / math.sqrt(n),
+            math.log(1 + len(strong)), sum(near) / len(near) if near else 0.0, sum(you) / n, upper / max(1, upper + lower), float(upper > lower),
+            text.count("!") / size, sum(c in string.punctuation for c in text) / size, sum(odd) / n,
+            sum(o and w > 0 for o, w in zip(odd, weight)) / n, size / n, math.log(1 + n)]
+
+
+def test_features_against_a_plain_version():
+    random.seed(11)
+    lexicon = {"idiot$": 3.1234567, "idio": 1.7, "moro": 2.5, "worth": 2.4999, "pathet": 4.0}
+    parts = ["you", "You,", "TU", "idiot", "Id1ot!", "MORONS", "worthless", "p4thetic.", "river", "éclair", "世界", "12.50", "--", "a!b", "usted", "x_y"]
+    memo = {}
+    for _ in range(300):
+        text = random.choice(["", " ", "\n"]).join(
+            random.choice(parts) + random.choice([" ", "  ", "\n", "\t"]) for _ in range(random.choice([0, 1, 3, 12, 60, 400])))
+        assert TX.features(text, lexicon, memo) == pytest.approx(plain_features(text, lexicon), abs=1e-12)
+
+
+def test_lexicon_weights_against_a_plain_count(spark):
+    docs, labels = corpus(200)
+    toxic = dict(labels)
+    rows = [(toxic[d], t) for d, t in docs if d in toxic]
+    seen = [Counter(), Counter()]
+    for y, t in rows:
+        seen[y].update({g for w in set(t.lower().split()) for g in TX.stems(w)[0]})
+    n = [sum(y == k for y, _ in rows) for k in (0, 1)]
+    weight = {g: math.log((c + 0.5) / (n[1] + 1)) - math.log((seen[0][g] + 0.5) / (n[0] + 1)) for g, c in seen[1].items() if c >= 3}
+    expected = {g: w for g, w in weight.items() if w >= 1.5}
+    got = TX._learn_lexicon(spark.createDataFrame(rows, "toxic int, t string"), n[1], n[0], 6_000)
+    assert got == pytest.approx(expected) and expected
+    few = sorted(expected, key=lambda g: (-expected[g] * math.sqrt(seen[1][g]), g))[:3]
+    assert list(TX._learn_lexicon(spark.createDataFrame(rows, "toxic int, t string"), n[1], n[0], 3)) == few
