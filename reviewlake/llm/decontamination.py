@@ -6,15 +6,15 @@ similarity of their five-word shingles, each weighing as often as it occurs (wor
 ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased).
 
 1. Windows. A window that similar holds at least ``need`` shingles of the item (see
-   ``_need``), so only runs of positions with that many shingles of one item give windows; all of
-   their starts are taken. Nothing that could pass is left out.
+   ``_need``), so only runs of positions with that many shingles of items of one size give windows
+   of that size; all of their starts are taken. Nothing that could pass is left out, and no item is named.
 2. Fingerprints. Each window's 64-bit SimHash, weighted by shingle counts.
 3. Multi-index. Fingerprints are cut into ``radius + 1`` blocks; two that differ in at most
-   ``radius`` bits agree in a block, so an equi-join on (item, block, value) finds all of
-   them; the rest is filtered by its Hamming distance. At a similarity of 0.8 the share of
+   ``radius`` bits agree in a block, so an equi-join on (size, block, value) finds every item that
+   a window may be; the rest is filtered by its Hamming distance. At a similarity of 0.8 the share of
    common shingles is 0.89, which flips 9.7 of 64 bits on average (deviation 2.9): the
    radius of 26 is more than five deviations away.
-4. Check. The exact similarity decides.
+4. Check. The exact similarity of the pairs that the index found decides.
 
 Built-in functions only. The benchmark's shingles are broadcast after counting them; beyond
 ``MAX_BROADCAST_ROWS`` the same joins shuffle. Only positions that hold an item's
@@ -84,57 +84,62 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", d
     grams = written(items.select("item", "width", F.explode("g").alias("h")).groupBy("item", "width", "h")
                     .agg(F.count("*").alias("n_item")), "benchmark-shingles")
     small = F.broadcast if grams.count() <= MAX_BROADCAST_ROWS else (lambda d: d)
-    facts = small(items.select("item", "n_words", F.size("g").alias("n_sh")))
+    # Items of as many shingles are one size; the text is looked at by sizes, which item it is the index tells.
+    sized = grams.join(small(items.select("item", F.size("g").alias("n_sh"))), "item").select("width", "n_sh", "h").distinct()
 
-    # 1. Positions that hold a shingle of an item, and the windows they allow.
+    # 1. Positions that hold a shingle of an item of a size, and the windows they allow.
     t = docs.select(F.col(doc_id).alias("doc_id"), id_key(doc_id).alias("_d"), whole_text(text).alias("_t"))
     t = t.withColumn("_r", F.xxhash64("_t"))
     worded = t.select("_d", "_r", words_of(ascii_lower(F.col("_t"))).alias("w"))
     hits = None
     for k in widths:
         at = worded.select("_d", "_r", F.posexplode(_grams(F.col("w"), k)).alias("pos", "h"))
-        found = at.join(small(grams.where(F.col("width") == k).select("item", "h")), "h").select("_d", "_r", "item", "pos")
+        found = at.join(small(sized.where(F.col("width") == k)), "h").select("_d", "_r", "width", "n_sh", "pos")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:  # no item has a word
-        hits = worded.where(F.lit(False)).select("_d", "_r", F.lit(0).cast("long").alias("item"), F.lit(0).alias("pos"))
-    runs = hits.groupBy("_d", "_r", "item").agg(F.sort_array(F.collect_set("pos")).alias("p")).join(facts, "item")
+        hits = worded.where(F.lit(False)).select("_d", "_r", F.lit(0).alias("width"), F.lit(0).alias("n_sh"), F.lit(0).alias("pos"))
+    runs = hits.groupBy("_d", "_r", "width", "n_sh").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     runs = runs.withColumn("need", _need(F.col("n_sh"), min_similarity)).where(F.size("p") >= F.col("need"))
     p, need, n_sh = F.col("p"), F.col("need"), F.col("n_sh")
     spans = F.transform(F.sequence(F.lit(0), F.size(p) - need), lambda i: F.struct(
         F.greatest(F.lit(0), F.get(p, i + need - 1) - n_sh + 1).alias("lo"), F.get(p, i).alias("hi")))
-    runs = runs.select("_d", "_r", "item", "n_sh", "n_words", F.explode(spans).alias("s")).where("s.lo <= s.hi")
-    starts = runs.select("_d", "_r", "item", "n_sh", "n_words", F.explode(F.sequence("s.lo", "s.hi")).alias("start")).distinct()
+    runs = runs.select("_d", "_r", "width", "n_sh", F.explode(spans).alias("s")).where("s.lo <= s.hi")
+    starts = runs.select("_d", "_r", "width", "n_sh", F.explode(F.sequence("s.lo", "s.hi")).alias("start")).distinct()
     # One row per document with its starts meets the text; the lists are small, the texts stream past.
-    wanted = starts.groupBy("_d", "_r").agg(F.collect_list(F.struct("item", "n_sh", "n_words", "start")).alias("todo"))
+    wanted = starts.groupBy("_d", "_r").agg(F.collect_list(F.struct("width", "n_sh", "start")).alias("todo"))
     texts = t.select("_d", "_r", "_t").join(written(wanted, "windows").hint("shuffle_hash"), ["_d", "_r"])
     texts = texts.dropDuplicates(["_d", "_r"]).withColumn("w", words_of(ascii_lower(F.col("_t"))))
     for k in widths:
         texts = texts.withColumn(f"g{k}", _grams(F.col("w"), k))
     texts = texts.select("_d", "_r", F.explode("todo").alias("x"), *[f"g{k}" for k in widths])
-    width = F.least(F.col("x.n_words"), F.lit(shingle))
     shingles = F.array().cast("array<bigint>")
     for k in widths:
-        shingles = F.when(width == k, F.slice(f"g{k}", F.col("x.start") + 1, F.col("x.n_sh"))).otherwise(shingles)
-    windows = texts.select("_d", "_r", "x.item", "x.start", "x.n_sh", "x.n_words", F.explode(shingles).alias("h"))
-
-    # 2. Fingerprints, with the weights that the check needs.
-    key = ["_d", "_r", "item", "start"]
-    weights = windows.groupBy(*key, "n_sh", "n_words", "h").agg(F.count("*").alias("n"))
-    weights = weights.join(small(grams.select("item", "h", "n_item")), ["item", "h"], "left")
-    common = F.sum(F.least("n", F.coalesce("n_item", F.lit(0))))
-    prints = weights.groupBy(*key, "n_sh", "n_words").agg(
-        _fingerprint(F.col("h"), F.col("n")).alias("fp"), F.sum("n").alias("n_window"), common.alias("common"))
-    item_prints = grams.groupBy("item").agg(_fingerprint(F.col("h"), F.col("n_item")).alias("item_fp"))
-
-    # 3. Multi-index on Hamming blocks.
+        shingles = F.when(F.col("x.width") == k, F.slice(f"g{k}", F.col("x.start") + 1, F.col("x.n_sh"))).otherwise(shingles)
+    windows = texts.select("_d", "_r", "x.width", "x.start", "x.n_sh", F.explode(shingles).alias("h"))
+
+    # 2. Fingerprints: a shingle votes as often as it occurs. The window's shingles go with it to the check.
+    key = ["_d", "_r", "width", "n_sh", "start"]
+    prints = windows.groupBy(*key).agg(_fingerprint(F.col("h"), F.lit(1)).alias("fp"), F.collect_list("h").alias("hs"))
+    item_prints = grams.join(small(items.select("item", F.size("g").alias("n_sh"))), "item").groupBy("item", "width", "n_sh").agg(
+        _fingerprint(F.col("h"), F.col("n_item")).alias("item_fp"))
+
+    # 3. Multi-index on Hamming blocks: it finds the items that a window may be.
     left = prints.withColumn("b", F.explode(_blocks(F.col("fp"), radius))).select("*", "b.block", "b.value").drop("b")
     right = item_prints.withColumn("b", F.explode(_blocks(F.col("item_fp"), radius))).select("*", "b.block", "b.value").drop("b")
-    near = left.join(small(right), ["item", "block", "value"]).where(
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = left.join(small(right), ["width", "n_sh", "block", "value"])
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    near = near.where(F.bit_count(differ) <= radius)
+    # a pair that agrees in several blocks counts in the first of them
+    agree = F.array_min(F.transform(F.filter(_blocks(differ, radius), lambda x: x["value"] == 0), lambda x: x["block"]))
+    near = near.where(F.col("block") == agree).select(*key, "item", "hs")
 
     # 4. The exact similarity; the best window of each pair stays.
+    counted = near.select(*key, "item", F.size("hs").alias("n_window"), F.explode("hs").alias("h")).groupBy(*key, "item", "n_window", "h").agg(
+        F.count("*").alias("n"))
+    common = F.sum(F.least("n", "n_item"))
+    near = counted.join(small(grams.select("item", "h", "n_item")), ["item", "h"]).groupBy(*key, "item", "n_window").agg(common.alias("common"))
     near = near.withColumn("similarity", F.col("common") / (F.col("n_window") + F.col("n_sh") - F.col("common")))
-    near = near.where(F.col("similarity") >= min_similarity)
+    near = near.where(F.col("similarity") >= min_similarity).withColumn("n_words", F.col("n_sh") + F.col("width") - 1)
     best = near.groupBy("_d", "_r", "item", "n_words").agg(
         F.min(F.struct(-F.col("similarity"), F.col("start"))).alias("top"))
     ids = small(named.select("item", "item_id").distinct())

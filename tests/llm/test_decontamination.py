@@ -41,3 +41,17 @@ def test_native(spark, edge):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     plan = DC.decontamination(edge, items)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
+
+
+def test_the_index_finds_the_item(spark, monkeypatch):
+    # what the text is searched for names sizes only; two items of one size are told apart by the fingerprints
+    tables = {}
+    monkeypatch.setattr(DC, "written", lambda df, name, write=DC.written: tables.setdefault(name, write(df, name)))
+    a, b = ([f"{x}{k}" for k in range(20)] for x in "ab")
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(["z", *a])), (2, " ".join([*b, "z"])), (3, " ".join(a[:10] + b[10:]))], "doc_id long, text string")
+    assert run(docs, items) == {(1, 1): (1.0, 1), (2, 2): (1.0, 0)}
+    assert "item" not in tables["windows"].schema["todo"].dataType.elementType.names
+    # without the index nothing is found
+    monkeypatch.setattr(DC, "_blocks", lambda fp, radius, blocks=DC._blocks: DC.F.filter(blocks(fp, radius), lambda x: x["block"] < 0))
+    assert run(docs, items) == {}
