@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 from reviewlake import dictionaries as D
 from reviewlake.functions import masking as M
 from reviewlake.operators import entities as EN
-from reviewlake.session import stored
+from reviewlake.session import bound_batches, stored
 
 #: Texts that the training set is taken from, sentences with names in it (and as many without), passes, rows of the weight table.
 MAX_TRAIN, MAX_SENTENCES, PASSES, ROWS = 4_000, 2_000, 6, 1 << 16
+#: Words that are tagged at once (some 50 MB of scores, tokens and features).
+BLOCK_WORDS = 20_000
+#: Words whose scores a worker remembers (some 400 bytes each).
+MEMO = 60_000
 #: Labels that are learnt; numbers, mails and dates stay with the detectors.
 NAMES = ("PERSON", "GPE", "LOC", "ORG")
 SEED = 5
@@ -142,7 +146,7 @@ class Tagger:
         # I-x only after B-x or I-x
         self.banned = np.array([[0.0 if not b.startswith("I-") or a[2:] == b[2:] and a != "O" else -1e9 for b in self.tags] for a in self.tags])
         self.start = np.array([-1e9 if t.startswith("I-") else 0.0 for t in self.tags])
-        self.read = Features()
+        self.read, self.made_of = Features(), None
 
     @staticmethod
     def flat(rows):
@@ -159,23 +163,55 @@ class Tagger:
         s[0] += self.start
         return viterbi(s, self.follow + self.banned)
 
+    def _forget(self):
+        """An empty table of words; the next ``tag_many`` fills it anew."""
+        self.ids, self.low, self.shapes, self.shape_names, self.made_of = {}, [], {}, [], self.weights
+        k = len(self.tags)
+        self.table, self.shape_of, self.first = np.zeros((0, 5, k), self.weights.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self):
+        """Rows of the table for words that have none yet: scores of the word by itself and at four places of a neighbour."""
+        words = list(self.ids)[len(self.low):]
+        rows, shape_of, first = [[] for _ in range(5)], [], []
+        for w in words:
+            low, s = w.lower(), shape(w)
+            self.low.append(low)
+            rows[0].append([0, _row("s" + s), _row("w" + low), _row("p" + low[:3]), _row("e" + low[-3:])])
+            for i, place in enumerate((-2, -1, 1, 2), start=1):
+                rows[i].append([_row(f"{place}w{low}"), _row(f"{place}s{s}")])
+            if s not in self.shapes:
+                self.shapes[s] = len(self.shapes)
+                self.shape_names.append(s)
+            shape_of.append(self.shapes[s])
+            first.append(_row("first" + s))
+        if not words:
+            return
+        old, n = len(self.shape_of), len(self.low)
+        if len(self.table) < n:
+            self.table = np.concatenate([self.table[:old], np.zeros((max(n, 2 * old) - old, *self.table.shape[1:]), self.table.dtype)])
+        for i, r in enumerate(rows):
+            self.table[old:n, i] = self.scores(r)
+        self.shape_of, self.first = np.append(self.shape_of, shape_of), np.append(self.first, first)
+
     def tag_many(self, sentences: list[list[str]]) -> np.ndarray:
         """Tags of all words, one sentence after the other, as ``tag`` gives them: what a word adds to its own
-        place and to its neighbours' is added up once for each distinct word."""
-        ids: dict[str, int] = {"<": 0, ">": 1}
+        place and to its neighbours' is added up once for each word and remembered, up to ``MEMO`` words."""
+        if self.made_of is not self.weights or len(self.ids) > MEMO:
+            self._forget()
+        ids = self.ids
+        edge, end = (ids.setdefault(w, len(ids)) for w in "<>")
         sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
-        padded = np.fromiter((x for s in sentences for x in (0, 0, *[ids.setdefault(w, len(ids)) for w in s], 1, 1)), np.int64, int(sizes.sum() + 4 * len(sizes)))
+        padded = np.fromiter((x for s in sentences for x in (edge, edge, *[ids.setdefault(w, len(ids)) for w in s], end, end)), np.int64, int(sizes.sum() + 4 * len(sizes)))
+        self._learn()
         first = np.cumsum(sizes + 4) - sizes - 2
         at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-        words, read = list(ids), self.read
-        own = [read._own(w) for w in words]
-        s = self.scores([[0, shape_row, *rows] for rows, shape_row, _ in own])[padded[at]]
-        for place in (-2, -1, 1, 2):
-            s += self.scores([read._near(place, w) for w in words])[padded[at + place]]
-        pairs, of = np.unique(padded[at] * len(words) + padded[at - 1], return_inverse=True)
-        s += self.weights[[_row(f"{own[p // len(words)][2]}|{words[p % len(words)].lower()}") for p in pairs.tolist()]][of]
+        s = self.table[padded[at], 0]
+        for i, place in enumerate((-2, -1, 1, 2), start=1):
+            s += self.table[padded[at + place], i]
+        pairs, of = np.unique(self.shape_of[padded[at]] * len(ids) + padded[at - 1], return_inverse=True)
+        s += self.weights[[_row(f"{self.shape_names[p // len(ids)]}|{self.low[p % len(ids)]}") for p in pairs.tolist()]][of]
         begin = np.cumsum(sizes) - sizes
-        s[begin] += self.weights[[_row("first" + own[w][2]) for w in padded[first].tolist()]] + self.start
+        s[begin] += self.weights[self.first[padded[first]]] + self.start
         return viterbi_many(s, sizes, self.follow + self.banned)
 
     def fit(self, examples: list[tuple[list[str], list[int]]], passes: int = PASSES, seed: int = SEED) -> Tagger:
@@ -208,16 +244,32 @@ class Tagger:
         if step:  # the average of the weights after every step
             self.weights -= w_sum / (step + 1)
             self.follow -= f_sum / (step + 1)
+        self.made_of = None
         return self
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         return self.spans_of([text])[0]
 
-    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        cut = [list(sentence_tokens(t)) for t in texts]
-        every = [s for sentences in cut for s in sentences]
-        tags = iter(self.tag_many([[w for _, _, w in s] for s in every]).tolist() if every else ())
-        return [[x for s in sentences for x in self._joined(s, tags)] for sentences in cut]
+    def spans_of(self, texts: list[str], block: int = BLOCK_WORDS) -> list[list[tuple[int, int, str]]]:
+        """The spans of each text; sentences are tagged in blocks of about ``block`` words, whatever the texts' lengths."""
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        held, n = [], 0
+
+        def flush():
+            tags = iter(self.tag_many([[w for _, _, w in s] for _, s in held]).tolist() if held else ())
+            for i, s in held:
+                out[i] += self._joined(s, tags)
+            held.clear()
+
+        for i, t in enumerate(texts):
+            for s in sentence_tokens(t):
+                held.append((i, s))
+                n += len(s)
+                if n >= block:
+                    flush()
+                    n = 0
+        flush()
+        return out
 
     def _joined(self, tokens, tags):
         open_ = None
@@ -299,6 +351,7 @@ def make_tagging_detector(spark, weights: bytes, gazetteer=D.GAZETTEER_EN):
     """Pandas UDF: text -> spans for ``masking.mask_spans``, like ``entities.make_span_detector`` and with names
     that the gazetteer lacks. NULL stays NULL."""
     rules, index = [(label, re.compile(p)) for label, p in M.DETECTORS], EN._gazetteer_index(gazetteer)
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
     held = {}
 

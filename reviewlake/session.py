@@ -75,9 +75,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
+def bound_batches(spark: SparkSession | None) -> None:
+    """Bind a session to Arrow batches of ``BATCH_BYTES`` unless it has a bound of its own."""
+    if spark is not None and "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, its session bound to Arrow batches of ``BATCH_BYTES`` unless it has a bound of its own."""
-    conf = df.sparkSession.conf
-    if "spark.sql.execution.arrow.maxBytesPerBatch" not in conf.getAll:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
     return df

@@ -129,3 +129,15 @@ def test_ingest_takes_a_detector(spark, weights):
     plain = ingest_pages(spark, pages, gazetteer=gazetteer())[0].first().body
     tagged = ingest_pages(spark, pages, detector=TG.make_tagging_detector(spark, weights, gazetteer()))[0].first().body
     assert "Nadia" in plain and tagged == "Many thanks to [PERSON] who helped me in [LOCATION]."
+
+
+def test_texts_are_tagged_in_blocks_with_the_same_spans(weights, monkeypatch):
+    tagger = TG.Tagger.load(weights)
+    texts = ["Ask Anna Berg in Oslo. It was late! Then Tom Hill came.\nGood", "", "no names here. At Paris again"] * 40
+    whole, sizes = tagger.spans_of(texts, 10**9), []
+    plain = TG.Tagger.tag_many
+    monkeypatch.setattr(TG.Tagger, "tag_many", lambda self, sentences: sizes.append(sum(map(len, sentences))) or plain(self, sentences))
+    monkeypatch.setattr(TG, "MEMO", 5)  # words are forgotten and learnt again
+    assert tagger.spans_of(texts, 50) == whole and len(sizes) > 5 and max(sizes) < 70
+    one = " ".join(texts)
+    assert tagger.spans_of([one], 50) == tagger.spans_of([one], 10**9)
