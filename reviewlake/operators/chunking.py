@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.session import bounded_batches
+
 # Splitter settings.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -93,7 +95,7 @@ def chunk_recursive(docs: DataFrame, key: str, text_col: str,
                     size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(key, chunk_pos, text) per review; key must be a string or integer column."""
     key_type = dict(docs.dtypes)[key]
-    src = docs.select(key, text_col)
+    src = bounded_batches(docs.select(key, text_col))  # ten thousand long reviews and their chunks do not fit a worker
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
