@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions import text as T
-from reviewlake.session import stored
+from reviewlake.session import bounded_batches, stored
 
 #: Words of all phrases of one automaton.
 MAX_WORDS = 3_000_000
-#: Words that a worker remembers.
-MEMO = 200_000
+#: Words that a worker remembers, and texts whose words it holds as Python strings at once.
+MEMO, ROWS = 50_000, 256
 
 
 def word_hash(word: str) -> int:
@@ -142,7 +142,7 @@ def _hits(texts: DataFrame, keys: list[str], automaton: Automaton) -> DataFrame:
 
     def run(batches):
         a, memo = shared.value, _Hashes()
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             tokens = b.column("_toks").to_pylist()
             sizes = np.fromiter((len(x or ()) for x in tokens), np.int64, len(tokens))
             flat = np.fromiter((memo[w] for x in tokens for w in x or ()), np.uint64, int(sizes.sum()))
@@ -154,7 +154,7 @@ def _hits(texts: DataFrame, keys: list[str], automaton: Automaton) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(a.ids[pair[1]]), pa.array(n)], [*keys, "phrase_id", "n"])
 
     schema = texts.select(*keys).schema.add("phrase_id", "long").add("n", "long")
-    return texts.mapInArrow(run, schema)
+    return bounded_batches(texts).mapInArrow(run, schema)
 
 
 def phrase_hits(docs: DataFrame, keys: list[str], text_col: str, phrases: DataFrame, phrase_col: str = "phrase",
