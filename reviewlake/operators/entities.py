@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from reviewlake import dictionaries as D
 from reviewlake.functions import masking as M
 from reviewlake.operators import lexicon as L
+from reviewlake.session import bound_batches
 
 SPAN_TYPE = Ty.ArrayType(Ty.StructType([
     Ty.StructField("start", Ty.IntegerType()),
@@ -93,6 +94,7 @@ def make_span_detector(gazetteer=D.GAZETTEER_EN):
     """pandas UDF: text -> non-overlapping spans, by detector priority."""
     rules = [(label, re.compile(p)) for label, p in M.DETECTORS]
     index = _gazetteer_index(gazetteer)
+    bound_batches(SparkSession.getActiveSession())
 
     @F.pandas_udf(SPAN_TYPE)
     def detect_spans(texts: pd.Series) -> pd.Series:

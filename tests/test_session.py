@@ -36,3 +36,20 @@ def test_a_cluster_without_a_shared_folder_is_an_error(master):
 def test_a_local_session_gets_a_private_folder():
     spark = _Spark("local[2]")
     assert session.ensure_checkpoint_dir(spark) == spark.sparkContext.folder == spark.conf.value
+
+
+def test_operators_with_python_workers_bound_their_batches(spark):
+    from reviewlake import dictionaries as D
+    from reviewlake.operators import chunking as CH
+    from reviewlake.operators import entities as EN
+    from reviewlake.operators import phrases as PH
+    from reviewlake.operators import tagging as TG
+    from reviewlake.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs, phrases = spark.createDataFrame([(1, "one two")], "doc_id long, text string"), spark.createDataFrame([("one two",)], "phrase string")
+    for use in (lambda: CH.chunk_recursive(docs, "doc_id", "text"), lambda: PH.phrase_counts(docs, "text", phrases),
+                lambda: EN.make_span_detector(D.GAZETTEER_EN), lambda: TG.make_tagging_detector(spark, TG.Tagger([]).dump())):
+        spark.conf.unset(key)
+        use()
+        assert int(spark.conf.get(key)) == BATCH_BYTES
