@@ -63,8 +63,11 @@ def mask_pii(text) -> Column:
 
 
 def detector_counts(text) -> list[Column]:
-    """Per detector: number of matches in the text as masked by earlier detectors."""
-    cur = F.col(text) if isinstance(text, str) else text
+    """Per detector: number of matches in the text as masked by earlier detectors. Texts without a digit
+    or an @ are looked at once."""
+    raw = F.col(text) if isinstance(text, str) else text
+    # one input for all detectors, so that the chain is evaluated once a row
+    cur = F.when(raw.isNull() | raw.rlike(NEEDED), raw).otherwise("")
     counts = []
     for label, pattern in DETECTORS:
         counts.append(F.size(F.regexp_extract_all(cur, F.lit(pattern), 0)).alias(label))

@@ -1,6 +1,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from reviewlake.functions import masking as M
 from reviewlake.operators import entities as EN
 
@@ -102,3 +104,12 @@ def test_many_spans_and_chunks_of_a_long_text(spark):
         step = size - overlap
         count = max(1, -(-(len(text) - overlap) // step))
         assert got == {**{(1, i): text[i * step:i * step + size] for i in range(count)}, (2, 0): "", (3, 0): None}
+
+
+def test_detector_counts_look_at_other_texts_once(spark):
+    df = spark.createDataFrame([("no such thing",), ("mail a@b.de on 2024-01-02",), ("",), (None,)], "t string")
+    counts = M.detector_counts("t")
+    assert all(M.NEEDED in str(c) for c in counts)
+    got = [tuple(r) for r in df.select(*counts).collect()]
+    assert got[0] == got[2] == (0,) * 5 and got[1] == (1, 0, 0, 1, 0)
+    assert got[3] == tuple(df.where("t is null").select(*[F.size(F.regexp_extract_all("t", F.lit(p), 0)) for _, p in M.DETECTORS]).first())
