@@ -69,31 +69,43 @@ def score_with(df: DataFrame, text_col: str, scorer_factory: Callable[[], Scorer
             raise ValueError(f"scorer gave {len(values)} answers to {len(texts)} texts")
         return values
 
-    def score_one(scorer: Scorer, t: str):
-        err = None
+    def score_each(scorer: Scorer, texts: list[str]):
+        """Each text alone, up to ``max_retries`` times; those that fail wait together before the next attempt."""
+        pairs: list = [None] * len(texts)
+        left = list(range(len(texts)))
         for attempt in range(max_retries):
-            try:
-                return answers(scorer, [t])[0], None
-            except Exception as e:  # noqa: BLE001
-                err = f"{type(e).__name__}: {e}"
-                if attempt + 1 < max_retries:
-                    time.sleep(backoff_s * (2 ** attempt))
-        return None, err
+            failed = []
+            for i in left:
+                try:
+                    pairs[i] = (answers(scorer, [texts[i]])[0], None)
+                except Exception as e:  # noqa: BLE001
+                    pairs[i] = (None, f"{type(e).__name__}: {e}")
+                    failed.append(i)
+            left = failed
+            if not left:
+                break
+            if attempt + 1 < max_retries:
+                time.sleep(backoff_s * (2 ** attempt))
+        return [p or (None, None) for p in pairs]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                texts = [t if t is not None else "" for t in part["_text"]]
+            keys, texts = list(pdf["_key"]), [t if t is not None else "" for t in pdf["_text"]]
+            pairs: list = [None] * len(texts)
+            alone: list[int] = []
+            for start in range(0, len(texts), batch_size):
+                part = range(start, min(start + batch_size, len(texts)))
                 try:
-                    pairs = [(v, None) for v in answers(scorer, texts)]
+                    for i, v in zip(part, answers(scorer, [texts[i] for i in part])):
+                        pairs[i] = (v, None)
                 except Exception:  # noqa: BLE001
                     # the batch failed: score each text alone (with retry and
                     # backoff) so one bad input does not take the others down
-                    pairs = [score_one(scorer, t) for t in texts]
-                yield pd.DataFrame({"_key": list(part["_key"]), "value": [v for v, _ in pairs],
-                                    "error": [e for _, e in pairs]})
+                    alone += part
+            for i, p in zip(alone, score_each(scorer, [texts[i] for i in alone])):
+                pairs[i] = p
+            yield pd.DataFrame({"_key": keys, "value": [v for v, _ in pairs], "error": [e for _, e in pairs]})
 
     scored = uniq.mapInPandas(run, f"_key string, value {value_type}, error string")
     if results_path is not None:

@@ -223,3 +223,18 @@ def test_stream_daily_counts_two_batches_equal_batch(spark):
     got = {(r.d, r.event_type): (r.n, r.total_value) for r in last.collect()}
     assert got == {("2024-01-01", "a"): (2, 3.0), ("2024-01-02", "b"): (2, 12.0), ("2024-01-02", "a"): (1, 16.0)}
     assert snap.select("_epoch").distinct().count() == 2
+
+
+def test_texts_that_fail_wait_together(spark):
+    import time
+
+    def factory():
+        def score(texts):
+            raise RuntimeError("down")
+        return score
+
+    df = spark.createDataFrame([(f"t{i}",) for i in range(200)], "t string")
+    began = time.time()
+    got = SC.score_with(df, "t", factory, batch_size=16, backoff_s=0.1, tasks=1).collect()
+    assert len(got) == 200 and all(r.value is None and r.error == "RuntimeError: down" for r in got)
+    assert time.time() - began < 30  # one after the other: 60 s
