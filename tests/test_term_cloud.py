@@ -54,3 +54,14 @@ def test_pairs_are_counted_before_the_shuffle(spark):
     pairs = df.selectExpr("'a' w1", "'b' w2", "1L frequency")
     plan = TM.collocations(pairs, df.selectExpr("'a' term", "1L frequency"))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_stop_words_go_before_counting(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(TM, "stored", lambda df, name, keep=TM.stored: plans.setdefault(name, df._jdf.queryExecution().toString()) and keep(df, name))
+    df = spark.createDataFrame([("the van and the vans of the road van road",)] * 3 + [(None,)], "t string")
+    got = {r.term: r.frequency for r in TM.term_cloud(spark, df, "t", threshold=1e9).collect()}
+    assert got == {"van": 9, "road": 6} and "Join" not in plans["cloud"]
+    # a list that does not fit the plan is joined afterwards, with the same result
+    monkeypatch.setattr(TM, "MAX_LITERAL_STOPWORDS", 0)
+    assert {r.term: r.frequency for r in TM.term_cloud(spark, df, "t", threshold=1e9).collect()} == got
