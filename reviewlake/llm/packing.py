@@ -34,11 +34,12 @@ pieces as it takes; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, whole_text, written
@@ -177,8 +178,35 @@ def _places(step: DataFrame, capacity: int) -> DataFrame:
     return step.where("n > 0").select(F.explode(both).alias("x")).select("x.*").where("hi > lo")
 
 
+#: Set while the rounds run. They are many plans over tables of a few thousand rows: replanning them by stage and
+#: keeping their descriptions whole is what fills the driver, and neither helps.
+ROUND_CONF = {"spark.sql.adaptive.enabled": "false", "spark.sql.maxPlanStringLength": "2000", "spark.sql.shuffle.partitions": "4"}
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in wanted}
+    own = spark.conf.getAll
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if k in own:
+                spark.conf.set(k, v)
+            else:
+                spark.conf.unset(k)
+
+
 def match(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(length, lo, hi, first_bin, per, at) for ``counts`` (length, n): rounds of sweeps until every rank has a bin."""
+    counts = written(counts, "pack-lengths")  # the last job over the pieces
+    with _settings(counts.sparkSession, ROUND_CONF):
+        return _match(counts, capacity)
+
+
+def _match(counts: DataFrame, capacity: int) -> DataFrame:
     spark = counts.sparkSession
     runs = counts.selectExpr("bigint(length) AS length", "0L AS lo", "bigint(n) AS n", "0L AS bins")
     runs = written(runs.coalesce(1), "pack-runs")

@@ -162,3 +162,14 @@ def test_crc_of_ids_is_the_contract(spark, edge, vocabulary, library):
     from reviewlake.llm.queries import _crc32_of_ids
     got = PK.pack(edge.where("doc_id = 5"), vocabulary).select(_crc32_of_ids()).first()[0]
     assert got == zlib.crc32(np.append(ids(library, EDGE[8][1]), 2).astype("<u4").tobytes())
+
+
+def test_packing_rounds_run_under_their_own_settings(spark, monkeypatch):
+    from reviewlake.llm import packing as PK
+
+    seen, plain = [], PK._match
+    monkeypatch.setattr(PK, "_match", lambda counts, capacity: seen.append({k: spark.conf.get(k) for k in PK.ROUND_CONF}) or plain(counts, capacity))
+    before = {k: spark.conf.get(k) for k in PK.ROUND_CONF}
+    places = PK.match(spark.createDataFrame([(7, 3), (3, 3)], "length long, n long"), 10)
+    assert sorted((r.length, r.lo, r.hi) for r in places.collect())[-1][0] == 7
+    assert seen == [PK.ROUND_CONF] and {k: spark.conf.get(k) for k in PK.ROUND_CONF} == before
