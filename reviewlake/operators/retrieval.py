@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.session import stored
+from reviewlake.session import bounded_batches, stored
 
 # Fixed value: neighbours returned per question.
 DEFAULT_K = 4
@@ -100,25 +100,31 @@ def knn(spark: SparkSession, items: DataFrame, questions: DataFrame, item_id: st
                 # then breaks ties by item id
                 pdf = pdf.sort_values(cols, kind="mergesort").reset_index(drop=True)
                 x = np.stack(pdf["_iv"].to_numpy())
-                groups = (pdf.groupby(partition_by, sort=False, dropna=False).indices.values() if partition_by
-                          else [np.arange(len(pdf))])
-                for group in groups:
-                    for lo in range(0, len(group), block_rows):
-                        rows = group[lo:lo + block_rows]
-                        for at in range(0, len(qid), step):
-                            diff = x[rows][:, None, :] - qm[None, at:at + step, :]
-                            d = np.round(np.einsum("rqd,rqd->rq", diff, diff), 9)
-                            top = np.argsort(d, axis=0, kind="stable")[:k]  # (k', questions)
-                            part = pdf.loc[rows[top.reshape(-1)], cols].reset_index(drop=True)
-                            part[question_id] = np.tile(qid[at:at + step], len(top))
-                            part["distance"] = np.take_along_axis(d, top, axis=0).reshape(-1)
-                            yield part
+                # all groups of a block at once: they stand one after the other, whatever the question
+                group = (pdf.groupby(partition_by, sort=False, dropna=False).ngroup().to_numpy() if partition_by
+                         else np.zeros(len(pdf), np.int64))
+                named = pdf[cols]
+                for lo in range(0, len(pdf), block_rows):
+                    rows, of = x[lo:lo + block_rows], group[lo:lo + block_rows]
+                    of = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]]))
+                    first = np.searchsorted(of, of)  # where a row's group begins
+                    near = np.flatnonzero(np.arange(len(of)) - first < k)
+                    for at in range(0, len(qid), step):
+                        diff = rows[:, None, :] - qm[None, at:at + step, :]
+                        d = np.round(np.einsum("rqd,rqd->rq", diff, diff), 9)
+                        order = np.argsort(d, axis=0, kind="stable")
+                        order = np.take_along_axis(order, np.argsort(of[order], axis=0, kind="stable"), axis=0)
+                        top = order[near]  # (k of each group, questions)
+                        part = named.iloc[lo + top.reshape(-1)].reset_index(drop=True)
+                        part[question_id] = np.tile(qid[at:at + step], len(top))
+                        part["distance"] = np.take_along_axis(d, top, axis=0).reshape(-1)
+                        yield part
         return run
 
     found = None
     for ids, vectors, n_blocks in question_blocks(questions, question_id, question_vec, broadcast_bytes):
         shared = spark.sparkContext.broadcast((np.array(ids), np.array(vectors, dtype=np.float64)))
-        part = src.mapInPandas(candidates(shared), schema)
+        part = bounded_batches(src).mapInPandas(candidates(shared), schema)
         if n_blocks > 1:  # one block's vectors at a time
             part = stored(part, "candidates")
             shared.unpersist()
@@ -194,11 +200,11 @@ def hashed_vectors(docs: DataFrame, id_col: str, tokens_col: str, dim: int = 256
     def vector(tokens: pd.Series) -> pd.Series:
         if "place" not in held:  # a worker remembers places over its batches
             held["place"] = lru_cache(maxsize=200_000)(lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim)
-        place, out = held["place"], []
-        for ts in tokens:
-            v = np.bincount([place(t) for t in (ts if ts is not None else ())], minlength=dim).astype(float)
-            norm = np.sqrt((v * v).sum())
-            out.append(v / norm if norm else v)
-        return pd.Series(out)
-
-    return docs.select(id_col, *(keep or []), vector(tokens_col).alias("embedding"))
+        place = held["place"]
+        sizes = np.fromiter((len(ts) if ts is not None else 0 for ts in tokens), np.int64, len(tokens))
+        places = np.fromiter((place(t) for ts in tokens if ts is not None for t in ts), np.int64, int(sizes.sum()))
+        v = np.bincount(np.repeat(np.arange(len(sizes)) * dim, sizes) + places, minlength=len(sizes) * dim).astype(float).reshape(-1, dim)
+        norm = np.sqrt((v * v).sum(axis=1))
+        return pd.Series(list(v / np.where(norm > 0, norm, 1.0)[:, None]))
+
+    return bounded_batches(docs).select(id_col, *(keep or []), vector(tokens_col).alias("embedding"))

@@ -170,3 +170,19 @@ def test_chunk_recursive_on_whole_documents(spark):
     assert ch.where(F.length("text") > CH.CHUNK_SIZE).count() == 0
     # every non-blank document yields at least one chunk
     assert ch.select("doc_id").distinct().count() == d.where(F.length(F.trim("text")) > 0).count()
+
+
+def test_knn_of_many_small_groups_takes_them_together(spark):
+    import time
+
+    n = 12_000
+    items = spark.range(n, numPartitions=1).selectExpr("id", "id div 2 AS g", "array(double(id % 7), double(id % 3)) AS v")
+    questions = spark.createDataFrame([(1, [0.0, 0.0]), (2, [6.0, 2.0])], "question_id int, embedding array<double>")
+    RT.knn(spark, items.limit(10), questions, "id", "v", ["g"], k=1).count()  # workers are up
+    began = time.time()
+    got = {(r.g, r.question_id): (r.id, r.distance) for r in RT.knn(spark, items, questions, "id", "v", ["g"], k=1).collect()}
+    assert time.time() - began < 8  # a frame for each group took three times as long
+    for g in range(0, n // 2, 97):
+        for q, (x, y) in ((1, (0, 0)), (2, (6, 2))):
+            assert got[g, q] == min((((i % 7 - x) ** 2 + (i % 3 - y) ** 2), i) for i in (2 * g, 2 * g + 1))[::-1]
+    assert len(got) == n
