@@ -64,10 +64,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}{sep}reviewlake/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared scratch folder: computed once, and kept when executors are lost."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: computed once, and kept when executors are lost. ``options``: the writer's."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
